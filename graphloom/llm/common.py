@@ -52,9 +52,10 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), U64, len(words))
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` as UTF-8; ``bytes.split`` parts at just these six characters."""
-    return text.encode("utf-8", "surrogatepass").split() if text else []
+def words_of(text: str | None, lower: bool = False) -> list[bytes]:
+    """Words ``[^\\x20\\x09-\\x0D]+`` as UTF-8: ``bytes.split`` parts at just these six characters, ``bytes.lower`` maps just A-Z."""
+    data = text.encode("utf-8", "surrogatepass") if text else b""
+    return (data.lower() if lower else data).split()
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
