@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import exact, html, minhash, mix, pack, quality, substrings
+from graphloom.llm import caps, exact, html, licenses, minhash, mix, pack, pii, quality, substrings
 from graphloom.llm.common import table
 
 
@@ -25,6 +25,14 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op6_spherical_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return caps.cap_groups(table(spark, sf_dir, "embeddings"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.select(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -37,6 +45,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.plan_mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"))
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -44,7 +56,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_substring_dedup, op3_exact_dedup, op4_minhash, op7_quality, op8_main_text, op9_mixing, pipeline)}
+    return {f.__name__: f for f in (op1_packing, op2_substring_dedup, op3_exact_dedup, op4_minhash, op5_licenses, op6_spherical_caps, op7_quality, op8_main_text, op9_mixing, op10_personal_data, pipeline)}
 
 
 ORACLE_SQL = {
