@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from statistics import NormalDist
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,42 +17,68 @@ from graphloom.llm.common import components, materialize
 
 @dataclass(frozen=True)
 class ProductCode:
-    """Filter directions that are sums of one random code word for each block of coordinates.
+    """``codes`` random rotations, each with filter directions that are sums of one random code word a block.
 
-    ``words ** blocks`` directions come from ``words * blocks`` short vectors, so all
-    directions that a vector exceeds are listed without looking at the others.
+    A code's ``words ** blocks`` directions come from ``words * blocks`` short vectors, so all
+    directions that a vector exceeds are listed without looking at the others. The caps'
+    height is where random unit vectors pass ``listed`` filters of a code on average. Lists
+    vary in length from vector to vector, but little over several rotations together.
     """
 
     words: int
-    height: float  # of the cap, in standard deviations of a random direction's product
-    blocks: int = 3
+    codes: int = 8
+    listed: int = 8
+    blocks: int = 2
     seed: int = 41
 
     @staticmethod
-    def of(vectors: int, listed: float = 40.0, mates: float = 0.25) -> ProductCode:
-        """A code by which a vector passes about ``listed`` filters, and a filter of ``vectors`` passes about ``mates`` unrelated ones."""
-        words = int(np.clip(np.ceil((listed * max(vectors, 1) / mates) ** (1 / 3)), 16, 256))
-        return ProductCode(words, NormalDist().inv_cdf(1 - min(listed / words**3, 0.4)))
+    def of(vectors: int, mates: float = 0.25) -> ProductCode:
+        """A code of which a filter is passed by about ``mates`` unrelated ones of ``vectors``."""
+        return ProductCode(int(np.clip(np.ceil(np.sqrt(ProductCode.listed * vectors / mates)), 24, 2048)))
 
-    def decode(self, unit: np.ndarray) -> Iterator[np.ndarray]:
-        """For each row of unit vectors the numbers of all filters whose height it reaches, or of the best one."""
+    def scores(self, unit: np.ndarray, code: int) -> list[np.ndarray]:
+        """For each block the products of the rotated vectors with its code words."""
         dim = unit.shape[1]
         cuts = np.linspace(0, dim, self.blocks + 1).astype(int)
-        scores = []
-        for block in range(self.blocks):
-            code = np.random.default_rng([self.seed, dim, block]).standard_normal((self.words, cuts[block + 1] - cuts[block]))
-            code *= np.sqrt(np.diff(cuts)[block]) / np.maximum(np.linalg.norm(code, axis=1, keepdims=True), 1e-12)
-            scores.append(unit[:, cuts[block] : cuts[block + 1]] @ code.T)
-        least = np.concatenate([np.cumsum([s.max(axis=1) for s in scores[:0:-1]], axis=0)[::-1], np.zeros((1, len(unit)))])
+        turned = unit @ np.linalg.qr(np.random.default_rng([self.seed, dim, code]).standard_normal((dim, dim)))[0]
+        out = []
+        for block, width in enumerate(np.diff(cuts)):
+            words = np.random.default_rng([self.seed, dim, code, block]).standard_normal((self.words, width))
+            words *= np.sqrt(width) / np.maximum(np.linalg.norm(words, axis=1, keepdims=True), 1e-12)
+            out.append(turned[:, cuts[block] : cuts[block + 1]] @ words.T)
+        return out
+
+    def decode(self, unit: np.ndarray) -> Iterator[np.ndarray]:
+        """For each row of unit vectors the numbers of all filters whose height it reaches, or of each code's best one."""
+        dim = unit.shape[1]
+        codes = [self.scores(unit, code) for code in range(self.codes)]
+        heights = [_height(self, dim, code) for code in range(self.codes)]
+        ends = [np.concatenate([np.cumsum([s.max(axis=1) for s in scores[:0:-1]], axis=0)[::-1], np.zeros((1, len(unit)))]) for scores in codes]
         for row in range(len(unit)):
-            numbers, sums = np.zeros(1, np.int64), np.zeros(1)
-            for block in range(self.blocks):  # a beginning goes on while the best ends can lift it to the cap
-                sums = (sums[:, None] + scores[block][row]).ravel()
-                numbers = (numbers[:, None] * self.words + np.arange(self.words)).ravel()
-                bound = sums + least[block][row]
-                going = bound >= min(self.height, bound.max())
-                numbers, sums = numbers[going], sums[going]
-            yield numbers
+            found = []
+            for code, scores in enumerate(codes):
+                numbers, sums = np.full(1, code, np.int64), np.zeros(1)
+                for block in range(self.blocks):  # a beginning goes on while the best ends can lift it to the cap
+                    sums = (sums[:, None] + scores[block][row]).ravel()
+                    bound = sums + ends[code][block][row]
+                    going = np.flatnonzero(bound >= min(heights[code], bound.max()))
+                    numbers, sums = (numbers[going // self.words] * self.words + going % self.words), sums[going]
+                found.append(numbers)
+            yield np.concatenate(found)
+
+
+@lru_cache(maxsize=256)
+def _height(code: ProductCode, dim: int, number: int, samples: int = 256) -> float:
+    unit = np.random.default_rng([code.seed, dim]).standard_normal((samples, dim))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    scores, top = code.scores(unit, number), []
+    keep = min(50 * code.listed, code.words**code.blocks)
+    for row in range(samples):
+        sums = np.zeros(1)
+        for s in scores:
+            sums = (sums[:, None] + s[row]).ravel()
+        top.append(np.partition(sums, len(sums) - keep)[-keep:])
+    return float(np.sort(np.concatenate(top))[-min(code.listed * samples, keep * samples)])
 
 
 def _vectors(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
@@ -113,7 +139,7 @@ def cap_groups(vectors: DataFrame, threshold: float = 0.93, code: ProductCode |
     other rows linked directly, and ``component_id`` is the smallest id reachable.
 
     The code's size follows the largest label, so that unrelated vectors seldom meet; a
-    vector over the threshold shares about half of its 40 filters with its mate. Null or
+    pair over the threshold shares about half of its 64 filters. Null or
     empty vectors, zero ones, those with null or non-finite components and those with a null
     label link with nothing. A null id has a null component and isn't kept, and its links
     don't reach further. Repeated rows count as vectors of their own with one id. An empty
