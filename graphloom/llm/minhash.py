@@ -97,48 +97,86 @@ def verified(pairs: DataFrame, texts: DataFrame, numerator: int, denominator: in
     return pairs.join(two, "b").join(one, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def near_groups(docs: DataFrame, numerator: int = 75, denominator: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shingle_postings(texts: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """(key, id, n, index): documents of ``texts`` (id, text) under the shingles by which they can still reach the similarity.
+
+    The intersection of a linked pair is at least ``numerator / denominator`` of either set,
+    and ``2 * numerator / (numerator + denominator)`` of the smaller one. With shingles in the
+    order of their document frequency, a linked pair shares one within the rarest that are
+    over these bounds, the smaller set's (those marked ``index``) being fewer. Shingles of one
+    document count in that order but aren't posted.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordHashes()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                sets = [shingle_set(t.as_py(), words) for t in batch.column(1)[at : at + 256]]
+                sizes = np.array([len(s) for s in sets], np.int64)
+                ids = batch.column(0)[at : at + 256].to_numpy(zero_copy_only=False)
+                yield pa.record_batch([pa.array(np.repeat(ids, sizes)), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(sets).view(np.int64))], ["id", "n", "key"])
+
+    exploded = materialize(texts.select("id", "text").mapInArrow(run, "id long, n long, key long"))
+    frequent = materialize(exploded.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"))
+    kept = exploded.join(frequent, "key").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("keys"))  # one document's
+    least = lambda part, whole: F.ceil(F.col("n") * part / whole - 1e-9)
+    posted = kept.select("id", "n", (F.size("keys") - least(2 * numerator, numerator + denominator)).alias("few"), F.slice("keys", F.lit(1), F.greatest(F.size("keys") - least(numerator, denominator) + 1, F.lit(0)).cast("int")).alias("keys"))
+    return posted.select("id", "n", "few", F.posexplode("keys").alias("at", "k")).select(F.col("k.key").alias("key"), "id", "n", (F.col("at") <= F.col("few")).alias("index"))
+
+
+def near_groups(docs: DataFrame, numerator: int = 75, denominator: int = 100, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: ``doc_id, n_shingles, component_id, kept``.
 
     Documents are linked where ``denominator * intersection >= numerator * union`` of their
     shingle sets; ``component_id`` is the smallest id reachable over links.
 
     Equal sets meet first and are stood for by their smallest id. The representatives'
-    signature coordinates are posted (``postings``); of each list every member is compared
-    with the member of the smallest id, which ties groups of near copies together without
-    all their pairs. Then the pairs of a list that lie in different components are compared
-    too, so no link between components is lost. Each candidate must share ``MATCHES``
-    coordinates and is confirmed on the full sets.
+    signature coordinates are posted (``postings``). In each of ``rounds`` one member of a
+    list, another one each time, is compared with the members in other components, which ties
+    groups of near copies together without all their pairs. At last the members of lists that
+    still hold several components are posted by their rarest shingles (``shingle_postings``),
+    and all pairs that these bring together across components are compared: no link
+    between components is lost, and hot lists of unlinked documents aren't paired out.
+    Pairs from the lists must share ``MATCHES`` coordinates; all links are confirmed on the
+    full sets.
 
     Null, empty and blank texts have no shingles and are linked with nothing. A row with a
-    null id has a null component and isn't kept. Repeated rows get equal results; an id with several texts is
-    one document that has every link of any of them. An
-    empty table gives no rows. Other columns are ignored.
+    null id has a null component and isn't kept. Repeated rows get equal results; an id with
+    several texts is one document that has every link of any of them. An empty table gives
+    no rows. Other columns are ignored.
     """
     rows = materialize(signatures(docs, id_col, text_col))
     sets = rows.where("n_shingles > 0 and doc_id is not null")
     groups = materialize(sets.groupBy("digest").agg(F.min_by(F.struct("doc_id", "n_shingles", "signature"), "doc_id").alias("r")).select("digest", "r.*"))
     reps = groups.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "signature")
     posted = materialize(postings(reps))
-    wanted = materialize(posted.groupBy("id").agg(F.first("n").alias("n")))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted.select("id"), "id", "left_semi")
+    wanted = materialize(posted.select("id").distinct())
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi")
     texts = materialize(texts.distinct())
-    known = reps.join(wanted.select("id"), "id", "left_semi")
-
-    least = posted.groupBy("key").agg(F.min(F.struct("id", "n")).alias("m")).select("key", F.col("m.id").alias("a"), F.col("m.n").alias("na"))
-    similar = (denominator * F.least("na", "n") >= numerator * F.greatest("na", "n")) & (F.col("a") < F.col("id"))
-    first = posted.join(materialize(least), "key").where(similar).select("a", F.col("id").alias("b")).distinct()
-    first = materialize(verified(_matching(first, known), texts, numerator, denominator))
-
-    found = materialize(components(first))
-    placed = materialize(posted.join(found, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component")))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
-    left = materialize(placed.join(mixed, "key"))
-    one, two = left.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca")), left.select("key", "id", "n", "component")
-    rest = one.join(two, "key").where(similar & (F.col("ca") != F.col("component"))).select("a", F.col("id").alias("b")).distinct()
-    second = verified(_matching(rest, known), texts, numerator, denominator)
-
-    joined = components(first.union(second))
+    known = reps.join(wanted, "id", "left_semi")
+
+    similar = (denominator * F.least("na", "n") >= numerator * F.greatest("na", "n")) & (F.col("ca") != F.col("component"))
+    links, placed = None, posted.withColumn("component", F.col("id"))
+    for turn in range(rounds):
+        order = F.xxhash64(F.lit(turn), "id") if turn else F.col("id")
+        pivots = materialize(placed.groupBy("key").agg(F.min(F.struct(order.alias("o"), "id", "n", "component")).alias("p"), F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key", F.col("p.id").alias("a"), F.col("p.n").alias("na"), F.col("p.component").alias("ca")))
+        pairs = placed.join(pivots, "key").where(similar).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+        found = materialize(verified(_matching(pairs, known), texts, numerator, denominator))
+        links = found if links is None else links.union(found)
+        component = materialize(components(links))
+        placed = materialize(posted.join(component, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component")))
+        if found.isEmpty():
+            break
+
+    several = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
+    left = materialize(placed.join(several, "key", "left_semi").select("id").distinct())
+    rare = shingle_postings(texts.join(left, "id", "left_semi"), numerator, denominator)
+    rare = materialize(rare.join(component, "id", "left").select("key", "id", "n", "index", F.coalesce("component", "id").alias("component")))
+    one = rare.where("index").select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
+    pairs = one.join(rare, "key").where(similar & (F.struct("na", "a") < F.struct("n", "id"))).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+    found = materialize(verified(pairs, texts, numerator, denominator))
+
+    joined = materialize(components(links.union(found)))
     by_digest = materialize(groups.select("digest", F.col("doc_id").alias("id")).join(joined, "id", "left").select("digest", F.coalesce("component", "id").alias("component")))
     return rows.join(by_digest, "digest", "left").select(
         "doc_id",

@@ -14,7 +14,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.drop_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+    return substrings.drop_repeats(table(spark, sf_dir, "documents"), texts=False)
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

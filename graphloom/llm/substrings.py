@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,13 +36,18 @@ def _edges(h: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarra
     key = span_hashes(prefix, at, at + k)
     steps = span_hashes(prefix_hashes(h, BASES[1]), at[:-1], at[1:] + k) if len(at) else key
     zero = np.zeros(min(1, len(at)), U64)
-    return key, np.concatenate([zero, steps]), np.concatenate([steps, zero])
+    return key, np.concatenate([zero, steps >> U64(32) | U64(1)]), np.concatenate([steps & U64(0xFFFFFFFF) | U64(1), zero])
 
 
 def _signed(a: np.ndarray) -> pa.Array:
     return pa.array(a.astype(U64).view(np.int64))
 
 
+def _half(a: np.ndarray) -> pa.Array:
+    """The low 32 bits; a path's step is compared from both of its ends, so 64 bits decide together."""
+    return pa.array(a.astype(np.uint32).view(np.int32))
+
+
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Ids and texts with the key of equal rows."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("row", F.xxhash64("text"))
@@ -60,9 +66,9 @@ def _graph(rows: DataFrame, window: int, k: int) -> DataFrame:
                     places = anchors(h, window, k)
                     out.append((np.full(len(places), doc_id, np.int64), np.full(len(places), row, np.int64), places, *_edges(h, places, k)))
                 doc_id, row, places, key, before, after = map(np.concatenate, zip(*out, strict=True))
-                yield pa.record_batch([_signed(key), pa.array(doc_id), pa.array(row), pa.array(places.astype(np.int32)), _signed(before), _signed(after)], ["key", "doc_id", "row", "place", "before", "after"])
+                yield pa.record_batch([_signed(key), pa.array(doc_id), pa.array(row), pa.array(places.astype(np.int32)), _half(before), _half(after)], ["key", "doc_id", "row", "place", "before", "after"])
 
-    return rows.where("doc_id is not null and text is not null").select("doc_id", "text", "row").mapInArrow(run, "key long, doc_id long, row long, place int, before long, after long")
+    return rows.where("doc_id is not null and text is not null").select("doc_id", "text", "row").mapInArrow(run, "key long, doc_id long, row long, place int, before int, after int")
 
 
 def _paths(h: np.ndarray, edges: dict, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -91,8 +97,8 @@ def _paths(h: np.ndarray, edges: dict, window: int, k: int) -> tuple[np.ndarray,
     return owner, np.flatnonzero(doubtful)
 
 
-def drop_repeats(docs: DataFrame, window: int = WINDOW, k: int = KMER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: ``doc_id, n_words, n_removed, kept_sha256, kept_text``.
+def drop_repeats(docs: DataFrame, window: int = WINDOW, k: int = KMER, texts: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row of ``docs``: ``doc_id, n_words, n_removed, kept_sha256`` and, if ``texts``, ``kept_text``.
 
     A word is removed if a window of ``window`` consecutive words covers it whose word
     sequence also starts in a document with a smaller id, windows being judged on the input.
@@ -138,35 +144,43 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, k: int = KMER, id_col: s
                         known = np.flatnonzero((owners >= 0) & (owners < doc_id))
                         hashes = tuple(span_hashes(prefix_hashes(h, b), open_, open_ + window) for b in BASES)
                     kept = None if len(open_) else _kept(tokens, known, window)
-                    out.append((doc_id, text.as_py() if len(open_) else None, n, n - len(kept) if kept is not None else None, b" ".join(kept) if kept is not None else None, known.astype(np.int32), open_.astype(np.int32), hashes[0].view(np.int64), hashes[1].view(np.int64)))
-                doc_id, text, n, gone, kept, known, open_, one, two = zip(*out, strict=True)
+                    joined_kept = b" ".join(kept) if kept is not None else None
+                    out.append((doc_id, text.as_py() if len(open_) else None, n, n - len(kept) if kept is not None else None, joined_kept.decode("utf-8", "surrogatepass") if texts and kept is not None else None, _digest(joined_kept), known.astype(np.int32), open_.astype(np.int32), hashes[0].view(np.int64), hashes[1].view(np.int64)))
+                doc_id, text, n, gone, kept, digest, known, open_, one, two = zip(*out, strict=True)
                 lists = [pa.array(x, pa.list_(t)) for x, t in ((known, pa.int32()), (open_, pa.int32()), (one, pa.int64()), (two, pa.int64()))]
-                yield pa.record_batch([part.column(0), part.column(2), pa.array(text, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array([None if x is None else x.decode("utf-8", "surrogatepass") for x in kept], pa.string()), *lists], ["doc_id", "row", "text", "n_words", "n_removed", "kept_text", "known", "open", "one", "two"])
+                yield pa.record_batch([part.column(0), part.column(2), pa.array(text, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(digest, pa.string()), *lists], ["doc_id", "row", "text", "n_words", "n_removed", "kept_text", "kept_sha256", "known", "open", "one", "two"])
 
     settled = materialize(
         rows.join(by_doc, ["doc_id", "row"], "left")
         .select("doc_id", "text", "row", "edges")
-        .mapInArrow(settle, "doc_id long, row long, text string, n_words long, n_removed long, kept_text string, known array<int>, open array<int>, one array<long>, two array<long>")
+        .mapInArrow(settle, "doc_id long, row long, text string, n_words long, n_removed long, kept_text string, kept_sha256 string, known array<int>, open array<int>, one array<long>, two array<long>")
     )
-    done = settled.where("kept_text is not null").select("doc_id", "n_words", "n_removed", "kept_text")
-    left = settled.where("kept_text is null")
+    columns = ["doc_id", "n_words", "n_removed", "kept_sha256", *["kept_text"] * texts]
+    done = settled.where("n_removed is not null").select(columns)
+    left = settled.where("n_removed is null")
     windows = left.select("doc_id", "row", F.explode(F.arrays_zip("open", "one", "two")).alias("w")).select("doc_id", "row", "w.*")
     least = materialize(windows.groupBy("one", "two").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").drop("last"))
     more = windows.join(least, ["one", "two"]).where("owner < doc_id").groupBy("doc_id", "row").agg(F.collect_set("open").alias("more"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            gone, kept = [], []
+            gone, kept, digests = [], [], []
             for text, known, more in zip(batch.column(1), batch.column(3), batch.column(4), strict=True):
                 tokens = words_of(text.as_py())
                 starts = np.concatenate([x.values.to_numpy() if x.is_valid else np.array([], np.int32) for x in (known, more)])
                 stay = _kept(tokens, starts, window)
                 gone.append(len(tokens) - len(stay))
-                kept.append(b" ".join(stay).decode("utf-8", "surrogatepass"))
-            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
+                joined_kept = b" ".join(stay)
+                digests.append(_digest(joined_kept))
+                kept.append(joined_kept.decode("utf-8", "surrogatepass") if texts else None)
+            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(gone, pa.int64()), pa.array(digests, pa.string()), *[pa.array(kept, pa.string())] * texts], columns)
+
+    rest = left.select("doc_id", "row", "text", "n_words", "known").join(more, ["doc_id", "row"], "left").select("doc_id", "text", "n_words", "known", "more").mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts)
+    return done.union(rest)
+
 
-    rest = left.select("doc_id", "row", "text", "n_words", "known").join(more, ["doc_id", "row"], "left").select("doc_id", "text", "n_words", "known", "more").mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_text string")
-    return done.union(rest).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), "kept_text")
+def _digest(text: bytes | None) -> str | None:
+    return None if text is None else hashlib.sha256(text).hexdigest()
 
 
 def _kept(tokens: list[bytes], starts: np.ndarray, window: int) -> list[bytes]:
