@@ -45,7 +45,7 @@ class WordIds(dict):
     #: Signs that are white space to Python only, and texts of special tokens; such a text is encoded as a whole.
     ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|startoftext|>", "<|endoftext|>")
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 200_000):
         super().__init__()
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.marks = {i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")}

@@ -190,10 +190,14 @@ def keep_good(docs: DataFrame, labels: DataFrame, k: int | None = None, id_col:
     ratios = docs.sparkSession.sparkContext.broadcast(model.ratios)
 
     @F.pandas_udf("struct<n_grams: long, log_ratio: double>")
-    def score(texts: pd.Series) -> pd.DataFrame:
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         tokens = _Tokens()
-        grams = [ngrams((t or "").split(), tokens, len(ratios.value)) for t in texts]
-        return pd.DataFrame({"n_grams": [len(g) for g in grams], "log_ratio": [float(ratios.value[g].sum()) for g in grams]})
+        for texts in batches:
+            found = []
+            for text in texts:
+                grams = ngrams((text or "").split(), tokens, len(ratios.value))
+                found.append((len(grams), float(ratios.value[grams].sum())))
+            yield pd.DataFrame(found, columns=["n_grams", "log_ratio"])
 
     names = docs.columns
     scored = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]).withColumn("_score", score(f"c{names.index(text_col)}"))
