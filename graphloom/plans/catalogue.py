@@ -2,16 +2,553 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphloom.functions import color, geometry
+from graphloom.operators import analytics, density, forces, hierarchy, placement, spatial, structure, style
+from graphloom.plans.testgraphs import KNN, PLACED, POINTS, TRADE, TRANSITIONS, TREE, containment, knn, placed_suppliers, points, suppliers, table, trade, transitions
+from graphloom.sources import graph as model
+from graphloom.streaming import values
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a function under its name, with SQL for the same rows."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, digits: int = 4, but: tuple[str, ...] = ()) -> DataFrame:
+    """Doubles rounded, as sums may be taken in any order; + 0.0 turns -0.0 into 0.0."""
+    return df.select(*[(F.round(c, digits) + 0.0).alias(c) if t == "double" and c not in but else F.col(c) for c, t in df.dtypes])
+
+
+# Sources, validation, identity
+
+
+@query("SELECT p_partkey AS node_id, CAST(0.0 AS DOUBLE) AS x, CAST(0.0 AS DOUBLE) AS y, CAST(5.0 AS DOUBLE) AS radius, p_type AS type FROM part")
+def ingest_defaults(spark, d):
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("node_id"), F.col("p_type").alias("type"))
+    return model.with_defaults(parts, trade(spark, d)).nodes.select("node_id", "x", "y", "radius", "type")
+
+
+@query("SELECT l_partkey AS node_id, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 1")
+def duplicate_ids(spark, d):
+    return model.duplicate_ids(trade(spark, d).withColumnRenamed("src", "node_id"))
+
+
+@query(f"WITH {KNN} SELECT src, dst, weight FROM knn WHERE src % 7 = 0 OR dst % 7 = 0")
+def dangling_edges(spark, d):
+    return model.dangling_edges(suppliers(spark, d).where("node_id % 7 != 0"), knn(spark, d)).select("src", "dst", "weight")
+
+
+@query(f"WITH {TRADE} SELECT DISTINCT src, dst FROM trade")
+def dedup_edges_directed(spark, d):
+    return trade(spark, d).select("src", "dst").distinct()
+
+
+@query(f"WITH {KNN} SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM knn WHERE src <> dst")
+def dedup_edges_undirected(spark, d):
+    return model.undirected(knn(spark, d))
+
+
+@query("SELECT src, dst, l_quantity AS weight FROM (SELECT l_partkey AS src, l_suppkey AS dst, l_quantity, row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_orderkey * 10 + l_linenumber) AS r FROM lineitem) q WHERE r = 1")
+def edge_keepfirst(spark, d):
+    rows = table(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"), F.col("l_quantity").alias("weight"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"))
+    return model.keep_first(rows, ["src", "dst"], "ord").select("src", "dst", "weight")
+
+
+@query("SELECT c_name AS ext_id, CAST(row_number() OVER (ORDER BY c_name) - 1 AS BIGINT) AS node_id FROM (SELECT DISTINCT c_name FROM customer) q")
+def id_dictionary(spark, d):
+    return model.dictionary(table(spark, d, "customer"), "c_name")
+
+
+@query(f"WITH {KNN}, n AS (SELECT count(*) AS n FROM supplier) SELECT src, dst, 0 AS part FROM knn UNION ALL SELECT src + n, dst + n, 1 FROM knn, n")
+def merge_graphs(spark, d):
+    one = model.Graph(suppliers(spark, d), knn(spark, d))
+    return model.merge([one, one]).edges
+
+
+# Incremental changes
+
+
+@query(f"WITH {KNN} SELECT src, dst, weight FROM knn WHERE src % 3 <> 0 AND dst % 3 <> 0")
+def remove_nodes_cascade(spark, d):
+    g = model.Graph(suppliers(spark, d), knn(spark, d))
+    return structure.remove_nodes(g, suppliers(spark, d).where("node_id % 3 = 0")).edges.select("src", "dst", "weight")
+
+
+@query(f"WITH {KNN} SELECT src, dst, weight FROM knn UNION ALL SELECT k.dst, k.src + 1, k.weight FROM knn k JOIN supplier s ON k.src + 1 = s.s_suppkey")
+def add_edges_checked(spark, d):
+    g = model.Graph(suppliers(spark, d), knn(spark, d))
+    return structure.add_edges(g, knn(spark, d).select(F.col("dst").alias("src"), (F.col("src") + 1).alias("dst"), "weight")).edges
+
+
+@query("SELECT c_custkey AS node_id, CAST(row_number() OVER (ORDER BY c_custkey) - 1 AS BIGINT) AS slot FROM customer WHERE c_custkey % 5 <> 0")
+def node_remap(spark, d):
+    return structure.compact(table(spark, d, "customer").select(F.col("c_custkey").alias("node_id")).where("node_id % 5 != 0"))
+
+
+@query(f"WITH {POINTS} SELECT node_id, CASE WHEN node_id % 4 = 0 THEN 1.5 ELSE round(x, 4) + 0.0 END AS x, round(y, 4) + 0.0 AS y FROM points")
+def set_positions(spark, d):
+    p = points(spark, d).select("node_id", "x", "y")
+    return rounded(structure.update(p, p.where("node_id % 4 = 0").select("node_id", F.lit(1.5).alias("x")), ["x"]))
+
+
+# Structure
+
+
+@query(f"WITH {KNN}, o AS (SELECT src AS node_id, count(*) AS n FROM knn GROUP BY 1), i AS (SELECT dst AS node_id, count(*) AS n FROM knn GROUP BY 1) SELECT s_suppkey AS node_id, coalesce(o.n, 0) AS out_degree, coalesce(i.n, 0) AS in_degree, coalesce(o.n, 0) + coalesce(i.n, 0) AS degree FROM supplier LEFT JOIN o ON s_suppkey = o.node_id LEFT JOIN i ON s_suppkey = i.node_id")
+def degrees(spark, d):
+    return structure.degrees(suppliers(spark, d), knn(spark, d))
+
+
+@query("SELECT p_partkey AS node_id, CAST(coalesce(sum(c) OVER (ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"first\", CAST(c AS BIGINT) AS n FROM (SELECT p_partkey, count(l_partkey) AS c FROM part LEFT JOIN lineitem ON p_partkey = l_partkey GROUP BY 1) q")
+def csr_forward(spark, d):
+    nodes = table(spark, d, "part").select(F.col("p_partkey").alias("node_id"))
+    return structure.csr(nodes, trade(spark, d)).select("node_id", "first", F.size("targets").cast("long").alias("n"))
+
+
+@query(f"WITH {KNN} SELECT s_suppkey AS node_id, CAST(coalesce(sum(c) OVER (ORDER BY s_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"first\", t AS targets FROM (SELECT s_suppkey, count(src) AS c, coalesce(string_agg(CAST(src AS VARCHAR), ',' ORDER BY src), '') AS t FROM supplier LEFT JOIN knn ON s_suppkey = dst GROUP BY 1) q")
+def csr_inverse(spark, d):
+    return structure.csr(suppliers(spark, d), knn(spark, d), inverse=True).select("node_id", "first", F.array_join("targets", ",").alias("targets"))
+
+
+@query("SELECT CAST(0 AS BIGINT) AS faults")
+def csr_validate(spark, d):
+    return structure.csr_faults(structure.csr(suppliers(spark, d), knn(spark, d))).agg(F.count("*").alias("faults"))
+
+
+@query(f"WITH {KNN} SELECT dst AS node_id FROM knn WHERE src = 3")
+def neighbors(spark, d):
+    return structure.neighbors(knn(spark, d), 3)
+
+
+@query(f"WITH {KNN} SELECT src, dst, weight FROM knn WHERE src = 3 OR dst = 3")
+def incident_edges(spark, d):
+    return structure.incident(knn(spark, d), 3)
+
+
+@query(f"WITH {POINTS} SELECT round(min(x), 4) AS min_x, round(min(y), 4) AS min_y, round(max(x), 4) AS max_x, round(max(y), 4) AS max_y FROM points")
+def bounds(spark, d):
+    return rounded(structure.bounds(points(spark, d)))
+
+
+@query("WITH b AS (SELECT CAST(min(p_size) AS DOUBLE) AS x0, min(p_retailprice) AS y0, CAST(max(p_size) AS DOUBLE) AS x1, max(p_retailprice) AS y1 FROM part), m AS (SELECT *, greatest(100.0, 0.1 * greatest(x1 - x0, y1 - y0)) AS m FROM b) SELECT round(x0 - m, 4) AS min_x, round(y0 - m, 4) AS min_y, round(x1 + m, 4) AS max_x, round(y1 + m, 4) AS max_y FROM m")
+def bounds_margin(spark, d):
+    p = table(spark, d, "part").select(F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("y"))
+    return rounded(structure.bounds_with_margin(p))
+
+
+@query(f"WITH RECURSIVE {TREE}, walk AS (SELECT CAST(0 AS BIGINT) AS node_id, 0 AS depth UNION ALL SELECT t.dst, w.depth + 1 FROM walk w JOIN tree t ON w.node_id = t.src) SELECT node_id, depth FROM walk")
+def bfs_depth(spark, d):
+    return structure.depths(*containment(spark, d))
+
+
+@query(f"WITH RECURSIVE {TREE}, walk AS (SELECT src AS node_id, dst AS below FROM tree UNION ALL SELECT w.node_id, t.dst FROM walk w JOIN tree t ON w.below = t.src) SELECT n.node_id, count(w.below) AS descendants FROM tnodes n LEFT JOIN walk w ON n.node_id = w.node_id GROUP BY 1")
+def descendants(spark, d):
+    return structure.descendants(*containment(spark, d))
+
+
+@query(f"WITH {TREE} SELECT CAST(0 AS BIGINT) AS node_id, count(*) AS descendants FROM tree")
+def root_detect(spark, d):
+    return structure.root(*containment(spark, d))
+
+
+# Spatial
+
+
+@query(f"WITH {POINTS} SELECT node_id FROM points WHERE x BETWEEN -50 AND 80 AND y BETWEEN -20 AND 120")
+def rect_select(spark, d):
+    return spatial.in_rect(points(spark, d), -50, -20, 80, 120).select("node_id")
+
+
+@query(f"WITH {POINTS} SELECT node_id FROM points WHERE x * x + y * y <= 10000")
+def radius_select(spark, d):
+    return spatial.in_radius(points(spark, d), 0.0, 0.0, 100.0).select("node_id")
+
+
+@query(f"WITH {POINTS} SELECT a.node_id, b.node_id AS node_id2 FROM points a JOIN points b ON a.node_id <> b.node_id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 225")
+def grid_join(spark, d):
+    return spatial.within_pairs(points(spark, d).select("node_id", "x", "y"), 15.0).select("node_id", "node_id2")
+
+
+@query(f"WITH {POINTS} SELECT node_id, round(d2, 4) AS d2 FROM (SELECT node_id, (x - 10) * (x - 10) + (y + 5) * (y + 5) AS d2 FROM points) q ORDER BY q.d2, node_id LIMIT 7")
+def nearest_k(spark, d):
+    return rounded(spatial.nearest(points(spark, d), 10.0, -5.0, 7).select("node_id", "d2"))
+
+
+@query(f"WITH {POINTS}, j AS (SELECT a.node_id AS query_id, b.node_id, (a.x + 3 - b.x) * (a.x + 3 - b.x) + (a.y - b.y) * (a.y - b.y) AS d2 FROM points a JOIN points b ON (a.x + 3 - b.x) * (a.x + 3 - b.x) + (a.y - b.y) * (a.y - b.y) <= 400) SELECT query_id, node_id, round(d2, 4) AS d2 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d2, node_id) AS r FROM j) q WHERE r = 1")
+def nearest_within(spark, d):
+    p = points(spark, d)
+    return rounded(spatial.nearest_within(p.select(F.col("node_id").alias("query_id"), (F.col("x") + 3).alias("x"), "y"), p, 20.0))
+
+
+_SEGMENT = f"""WITH {KNN}, {PLACED}, e AS (SELECT k.src, k.dst, a.x, a.y, b.x - a.x AS dx, b.y - a.y AS dy FROM knn k JOIN placed a ON k.src = a.node_id JOIN placed b ON k.dst = b.node_id),
+t AS (SELECT *, CASE WHEN dx * dx + dy * dy > 0 THEN greatest(0.0, least(1.0, ((12.0 - x) * dx + (7.0 - y) * dy) / (dx * dx + dy * dy))) ELSE 0.0 END AS t FROM e),
+q AS (SELECT src, dst, sqrt((x + t * dx - 12.0) * (x + t * dx - 12.0) + (y + t * dy - 7.0) * (y + t * dy - 7.0)) AS distance FROM t)
+SELECT src, dst, round(distance, 4) AS distance FROM q WHERE q.distance < 50 ORDER BY q.distance, src, dst LIMIT 1"""
+
+
+@query(_SEGMENT)
+def edge_pick(spark, d):
+    return rounded(spatial.pick_edge(knn(spark, d), placed_suppliers(spark, d), 12.0, 7.0, 50.0))
+
+
+# Placement
+
+_I = "SELECT s_suppkey AS node_id, CAST(row_number() OVER (ORDER BY s_suppkey) - 1 AS DOUBLE) AS i, CAST(count(*) OVER () AS DOUBLE) AS n FROM supplier"
+for _name, _x, _y in (
+    ("grid", "-100 + 200 / greatest(ceil(sqrt(n)) - 1, 1.0) * (i % ceil(sqrt(n)))", "-100 + 200 / greatest(ceil(sqrt(n)) - 1, 1.0) * floor(i / ceil(sqrt(n)))"),
+    ("circle", "100 * cos(2 * pi() * i / n)", "100 * sin(2 * pi() * i / n)"),
+    ("spiral", "100 * (i / greatest(n - 1, 1.0)) * cos(6 * pi() * (i / greatest(n - 1, 1.0)))", "100 * (i / greatest(n - 1, 1.0)) * sin(6 * pi() * (i / greatest(n - 1, 1.0)))"),
+    ("phyllotaxis", "100 * sqrt(i / n) * cos(i * (pi() * (3 - sqrt(5))))", "100 * sqrt(i / n) * sin(i * (pi() * (3 - sqrt(5))))"),
+):
+    QUERIES[f"place_{_name}"] = lambda spark, d, s=_name: rounded(placement.place(structure.compact(suppliers(spark, d)), s, 100.0).select("node_id", "x", "y"))
+    ORACLES[f"place_{_name}"] = f"WITH q AS ({_I}) SELECT node_id, round({_x}, 4) + 0.0 AS x, round({_y}, 4) + 0.0 AS y FROM q"
+
+
+# Forces
+
+_PAIR = f"WITH {KNN}, {PLACED}, deg AS (SELECT node_id, count(*) AS degree FROM (SELECT src AS node_id FROM knn UNION ALL SELECT dst FROM knn) q GROUP BY 1), p AS (SELECT placed.node_id, x, y, coalesce(degree, 0) AS degree, placed.node_id % 3 AS community FROM placed LEFT JOIN deg ON placed.node_id = deg.node_id), pr AS (SELECT a.node_id, a.x - b.x AS dx, a.y - b.y AS dy, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d, a.degree AS g1, b.degree AS g2, a.community = b.community AS same FROM p a JOIN p b ON a.node_id <> b.node_id), ed AS (SELECT k.src, k.dst, k.weight, b.x - a.x AS dx, b.y - a.y AS dy, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM knn k JOIN p a ON k.src = a.node_id JOIN p b ON k.dst = b.node_id)"
+
+
+def _pair_sql(f: str) -> str:
+    return f"{_PAIR} SELECT node_id, round(sum({f} * dx / d), 4) + 0.0 AS fx, round(sum({f} * dy / d), 4) + 0.0 AS fy FROM pr WHERE d > 1e-4 AND d <= 1000 GROUP BY 1"
+
+
+def _edge_sql(f: str) -> str:
+    return f"{_PAIR} SELECT node_id, round(sum(s * ({f}) * dx / d), 4) + 0.0 AS fx, round(sum(s * ({f}) * dy / d), 4) + 0.0 AS fy FROM (SELECT src AS node_id, 1 AS s, dx, dy, d, weight FROM ed UNION ALL SELECT dst, -1, dx, dy, d, weight FROM ed) q WHERE d > 1e-4 GROUP BY 1"
+
+
+def _bodies(spark, d) -> DataFrame:
+    p, e = placed_suppliers(spark, d).select("node_id", "x", "y"), knn(spark, d)
+    return p.join(structure.degrees(p, e).select("node_id", "degree"), "node_id").withColumn("community", F.col("node_id") % 3)
+
+
+@query(_pair_sql("(50 / (greatest(d, 1.0) * greatest(d, 1.0)) * d / greatest(d, 1.0))"))
+def force_n2(spark, d):
+    return rounded(forces.repulsion(_bodies(spark, d)))
+
+
+@query(_pair_sql("(5.0 / greatest(d, 0.01) * (g1 + 1) * (g2 + 1))"))
+def force_fa2(spark, d):
+    return rounded(forces.degree_repulsion(_bodies(spark, d)))
+
+
+@query(_pair_sql("greatest(50 * d / ((1 + d * d) * (1 + d * d)), 15.0)"))
+def force_tfdp(spark, d):
+    return rounded(forces.student_repulsion(_bodies(spark, d)))
+
+
+@query(_pair_sql("(50 / (greatest(d, 1.0) * greatest(d, 1.0)) * sqrt(g1 + 1.0) * sqrt(g2 + 1.0) * CASE WHEN same THEN 0.5 ELSE 1.5 END)"))
+def force_comm_repulsion(spark, d):
+    return rounded(forces.community_repulsion(_bodies(spark, d)))
+
+
+@query(_edge_sql("0.1 * (d - 30)"))
+def force_springs(spark, d):
+    return rounded(forces.springs(_bodies(spark, d), knn(spark, d)))
+
+
+@query(_edge_sql("weight * ln(1 + d)"))
+def force_linlog(spark, d):
+    return rounded(forces.linlog_attraction(_bodies(spark, d), knn(spark, d)), 3)
+
+
+ORACLES["force_linlog"] = ORACLES["force_linlog"].replace(", 4)", ", 3)")
+
+
+@query(_edge_sql("0.1 * d + 8.0 * d / (1 + d * d)"))
+def force_tfdp_attraction(spark, d):
+    return rounded(forces.student_attraction(_bodies(spark, d), knn(spark, d)))
+
+
+@query(f"{_PAIR}, c AS (SELECT community, avg(x) AS mx, avg(y) AS my, count(*) AS m FROM p GROUP BY 1) SELECT node_id, round(0.1 * sqrt(degree + 1.0) / sqrt(m) * (mx - x), 4) + 0.0 AS fx, round(0.1 * sqrt(degree + 1.0) / sqrt(m) * (my - y), 4) + 0.0 AS fy FROM p JOIN c ON p.community = c.community")
+def force_cluster(spark, d):
+    return rounded(forces.cluster_attraction(_bodies(spark, d)))
+
+
+@query(f"WITH {KNN}, {PLACED} SELECT node_id, round(0.3 * (1 - exp(-sqrt((10 - x) * (10 - x) + (20 - y) * (20 - y)) * 0.5)) * (10 - x), 4) + 0.0 AS fx, round(0.3 * (1 - exp(-sqrt((10 - x) * (10 - x) + (20 - y) * (20 - y)) * 0.5)) * (20 - y), 4) + 0.0 AS fy FROM placed WHERE node_id % 2 = 0")
+def force_target(spark, d):
+    p = placed_suppliers(spark, d)
+    target = p.select("node_id", F.when(F.col("node_id") % 2 == 0, 10.0).alias("tx"), F.when(F.col("node_id") % 2 == 0, 20.0).alias("ty"))
+    return rounded(forces.target_spring(p, target))
+
+
+def _mass_sql(rounds: int) -> str:
+    steps = [f"m{i} AS (SELECT node_id, 1.0 + 0.5 * coalesce(s, 0.0) AS mass FROM tnodes LEFT JOIN (SELECT src, sum(mass) AS s FROM tree JOIN m{i - 1} ON dst = node_id GROUP BY 1) q ON node_id = src)" for i in range(1, rounds + 1)]
+    start = "m0 AS (SELECT node_id, 1.0 + 0.1 * coalesce(c, 0) AS mass FROM tnodes LEFT JOIN (SELECT src, count(*) AS c FROM tree GROUP BY 1) q ON node_id = src)"
+    return f"WITH {TREE}, {start}, {', '.join(steps)} SELECT node_id, round(CAST(mass AS DOUBLE), 4) AS mass FROM m{rounds}"
+
+
+@query(_mass_sql(6))
+def mass_propagate(spark, d):
+    return rounded(forces.propagate_mass(*containment(spark, d), rounds=6))
+
+
+_TICK = f"""{_PAIR}, f AS (SELECT node_id, sum(fx) AS fx, sum(fy) AS fy FROM (
+SELECT node_id, 50 / (greatest(d, 1.0) * greatest(d, 1.0)) * dx / greatest(d, 1.0) AS fx, 50 / (greatest(d, 1.0) * greatest(d, 1.0)) * dy / greatest(d, 1.0) AS fy FROM pr WHERE d > 1e-4 AND d <= 1000
+UNION ALL SELECT src, 0.1 * (d - 30) * dx / d, 0.1 * (d - 30) * dy / d FROM ed WHERE d > 1e-4
+UNION ALL SELECT dst, -0.1 * (d - 30) * dx / d, -0.1 * (d - 30) * dy / d FROM ed WHERE d > 1e-4) q GROUP BY 1),
+v AS (SELECT p.node_id, x, y, coalesce(fx, 0.0) - 0.01 * x AS vx, coalesce(fy, 0.0) - 0.01 * y AS vy FROM p LEFT JOIN f ON p.node_id = f.node_id),
+s AS (SELECT *, CASE WHEN sqrt(vx * vx + vy * vy) > 50 THEN 50 / sqrt(vx * vx + vy * vy) ELSE 1.0 END AS k FROM v)
+SELECT node_id, round(x + vx * k, 4) + 0.0 AS x, round(y + vy * k, 4) + 0.0 AS y, round(vx * k, 4) + 0.0 AS vx, round(vy * k, 4) + 0.0 AS vy FROM s"""
+
+
+@query(_TICK)
+def tick_integrate(spark, d):
+    p, e, c = _bodies(spark, d), knn(spark, d), forces.Config()
+    return rounded(forces.integrate(p, forces.MODELS["n2"](p, e, c), c).select("node_id", "x", "y", "vx", "vy"))
+
+
+entry = tick_integrate
+
+
+@query()
+def layout_barnes_hut(spark, d):
+    return forces.layout(_bodies(spark, d), knn(spark, d), "barnes-hut", ticks=3).select("node_id", "x", "y")
+
+
+@query(f"WITH {POINTS}, pr AS (SELECT a.node_id, a.x - b.x AS dx, a.y - b.y AS dy, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM points a JOIN points b ON a.node_id <> b.node_id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) < 64), m AS (SELECT node_id, sum(0.35 * (8 - d) * dx / d) AS mx, sum(0.35 * (8 - d) * dy / d) AS my FROM pr WHERE d > 1e-4 GROUP BY 1) SELECT p.node_id, round(x + coalesce(mx, 0.0), 4) + 0.0 AS x, round(y + coalesce(my, 0.0), 4) + 0.0 AS y FROM points p LEFT JOIN m ON p.node_id = m.node_id")
+def collision_grid(spark, d):
+    p = points(spark, d).withColumn("radius", F.lit(4.0))
+    return rounded(forces.collide(p, largest=4.0).select("node_id", "x", "y"))
+
+
+# Density and order
+
+
+@query(f"""WITH {POINTS}, o AS (SELECT CAST(range AS BIGINT) AS o FROM range(-3, 4)), s AS (SELECT CAST(floor(x / 20) AS BIGINT) + a.o AS cx, CAST(floor(y / 20) AS BIGINT) + b.o AS cy, x, y FROM points, o a, o b),
+u AS (SELECT cx, cy, (((cx + 0.5) * 20 - x) * ((cx + 0.5) * 20 - x) + ((cy + 0.5) * 20 - y) * ((cy + 0.5) * 20 - y)) / 2500.0 AS u FROM s), w AS (SELECT *, greatest(0.0, least(1.0, (u - 0.3) / 0.7)) AS t FROM u WHERE u <= 1.2)
+SELECT cx, cy, round(sum(0.1 * exp(-2 * u) * (1 - t * t * (3 - 2 * t))), 4) AS density FROM w GROUP BY 1, 2""")
+def kde_grid(spark, d):
+    return rounded(density.kde(points(spark, d), 20.0, 50.0))
+
+
+_KDE = ORACLES["kde_grid"]
+
+
+@query(f"WITH g AS ({_KDE.replace('round(sum(', '(sum(').replace('))), 4) AS density', ')))) AS density')}), m AS (SELECT max(density) AS m FROM g), t AS (SELECT CAST(unnest([0.2, 0.4, 0.6, 0.8]) AS DOUBLE) AS threshold) SELECT cx, cy, threshold FROM g, m, t WHERE abs(density / m - threshold) < 0.01")
+def contour_band(spark, d):
+    return density.contour_bands(density.kde(points(spark, d), 20.0, 50.0), [0.2, 0.4, 0.6, 0.8])
+
+
+@query()
+def contour_segments(spark, d):
+    return density.marching_squares(density.kde(points(spark, d), 20.0, 50.0), [0.2, 0.4, 0.6, 0.8])
+
+
+@query()
+def metaball_field(spark, d):
+    return rounded(density.metaball(points(spark, d), 20.0, 15.0, 10.0))
+
+
+def _bits(v: str) -> str:
+    for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+        v = f"((({v}) | (({v}) << {shift})) & {mask})"
+    return v
+
+
+@query(f"WITH {POINTS}, b AS (SELECT min(x) AS x0, min(y) AS y0, greatest(max(x) - min(x), max(y) - min(y), 1.0) AS e FROM points), q AS (SELECT node_id, CAST(least(65535, greatest(0, floor((x - x0) / e * 65535))) AS BIGINT) AS a, CAST(least(65535, greatest(0, floor((y - y0) / e * 65535))) AS BIGINT) AS c FROM points, b), s AS (SELECT node_id, {_bits('a')} AS a, {_bits('c')} AS c FROM q) SELECT node_id, a | (c << 1) AS code FROM s")
+def morton_code(spark, d):
+    return density.morton(points(spark, d))
+
+
+# Streams, colours, styles
+
+
+@query("SELECT user_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) q WHERE r = 1")
+def stream_latest(spark, d):
+    rows = table(spark, d, "events").select("user_id", "event_type", "ts", "event_id", "value")
+    return values.latest(rows, ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "value")
+
+
+@query("SELECT event_id, round(greatest(0.0, least(1.0, (value - 10) / 90)), 6) AS level FROM events")
+def stream_normalize(spark, d):
+    return table(spark, d, "events").select("event_id", F.round(color.normalise(F.col("value"), 10.0, 100.0), 6).alias("level"))
+
+
+@query("WITH t AS (SELECT event_id, greatest(0.0, least(1.0, (value - 10) / 90)) AS t FROM events) SELECT event_id, round(CASE WHEN t <= 0.5 THEN 2 * t ELSE 1.0 END, 6) AS r, round(CASE WHEN t <= 0.5 THEN 2 * t ELSE 2 - 2 * t END, 6) AS g, round(CASE WHEN t <= 0.5 THEN 1 - 2 * t ELSE 0.0 END, 6) + 0.0 AS b FROM t")
+def stream_color(spark, d):
+    t = color.normalise(F.col("value"), 10.0, 100.0)
+    c = table(spark, d, "events").select("event_id", color.scale(t, [(0.0, (0, 0, 1, 1)), (0.5, (1, 1, 0, 1)), (1.0, (1, 0, 0, 1))]).alias("c"))
+    return rounded(c.select("event_id", "c.r", "c.g", "c.b"), 6)
+
+
+@query("SELECT user_id, round(least(1.0, sum(least(1.0, value / 500) * 0.05)), 6) AS level FROM events GROUP BY 1")
+def stream_blend_additive(spark, d):
+    layers = F.sort_array(F.collect_list(F.struct("event_id", F.least(F.lit(1.0), F.col("value") / 500).alias("v"), F.lit(0.05).alias("a"))))
+    grouped = table(spark, d, "events").groupBy("user_id").agg(layers.alias("layers"))
+    return grouped.select("user_id", F.round(color.blend(F.lit(0.0), F.col("layers"), "additive"), 6).alias("level"))
+
+
+@query("SELECT p_partkey AS node_id, CAST(CASE WHEN p_partkey % 10 = 0 THEN 9.0 WHEN p_size > 40 THEN 7.0 ELSE 5.0 END AS DOUBLE) AS radius FROM part")
+def style_precedence(spark, d):
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("node_id"), F.when(F.col("p_size") > 40, "big").otherwise("small").alias("type"), F.lit(5.0).alias("radius"))
+    types = spark.createDataFrame([("big", 7.0)], "type string, radius double")
+    return style.styled(parts, types, parts.where("node_id % 10 = 0").select("node_id", F.lit(9.0).alias("radius")), ["radius"], "node_id").select("node_id", "radius")
+
+
+@query("SELECT p_partkey AS node_id, '#' || lower(lpad(to_hex(CAST(round(p_size / 50.0 * 255) AS BIGINT)), 2, '0')) || '80ff' AS hex FROM part")
+def color_to_hex(spark, d):
+    return table(spark, d, "part").select(F.col("p_partkey").alias("node_id"), color.to_hex(F.col("p_size") / 50, F.lit(128 / 255), F.lit(1.0)).alias("hex"))
+
+
+@query("SELECT p_partkey AS node_id, round(CAST(p_size AS DOUBLE) / 255, 6) AS r, round(CAST(p_partkey % 256 AS DOUBLE) / 255, 6) AS g FROM part")
+def parse_color(spark, d):
+    text = F.concat(F.lit("rgb("), F.col("p_size"), F.lit(", "), F.col("p_partkey") % 256, F.lit(", 0)"))
+    return rounded(table(spark, d, "part").select(F.col("p_partkey").alias("node_id"), color.parse(text).alias("c")).select("node_id", "c.r", "c.g"), 6)
+
+
+@query("SELECT s_suppkey AS node_id FROM supplier WHERE (s_suppkey % 2 = 0 OR s_suppkey % 3 = 0) AND s_suppkey % 5 <> 0")
+def selection_diff(spark, d):
+    s = suppliers(spark, d)
+    return style.deselect(style.select_also(s.where("node_id % 2 = 0"), s.where("node_id % 3 = 0")), s.where("node_id % 5 = 0"))
+
+
+@query(f"WITH {POINTS}, c AS (SELECT node_id, community AS priority, floor(x * 2 / 50) AS cx, floor(y * 2 / 50) AS cy FROM points WHERE x BETWEEN -200 AND 200 AND y BETWEEN -200 AND 200), b AS (SELECT *, row_number() OVER (PARTITION BY cx, cy ORDER BY priority DESC, node_id) AS r FROM c) SELECT node_id, CAST(priority AS DOUBLE) AS priority FROM b WHERE r = 1 ORDER BY b.priority DESC, node_id LIMIT 40")
+def label_topk(spark, d):
+    labels = points(spark, d).select("node_id", F.col("node_id").cast("string").alias("text"), F.col("community").cast("double").alias("priority"), "x", "y", F.lit(0.0).alias("min_zoom"), F.lit(9.0).alias("max_zoom"))
+    return style.visible_labels(labels, 2.0, (-200, -200, 200, 200), most=40).select("node_id", "priority")
+
+
+@query("SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 59 PRECEDING AND CURRENT ROW), 9) AS mean FROM events")
+def frame_stats(spark, d):
+    return rounded(values.rolling_mean(table(spark, d, "events"), "user_id", "event_id", "value").select("event_id", "mean"), 9)
+
+
+# Geometry
+
+
+@query(f"WITH {POINTS} SELECT node_id, round((x - 5) * 2 + 400, 4) AS sx, round((y + 3) * 2 + 300, 4) AS sy FROM points")
+def viewport_transform(spark, d):
+    sx, sy = geometry.Viewport(5.0, -3.0, 2.0).to_screen().apply(F.col("x"), F.col("y"))
+    return rounded(points(spark, d).select("node_id", sx.alias("sx"), sy.alias("sy")))
+
+
+@query(f"WITH {KNN}, {PLACED}, t AS (SELECT range / 4.0 AS t FROM range(0, 5)), c AS (SELECT src, dst, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2, CAST(t AS DOUBLE) AS t, (a.x + b.x) / 2 - (b.y - a.y) * 0.25 AS cx, (a.y + b.y) / 2 + (b.x - a.x) * 0.25 AS cy FROM knn JOIN placed a ON src = a.node_id JOIN placed b ON dst = b.node_id, t) SELECT src, dst, t, round((1 - t) * (1 - t) * x1 + 2 * t * (1 - t) * cx + t * t * x2, 4) + 0.0 AS x, round((1 - t) * (1 - t) * y1 + 2 * t * (1 - t) * cy + t * t * y2, 4) + 0.0 AS y FROM c")
+def bezier_points(spark, d):
+    rows = spatial.placed(knn(spark, d), placed_suppliers(spark, d)).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(4)))).withColumn("t", F.col("t") / 4.0)
+    x, y = geometry.curve(F.col("t"), F.col("x"), F.col("y"), F.col("x2"), F.col("y2"), 0.25)
+    return rounded(rows.select("src", "dst", "t", x.alias("_x"), y.alias("_y")).withColumnsRenamed({"_x": "x", "_y": "y"}))
+
+
+@query("SELECT event_id, round(1 - abs(2 * (value / 100 - floor(value / 100)) - 1), 6) AS wave FROM events")
+def flow_wave(spark, d):
+    return rounded(table(spark, d, "events").select("event_id", geometry.wave("triangle", F.col("value") / 100).alias("wave")), 6)
+
+
+# Hierarchies
+
+
+@query(f"WITH RECURSIVE {TREE}, c AS (SELECT src, 10.0 AS r2, dst FROM tree WHERE dst >= 1000), n AS (SELECT src AS node_id, sqrt(count(*) * 100.0 / 0.82) + 5 AS r FROM c GROUP BY 1), nn AS (SELECT t.src, t.dst, coalesce(n.r, 10.0) AS r FROM tree t LEFT JOIN n ON t.dst = n.node_id WHERE t.dst BETWEEN 100 AND 999), g AS (SELECT src AS node_id, greatest(sqrt(sum(r * r) / 0.82), 10.0) + 5 AS r FROM nn GROUP BY 1), gg AS (SELECT t.dst, coalesce(g.r, 10.0) AS r FROM tree t LEFT JOIN g ON t.dst = g.node_id WHERE t.dst BETWEEN 10 AND 99), z AS (SELECT greatest(sqrt(sum(r * r) / 0.82), 10.0) + 5 AS r FROM gg) SELECT CAST(0 AS BIGINT) AS node_id, round(r, 4) AS radius FROM z UNION ALL SELECT dst, round(r, 4) FROM gg UNION ALL SELECT dst, round(r, 4) FROM nn UNION ALL SELECT dst, 10.0 FROM tree WHERE dst >= 1000")
+def bubble_radius(spark, d):
+    return rounded(hierarchy.bubble_radii(hierarchy.spanning(*containment(spark, d), 0)).select("node_id", "radius"))
+
+
+@query()
+def pack_layout(spark, d):
+    return hierarchy.pack_layout(hierarchy.bubble_radii(hierarchy.spanning(*containment(spark, d), 0)))
+
+
+@query()
+def tidy_tree(spark, d):
+    return hierarchy.tidy_tree(hierarchy.spanning(*containment(spark, d), 0))
+
+
+# Analytics
+
+
+@query("WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, o_custkey % 97 + 1000000 AS b FROM orders WHERE o_custkey % 3 = 0), s AS (SELECT a AS src, b AS dst FROM e UNION SELECT b, a FROM e), n AS (SELECT src AS node_id FROM s UNION SELECT c_custkey FROM customer), r AS (SELECT node_id, node_id AS c FROM n UNION SELECT s.dst, r.c FROM r JOIN s ON r.node_id = s.src) SELECT node_id, min(c) AS component FROM r GROUP BY 1")
+def weak_components(spark, d):
+    e = table(spark, d, "orders").where("o_custkey % 3 = 0").select(F.col("o_custkey").alias("src"), (F.col("o_custkey") % 97 + 1000000).alias("dst")).distinct()
+    n = e.select("src").union(e.select("dst")).union(table(spark, d, "customer").select("c_custkey")).distinct().withColumnRenamed("src", "node_id")
+    return analytics.weak_components(n, e)
+
+
+@query()
+def strong_components(spark, d):
+    return analytics.strong_components(suppliers(spark, d), knn(spark, d, 2))
+
+
+def _rank_sql(rounds: int) -> str:
+    steps = [f"r{i} AS (SELECT n.node_id, 0.15 / c.n + 0.85 * (coalesce(s, 0.0) + l.lost / c.n) AS rank FROM nodes n LEFT JOIN (SELECT k.dst, sum(r.rank / o.n) AS s FROM knn k JOIN o ON k.src = o.src JOIN r{i - 1} r ON k.src = r.node_id GROUP BY 1) q ON n.node_id = q.dst, c, (SELECT coalesce(sum(rank), 0.0) AS lost FROM r{i - 1} WHERE node_id NOT IN (SELECT src FROM o)) l)" for i in range(1, rounds + 1)]
+    return f"WITH {KNN}, nodes AS (SELECT s_suppkey AS node_id FROM supplier), c AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM nodes), o AS (SELECT src, CAST(count(*) AS DOUBLE) AS n FROM knn GROUP BY 1), r0 AS (SELECT node_id, 1.0 / c.n AS rank FROM nodes, c), {', '.join(steps)} SELECT node_id, round(rank, 6) AS rank FROM r{rounds}"
+
+
+@query(_rank_sql(10))
+def pagerank(spark, d):
+    return rounded(analytics.pagerank(suppliers(spark, d), knn(spark, d), iterations=10), 6)
+
+
+def _katz_sql(rounds: int) -> str:
+    steps = [f"r{i} AS (SELECT s_suppkey AS node_id, 1.0 + 0.05 * coalesce(s, 0.0) AS score FROM supplier LEFT JOIN (SELECT dst, sum(score) AS s FROM knn JOIN r{i - 1} ON src = node_id GROUP BY 1) q ON s_suppkey = dst)" for i in range(1, rounds + 1)]
+    return f"WITH {KNN}, r0 AS (SELECT s_suppkey AS node_id, CAST(1.0 AS DOUBLE) AS score FROM supplier), {', '.join(steps)} SELECT node_id, round(score, 6) AS score FROM r{rounds}"
+
+
+@query(_katz_sql(10))
+def katz(spark, d):
+    return rounded(analytics.katz(suppliers(spark, d), knn(spark, d), iterations=10), 6)
+
+
+@query()
+def eigenvector(spark, d):
+    return rounded(analytics.eigenvector(suppliers(spark, d), knn(spark, d), 10), 6)
+
+
+@query()
+def closeness(spark, d):
+    return rounded(analytics.closeness(suppliers(spark, d), knn(spark, d)), 6)
+
+
+@query()
+def betweenness(spark, d):
+    return rounded(analytics.betweenness(suppliers(spark, d), knn(spark, d)), 4)
+
+
+@query(f"WITH {KNN}, e AS (SELECT src, dst, 1.0 AS w FROM knn UNION ALL SELECT dst, src, 1.0 FROM knn WHERE src <> dst), p AS (SELECT src % 4 AS c, sum(w) AS k, sum(CASE WHEN src % 4 = dst % 4 THEN w ELSE 0.0 END) AS i FROM e GROUP BY 1), t AS (SELECT sum(k) AS m2 FROM p) SELECT round(sum(CAST(i AS DOUBLE) / m2 - (CAST(k AS DOUBLE) / m2) * (CAST(k AS DOUBLE) / m2)), 6) AS modularity FROM p, t")
+def modularity(spark, d):
+    part = suppliers(spark, d).select("node_id", (F.col("node_id") % 4).alias("community"))
+    return rounded(analytics.modularity(analytics.undirected_weights(knn(spark, d)), part), 6)
+
+
+@query(f"WITH {KNN}, e AS (SELECT src, dst FROM knn UNION ALL SELECT dst, src FROM knn WHERE src <> dst) SELECT src % 4 AS src, dst % 4 AS dst, CAST(count(*) AS DOUBLE) AS w FROM e GROUP BY 1, 2")
+def coarsen(spark, d):
+    part = suppliers(spark, d).select("node_id", (F.col("node_id") % 4).alias("community"))
+    return analytics.coarsen(analytics.undirected_weights(knn(spark, d)), part)
+
+
+@query()
+def louvain(spark, d):
+    return analytics.louvain(suppliers(spark, d), knn(spark, d))
+
+
+@query()
+def convex_hulls(spark, d):
+    return rounded(analytics.convex_hulls(points(spark, d)))
 
 
-def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/supplier.parquet")
+@query(f"WITH {TRANSITIONS} SELECT src, dst, weight FROM transitions")
+def transition_weights(spark, d):
+    return transitions(spark, d)
 
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
