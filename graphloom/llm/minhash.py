@@ -98,7 +98,7 @@ def verified(pairs: DataFrame, texts: DataFrame, numerator: int, denominator: in
 
 
 def shingle_postings(texts: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """(key, id, n, index): documents of ``texts`` (id, text) under the shingles by which they can still reach the similarity.
+    """(key, id, n, s, index): documents of ``texts`` (id, text) under the shingles by which they can still reach the similarity.
 
     The intersection of a linked pair is at least ``numerator / denominator`` of either set,
     and ``2 * numerator / (numerator + denominator)`` of the smaller one. With shingles in the
@@ -120,8 +120,8 @@ def shingle_postings(texts: DataFrame, numerator: int, denominator: int) -> Data
     frequent = materialize(exploded.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"))
     kept = exploded.join(frequent, "key").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("keys"))  # one document's
     least = lambda part, whole: F.ceil(F.col("n") * part / whole - 1e-9)
-    posted = kept.select("id", "n", (F.size("keys") - least(2 * numerator, numerator + denominator)).alias("few"), F.slice("keys", F.lit(1), F.greatest(F.size("keys") - least(numerator, denominator) + 1, F.lit(0)).cast("int")).alias("keys"))
-    return posted.select("id", "n", "few", F.posexplode("keys").alias("at", "k")).select(F.col("k.key").alias("key"), "id", "n", (F.col("at") <= F.col("few")).alias("index"))
+    posted = kept.select("id", "n", F.size("keys").alias("s"), (F.size("keys") - least(2 * numerator, numerator + denominator)).alias("few"), F.slice("keys", F.lit(1), F.greatest(F.size("keys") - least(numerator, denominator) + 1, F.lit(0)).cast("int")).alias("keys"))
+    return posted.select("id", "n", "s", "few", F.posexplode("keys").alias("at", "k")).select(F.col("k.key").alias("key"), "id", "n", "s", (F.col("at") <= F.col("few")).alias("index"))
 
 
 def near_groups(docs: DataFrame, numerator: int = 75, denominator: int = 100, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -171,9 +171,10 @@ def near_groups(docs: DataFrame, numerator: int = 75, denominator: int = 100, ro
     several = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
     left = materialize(placed.join(several, "key", "left_semi").select("id").distinct())
     rare = shingle_postings(texts.join(left, "id", "left_semi"), numerator, denominator)
-    rare = materialize(rare.join(component, "id", "left").select("key", "id", "n", "index", F.coalesce("component", "id").alias("component")))
-    one = rare.where("index").select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    pairs = one.join(rare, "key").where(similar & (F.struct("na", "a") < F.struct("n", "id"))).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+    rare = materialize(rare.join(component, "id", "left").select("key", "id", "n", "s", "index", F.coalesce("component", "id").alias("component")))
+    one = rare.where("index").select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"), F.col("component").alias("ca"))
+    shared = (numerator + denominator) * F.least("s", "sa") >= numerator * (F.col("n") + F.col("na"))
+    pairs = one.join(rare, "key").where(similar & shared & (F.struct("na", "a") < F.struct("n", "id"))).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
     found = materialize(verified(pairs, texts, numerator, denominator))
 
     joined = materialize(components(links.union(found)))
