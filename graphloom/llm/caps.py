@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import components, materialize
+from graphloom.llm.common import components, map_batches, materialize
 
 
 @dataclass(frozen=True)
@@ -99,7 +99,7 @@ def _vectors(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -
                 units.append(x / np.sqrt(x @ x))
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(units, pa.list_(pa.float64())), pa.array(digests, pa.binary())], ["vec_id", "label", "unit", "digest"])
 
-    return vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v")).mapInArrow(run, "vec_id long, label string, unit array<double>, digest binary")
+    return map_batches(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v")), run, "vec_id long, label string, unit array<double>, digest binary")
 
 
 def _listed(reps: DataFrame, code: ProductCode) -> DataFrame:
@@ -117,7 +117,7 @@ def _listed(reps: DataFrame, code: ProductCode) -> DataFrame:
                     numbers = np.concatenate(found)
                     yield pa.record_batch([labels.take(pa.array(which)), pa.array(np.full(len(which), dim, np.int32)), pa.array(numbers), pa.array(ids[which])], ["label", "dim", "filter", "id"])
 
-    return reps.select("id", "label", "unit").mapInArrow(run, "label string, dim int, filter long, id long")
+    return map_batches(reps.select("id", "label", "unit"), run, "label string, dim int, filter long, id long")
 
 
 def cap_links(reps: DataFrame, threshold: float, code: ProductCode) -> DataFrame:

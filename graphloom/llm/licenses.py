@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import map_batches
+
 # Sentences of public licences and notices, as their texts have them, by identifier.
 SENTENCES = {
     "mit-released": ["Released under the MIT License.", "Licensed under the MIT License.", "This project is licensed under the MIT License.", "This software is released under the MIT License.", "License: MIT.", "SPDX-License-Identifier: MIT"],
@@ -139,4 +141,4 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "license_id", "start", "end", "sentences"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, license_id string, start long, end long, sentences string")
+    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, license_id string, start long, end long, sentences string")

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import U64, WordHashes, components, materialize, window_hashes, words_of
+from graphloom.llm.common import U64, WordHashes, components, map_batches, materialize, window_hashes, words_of
 
 #: Coordinates of a signature, and how many of them two documents must share to be compared.
 #: At similarity 0.75 the shared ones are Binomial(64, 0.75): fewer than 29 with a chance of 1e-7.
@@ -52,7 +52,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 found.append(_signature(shingles) if len(shingles) else None)
             yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "n_shingles", "digest", "signature"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, signature array<int>")
+    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, n_shingles long, digest binary, signature array<int>")
 
 
 def postings(reps: DataFrame) -> DataFrame:
@@ -94,7 +94,7 @@ def verified(pairs: DataFrame, texts: DataFrame, numerator: int, denominator: in
             yield pa.record_batch([batch.column(0), batch.column(1)], ["a", "b"]).filter(mask)
 
     one, two = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(two, "b").join(one, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return map_batches(pairs.join(two, "b").join(one, "a").select("a", "b", "ta", "tb"), run, "a long, b long")
 
 
 def shingle_postings(texts: DataFrame, numerator: int, denominator: int) -> DataFrame:
@@ -116,7 +116,7 @@ def shingle_postings(texts: DataFrame, numerator: int, denominator: int) -> Data
                 ids = batch.column(0)[at : at + 256].to_numpy(zero_copy_only=False)
                 yield pa.record_batch([pa.array(np.repeat(ids, sizes)), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(sets).view(np.int64))], ["id", "n", "key"])
 
-    exploded = materialize(texts.select("id", "text").mapInArrow(run, "id long, n long, key long"))
+    exploded = materialize(map_batches(texts.select("id", "text"), run, "id long, n long, key long"))
     frequent = materialize(exploded.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"))
     kept = exploded.join(frequent, "key").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("keys"))  # one document's
     least = lambda part, whole: F.ceil(F.col("n") * part / whole - 1e-9)

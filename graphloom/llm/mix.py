@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from graphloom.llm.common import materialize, words_of
+from graphloom.llm.common import materialize, small_batches, words_of
 
 #: Hash buckets in each size class of a source; what a source takes is settled by whole buckets.
 BUCKETS = 256
@@ -81,6 +81,7 @@ def plan_mix(
     empty text has size 0 and repeats like its source's shortest class, at no cost. A null
     source is a source. An empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     key = F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit(""))  # "": the null source
     sized = docs.withColumn("_source_key", key).withColumn("size", n_words(F.col(text_col)))
     small = materialize(

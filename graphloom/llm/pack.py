@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from graphloom.llm.common import materialize
+from graphloom.llm.common import map_batches, materialize
 
 #: The default vocabulary, one of the installed public tokenizers; pass another file's path to use it.
 VOCABULARY = "word_bpe_49k.json"
@@ -45,7 +45,7 @@ class WordIds(dict):
     #: Signs that are white space to Python only, and texts of special tokens; such a text is encoded as a whole.
     ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|startoftext|>", "<|endoftext|>")
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 80_000):
         super().__init__()
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.marks = {i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")}
@@ -146,7 +146,7 @@ def tokenize(docs: DataFrame, path: str | None = None, end_id: int = 2, id_col:
                     cuts.append(np.append(stops[(stops > 0) & (stops < len(own))], len(own) + 1).astype("<u4").tobytes())
                 yield pa.record_batch([keys, pa.array(map(len, ids), pa.int64()), pa.array([i.tobytes() for i in ids], pa.binary()), pa.array(cuts, pa.binary())], ["doc_id", "n_ids", "ids", "cuts"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, TOKEN_SCHEMA)
+    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, TOKEN_SCHEMA)
 
 
 def best_cuts(ends: list[int], penalties: list[float], window: int, tail: bool) -> list[int]:
@@ -282,4 +282,4 @@ def pack(
                     yield from rows(shard.pack(False))
         yield from rows(shard.pack(True))
 
-    return ordered.mapInArrow(run, PIECE_SCHEMA)
+    return map_batches(ordered, run, PIECE_SCHEMA)

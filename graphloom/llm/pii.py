@@ -14,6 +14,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import map_batches
+
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # kind, start, end
 
@@ -189,7 +191,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> Potentials:
         rows = [(*key, n) for key, n in counts.items()] or [(0, 0, 0, 0)]
         yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["what", "a", "b", "n"])
 
-    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "what long, a long, b long, n long").groupBy("what", "a", "b").agg(F.sum("n"))
+    rows = map_batches(docs.select(F.col(text_col).alias("text")), count, "what long, a long, b long, n long").groupBy("what", "a", "b").agg(F.sum("n"))
     return Potentials.of(Counter({(r[0], r[1], r[2]): r[3] for r in rows.collect()}))
 
 
@@ -221,4 +223,4 @@ def find(docs: DataFrame, model: Potentials | None = None, id_col: str = "doc_id
             columns = list(zip(*out, strict=True)) or [()] * 6
             yield pa.record_batch([batch.column(0), *[pa.array(c, pa.int64()) for c in columns[:4]], *[pa.array(c, pa.string()) for c in columns[4:]]], names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")

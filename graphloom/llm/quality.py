@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import U64, materialize, mixed
+from graphloom.llm.common import U64, map_batches, materialize, mixed, small_batches
 
 #: Buckets of the hashed n-grams: the model's size, whatever the corpus.
 BUCKETS = 1 << 14
@@ -29,7 +29,7 @@ class _Tokens(dict):
     TOKENS = regex.compile(r"\w+|[^\w\s]+")
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= 300_000:
+        if len(self) >= 100_000:
             self.clear()
         found = self[word] = tuple(xxhash.xxh3_64_intdigest(t) for t in self.TOKENS.findall(word))
         return found
@@ -72,7 +72,7 @@ def _scores(docs: DataFrame, ratios: np.ndarray, id_col: str, text_col: str) ->
                 sums.append(float(model.value[grams].sum()))
             yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(sums, pa.float64())], ["doc_id", "n_grams", "log_ratio"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_grams long, log_ratio double")
+    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, n_grams long, log_ratio double")
 
 
 def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, most_labels: int = MOST_LABELS, smoothing: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> tuple[QualityModel | None, DataFrame | None]:
@@ -96,7 +96,7 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, most_labels:
         at = np.flatnonzero(raw)
         yield pa.record_batch([pa.array(at), pa.array(raw[at]), pa.array(target[at])], ["bucket", "raw", "target"])
 
-    counts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(count, "bucket long, raw long, target long")
+    counts = map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), count, "bucket long, raw long, target long")
     raw, target = np.zeros(buckets), np.zeros(buckets)
     for r in counts.groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect():  # one row a bucket
         raw[r[0]], target[r[0]] = r[1], r[2]
@@ -199,6 +199,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, k: int | None = None, id_col:
                 found.append((len(grams), float(ratios.value[grams].sum())))
             yield pd.DataFrame(found, columns=["n_grams", "log_ratio"])
 
+    small_batches(docs.sparkSession)
     names = docs.columns
     scored = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]).withColumn("_score", score(f"c{names.index(text_col)}"))
     scored = scored.select("*", F.col(f"c{names.index(id_col)}").cast("long").alias("doc_id"), F.col("_score.n_grams").alias("n_grams"), F.col("_score.log_ratio").alias("log_ratio"))

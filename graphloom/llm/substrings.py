@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import BASES, U64, WordHashes, materialize, mixed, prefix_hashes, span_hashes, words_of
+from graphloom.llm.common import BASES, U64, WordHashes, map_batches, materialize, mixed, prefix_hashes, span_hashes, words_of
 
 #: Words of a window, and of the k-mers that are the graph's edges.
 WINDOW, KMER = 50, 20
@@ -68,7 +68,7 @@ def _graph(rows: DataFrame, window: int, k: int) -> DataFrame:
                 doc_id, row, places, key, before, after = map(np.concatenate, zip(*out, strict=True))
                 yield pa.record_batch([_signed(key), pa.array(doc_id), pa.array(row), pa.array(places.astype(np.int32)), _half(before), _half(after)], ["key", "doc_id", "row", "place", "before", "after"])
 
-    return rows.where("doc_id is not null and text is not null").select("doc_id", "text", "row").mapInArrow(run, "key long, doc_id long, row long, place int, before int, after int")
+    return map_batches(rows.where("doc_id is not null and text is not null").select("doc_id", "text", "row"), run, "key long, doc_id long, row long, place int, before int, after int")
 
 
 def _paths(h: np.ndarray, edges: dict, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -151,9 +151,11 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, k: int = KMER, texts: bo
                 yield pa.record_batch([part.column(0), part.column(2), pa.array(text, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(digest, pa.string()), *lists], ["doc_id", "row", "text", "n_words", "n_removed", "kept_text", "kept_sha256", "known", "open", "one", "two"])
 
     settled = materialize(
-        rows.join(by_doc, ["doc_id", "row"], "left")
-        .select("doc_id", "text", "row", "edges")
-        .mapInArrow(settle, "doc_id long, row long, text string, n_words long, n_removed long, kept_text string, kept_sha256 string, known array<int>, open array<int>, one array<long>, two array<long>")
+        map_batches(
+            rows.join(by_doc, ["doc_id", "row"], "left").select("doc_id", "text", "row", "edges"),
+            settle,
+            "doc_id long, row long, text string, n_words long, n_removed long, kept_text string, kept_sha256 string, known array<int>, open array<int>, one array<long>, two array<long>",
+        )
     )
     columns = ["doc_id", "n_words", "n_removed", "kept_sha256", *["kept_text"] * texts]
     done = settled.where("n_removed is not null").select(columns)
@@ -175,7 +177,7 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, k: int = KMER, texts: bo
                 kept.append(joined_kept.decode("utf-8", "surrogatepass") if texts else None)
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array(gone, pa.int64()), pa.array(digests, pa.string()), *[pa.array(kept, pa.string())] * texts], columns)
 
-    rest = left.select("doc_id", "row", "text", "n_words", "known").join(more, ["doc_id", "row"], "left").select("doc_id", "text", "n_words", "known", "more").mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts)
+    rest = map_batches(left.select("doc_id", "row", "text", "n_words", "known").join(more, ["doc_id", "row"], "left").select("doc_id", "text", "n_words", "known", "more"), finish, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts)
     return done.union(rest)
 
 
