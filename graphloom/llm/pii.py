@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -65,7 +65,11 @@ def base_spans(text: str) -> list[Span]:
 
 @dataclass
 class _Graph:
-    """Tokens with a digit or an @: places, buckets of their shape, base labels (0 none), and links to earlier nodes."""
+    """Tokens with a digit or an @: places, buckets of their shape, base labels (0 none), links of neighbours, and links of similar tokens to their hub.
+
+    The hub is the first of them that lies in a base span, or else the first: an observed
+    node, so that a copy is one link from its label however many there are.
+    """
 
     spans: list[tuple[int, int]]
     shapes: np.ndarray
@@ -74,11 +78,22 @@ class _Graph:
     skips: list[tuple[int, int]]
 
 
-SHAPES = 1024
+#: Buckets of shapes: 256 in each of 4 classes (with or without @ and letters).
+CLASSES, SHAPES = 4, 1024
+#: Share of a bucket's rates that comes from its class, and of a class's that comes from the prior.
+BACK_OFF = 0.2
+#: Share of the pairs of labels that comes from the prior.
+PRIOR = 0.01
+
+
+def _bucket(core: str) -> int:
+    shape = re.sub(r"(.)\1+", r"\1+", re.sub(r"[^\W\d_]", "a", re.sub(r"[0-9]", "9", core)))
+    each = SHAPES // CLASSES
+    return (2 * ("@" in shape) + ("a" in shape)) * each + xxhash.xxh32_intdigest(shape) % each
 
 
 def _graph(text: str, spans: list[Span]) -> _Graph:
-    places, shapes, labels, chain, skips, seen, last = [], [], [], [], [], {}, -2
+    places, shapes, labels, chain, alike, last = [], [], [], [], {}, -2
     order = sorted((s, e, k) for k, s, e in spans)
     for number, m in enumerate(_TOKEN.finditer(text)):
         raw = m[0]
@@ -91,8 +106,7 @@ def _graph(text: str, spans: list[Span]) -> _Graph:
             continue
         node = len(places)
         places.append((start, end))
-        shape = re.sub(r"(.)\1+", r"\1+", re.sub(r"[^\W\d_]", "a", re.sub(r"[0-9]", "9", core)))
-        shapes.append(xxhash.xxh32_intdigest(shape) % SHAPES)
+        shapes.append(_bucket(core))
         labels.append(next((k + 1 for s, e, k in order if s < end and start < e), 0) if order else 0)
         if number == last + 1 and node:
             chain.append((node - 1, node))
@@ -100,15 +114,20 @@ def _graph(text: str, spans: list[Span]) -> _Graph:
         digits = "".join(filter(str.isdigit, core))
         key = core.lower() if "@" in core else digits if len(digits) >= 4 else None  # similar: the same digits, however they are set
         if key:
-            if key in seen:
-                skips.append((seen[key], node))
-            seen[key] = node
+            alike.setdefault(key, []).append(node)
+    skips = []
+    for nodes in alike.values():
+        hub = next((i for i in nodes if labels[i]), nodes[0])
+        skips += [(hub, i) for i in nodes if i != hub]
     return _Graph(places, np.array(shapes, int), np.array(labels, int), chain, skips)
 
 
 @dataclass(frozen=True)
 class Potentials:
-    """Log potentials: of a label for a shape, of two labels in a row, and of two labels of similar tokens."""
+    """Log potentials: of a label for a shape, of two labels in a row, and of two labels of similar tokens.
+
+    All come from rates and priors that are shares of them, so the same table many times over has the same.
+    """
 
     unary: np.ndarray  # SHAPES x labels
     chain: np.ndarray  # labels x labels
@@ -117,43 +136,50 @@ class Potentials:
     @staticmethod
     def of(counts: Counter) -> Potentials:
         n = len(KINDS) + 1
-        unary, chain, skip = np.full((SHAPES, n), 0.1), np.full((n, n), 0.5), np.full((n, n), 0.05)
-        unary[:, 0] = 1.0
-        np.fill_diagonal(skip, 5.0)
+        unary, chain, skip = np.zeros((SHAPES, n)), np.zeros((n, n)), np.zeros((n, n))
         for (what, a, b), c in counts.items():
             (unary, chain, skip)[what][a, b] += c
-        chain, skip = chain + chain.T, skip + skip.T
-        ratio = lambda x: np.log(x / x.sum()) - np.log(x.sum(1) / x.sum())[:, None] - np.log(x.sum(0) / x.sum())
-        return Potentials(np.log(unary / unary.sum(1, keepdims=True)), np.clip(ratio(chain), -3, 3), np.clip(ratio(skip), -8, 8))
 
+        def rates(x: np.ndarray, back: np.ndarray) -> np.ndarray:
+            sums = x.sum(1, keepdims=True)
+            return np.where(sums > 0, (1 - BACK_OFF) * x / np.maximum(sums, 1) + BACK_OFF * back, back)
 
-def _beliefs(graph: _Graph, model: Potentials, rounds: int = 12) -> np.ndarray:
-    """Marginals by loopy sum-product; nodes of base spans are observed."""
-    n, k = len(graph.labels), len(KINDS) + 1
+        def ratios(x: np.ndarray, prior: Callable[[np.ndarray], np.ndarray], most: float) -> np.ndarray:
+            x = (x + x.T) / (x.sum() * 2) if x.any() else np.eye(1, n * n).reshape(n, n)
+            share = np.maximum(x.sum(1), 1e-6)
+            x = (1 - PRIOR) * x + PRIOR * prior(share)
+            x = x / x.sum()
+            return np.clip(np.log(x) - np.log(x.sum(1))[:, None] - np.log(x.sum(0)), -most, most)
+
+        prior = np.array([1.0, *[0.1] * (n - 1)])
+        classes = rates(unary.reshape(CLASSES, -1, n).sum(1), prior / prior.sum())
+        return Potentials(np.log(rates(unary, np.repeat(classes, SHAPES // CLASSES, axis=0))), ratios(chain, lambda s: np.outer(s, s), 3), ratios(skip, lambda s: 0.99 * np.diag(s) + 0.01 * np.outer(s, s), 8))
+
+
+def _beliefs(graph: _Graph, model: Potentials, rounds: int = 1000) -> np.ndarray:
+    """Marginals by loopy sum-product until messages settle; nodes of base spans are observed."""
     own = model.unary[graph.shapes].copy()
-    for i in np.flatnonzero(graph.labels):
-        own[i] = -30.0
-        own[i, graph.labels[i]] = 0.0
-    edges = [(a, b, model.chain) for a, b in graph.chain] + [(a, b, model.skip) for a, b in graph.skips]
-    messages = np.zeros((len(edges), 2, k))
+    known = np.flatnonzero(graph.labels)
+    own[known] = -30.0
+    own[known, graph.labels[known]] = 0.0
+    ends = np.array(graph.chain + graph.skips, int).reshape(-1, 2)
+    a, b = np.concatenate([ends, ends[:, ::-1]]).T  # each link in both directions; the pairs' potentials are symmetric
+    pairs = np.tile(np.concatenate([np.repeat(model.chain[None], len(graph.chain), axis=0), np.repeat(model.skip[None], len(graph.skips), axis=0)]), (2, 1, 1))
+    messages = np.zeros((len(a), own.shape[1]))
+
+    def total() -> np.ndarray:
+        out = own.copy()
+        np.add.at(out, b, messages)
+        return out
+
     for _ in range(rounds):
-        total = own.copy()
-        for (a, b, _), (to_b, to_a) in zip(edges, messages, strict=True):
-            total[b] += to_b
-            total[a] += to_a
-        fresh = np.empty_like(messages)
-        for e, (a, b, pair) in enumerate(edges):
-            fresh[e, 0] = np.logaddexp.reduce((total[a] - messages[e, 1])[:, None] + pair, axis=0)
-            fresh[e, 1] = np.logaddexp.reduce((total[b] - messages[e, 0])[:, None] + pair, axis=0)
-        fresh -= fresh.max(axis=2, keepdims=True)
-        if not len(edges) or np.abs(fresh - messages).max() < 1e-4:
+        fresh = np.logaddexp.reduce((total()[a] - np.roll(messages, len(ends), axis=0))[:, :, None] + pairs, axis=1)
+        fresh -= fresh.max(axis=1, keepdims=True)
+        if not len(a) or np.abs(fresh - messages).max() < 1e-4:
             break
         messages = 0.5 * messages + 0.5 * fresh
-    total = own.copy()
-    for (a, b, _), (to_b, to_a) in zip(edges, messages, strict=True):
-        total[b] += to_b
-        total[a] += to_a
-    out = np.exp(total - total.max(axis=1, keepdims=True))
+    out = total()
+    out = np.exp(out - out.max(axis=1, keepdims=True))
     return out / out.sum(axis=1, keepdims=True)
 
 
@@ -175,7 +201,10 @@ def all_spans(text: str, model: Potentials, certain: float = 0.9) -> tuple[list[
 
 
 def fit(docs: DataFrame, text_col: str = "text") -> Potentials:
-    """Potentials counted over all documents, the base spans being the labels; at most ``SHAPES`` x 5 + 50 counts come to the driver."""
+    """Potentials counted over all documents, the base spans being the labels; at most ``SHAPES`` x 5 + 50 counts come to the driver.
+
+    Tokens outside the base spans that are similar to one within have no known label and aren't counted.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
@@ -185,9 +214,10 @@ def fit(docs: DataFrame, text_col: str = "text") -> Potentials:
                     continue
                 graph = _graph(text, base_spans(text))
                 labels = graph.labels.tolist()
-                counts.update((0, s, k) for s, k in zip(graph.shapes.tolist(), labels, strict=True))
-                counts.update((1, labels[a], labels[b]) for a, b in graph.chain)
-                counts.update((2, labels[a], labels[b]) for a, b in graph.skips)
+                copies = {b for a, b in graph.skips if labels[a] and not labels[b]}
+                counts.update((0, s, k) for i, (s, k) in enumerate(zip(graph.shapes.tolist(), labels, strict=True)) if i not in copies)
+                for what, links in ((1, graph.chain), (2, graph.skips)):
+                    counts.update((what, labels[a], labels[b]) for a, b in links if a not in copies and b not in copies)
         rows = [(*key, n) for key, n in counts.items()] or [(0, 0, 0, 0)]
         yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["what", "a", "b", "n"])
 

@@ -278,6 +278,21 @@ def test_skip_chain_carries_labels():
     assert "555-6503" in added and "777-1234" not in added and set(base) <= set(spans)
 
 
+def test_potentials_are_rates(spark):
+    texts = ["Call +14995556503 now. Again 1499-555-6503 here.", "room 12 of 1200-300-4000 then", "mail a.b@c.de and 10.0.0.1 or 7"]
+    once = pii.fit(spark.createDataFrame([(t,) for t in texts], "text string"))
+    often = pii.fit(spark.createDataFrame([(t,) for t in texts], "text string").crossJoin(spark.range(500)).select("text"))
+    for name in ("unary", "chain", "skip"):
+        assert np.allclose(getattr(once, name), getattr(often, name))
+    for model in (once, often):
+        base, spans = pii.all_spans(texts[0], model)
+        assert {texts[0][s:e] for k, s, e in spans if (k, s, e) not in base} == {"1499-555-6503"}
+        assert all(base == spans for base, spans in (pii.all_spans(t, model) for t in texts[1:]))
+    long = " ".join(f"x 1499-555-6503 y{'z' * i}" for i in range(40)) + " +14995556503"
+    base, spans = pii.all_spans(long, often)
+    assert len(spans) == len(base) + 40
+
+
 def test_licenses(docs, empty, spark):
     text = "Some words\nReleased under the MIT License.\nThis work is licensed under the GNU General\nPublic License, version 3."
     found = licenses.licenses_of(text)
