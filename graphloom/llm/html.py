@@ -18,6 +18,8 @@ SPAN, SURGE = 3, 60
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 #: Elements whose contents are no text: everything up to their end tag goes.
 _RAW = frozenset("script style noscript template iframe object embed svg math canvas audio video head title textarea select option datalist noframes map".split())
+#: Of these, what holds no elements and so goes to the page's end if nothing ends it; where another has no end tag, only its tag goes.
+_UNENDED = frozenset("script style title textarea iframe noframes".split())
 #: Elements that lie around the main text.
 _AROUND = frozenset("nav header footer aside form dialog menu button fieldset label input figcaption".split())
 #: Elements that don't part a line.
@@ -37,15 +39,15 @@ _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
 class _Line:
-    __slots__ = ("linked", "main", "text")
+    __slots__ = ("linked", "main", "named", "text")
 
-    def __init__(self, text: str, linked: int, main: bool):
-        self.text, self.linked, self.main = text, linked, main
+    def __init__(self, text: str, linked: int, main: bool, named: tuple[int, ...]):
+        self.text, self.linked, self.main, self.named = text, linked, main, named
 
 
-def _names(attributes: str) -> tuple[frozenset[str], bool, bool]:
-    """Words of class, id and role; whether the element is hidden; whether it is the main text's."""
-    words, hidden, main = set(), False, False
+def _names(attributes: str) -> tuple[frozenset[str], frozenset[str], bool, bool]:
+    """Names in class, id and role; the words in these; whether the element is hidden; whether it is the main text's."""
+    names, words, hidden, main = set(), set(), False, False
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
@@ -53,9 +55,28 @@ def _names(attributes: str) -> tuple[frozenset[str], bool, bool]:
         elif name == "itemprop":
             main |= value.lower() == "articlebody"
         elif name in ("class", "id", "role"):
+            names.update(value.lower().split())
             words.update(w.lower() for w in _WORD.findall(value))
             main |= name == "role" and value.lower() in ("main", "article")
-    return frozenset(words), hidden, main
+    return frozenset(names), frozenset(words), hidden, main
+
+
+def _unnamed(lines: list[_Line], named: list[tuple[bool, bool]]) -> list[_Line]:
+    """The lines outside the elements whose names say that they lie around the main text.
+
+    A name doesn't count where the element holds most of the text that is marked as an
+    article's, the mark being within it; nor where only a part of a name says so and the
+    element holds most of the text.
+    """
+    if not named:
+        return lines
+    of = [x for x in lines if x.main] or lines
+    marked, total, held = of[0].main if of else False, sum(len(x.text) for x in of), [0] * len(named)
+    for x in of:
+        for i in x.named:
+            held[i] += len(x.text)
+    out = {i for i, (whole, inside) in enumerate(named) if 2 * held[i] <= total or whole and (inside or not marked)}
+    return [x for x in lines if out.isdisjoint(x.named)]
 
 
 def lines_of(page: str) -> list[_Line]:
@@ -63,14 +84,15 @@ def lines_of(page: str) -> list[_Line]:
     lines: list[_Line] = []
     text: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool, bool]] = []  # name, around the main text, within an article
+    stack: list[tuple[str, bool, bool, tuple[int, ...]]] = []  # name, around the main text, within an article, elements with names of what lies around
+    named: list[tuple[bool, bool]] = []  # whether a whole name says so, whether it lies within an article
     link = 0
 
     def flush() -> None:
         nonlocal linked
         joined = " ".join(html.unescape("".join(text)).split())
         if joined:
-            lines.append(_Line(joined, linked, bool(stack) and stack[-1][2]))
+            lines.append(_Line(joined, linked, bool(stack) and stack[-1][2], stack[-1][3] if stack else ()))
         text.clear()
         linked = 0
 
@@ -105,26 +127,30 @@ def lines_of(page: str) -> list[_Line]:
         if tag[1]:
             close(name)
             continue
-        if name in _VOID or tag[3].endswith("/") and name not in _RAW and name not in _INLINE:
+        if name in _VOID or tag[3].endswith("/") and (name not in _RAW or name in ("svg", "math")) and name not in _INLINE:
             continue
         if name in _RAW:
             done = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-            if name == "head" and not done:
-                continue
-            at = done.end() if done else end
+            at = done.end() if done else end if name in _UNENDED else at
             continue
         if name in _LOOSE and stack and (stack[-1][0] == name or name in ("dt", "dd") and stack[-1][0] in ("dt", "dd") or name in ("td", "th") and stack[-1][0] in ("td", "th")):
             stack.pop()
         elif name in ("article", "section", "div", "ul", "ol", "table", "footer", "header", "nav", "aside", "form", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre") and any(s[0] == "p" for s in stack):
             close("p")
-        around, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-        words, hidden, own = _names(tag[3]) if tag[3] and not tag[3].isspace() else (frozenset(), False, False)
+        around, main, within = stack[-1][1:] if stack else (False, False, ())
+        whole, words, hidden, own = _names(tag[3]) if tag[3] and not tag[3].isspace() else (frozenset(), frozenset(), False, False)
         inside = name in ("article", "main") or own
-        around |= hidden or name in _AROUND and not (main and name == "header") or bool(words & _BOILER) and name not in ("body", "html", "article", "main")
-        stack.append((name, around, main or inside))
+        around |= hidden or name in _AROUND and not (main and name == "header")
+        if words & _BOILER and name not in ("body", "html", "article", "main"):
+            if name in _INLINE:
+                around = True
+            else:
+                within = (*within, len(named))
+                named.append((bool(whole & _BOILER), main))
+        stack.append((name, around, main or inside, within))
         link += name == "a"
     flush()
-    return lines
+    return _unnamed(lines, named)
 
 
 def blocks(lengths: list[int], span: int = SPAN, surge: int = SURGE) -> list[tuple[int, int]]:

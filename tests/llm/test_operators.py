@@ -246,6 +246,15 @@ def test_main_text(spark):
     assert html.extract(pages.limit(0)).count() == 0
 
 
+def test_main_text_keeps_whole_articles():
+    for around in ("class='has-sidebar'", "id=page-with-header", "class='x long-form'", "class=form"):
+        assert html.main_text(f"<body><div {around}><article><p>The text of it.</div><div class=related><article>x</article></div>") == "The text of it."
+    assert html.main_text("<body><div class=has-sidebar><p>" + "words " * 30 + "</div><div class=site-header>top") == " ".join(["words"] * 30)
+    assert html.main_text("<article><p>short<div id=comments>" + "<p>a longer comment" * 9 + "</div></article>") == "short"
+    assert html.main_text("<p>a</p><svg/><p>b</p><svg>c</svg><math/><p>d</p><canvas><p>e</p><object/><p>f") == "a b d e f"
+    assert html.main_text("<p>a</p><script>var x = '<p>b'") == "a"
+
+
 REFERENCE = [
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
     ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p) <= 255 for p in m.split("."))),
