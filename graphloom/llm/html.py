@@ -175,17 +175,20 @@ def blocks(lengths: list[int], span: int = SPAN, surge: int = SURGE) -> list[tup
 def main_text(page: str | None) -> str:
     """The main text of a page: its lines joined by one space; empty if none.
 
-    Where the page marks an article, its lines are the main text's and any text makes the
-    distribution surge. Elsewhere a line that is mostly links counts as empty, and the text
-    between surge and dive points is kept; if nothing surges, all that isn't mostly links.
+    A line that is mostly links counts as empty, and the text between surge and dive points
+    over all lines is kept; if nothing surges, all that isn't mostly links. Where the page marks
+    an article, stretches whose marked lines don't surge go, and of the others the marked lines
+    are kept, those before the surge too: short headings don't surge.
     """
     lines = lines_of(page or "")
-    marked = [line for line in lines if line.main]
-    if marked:
-        kept = [x for s, e in blocks([len(x.text) for x in marked], surge=1) for x in marked[s:e]]
+    lengths = [0 if 2 * x.linked > len(x.text) else len(x.text) for x in lines]
+    text = lambda s, e, main: [x for x, n in zip(lines[s:e], lengths[s:e], strict=True) if n and x.main >= main]
+    if any(x.main for x in lines):
+        surges = blocks([n * x.main for x, n in zip(lines, lengths, strict=True)])
+        kept = [x for s, e in blocks(lengths, surge=1) if any(s <= at < e for at, _ in surges) for x in text(s, e, True)] or text(0, len(lines), True)
     else:
-        lengths = [0 if 2 * x.linked > len(x.text) else len(x.text) for x in lines]
-        kept = [x for s, e in blocks(lengths) for x, n in zip(lines[s:e], lengths[s:e], strict=True) if n] or [x for x, n in zip(lines, lengths, strict=True) if n]
+        kept = [x for s, e in blocks(lengths) for x in text(s, e, False)]
+    kept = kept or text(0, len(lines), False)
     return " ".join(x.text for x in kept)
 
 

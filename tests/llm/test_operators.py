@@ -255,6 +255,14 @@ def test_main_text_keeps_whole_articles():
     assert html.main_text("<p>a</p><script>var x = '<p>b'") == "a"
 
 
+def test_main_text_judges_lines_of_an_article():
+    links = "".join(f"<p><a href=x>more to read {i}</a>" for i in range(3))
+    body = "<p>" + "long text " * 20
+    page = f"<body><p>outside the mark<article><h1>Head</h1>{body}<p><a href=x>one link</a>{body}{links}<p>tail</article>"
+    assert html.main_text(page) == " ".join(["Head", *["long text"] * 40])
+    assert html.main_text(f"<article><p>short{links}<p>words</article><p>{'other ' * 40}") == "short words"
+
+
 REFERENCE = [
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
     ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p) <= 255 for p in m.split("."))),
