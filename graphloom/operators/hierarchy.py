@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators.iterate import stored
+from graphloom.operators.structure import running
 
 
 def spanning(nodes: DataFrame, edges: DataFrame, root: int) -> DataFrame:
@@ -39,29 +39,50 @@ def bubble_radii(tree: DataFrame, base: float = 10.0, padding: float = 5.0, fill
     return done
 
 
-def _ring(group: pd.DataFrame) -> pd.DataFrame:
-    """Children of one parent on a golden spiral, the largest inside, then pushed apart."""
-    group = group.sort_values(["radius", "node_id"], ascending=[False, True])
-    out, reach = [], 0.0
-    for i, (node, r) in enumerate(zip(group["node_id"], group["radius"], strict=True)):
-        a = i * math.pi * (3 - math.sqrt(5))
-        out.append([node, reach * math.cos(a), reach * math.sin(a), r])
-        reach += r / math.sqrt(i + 1)
-    if len(out) <= 2000:
-        for _ in range(3):
-            for i in range(len(out)):
-                for j in range(i):
-                    dx, dy = out[i][1] - out[j][1], out[i][2] - out[j][2]
-                    d = math.hypot(dx, dy) or 1e-9
-                    if (over := out[i][3] + out[j][3] - d) > 0:
-                        out[i][1] += dx / d * over
-                        out[i][2] += dy / d * over
-    return pd.DataFrame([o[:3] for o in out], columns=["node_id", "dx", "dy"])
+def spiral(children: DataFrame) -> DataFrame:
+    """(parent, i, node_id, radius, dx, dy): children of each parent on a golden spiral, the largest inside; ``i`` counts a parent's from 0."""
+    order = F.struct("parent", (-F.col("radius")).alias("r"), "node_id")
+    ranked = stored(running(children.select("parent", "node_id", "radius", order.alias("_at")), "_at", F.lit(1)).withColumnRenamed("before", "i"))
+    ranked = ranked.join(ranked.groupBy("parent").agg(F.min("i").alias("_i")), "parent").withColumn("i", F.col("i") - F.col("_i")).drop("_i")
+    summed = stored(running(ranked, "_at", F.col("radius") / F.sqrt(F.col("i") + 1), "double").drop("_at"))
+    reach = F.col("before") - F.col("_first")
+    angle = F.col("i") * (math.pi * (3 - math.sqrt(5)))
+    first = summed.where("i = 0").select("parent", F.col("before").alias("_first"))
+    return summed.join(first, "parent").select("parent", "i", "node_id", "radius", (reach * F.cos(angle)).alias("dx"), (reach * F.sin(angle)).alias("dy"))
+
+
+def push_apart(discs: DataFrame) -> DataFrame:
+    """Each disc moved off its siblings of smaller ``i`` by the sum of the overlaps.
+
+    Siblings meet by (parent, level, cell): a disc lies in the cell, as wide as the next power
+    of two above its diameter, of its own level, and looks into the nine cells around it at its own
+    and each larger level that its parent has.
+    """
+    level = F.ceil(F.log2(F.greatest(2 * F.col("radius"), F.lit(1e-9)))).cast("int")
+    at = lambda c, by: F.floor(F.col(c) / F.pow(F.lit(2.0), by)).cast("long")
+    sized = discs.withColumn("level", level)
+    own = sized.select("parent", "level", at("dx", F.col("level")).alias("cx"), at("dy", F.col("level")).alias("cy"), F.col("i").alias("i2"), F.col("dx").alias("x2"), F.col("dy").alias("y2"), F.col("radius").alias("r2"))
+    levels = sized.select("parent", F.col("level").alias("l")).distinct()
+    looks = sized.join(levels, "parent").where("l >= level").select("parent", F.col("l").alias("level"), "i", "dx", "dy", "radius")
+    steps = F.sequence(F.lit(-1), F.lit(1))
+    looks = looks.withColumn("_a", F.explode(steps)).withColumn("_b", F.explode(steps)).withColumns({"cx": at("dx", F.col("level")) + F.col("_a"), "cy": at("dy", F.col("level")) + F.col("_b")})
+    x, y = F.col("dx") - F.col("x2"), F.col("dy") - F.col("y2")
+    met = looks.join(own, ["parent", "level", "cx", "cy"]).where("i > i2")
+    met = met.withColumn("d", F.greatest(F.sqrt(x * x + y * y), F.lit(1e-9))).withColumn("over", F.col("radius") + F.col("r2") - F.col("d")).where("over > 0")
+    moves = met.groupBy("parent", "i").agg(F.sum(x / F.col("d") * F.col("over")).alias("mx"), F.sum(y / F.col("d") * F.col("over")).alias("my"))
+    zero = F.lit(0.0)
+    return discs.join(moves, ["parent", "i"], "left").select("parent", "i", "node_id", "radius", (F.col("dx") + F.coalesce("mx", zero)).alias("dx"), (F.col("dy") + F.coalesce("my", zero)).alias("dy"))
 
 
 def pack_layout(radii: DataFrame, spread: float = 1.5) -> DataFrame:
-    """(node_id, x, y): every node placed around its parent, from the root at the origin down."""
-    offsets = stored(radii.where("parent is not null").select("node_id", "parent", "radius").groupBy("parent").applyInPandas(_ring, "node_id long, dx double, dy double"))
+    """(node_id, x, y): every node placed around its parent, from the root at the origin down.
+
+    Children start on a spiral and are pushed apart in three passes, in families of every size.
+    """
+    offsets = stored(spiral(radii.where("parent is not null")))
+    for _ in range(3):
+        offsets = stored(push_apart(offsets))
+    offsets = offsets.select("node_id", "dx", "dy")
     steps = radii.join(offsets, "node_id", "left")
     state = stored(steps.where("parent is null").select("node_id", "depth", F.lit(0.0).alias("x"), F.lit(0.0).alias("y")))
     for depth in range(1, (radii.agg(F.max("depth")).first()[0] or 0) + 1):

@@ -37,10 +37,10 @@ def csr(nodes: DataFrame, edges: DataFrame, inverse: bool = False) -> DataFrame:
     return running(rows, "node_id", F.size("targets")).withColumnRenamed("before", "first")
 
 
-def running(df: DataFrame, order: str, value: Column) -> DataFrame:
+def running(df: DataFrame, order: str, value: Column, kind: str = "long") -> DataFrame:
     """``before``: the sum of ``value`` over all rows that come before in ``order``, with no task seeing all rows."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = stored(df.withColumn("_v", value.cast("long")).repartitionByRange(n, order).withColumn("_p", F.spark_partition_id()))
+    ranged = stored(df.withColumn("_v", value.cast(kind)).repartitionByRange(n, order).withColumn("_p", F.spark_partition_id()))
     sizes = ranged.groupBy("_p").agg(F.sum("_v").alias("n"))
     offsets = sizes.select("_p", F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
     inside = F.coalesce(F.sum("_v").over(Window.partitionBy("_p").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 
 from graphloom.functions.geometry import Affine, Viewport
@@ -58,6 +59,24 @@ def test_bubbles(spark):
     assert radii[0] == pytest.approx(29.6932, abs=1e-4) and radii[5] == 10.0
 
 
+def test_large_families_are_pushed_apart(spark):
+    """Three passes of all discs at once, against a plain loop; 2100 children are above the size where passes once stopped."""
+    sizes = [(i, 0, 1, 1.0 + (i * 7919 % 13) * 0.5) for i in range(1, 2101)] + [(i, 1, 2, 3.0) for i in range(3000, 3005)]
+    found = {r.node_id: (r.x, r.y) for r in hierarchy.pack_layout(spark.createDataFrame([(0, None, 0, 50.0), *sizes], "node_id long, parent long, depth int, radius double"), spread=1.0).collect()}
+    discs = sorted((-r, i) for i, p, _, r in sizes if p == 0)
+    r = np.array([-d[0] for d in discs])
+    reach, angle = np.concatenate([[0], np.cumsum(r / np.sqrt(np.arange(len(r)) + 1))[:-1]]), np.arange(len(r)) * math.pi * (3 - math.sqrt(5))
+    at = np.stack([reach * np.cos(angle), reach * np.sin(angle)], 1)
+    start = at
+    for _ in range(3):
+        gap = at[:, None] - at[None]
+        d = np.maximum(np.hypot(gap[..., 0], gap[..., 1]), 1e-9)
+        over = np.tril(np.maximum(r[:, None] + r - d, 0), -1)
+        at = at + (gap / d[..., None] * over[..., None]).sum(1)
+    assert not np.allclose(at, start)
+    assert np.allclose(at, [found[i] for _, i in discs], atol=1e-6) and len(found) == 2106
+
+
 def test_tidy_tree_levels_and_middles(spark):
     tree = hierarchy.spanning(nodes_of(spark, 6), edges_of(spark, [(0, 1), (0, 2), (1, 3), (1, 4), (2, 5)]), 0)
     place = {r.node_id: (r.x, r.y) for r in hierarchy.tidy_tree(tree, level=50.0).collect()}
