@@ -51,7 +51,10 @@ def marching_squares(grid: DataFrame, thresholds: list[float]) -> DataFrame:
 
 
 def metaball(points: DataFrame, size: float, radius: float, blend: float) -> DataFrame:
-    """(cx, cy, field): smooth minimum of the distances to discs of ``radius`` around points near a cell centre, folded in the order of their ids."""
+    """(cx, cy, field): smooth minimum of the distances to discs of ``radius`` around points near a cell centre, folded in the order of their ids.
+
+    The fold depends on its order, so the distances near one cell are held in one task.
+    """
     reach = int((radius + blend) // size) + 1
     steps = F.sequence(F.lit(-reach), F.lit(reach))
     rows = points.withColumn("_a", F.explode(steps)).withColumn("_b", F.explode(steps)).withColumns({"cx": F.col("_a") + cell("x", size), "cy": F.col("_b") + cell("y", size)})

@@ -48,9 +48,17 @@ def running(df: DataFrame, order: str, value: Column, kind: str = "long") -> Dat
 
 
 def csr_faults(rows: DataFrame) -> DataFrame:
-    """Rows of (node_id, first, targets) that don't begin where the row before ends."""
-    w = Window.orderBy("node_id")
-    return rows.select("node_id", "first", (F.coalesce(F.lag("first").over(w) + F.size(F.lag("targets").over(w)), F.lit(0))).alias("expected")).where("first != expected")
+    """Rows of (node_id, first, targets) that don't begin where the row before ends.
+
+    Lists count by their size only; rows are compared within range partitions, and the first
+    of each with the last of the partition before.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ends = rows.select("node_id", "first", F.struct((F.col("first") + F.size("targets")).alias("end")).alias("_e"))
+    ranged = stored(ends.repartitionByRange(n, "node_id").withColumn("_p", F.spark_partition_id()))
+    lasts = ranged.groupBy("_p").agg(F.max(F.struct("node_id", "_e")).alias("m")).select("_p", F.lag("m._e").over(Window.orderBy("_p")).alias("_l"))
+    before = F.coalesce(F.lag("_e").over(Window.partitionBy("_p").orderBy("node_id")), F.col("_l"))
+    return ranged.join(F.broadcast(lasts), "_p").select("node_id", "first", F.coalesce(before["end"], F.lit(0)).alias("expected")).where("first != expected")
 
 
 def depths(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:

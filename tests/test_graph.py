@@ -7,6 +7,7 @@ import pytest
 
 from graphloom.functions.geometry import Affine, Viewport
 from graphloom.operators import analytics, forces, hierarchy, structure
+from graphloom.plans import catalogue
 from graphloom.sources import graph as model
 from graphloom.streaming import values
 
@@ -84,6 +85,20 @@ def test_tidy_tree_levels_and_middles(spark):
     assert place[1][0] == pytest.approx((place[3][0] + place[4][0]) / 2) and len({place[i][0] for i in (3, 4, 5)}) == 3
 
 
+def test_csr_faults_cross_partitions(spark):
+    """A fault is found wherever partitions part, and no window takes all rows or any list."""
+    rows = spark.range(40).selectExpr("id AS node_id", "id * 2 + CASE WHEN id = 25 THEN 1 ELSE 0 END AS first", "array(id, id + 1) AS targets")
+    found = structure.csr_faults(rows)
+    assert sorted(map(tuple, found.collect())) == [(25, 51, 50), (26, 52, 53)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "targets" not in plan and "windowspecdefinition(node_id" not in plan
+
+
+def test_additive_blend_is_a_sum(spark, sf):
+    plan = catalogue.QUERIES["stream_blend_additive"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
+
+
 def test_cycles_end(spark):
     assert hierarchy.spanning(nodes_of(spark, 3), edges_of(spark, [(0, 1), (1, 2), (2, 0), (1, 1)]), 0).count() == 3
 
