@@ -319,7 +319,7 @@ entry = tick_integrate
 
 @query()
 def layout_barnes_hut(spark, d):
-    return forces.layout(_bodies(spark, d), knn(spark, d), "barnes-hut", ticks=3).select("node_id", "x", "y")
+    return forces.layout(_bodies(spark, d), knn(spark, d), "barnes-hut").select("node_id", "x", "y")
 
 
 @query(f"WITH {POINTS}, pr AS (SELECT a.node_id, a.x - b.x AS dx, a.y - b.y AS dy, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM points a JOIN points b ON a.node_id <> b.node_id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) < 64), m AS (SELECT node_id, sum(0.35 * (8 - d) * dx / d) AS mx, sum(0.35 * (8 - d) * dy / d) AS my FROM pr WHERE d > 1e-4 GROUP BY 1) SELECT p.node_id, round(x + coalesce(mx, 0.0), 4) + 0.0 AS x, round(y + coalesce(my, 0.0), 4) + 0.0 AS y FROM points p LEFT JOIN m ON p.node_id = m.node_id")
@@ -478,6 +478,14 @@ def weak_components(spark, d):
     return analytics.weak_components(n, e)
 
 
+@query()
+def weak_components_all(spark, d):
+    """``weak_components`` over all orders."""
+    e = table(spark, d, "orders").select(F.col("o_custkey").alias("src"), (F.col("o_custkey") % 97 + 1000000).alias("dst")).distinct()
+    n = e.select("src").union(e.select("dst")).union(table(spark, d, "customer").select("c_custkey")).distinct().withColumnRenamed("src", "node_id")
+    return analytics.weak_components(n, e)
+
+
 @query()
 def strong_components(spark, d):
     return analytics.strong_components(suppliers(spark, d), knn(spark, d, 2))
@@ -493,6 +501,11 @@ def pagerank(spark, d):
     return rounded(analytics.pagerank(suppliers(spark, d), knn(spark, d), iterations=10), 6)
 
 
+@query()
+def pagerank_20(spark, d):
+    return rounded(analytics.pagerank(suppliers(spark, d), knn(spark, d)), 6)
+
+
 def _katz_sql(rounds: int) -> str:
     steps = [f"r{i} AS (SELECT s_suppkey AS node_id, 1.0 + 0.05 * coalesce(s, 0.0) AS score FROM supplier LEFT JOIN (SELECT dst, sum(score) AS s FROM knn JOIN r{i - 1} ON src = node_id GROUP BY 1) q ON s_suppkey = dst)" for i in range(1, rounds + 1)]
     return f"WITH {KNN}, r0 AS (SELECT s_suppkey AS node_id, CAST(1.0 AS DOUBLE) AS score FROM supplier), {', '.join(steps)} SELECT node_id, round(score, 6) AS score FROM r{rounds}"
@@ -503,9 +516,14 @@ def katz(spark, d):
     return rounded(analytics.katz(suppliers(spark, d), knn(spark, d), iterations=10), 6)
 
 
+@query()
+def katz_20(spark, d):
+    return rounded(analytics.katz(suppliers(spark, d), knn(spark, d)), 6)
+
+
 @query()
 def eigenvector(spark, d):
-    return rounded(analytics.eigenvector(suppliers(spark, d), knn(spark, d), 10), 6)
+    return rounded(analytics.eigenvector(suppliers(spark, d), knn(spark, d)), 6)
 
 
 @query()

@@ -7,7 +7,7 @@ import pytest
 
 from graphloom.functions.geometry import Affine, Viewport
 from graphloom.operators import analytics, forces, hierarchy, structure
-from graphloom.plans import catalogue
+from graphloom.plans import catalogue, testgraphs
 from graphloom.sources import graph as model
 from graphloom.streaming import values
 
@@ -49,6 +49,40 @@ def test_components(spark):
     assert dict(analytics.strong_components(nodes_of(spark, 7), edges).collect()) == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: 5, 6: 6}
 
 
+def test_whole_jobs_against_brute_force(spark, sf):
+    """All orders are edges, and the centralities take 20 rounds."""
+    label = {}
+
+    def top(i):
+        while label.setdefault(i, i) != i:
+            i = label[i]
+        return i
+
+    for (c,) in spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey").collect():
+        top(c)
+    for (c,) in spark.read.parquet(f"{sf}/orders.parquet").select("o_custkey").distinct().collect():
+        a, b = sorted((top(c), top(c % 97 + 1000000)))
+        label[b] = a
+    assert dict(catalogue.QUERIES["weak_components_all"](spark, sf).collect()) == {i: top(i) for i in label}
+
+    nodes = [r[0] for r in testgraphs.suppliers(spark, sf).collect()]
+    links = [(r.src, r.dst) for r in testgraphs.knn(spark, sf).collect()]
+    at = {n: i for i, n in enumerate(nodes)}
+    into = np.zeros((len(nodes), len(nodes)))
+    for a, b in links:
+        into[at[b], at[a]] += 1
+    out = into.sum(0)
+    rank, score, katz = np.full(len(nodes), 1 / len(nodes)), np.ones(len(nodes)), np.ones(len(nodes))
+    for _ in range(20):
+        rank = 0.15 / len(nodes) + 0.85 * (into @ (rank / np.maximum(out, 1)) + rank[out == 0].sum() / len(nodes))
+        score = score + into @ score
+        score /= np.sqrt((score**2).sum())
+        katz = 1 + 0.05 * into @ katz
+    for name, want in (("pagerank_20", rank), ("eigenvector", score), ("katz_20", katz)):
+        got = dict(catalogue.QUERIES[name](spark, sf).collect())
+        assert [got[n] for n in nodes] == pytest.approx(want, abs=2e-6)
+
+
 def test_betweenness_of_a_chain(spark):
     found = dict(analytics.betweenness(nodes_of(spark, 4), edges_of(spark, [(0, 1), (1, 2), (2, 3)])).collect())
     assert found == {0: 0.0, 1: 2.0, 2: 2.0, 3: 0.0}
