@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import operator
 import unicodedata
 import zlib
 from array import array
 from collections import deque
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -19,9 +21,9 @@ from tokenizers import Tokenizer
 
 from graphloom.llm.common import map_batches, materialize
 
-#: The default vocabulary, one of the installed public tokenizers; pass another file's path to use it.
+#: The default vocabulary, one of the installed public tokenizers.
 VOCABULARY = "word_bpe_49k.json"
-TOKEN_SCHEMA = "doc_id long, n_ids long, ids binary, cuts binary"
+TOKEN_SCHEMA = "doc_id long, n_ids long, ids binary, cuts binary, row long"
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, input_ids binary"
 
 
@@ -31,98 +33,132 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-class WordIds(dict):
-    """Numbers white-space words and holds the vocabulary's ids of each, encoded once while they are remembered.
+#: The parts into which the default vocabulary splits a text, as its file has it.
+PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_STOP = operator.methodcaller("endswith", (".", "!", "?", "\u2026"))
 
-    The vocabulary composes and lower-cases a text, drops white space, and splits the rest
-    into letters, single digits and other signs; every part ends with a token marked
-    ``</w>``. So a text's ids are its words' ids in a row, a word's are its parts', and many
-    new parts can be encoded as one text and told apart by the marks. About ``most`` words
-    and twice as many parts are remembered.
+
+class WordIds:
+    """Ids of texts by their white-space words, each encoded once while it is remembered.
+
+    A vocabulary that composes and lower-cases a text, drops white space and splits the rest
+    by ``PARTS``, every part ending with a token marked ``</w>``, gives a text its words' ids
+    in a row and a word its parts'; many new parts can be encoded as one text and told apart
+    by the marks. About ``most`` words and twice as many parts are remembered. With any other
+    vocabulary texts are encoded as wholes, which is slower.
     """
 
-    PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")  # the vocabulary's own pattern
+    SPLIT = regex.compile("\n|" + PARTS)
+    SENTENCE = regex.compile(r"[.!?\u2026](?=\s)")
     #: Signs that are white space to Python only, and texts of special tokens; such a text is encoded as a whole.
     ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|startoftext|>", "<|endoftext|>")
 
-    def __init__(self, path: str, most: int = 80_000):
-        super().__init__()
+    def __init__(self, path: str, most: int = 150_000):
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.marks = {i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")}
-        self.parts: dict[str, bytes] = {}
-        self.new: list[str] = []
-        self.forget()
-
-    def forget(self) -> None:
-        self.clear()
-        self.ids, self.starts, self.stops = array("I"), array("q", [0]), bytearray()
-
-    def __missing__(self, word: str) -> int:
-        self.new.append(word)
-        self[word] = number = len(self)
-        return number
-
-    def whole(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def learn(self) -> None:
-        """Encode the words that got their numbers just now."""
-        parts, counts = [], array("q")
-        for word in self.new:
-            if word.isascii():
-                plain = word.lower()
-            else:
-                plain = self.tokenizer.normalizer.normalize_str(word) if "\u03a3" in word else unicodedata.normalize("NFC", word).lower()
-            if plain.isalpha():
-                parts.append(plain)
-                counts.append(1)
-            else:
-                some = self.PARTS.findall(plain)
-                parts += some
-                counts.append(len(some))
-        unknown = [p for p in set(parts) if p not in self.parts]
-        for k in range(0, len(unknown), 500):
-            some, found, ids = unknown[k : k + 500], [], array("I")
-            for i in self.whole(" ".join(some)):
-                ids.append(i)
-                if i in self.marks:
-                    found.append(ids.tobytes())
-                    ids = array("I")
-            if ids or len(found) != len(some):  # no vocabulary seen here does this
-                found = [array("I", self.whole(p)).tobytes() for p in some]
-            self.parts.update(zip(some, found, strict=True))
-        found = list(map(self.parts.__getitem__, parts))
-        ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // 4)])[np.cumsum(np.array(counts, np.int64))]
-        self.starts.frombytes((ends + len(self.ids)).astype(np.int64).tobytes())
-        self.ids.frombytes(b"".join(found))
-        self.stops += bytes(word[-1] in ".!?\u2026" for word in self.new)
-        self.new = []
-
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each text its ids and the offsets in them at which sentences end."""
-        if len(self) > self.most:
-            self.forget()
+        self.marks = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        self.marks[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+        made = json.loads(self.tokenizer.to_str())
+        self.by_words = self._splits(made)
+        if self.by_words:  # parts are normal and apart already
+            signs = [s for s in made["pre_tokenizer"]["pretokenizers"] if s["type"] == "ByteLevel"]
+            made |= {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *signs]}, "post_processor": None, "added_tokens": []}
+            self.of_parts = Tokenizer.from_str(json.dumps(made))
+        self.parts, self.part_ids = {}, _Lists()
+        self.words, self.word_ids, self.stops = {}, _Lists(), bytearray()
+
+    @staticmethod
+    def _splits(made: dict) -> bool:
+        kinds = [n["type"] for n in (made["normalizer"] or {}).get("normalizers", [])]
+        patterns = [s["pattern"].get("Regex") for s in (made["pre_tokenizer"] or {}).get("pretokenizers", []) if s["type"] == "Split" and s["invert"]]
+        return kinds == ["NFC", "Replace", "Lowercase"] and patterns == [PARTS] and made["model"].get("end_of_word_suffix") == "</w>"
+
+    def whole(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        found = self.tokenizer.encode(text, add_special_tokens=False)
+        stops = [m.end() for m in self.SENTENCE.finditer(text)]
+        ends = np.array([e for _, e in found.offsets], np.int64)
+        return np.array(found.ids, np.uint32), np.unique(np.searchsorted(ends, stops) + 1) if stops and len(ends) else np.array([], np.int64)
+
+    def learn_parts(self, parts: list[str]) -> None:
+        for k in range(0, len(parts), 2000):
+            some = parts[k : k + 2000]
+            ids = np.array(self.of_parts.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.marks[ids]) + 1
+            if len(ends) != len(some) or ends[-1] != len(ids):  # no vocabulary seen here does this
+                each = [np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, np.uint32) for p in some]
+                ids, ends = np.concatenate(each), np.cumsum([len(e) for e in each])
+            self.parts.update(zip(some, range(len(self.parts), len(self.parts) + len(some)), strict=True))
+            self.part_ids.add(ids, ends)
+
+    def learn(self, words: list[str]) -> None:
+        """Encode words not seen before."""
+        joined = "\n".join(words)
+        if "\u03a3" in joined:  # Python lowers a last sigma its own way
+            plain = "\n".join(self.tokenizer.normalizer.normalize_str(w) if "\u03a3" in w else unicodedata.normalize("NFC", w).lower() for w in words)
+        else:
+            plain = (joined if joined.isascii() else unicodedata.normalize("NFC", joined)).lower()
+        parts = self.SPLIT.findall(plain)
+        self.learn_parts([p for p in set(parts).difference(self.parts) if p != "\n"])
+        self.parts["\n"] = -1
+        which = np.fromiter(map(self.parts.__getitem__, parts), np.int64, len(parts))
+        del self.parts["\n"]
+        breaks = which < 0
+        word = np.cumsum(breaks)[~breaks]
+        ids, ends = self.part_ids.gather(which[~breaks])
+        lengths = np.bincount(word, np.diff(ends, prepend=0), len(words)).astype(np.int64)
+        self.words.update(zip(words, range(len(self.words), len(self.words) + len(words)), strict=True))
+        self.word_ids.add(ids, np.cumsum(lengths))
+        self.stops += bytes(map(_STOP, words))
+
+    def encode(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each text its ids and the offsets in them at which sentences end; null counts as empty."""
+        texts = texts.fill_null("")
+        if not self.by_words:
+            return [self.whole(t.as_py()) for t in texts]
+        if len(self.words) > self.most:
+            self.words, self.word_ids, self.stops = {}, _Lists(), bytearray()
         if len(self.parts) > 2 * self.most:
-            self.parts = {}
-        split = [[] if any(o in t for o in self.ODD) else t.split() for t in texts]
-        which = np.fromiter(map(self.__getitem__, chain.from_iterable(split)), np.int64)
-        self.learn()
-        starts = np.frombuffer(self.starts, np.int64)
-        lengths = (starts[1:] - starts[:-1])[which]
-        ends = np.cumsum(lengths)
-        ids = np.frombuffer(self.ids or array("I", [0]), np.uint32)[np.repeat(starts[which] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
+            self.parts, self.part_ids = {}, _Lists()
+        odd = np.zeros(len(texts), bool)
+        for sign in self.ODD:
+            odd |= pc.match_substring(texts, sign).to_numpy(zero_copy_only=False)
+        split = pc.utf8_split_whitespace(texts)
+        bounds = split.offsets.to_numpy()
+        words = split.flatten().dictionary_encode()
+        each = words.dictionary.to_pylist()
+        if new := [w for w in each if w not in self.words]:
+            self.learn(new)
+        which = np.fromiter(map(self.words.__getitem__, each), np.int64, len(each))[words.indices.to_numpy()]
+        ids, ends = self.word_ids.gather(which)
         stop = np.frombuffer(self.stops or b"0", bool)[which]
-        out, part, at = [], 0, 0
-        for text, words in zip(texts, split, strict=True):
-            if words:
-                last = part + len(words)
-                out.append((ids[at : ends[last - 1]], np.unique(ends[part:last][stop[part:last]] - at)))
-                part, at = last, ends[last - 1]
-            else:
-                out.append((np.array(self.whole(text), np.uint32), np.array([], np.int64)))
+        out, at = [], 0
+        for number, (first, last) in enumerate(zip((bounds[:-1] - bounds[0]).tolist(), (bounds[1:] - bounds[0]).tolist(), strict=True)):
+            end = ends[last - 1] if last else 0
+            out.append(self.whole(texts[number].as_py()) if odd[number] else (ids[at:end], ends[first:last][stop[first:last]] - at))
+            at = end
         return out
 
 
+class _Lists:
+    """Many short lists of ids in one growing array."""
+
+    def __init__(self):
+        self.ids, self.bounds = array("I"), array("q", [0])
+
+    def add(self, ids: np.ndarray, ends: np.ndarray) -> None:
+        self.bounds.frombytes((ends + len(self.ids)).astype(np.int64).tobytes())
+        self.ids.frombytes(ids.astype(np.uint32).tobytes())
+
+    def gather(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these lists one after another, and where each ends."""
+        if not len(which):
+            return np.array([], np.uint32), np.array([], np.int64)
+        bounds = np.frombuffer(self.bounds, np.int64)
+        starts = bounds[which]
+        lengths = bounds[which + 1] - starts
+        ends = np.cumsum(lengths)
+        return np.frombuffer(self.ids, np.uint32)[np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1])], ends
+
+
 _KNOWN: dict[str, WordIds] = {}
 
 
@@ -130,21 +166,24 @@ def tokenize(docs: DataFrame, path: str | None = None, end_id: int = 2, id_col:
     """Per row of ``docs`` its ids (little-endian unsigned 32-bit) followed by ``end_id``, and where sentences end.
 
     ``cuts`` holds 32-bit offsets into the ids, rising, the last one being ``n_ids``. A null
-    text counts as empty: its only id is ``end_id``. Other columns are ignored.
+    text counts as empty: its only id is ``end_id``. ``row`` numbers the rows, so that equal
+    ones can be told apart. Other columns are ignored.
     """
     path = path or vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _KNOWN.setdefault(path, None) or WordIds(path)  # one per Python worker, kept from task to task
         _KNOWN[path] = known
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                keys, texts = batch.column(0)[at : at + 256], batch.column(1)[at : at + 256].to_pylist()
+            for at in range(0, batch.num_rows, 1000):
+                keys = batch.column(0)[at : at + 1000]
                 ids, cuts = [], []
-                for own, stops in known.encode([t or "" for t in texts]):
+                for own, stops in known.encode(batch.column(1)[at : at + 1000]):
                     ids.append(np.append(own, np.uint32(end_id)).astype("<u4"))
                     cuts.append(np.append(stops[(stops > 0) & (stops < len(own))], len(own) + 1).astype("<u4").tobytes())
-                yield pa.record_batch([keys, pa.array(map(len, ids), pa.int64()), pa.array([i.tobytes() for i in ids], pa.binary()), pa.array(cuts, pa.binary())], ["doc_id", "n_ids", "ids", "cuts"])
+                yield pa.record_batch([keys, pa.array(map(len, ids), pa.int64()), pa.array([i.tobytes() for i in ids], pa.binary()), pa.array(cuts, pa.binary()), pa.array(np.arange(row, row + len(ids)))], ["doc_id", "n_ids", "ids", "cuts", "row"])
+                row += len(ids)
 
     return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, TOKEN_SCHEMA)
 
@@ -185,7 +224,7 @@ class _Shard:
 
     def __init__(self, window: int, penalty: float, hard_penalty: float, longest: int, block: int, first_id: int):
         self.window, self.penalty, self.hard_penalty, self.longest, self.block, self.next_id = window, penalty, hard_penalty, min(longest, window), block, first_id
-        self.docs: list[tuple] = []  # id, ids, cuts, ids already packed
+        self.docs: deque[tuple] = deque()  # id, ids, cuts, ids already packed
         self.held = 0
 
     def add(self, doc_id, ids: np.ndarray, cuts: np.ndarray) -> None:
@@ -228,7 +267,7 @@ class _Shard:
             pieces.append((doc_id, done, take, zlib.crc32(part), len(ids), self.next_id, at - begin, part))
             at, self.held = at + take, self.held - take
             if done + take == len(ids):
-                self.docs.pop(0)
+                self.docs.popleft()
             else:
                 self.docs[0] = (doc_id, ids, cuts, done + take)
             if at == end:
@@ -264,7 +303,8 @@ def pack(
     tokens = materialize(tokenize(docs, path, end_id, id_col, text_col))
     total = tokens.agg(F.sum("n_ids")).first()[0] or 0
     shards = max(1, round(total / shard_ids))
-    ordered = tokens.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", F.crc32("ids"))
+    tokens = tokens.withColumn("crc", F.crc32("ids"))
+    ordered = tokens.repartitionByRange(shards, "doc_id", "crc", "row").sortWithinPartitions("doc_id", "crc", "row")  # null and repeated ids may lie in many ranges
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = _Shard(window, penalty, hard_penalty, longest, 1_000_000, TaskContext.get().partitionId() << 36)
