@@ -22,15 +22,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset, a temporary one in local mode and an error on a cluster."""
     if not (path := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="graphloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Send whole texts to Python in batches of ``rows``, not Spark's default of 10,000: a task's memory follows the batch. A setting of the user's own stays."""
+    """Send whole texts to Python in batches of ``rows``, not Spark's default of 10,000: a task's memory follows the batch. Any other setting of the user's own stays."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(name) == "10000":
         spark.conf.set(name, str(rows))
@@ -42,14 +44,30 @@ def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
     return df.mapInArrow(run, schema)
 
 
+_WRITTEN: list[str] = []
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: the lineage ends there, so a lost executor costs one stage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/graphloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written() -> int:
+    """A mark for ``forget``: how many tables this process has materialized and not removed."""
+    return len(_WRITTEN)
+
+
+def forget(spark: SparkSession, since: int = 0) -> None:
+    """Remove the tables materialized after the mark ``since``; results that still read from them must have been written elsewhere."""
+    while len(_WRITTEN) > since:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class WordHashes(dict):
     """64-bit hash of each word (bytes), kept for words seen before; starts over at ``most`` words so that memory stays bounded."""
 

@@ -70,11 +70,16 @@ def postings(reps: DataFrame) -> DataFrame:
     return kept.where(F.size("keys") >= MATCHES).select("id", "n", F.explode(F.slice("keys", F.lit(1), F.size("keys") - MATCHES + 1)).alias("k")).select(F.col("k.key").alias("key"), "id", "n")
 
 
-def _matching(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs whose signatures agree in ``MATCHES`` coordinates or more."""
+def _matching(met: DataFrame, reps: DataFrame) -> DataFrame:
+    """Pairs that collide in ``MATCHES`` coordinates or more; ``met`` has (a, b) with the collisions counted in posted lists.
+
+    Pairs with enough of these are through. The others' remaining lists, the frequent ones
+    among them, aren't merged but probed: the two signatures tell at once which lists hold both.
+    """
     one, two = reps.select(F.col("id").alias("a"), F.col("signature").alias("sa")), reps.select(F.col("id").alias("b"), F.col("signature").alias("sb"))
     shared = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    return pairs.join(one, "a").join(two, "b").where(shared >= MATCHES).select("a", "b")
+    probed = met.where(F.col("met") < MATCHES).join(one, "a").join(two, "b").where(shared >= MATCHES)
+    return met.where(F.col("met") >= MATCHES).select("a", "b").union(probed.select("a", "b"))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, numerator: int, denominator: int) -> DataFrame:
@@ -98,13 +103,15 @@ def verified(pairs: DataFrame, texts: DataFrame, numerator: int, denominator: in
 
 
 def shingle_postings(texts: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """(key, id, n, s, index): documents of ``texts`` (id, text) under the shingles by which they can still reach the similarity.
+    """(key, id, n, behind, index): documents of ``texts`` (id, text) under the shingles by which they can still reach the similarity.
 
     The intersection of a linked pair is at least ``numerator / denominator`` of either set,
     and ``2 * numerator / (numerator + denominator)`` of the smaller one. With shingles in the
     order of their document frequency, a linked pair shares one within the rarest that are
     over these bounds, the smaller set's (those marked ``index``) being fewer. Shingles of one
-    document count in that order but aren't posted.
+    document count in that order but aren't posted. ``behind`` counts a document's shared
+    shingles from this one on: two documents that first meet here can't have more in common
+    than the lesser of both, so a list skips all pairs for which that is too few.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,10 +128,10 @@ def shingle_postings(texts: DataFrame, numerator: int, denominator: int) -> Data
     kept = exploded.join(frequent, "key").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("keys"))  # one document's
     least = lambda part, whole: F.ceil(F.col("n") * part / whole - 1e-9)
     posted = kept.select("id", "n", F.size("keys").alias("s"), (F.size("keys") - least(2 * numerator, numerator + denominator)).alias("few"), F.slice("keys", F.lit(1), F.greatest(F.size("keys") - least(numerator, denominator) + 1, F.lit(0)).cast("int")).alias("keys"))
-    return posted.select("id", "n", "s", "few", F.posexplode("keys").alias("at", "k")).select(F.col("k.key").alias("key"), "id", "n", "s", (F.col("at") <= F.col("few")).alias("index"))
+    return posted.select("id", "n", "s", "few", F.posexplode("keys").alias("at", "k")).select(F.col("k.key").alias("key"), "id", "n", (F.col("s") - F.col("at")).alias("behind"), (F.col("at") <= F.col("few")).alias("index"))
 
 
-def near_groups(docs: DataFrame, numerator: int = 75, denominator: int = 100, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_groups(docs: DataFrame, numerator: int = 75, denominator: int = 100, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: ``doc_id, n_shingles, component_id, kept``.
 
     Documents are linked where ``denominator * intersection >= numerator * union`` of their
@@ -135,14 +142,15 @@ def near_groups(docs: DataFrame, numerator: int = 75, denominator: int = 100, ro
     list, another one each time, is compared with the members in other components, which ties
     groups of near copies together without all their pairs. At last the members of lists that
     still hold several components are posted by their rarest shingles (``shingle_postings``),
-    and all pairs that these bring together across components are compared: no link
-    between components is lost, and hot lists of unlinked documents aren't paired out.
-    Pairs from the lists must share ``MATCHES`` coordinates; all links are confirmed on the
-    full sets.
+    and the pairs that can reach the similarity from where they first meet are compared across
+    components: no link between components is lost, and hot lists of unlinked documents
+    aren't paired out. Pairs with a pivot must collide in ``MATCHES`` coordinates; all links are
+    confirmed on the full sets (of 64-bit hashes of the shingles).
 
     Null, empty and blank texts have no shingles and are linked with nothing. A row with a
     null id has a null component and isn't kept. Repeated rows get equal results; an id with
-    several texts is one document that has every link of any of them. An empty table gives
+    several texts is one document that has every link of any of them. Long texts are taken
+    whole, with one row for each of their shingles in the last step only. An empty table gives
     no rows. Other columns are ignored.
     """
     rows = materialize(signatures(docs, id_col, text_col))
@@ -160,8 +168,8 @@ def near_groups(docs: DataFrame, numerator: int = 75, denominator: int = 100, ro
     for turn in range(rounds):
         order = F.xxhash64(F.lit(turn), "id") if turn else F.col("id")
         pivots = materialize(placed.groupBy("key").agg(F.min(F.struct(order.alias("o"), "id", "n", "component")).alias("p"), F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key", F.col("p.id").alias("a"), F.col("p.n").alias("na"), F.col("p.component").alias("ca")))
-        pairs = placed.join(pivots, "key").where(similar).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-        found = materialize(verified(_matching(pairs, known), texts, numerator, denominator))
+        met = materialize(placed.join(pivots, "key").where(similar).groupBy(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).agg(F.count("*").alias("met")))
+        found = materialize(verified(_matching(met, known), texts, numerator, denominator))
         links = found if links is None else links.union(found)
         component = materialize(components(links))
         placed = materialize(posted.join(component, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component")))
@@ -171,10 +179,10 @@ def near_groups(docs: DataFrame, numerator: int = 75, denominator: int = 100, ro
     several = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
     left = materialize(placed.join(several, "key", "left_semi").select("id").distinct())
     rare = shingle_postings(texts.join(left, "id", "left_semi"), numerator, denominator)
-    rare = materialize(rare.join(component, "id", "left").select("key", "id", "n", "s", "index", F.coalesce("component", "id").alias("component")))
-    one = rare.where("index").select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"), F.col("component").alias("ca"))
-    shared = (numerator + denominator) * F.least("s", "sa") >= numerator * (F.col("n") + F.col("na"))
-    pairs = one.join(rare, "key").where(similar & shared & (F.struct("na", "a") < F.struct("n", "id"))).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+    rare = materialize(rare.join(component, "id", "left").select("key", "id", "n", "behind", "index", F.coalesce("component", "id").alias("component")))
+    one = rare.where("index").select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("behind").alias("more"), F.col("component").alias("ca"))
+    enough = (numerator + denominator) * F.least("behind", "more") >= numerator * (F.col("n") + F.col("na"))
+    pairs = one.join(rare, "key").where(similar & enough & (F.struct("na", "a") < F.struct("n", "id"))).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
     found = materialize(verified(pairs, texts, numerator, denominator))
 
     joined = materialize(components(links.union(found)))
