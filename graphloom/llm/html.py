@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,85 +15,100 @@ from graphloom.llm.common import map_batches
 
 #: Lines that a window spans, and the least text within it at which the main text may surge up.
 SPAN, SURGE = 3, 60
+#: How many times its length a line counts in an element marked as the article, and a heading elsewhere.
+MARKED = 4
+#: Marks count where they hold this part of a page's text, or more.
+SHARE = 1 / 3
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+# Possessive throughout: no text is scanned twice. A quoted value ends where white space, a slash or the tag's end follows.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>"']++|"[^"]*+"(?=[\s/>])|'[^']*+'(?=[\s/>]))*+)>""")
+_BROKEN = re.compile(r"[<>]")
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?""")
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 #: Elements whose contents are no text: everything up to their end tag goes.
 _RAW = frozenset("script style noscript template iframe object embed svg math canvas audio video head title textarea select option datalist noframes map".split())
 #: Of these, what holds no elements and so goes to the page's end if nothing ends it; where another has no end tag, only its tag goes.
 _UNENDED = frozenset("script style title textarea iframe noframes".split())
 #: Elements that lie around the main text.
-_AROUND = frozenset("nav header footer aside form dialog menu button fieldset label input figcaption".split())
+_AROUND = frozenset("nav header footer aside form dialog menu button fieldset label input".split())
 #: Elements that don't part a line.
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img input".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that another of the same kind, or the end of what holds them, ends.
 _LOOSE = frozenset("p li dt dd tr td th option thead tbody tfoot colgroup".split())
-#: Words of an element's class, id or role that name what isn't main text.
+_PAIRS = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}
+_ENDS_P = frozenset("article section div ul ol table footer header nav aside form h1 h2 h3 h4 h5 h6 blockquote pre".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Words that name what isn't main text, and words that say nothing beside them: a name of an
+#: element's class, id or role counts if all its words are of these, one at least of the first.
 _BOILER = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion promoted nav navbar navigation menu menubar breadcrumb breadcrumbs"
     " header masthead topbar footer sidebar aside complementary contentinfo widget widgets related recommended recommendations share sharing social"
     " comment comments commentlist disqus respond reply replies cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter"
     " subscribe subscription signup login pagination pager toolbar skip tags tagcloud search searchbox copyright legal disclaimer form".split()
 )
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-_WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
+_NEUTRAL = frozenset(
+    "area bar bars block box boxes btn button buttons bottom top left right center inner outer main page site global primary secondary section list item items"
+    " link links container wrapper wrap group row col column content the to of us new more unit slot zone panel thread no js fixed sticky mobile desktop google".split()
+)
 
 
 class _Line:
-    __slots__ = ("linked", "main", "named", "text")
+    __slots__ = ("heading", "linked", "main", "named", "text")
 
-    def __init__(self, text: str, linked: int, main: bool, named: tuple[int, ...]):
-        self.text, self.linked, self.main, self.named = text, linked, main, named
+    def __init__(self, text: str, linked: int, main: bool, named: int, heading: bool):
+        self.text, self.linked, self.main, self.named, self.heading = text, linked, main, named, heading
 
 
-def _names(attributes: str) -> tuple[frozenset[str], frozenset[str], bool, bool]:
-    """Names in class, id and role; the words in these; whether the element is hidden; whether it is the main text's."""
-    names, words, hidden, main = set(), set(), False, False
+def _names(attributes: str) -> tuple[bool, bool, bool]:
+    """Whether class, id or role name what isn't main text; whether the element is hidden; whether it is the main text's."""
+    boiler, hidden, main = False, False, False
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _HIDDEN.search(value):
             hidden = True
         elif name == "itemprop":
             main |= value.lower() == "articlebody"
         elif name in ("class", "id", "role"):
-            names.update(value.lower().split())
-            words.update(w.lower() for w in _WORD.findall(value))
             main |= name == "role" and value.lower() in ("main", "article")
-    return frozenset(names), frozenset(words), hidden, main
+            for one in value.split():
+                words = {w.lower() for w in _WORD.findall(one)}
+                boiler |= bool(words & _BOILER) and words <= _BOILER | _NEUTRAL
+    return boiler, hidden, main
 
 
-def _unnamed(lines: list[_Line], named: list[tuple[bool, bool]]) -> list[_Line]:
-    """The lines outside the elements whose names say that they lie around the main text.
+def lines_of(page: str) -> list[_Line]:
+    """The lines of a page in order, those around the main text without their text.
 
-    A name doesn't count where the element holds most of the text that is marked as an
-    article's, the mark being within it; nor where only a part of a name says so and the
-    element holds most of the text.
+    One pass over the page: markup is found by its next sign, and what is looked for in
+    vain isn't looked for again, so broken pages take no longer. An element of a name that
+    isn't main text's is passed over, unless it holds most of the page's text or of what is
+    marked as an article's within it.
     """
-    if not named:
-        return lines
-    of = [x for x in lines if x.main] or lines
-    marked, total, held = of[0].main if of else False, sum(len(x.text) for x in of), [0] * len(named)
-    for x in of:
-        for i in x.named:
-            held[i] += len(x.text)
-    out = {i for i, (whole, inside) in enumerate(named) if 2 * held[i] <= total or whole and (inside or not marked)}
-    return [x for x in lines if out.isdisjoint(x.named)]
-
-
-def lines_of(page: str) -> list[_Line]:
-    """The text lines of a page outside markup, scripts, hidden elements and what lies around the main text, in page order."""
     lines: list[_Line] = []
     text: list[str] = []
-    linked = 0
-    stack: list[tuple[str, bool, bool, tuple[int, ...]]] = []  # name, around the main text, within an article, elements with names of what lies around
-    named: list[tuple[bool, bool]] = []  # whether a whole name says so, whether it lies within an article
-    link = 0
+    stack: list[tuple[str, bool, bool, int, bool]] = []  # name, around the main text, within an article, named element around (-1 none), heading
+    named: list[tuple[int, bool]] = []  # the named element around, whether within an article
+    opened: Counter = Counter()
+    absent: set[str] = set()
+    linked = link = 0
+
+    def find(sign: str, start: int) -> int:
+        if sign in absent:
+            return -1
+        if (found := page.find(sign, start)) < 0:
+            absent.add(sign)
+        return found
 
     def flush() -> None:
         nonlocal linked
-        joined = " ".join(html.unescape("".join(text)).split())
-        if joined:
-            lines.append(_Line(joined, linked, bool(stack) and stack[-1][2], stack[-1][3] if stack else ()))
+        around, main, within, heading = stack[-1][1:] if stack else (False, False, -1, False)
+        if around:
+            if not lines or lines[-1].text or len(lines) < SPAN or any(x.text for x in lines[-SPAN:]):
+                lines.append(_Line("", 0, main, within, False))
+        elif joined := " ".join(html.unescape("".join(text)).split()):
+            lines.append(_Line(joined, linked, main, within, heading))
         text.clear()
         linked = 0
 
@@ -103,100 +119,150 @@ def lines_of(page: str) -> list[_Line]:
             if link:
                 linked += len(raw)
 
-    def close(name: str) -> None:
+    def pop() -> None:
         nonlocal link
-        for at in range(len(stack) - 1, -1, -1):
-            if stack[at][0] == name:
-                link -= sum(s[0] == "a" for s in stack[at:])
-                del stack[at:]
+        name = stack.pop()[0]
+        opened[name] -= 1
+        link -= name == "a"
+
+    def close(name: str) -> None:
+        while opened[name]:
+            last = stack[-1][0]
+            pop()
+            if last == name:
                 return
 
     at, end = 0, len(page)
     while at < end:
-        tag = _TAG.search(page, at)
-        if not tag:
+        sign = page.find("<", at)
+        if sign < 0:
             add(page[at:])
             break
-        add(page[at : tag.start()])
-        at = tag.end()
-        name = (tag[2] or "").lower()
-        if not name:
+        add(page[at:sign])
+        follows = page[sign + 1 : sign + 2]
+        if follows in ("!", "?"):
+            closing = "-->" if page.startswith("!--", sign + 1) else "]]>" if page.startswith("![CDATA[", sign + 1) else ">"
+            at = find(closing, sign + 2)
+            at = end if at < 0 else at + len(closing)
+            continue
+        if not (follows.isascii() and follows.isalpha() or follows == "/" and page[sign + 2 : sign + 3].isalpha()):
+            add("<")
+            at = sign + 1
             continue
+        if not (tag := _TAG.match(page, sign)):  # a broken one ends with the next sign
+            stop = _BROKEN.search(page, sign + 1)
+            at = end if not stop else stop.end() if stop[0] == ">" else stop.start()
+            continue
+        at, name, attributes = tag.end(), tag[2].lower(), tag[3]
         if name not in _INLINE:
             flush()
         if tag[1]:
             close(name)
             continue
-        if name in _VOID or tag[3].endswith("/") and (name not in _RAW or name in ("svg", "math")) and name not in _INLINE:
+        if name in _VOID or attributes.endswith("/") and (name not in _RAW or name in ("svg", "math")) and name not in _INLINE:
             continue
         if name in _RAW:
-            done = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
+            done = None if name in absent else re.compile(rf"</{re.escape(name)}\b[^<>]*+>", re.I).search(page, at)
+            if not done:
+                absent.add(name)
             at = done.end() if done else end if name in _UNENDED else at
             continue
-        if name in _LOOSE and stack and (stack[-1][0] == name or name in ("dt", "dd") and stack[-1][0] in ("dt", "dd") or name in ("td", "th") and stack[-1][0] in ("td", "th")):
-            stack.pop()
-        elif name in ("article", "section", "div", "ul", "ol", "table", "footer", "header", "nav", "aside", "form", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre") and any(s[0] == "p" for s in stack):
+        if name in _LOOSE and stack and stack[-1][0] in _PAIRS.get(name, (name,)):
+            pop()
+        elif name in _ENDS_P and opened["p"]:
             close("p")
-        around, main, within = stack[-1][1:] if stack else (False, False, ())
-        whole, words, hidden, own = _names(tag[3]) if tag[3] and not tag[3].isspace() else (frozenset(), frozenset(), False, False)
-        inside = name in ("article", "main") or own
+        around, main, within, heading = stack[-1][1:] if stack else (False, False, -1, False)
+        boiler, hidden, own = _names(attributes) if attributes and not attributes.isspace() else (False, False, False)
         around |= hidden or name in _AROUND and not (main and name == "header")
-        if words & _BOILER and name not in ("body", "html", "article", "main"):
+        if boiler and name not in ("body", "html", "article", "main"):
             if name in _INLINE:
                 around = True
             else:
-                within = (*within, len(named))
-                named.append((bool(whole & _BOILER), main))
-        stack.append((name, around, main or inside, within))
+                named.append((within, main))
+                within = len(named) - 1
+        stack.append((name, around, main or own or name in ("article", "main"), within, heading or name in _HEADINGS))
+        opened[name] += 1
         link += name == "a"
     flush()
     return _unnamed(lines, named)
 
 
-def blocks(lengths: list[int], span: int = SPAN, surge: int = SURGE) -> list[tuple[int, int]]:
+def _unnamed(lines: list[_Line], named: list[tuple[int, bool]]) -> list[_Line]:
+    """Lines within elements whose names say that they lie around the main text lose their text.
+
+    A name doesn't count where the element holds most of the page's text, or lies around the
+    article's mark and holds most of the text marked.
+    """
+    if not named:
+        return lines
+    marked = any(x.main and x.text for x in lines)
+    held, total = [0] * len(named), 0
+    for x in lines:
+        if x.main or not marked:
+            total += len(x.text)
+            if x.named >= 0:
+                held[x.named] += len(x.text)
+    for i in range(len(named) - 1, -1, -1):  # what holds an element comes before it
+        if named[i][0] >= 0:
+            held[named[i][0]] += held[i]
+    out: list[bool] = []
+    for i, (around, inside) in enumerate(named):
+        out.append(around >= 0 and out[around] or inside and marked or 2 * held[i] <= total)
+    return [_Line("", 0, x.main, -1, False) if x.named >= 0 and out[x.named] else x for x in lines]
+
+
+def blocks(lengths: list[float], span: int = SPAN, surge: float = SURGE) -> list[tuple[int, int]]:
     """Stretches of lines between a surge of the windows' text and the dive to none.
 
     The window at a line is that line and the ``span - 1`` after it. Text surges where a
     window reaches ``surge`` and its first line has text; it dives at the first window without.
     """
-    sums = [sum(lengths[i : i + span]) for i in range(len(lengths))]
     found, start = [], None
-    for i, total in enumerate(sums):
-        if start is None and total >= surge and lengths[i]:
+    total = sum(lengths[:span])
+    for i, own in enumerate(lengths):
+        if start is None and total >= surge and own:
             start = i
         elif start is not None and not total:
             found.append((start, i))
             start = None
+        total = total - own + (lengths[i + span] if i + span < len(lengths) else 0)
     if start is not None:
         found.append((start, len(lengths)))
     return found
 
 
-def main_text(page: str | None) -> str:
-    """The main text of a page: its lines joined by one space; empty if none.
+def weights(lines: list[_Line], marks: bool = True) -> list[int]:
+    """How much text each line counts for.
 
-    A line that is mostly links counts as empty, and the text between surge and dive points
-    over all lines is kept; if nothing surges, all that isn't mostly links. Where the page marks
-    an article, stretches whose marked lines don't surge go, and of the others the marked lines
-    are kept, those before the surge too: short headings don't surge.
+    A line counts its length, nothing if it is mostly links, and ``MARKED`` times as much if it
+    is a heading. Where an article's marks hold ``SHARE`` of a page's text, lines within count
+    ``MARKED`` times and the others nothing.
     """
-    lines = lines_of(page or "")
     lengths = [0 if 2 * x.linked > len(x.text) else len(x.text) for x in lines]
-    text = lambda s, e, main: [x for x, n in zip(lines[s:e], lengths[s:e], strict=True) if n and x.main >= main]
-    if any(x.main for x in lines):
-        surges = blocks([n * x.main for x, n in zip(lines, lengths, strict=True)])
-        kept = [x for s, e in blocks(lengths, surge=1) if any(s <= at < e for at, _ in surges) for x in text(s, e, True)] or text(0, len(lines), True)
-    else:
-        kept = [x for s, e in blocks(lengths) for x in text(s, e, False)]
-    kept = kept or text(0, len(lines), False)
-    return " ".join(x.text for x in kept)
+    inside = sum(n for x, n in zip(lines, lengths, strict=True) if x.main)
+    if marks and inside and inside >= SHARE * sum(lengths):
+        return [MARKED * n * x.main for x, n in zip(lines, lengths, strict=True)]
+    return [n * (MARKED if x.heading else 1) for x, n in zip(lines, lengths, strict=True)]
+
+
+def main_text(page: str | None, marks: bool = True) -> str:
+    """The main text of a page: the lines of any ``weights`` between surge and dive points, joined by one space.
+
+    Where nothing surges, all lines that count stay: a short page is kept whole.
+    """
+    lines = lines_of(page or "")
+    counted = weights(lines, marks)
+    stretches = blocks(counted) or [(0, len(lines))]
+    return " ".join(lines[i].text for s, e in stretches for i in range(s, e) if counted[i])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row for each row of ``pages``: ``page_id, url, text, n_chars`` (code points).
 
-    A null page counts as empty and has an empty text. Repeated rows are extracted each, null
-    ids and urls stay null, an empty table gives no rows, other columns are ignored.
+    Each page is one scan, linear in its length however long or broken it is. A null page
+    counts as empty and has an empty text. Windows that tie surge alike: the first one
+    starts a stretch. Repeated rows are extracted each, null ids and urls stay null, an empty
+    table gives no rows, other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
