@@ -25,8 +25,11 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_TOKEN = re.compile(r"[^ \t-\r]+")
-_EDGE = "\"'()[]{}<>,;:!?*#$%&=."
+#: Mentions that may be personal data: numbers, in groups or not, and addresses, their @ written out or not. Possessive, and begun at a token's start only, so linear.
+_NUMBER = r"(?<![\w+])\+?\(?[0-9]++(?!\w)(?:[ ().-]{1,3}+[0-9]++(?!\w))*+"
+_ADDRESS = r"(?<![\w.%+-])[\w.%+-]++(?:@| ?[(\[]at[)\]] ?)[\w-]++(?:\.[\w-]++)*+"
+_NUMBERS, _MENTIONS = re.compile(_NUMBER), re.compile(f"{_ADDRESS}|{_NUMBER}")
+_AT = re.compile(r"@| ?[(\[]at[)\]] ?")
 
 
 def _luhn(digits: str) -> bool:
@@ -65,10 +68,12 @@ def base_spans(text: str) -> list[Span]:
 
 @dataclass
 class _Graph:
-    """Tokens with a digit or an @: places, buckets of their shape, base labels (0 none), links of neighbours, and links of similar tokens to their hub.
+    """Mentions: places, buckets of their shape, base labels (0 none), links of neighbours, and links of similar mentions to their hub.
 
-    The hub is the first of them that lies in a base span, or else the first: an observed
-    node, so that a copy is one link from its label however many there are.
+    Similar are numbers with the same last seven digits (all, where they are four to six) and
+    addresses with the same name before the @, however they are written. The hub is the first
+    of them that lies in a base span, or else the first: an observed node, so that a copy is
+    one link from its label however many there are.
     """
 
     spans: list[tuple[int, int]]
@@ -78,48 +83,67 @@ class _Graph:
     skips: list[tuple[int, int]]
 
 
-#: Buckets of shapes: 256 in each of 4 classes (with or without @ and letters).
-CLASSES, SHAPES = 4, 1024
-#: Share of a bucket's rates that comes from its class, and of a class's that comes from the prior.
+#: Buckets of shapes: 1024 in each of 4 classes (with or without @ and letters).
+CLASSES, SHAPES = 4, 4096
+#: Share of a bucket's rates that comes from the prior, which an unseen shape has alone; it says "none".
 BACK_OFF = 0.2
 #: Share of the pairs of labels that comes from the prior.
 PRIOR = 0.01
+#: Characters between mentions that count as neighbours, at most.
+NEAR = 16
 
 
-def _bucket(core: str) -> int:
-    shape = re.sub(r"(.)\1+", r"\1+", re.sub(r"[^\W\d_]", "a", re.sub(r"[0-9]", "9", core)))
+def _bucket(mention: str) -> int:
+    shape = _AT.sub(lambda m: m[0] if m[0] == "@" else "(@)", mention)
+    shape = re.sub(r"[0-9]+", lambda m: "9" * min(len(m[0]), 6), re.sub(r"[^\W\d_]+", "a", shape))
+    shape = re.sub(r"(?:[a9]+[._-]?)+(?=\(?@)", "n", shape)  # names before the @ are of one shape
     each = SHAPES // CLASSES
     return (2 * ("@" in shape) + ("a" in shape)) * each + xxhash.xxh32_intdigest(shape) % each
 
 
+def _key(mention: str) -> str | None:
+    name = _AT.split(mention, maxsplit=1)
+    if len(name) > 1:
+        return "@" + name[0].lower() if len(name[0]) >= 4 else None
+    digits = "".join(filter(str.isdigit, mention))
+    return digits[-7:] if len(digits) >= 4 else None
+
+
 def _graph(text: str, spans: list[Span]) -> _Graph:
-    places, shapes, labels, chain, alike, last = [], [], [], [], {}, -2
-    order = sorted((s, e, k) for k, s, e in spans)
-    for number, m in enumerate(_TOKEN.finditer(text)):
-        raw = m[0]
-        if "@" not in raw and not _DIGIT.search(raw):
-            continue
-        core = raw.strip(_EDGE)
-        start = m.start() + (raw.find(core) if core else 0)
-        end = start + len(core)
-        if not core:
-            continue
-        node = len(places)
-        places.append((start, end))
-        shapes.append(_bucket(core))
-        labels.append(next((k + 1 for s, e, k in order if s < end and start < e), 0) if order else 0)
-        if number == last + 1 and node:
+    found = (_MENTIONS if "@" in text or "at)" in text or "at]" in text else _NUMBERS).finditer(text)
+    places, shapes, chain, alike = [], [], [], {}
+    for node, m in enumerate(found):
+        if node and m.start() - places[-1][1] <= NEAR:
             chain.append((node - 1, node))
-        last = number
-        digits = "".join(filter(str.isdigit, core))
-        key = core.lower() if "@" in core else digits if len(digits) >= 4 else None  # similar: the same digits, however they are set
-        if key:
+        places.append(m.span())
+        shapes.append(_bucket(m[0]))
+        if key := _key(m[0]):
             alike.setdefault(key, []).append(node)
+    labels = np.zeros(len(places), int)
+    if spans and places:
+        starts, ends = np.array(places).T
+        for k, s, e in sorted(spans, key=lambda x: x[1:], reverse=True):  # the first span that meets a mention labels it
+            labels[np.searchsorted(ends, s, "right") : np.searchsorted(starts, e, "left")] = k + 1
     skips = []
     for nodes in alike.values():
         hub = next((i for i in nodes if labels[i]), nodes[0])
         skips += [(hub, i) for i in nodes if i != hub]
-    return _Graph(places, np.array(shapes, int), np.array(labels, int), chain, skips)
+    return _Graph(places, np.array(shapes, int), labels, chain, skips)
+
+
+def rewritten(kind: int, mention: str) -> list[str]:
+    """Other ways to write what a base pattern found, which none of them finds: examples for the field of what it should add."""
+    digits = "".join(filter(str.isdigit, mention))
+    if kind == 0:
+        name, domain = mention.split("@", 1)
+        return [f"{name} (at) {domain}", f"{name} [at] {domain}", f"{name}(at){domain}", f"{name}@{domain.split('.')[0]}"]
+    if kind == 1:
+        return [mention.replace(".", "-"), mention.replace(".", " ")]
+    if kind == 2:
+        groups = [digits[i : i + 4] for i in range(0, len(digits), 4)]
+        return [".".join(groups), "(" + groups[0] + ") " + ".".join(groups[1:])]
+    area, first, last = digits[-10:-7], digits[-7:-4], digits[-4:]
+    return [mention[1:], f"({area}) {first}-{last}", f"{area}-{first}-{last}", f"{area}.{first}.{last}", f"{area} {first} {last}", area + first + last] if len(digits) >= 10 else [mention[1:]]
 
 
 @dataclass(frozen=True)
@@ -152,11 +176,10 @@ class Potentials:
             return np.clip(np.log(x) - np.log(x.sum(1))[:, None] - np.log(x.sum(0)), -most, most)
 
         prior = np.array([1.0, *[0.1] * (n - 1)])
-        classes = rates(unary.reshape(CLASSES, -1, n).sum(1), prior / prior.sum())
-        return Potentials(np.log(rates(unary, np.repeat(classes, SHAPES // CLASSES, axis=0))), ratios(chain, lambda s: np.outer(s, s), 3), ratios(skip, lambda s: 0.99 * np.diag(s) + 0.01 * np.outer(s, s), 8))
+        return Potentials(np.log(rates(unary, prior / prior.sum())), ratios(chain, lambda s: np.outer(s, s), 3), ratios(skip, lambda s: 0.99 * np.diag(s) + 0.01 * np.outer(s, s), 8))
 
 
-def _beliefs(graph: _Graph, model: Potentials, rounds: int = 1000) -> np.ndarray:
+def _beliefs(graph: _Graph, model: Potentials, rounds: int = 200) -> np.ndarray:
     """Marginals by loopy sum-product until messages settle; nodes of base spans are observed."""
     own = model.unary[graph.shapes].copy()
     known = np.flatnonzero(graph.labels)
@@ -175,7 +198,7 @@ def _beliefs(graph: _Graph, model: Potentials, rounds: int = 1000) -> np.ndarray
     for _ in range(rounds):
         fresh = np.logaddexp.reduce((total()[a] - np.roll(messages, len(ends), axis=0))[:, :, None] + pairs, axis=1)
         fresh -= fresh.max(axis=1, keepdims=True)
-        if not len(a) or np.abs(fresh - messages).max() < 1e-4:
+        if not len(a) or np.abs(fresh - messages).max() < 1e-3:
             break
         messages = 0.5 * messages + 0.5 * fresh
     out = total()
@@ -184,26 +207,27 @@ def _beliefs(graph: _Graph, model: Potentials, rounds: int = 1000) -> np.ndarray
 
 
 def all_spans(text: str, model: Potentials, certain: float = 0.9) -> tuple[list[Span], list[Span]]:
-    """The base spans, and these with the tokens that the field labels with a probability of ``certain`` or more."""
+    """The base spans, and these with the mentions that the field labels with a probability of ``certain`` or more."""
     base = base_spans(text)
-    if not base:
+    if "@" not in text and "at)" not in text and "at]" not in text and not _DIGIT.search(text):
         return base, base
     graph = _graph(text, base)
-    if not graph.skips or graph.labels.all():
+    if graph.labels.all():
         return base, base
-    marginals, more = _beliefs(graph, model), []
-    for node in np.flatnonzero(graph.labels == 0):
-        kind = int(marginals[node, 1:].argmax())
-        start, end = graph.spans[node]
-        if marginals[node, kind + 1] >= certain and not any(s < end and start < e for _, s, e in base):
-            more.append((kind, start, end))
-    return base, sorted([*base, *more])
+    marginals = _beliefs(graph, model)
+    free = np.flatnonzero((graph.labels == 0) & (marginals[:, 1:].max(axis=1) >= certain))
+    more = [(int(marginals[node, 1:].argmax()), *graph.spans[node]) for node in free]
+    return base, sorted([*base, *more]) if more else base
 
 
 def fit(docs: DataFrame, text_col: str = "text") -> Potentials:
-    """Potentials counted over all documents, the base spans being the labels; at most ``SHAPES`` x 5 + 50 counts come to the driver.
+    """Potentials counted over all documents; at most ``SHAPES`` x 5 + 50 counts come to the driver.
 
-    Tokens outside the base spans that are similar to one within have no known label and aren't counted.
+    The base spans are labels, and what the patterns don't find would all be "none": such a
+    field could add nothing. So each base span is also counted as if it stood in the document
+    once more in every form of ``rewritten``, with its label and a skip link to itself.
+    Mentions outside the base spans that are similar to one within have no known label and
+    aren't counted.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,12 +236,17 @@ def fit(docs: DataFrame, text_col: str = "text") -> Potentials:
             for text in batch.column(0):
                 if not (text := text.as_py()) or "@" not in text and not _DIGIT.search(text):
                     continue
-                graph = _graph(text, base_spans(text))
+                base = base_spans(text)
+                graph = _graph(text, base)
                 labels = graph.labels.tolist()
                 copies = {b for a, b in graph.skips if labels[a] and not labels[b]}
                 counts.update((0, s, k) for i, (s, k) in enumerate(zip(graph.shapes.tolist(), labels, strict=True)) if i not in copies)
                 for what, links in ((1, graph.chain), (2, graph.skips)):
                     counts.update((what, labels[a], labels[b]) for a, b in links if a not in copies and b not in copies)
+                for kind, start, end in base:
+                    forms = rewritten(kind, text[start:end])
+                    counts.update((0, _bucket(form), kind + 1) for form in forms)
+                    counts[2, kind + 1, kind + 1] += len(forms)
         rows = [(*key, n) for key, n in counts.items()] or [(0, 0, 0, 0)]
         yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["what", "a", "b", "n"])
 
@@ -233,13 +262,14 @@ def find(docs: DataFrame, model: Potentials | None = None, id_col: str = "doc_id
     """One row for each row of ``docs``: ``doc_id``, base counts ``n_email, n_ip, n_card, n_phone``, ``base_sha256`` and ``spans``.
 
     Base spans come from fixed patterns. A conditional random field over the document's
-    tokens with digits or @ then shares their labels: neighbours are linked in a chain,
-    distant tokens of the same text or digits by skip edges, and loopy message passing makes
-    labels agree. Tokens it is sure of are added to ``spans`` (kind:start:end in code points);
-    base spans stay. Its potentials are counted over all documents of the table.
-
-    A null or empty text has no spans. Repeated rows are found alike, null ids stay null, an
-    empty table gives no rows, other columns are ignored.
+    mentions (numbers and addresses) then shares their labels: neighbours are linked in a
+    chain, distant mentions of the same digits or name by skip edges, and loopy message
+    passing makes labels agree. Mentions it is sure of are added to ``spans`` (kind:start:end
+    in code points); base spans stay. Its potentials are counted over all documents of the table.
+
+    A null or empty text has no spans. A long text is one field, its messages linear in its
+    mentions. Of kinds that tie for a mention the first listed is taken. Repeated rows are
+    found alike, null ids stay null, an empty table gives no rows, other columns are ignored.
     """
     known = docs.sparkSession.sparkContext.broadcast(model or fit(docs, text_col))  # a fixed number of doubles
 
