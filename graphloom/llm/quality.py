@@ -44,13 +44,16 @@ def ngrams(words: list[str], tokens: _Tokens, buckets: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class QualityModel:
-    """Log ratio of the target's and the raw model's probability for each bucket, and the cut for a text's mean."""
+    """Log ratio of the target's and the raw model's probability for each bucket, and what makes a text's mean of them log odds.
+
+    A text's n-grams are far from independent: their sum grows with its length, and noise would
+    be nothing beside it. Labelled rows tell how sure a mean is.
+    """
 
     ratios: np.ndarray
-    cut: float
+    slope: float
+    offset: float
     seed: int = 29
-    #: Scale of the Gumbel noise against log weights.
-    temperature: float = 0.25
 
 
 def _sample_ids(labels: DataFrame, quality: int, most: int) -> frozenset[int]:
@@ -79,8 +82,9 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, most_labels:
     """The model and every row's scores; (None, None) where no labelled good document has an n-gram.
 
     The raw model counts the n-grams of all documents; the target model those of labelled
-    good ones, ``most_labels`` at most. The cut is the mean log ratio that best parts
-    labelled good from bad documents; without bad ones it is below every good one's.
+    good ones, ``most_labels`` at most. Slope and offset are those of the logistic curve that
+    best tells labelled good from bad documents by their mean log ratio, both classes counting
+    alike; without bad ones the log odds are 0 just below the least good one.
     """
     good, bad = _sample_ids(labels, 1, most_labels), _sample_ids(labels, 0, most_labels)
     both = docs.sparkSession.sparkContext.broadcast((good, bad))
@@ -106,28 +110,39 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, most_labels:
     ratios = np.log(p / p.sum()) - np.log(q / q.sum())
     scores = materialize(_scores(docs, ratios, id_col, text_col))
     wanted = docs.sparkSession.createDataFrame([(i, 1) for i in good - bad] + [(i, 0) for i in bad - good] or [(None, 0)], "doc_id long, quality int")
-    means = scores.where("n_grams > 0").join(wanted, "doc_id").select("quality", F.expr("log_ratio / n_grams")).limit(4 * most_labels).collect()
-    return QualityModel(ratios, _best_cut([m for q, m in means if q], [m for q, m in means if not q])), scores
-
-
-def _best_cut(good: list[float], bad: list[float]) -> float:
-    """The middle of the threshold that gets the largest sum of both classes' shares right."""
-    if not bad or not good:
-        return min(good, default=0.0) - 1e-6
-    values = np.array(sorted(good + bad))
-    rights = [np.searchsorted(np.sort(bad), values, "left") / len(bad), 1 - np.searchsorted(np.sort(good), values, "left") / len(good)]
-    best = int(np.argmax(rights[0] + rights[1]))
-    return float(values[0] - 1e-6 if best == 0 else (values[best - 1] + values[best]) / 2)
+    means = scores.where("n_grams > 0").join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "quality").agg(F.avg(F.expr("log_ratio / n_grams")).alias("m"))  # one row a labelled id
+    means = [(r[0], r[1]) for r in means.select("quality", "m").collect()]
+    return QualityModel(ratios, *_calibrated(np.array([m for q, m in means if q]), np.array([m for q, m in means if not q]))), scores
+
+
+def _calibrated(good: np.ndarray, bad: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
+    """Slope and offset of the log odds of being good by ridge logistic regression, found by Newton steps."""
+    if not len(bad) or not len(good):
+        scale = max(float(good.std()), 1e-6) if len(good) else 1.0
+        return 1 / scale, -(float(good.min()) - 1e-6) / scale if len(good) else 0.0
+    x, y = np.concatenate([good, bad]), np.concatenate([np.ones(len(good)), np.zeros(len(bad))])
+    share = np.where(y == 1, 0.5 / len(good), 0.5 / len(bad))
+    middle, scale = float((good.mean() + bad.mean()) / 2), max(float(x.std()), 1e-9)
+    z, at = np.stack([(x - middle) / scale, np.ones(len(x))]), np.zeros(2)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(at @ z, -500, 500)))
+        gradient = z @ (share * (p - y)) + ridge * at
+        step = np.linalg.solve((z * (share * p * (1 - p))) @ z.T + ridge * np.eye(2), gradient)
+        at = at - step * min(1.0, 2.0 / max(float(np.abs(step).max()), 1e-12))
+        if np.abs(step).max() < 1e-9:
+            break
+    slope = at[0] / scale
+    return float(slope), float(at[1] - slope * middle)
 
 
 def _weight(model: QualityModel) -> Column:
-    return F.col("log_ratio") - model.cut * F.col("n_grams")
+    return F.when(F.col("n_grams") > 0, model.slope * F.col("log_ratio") / F.col("n_grams") + model.offset).otherwise(0.0)
 
 
 def _key(model: QualityModel) -> Column:
     """The log weight with Gumbel noise drawn from a seeded hash of the id."""
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(model.seed), "doc_id"), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
-    return _weight(model) - model.temperature * F.log(-F.log(u))
+    return _weight(model) - F.log(-F.log(u))
 
 
 def _keyed(scores: DataFrame, model: QualityModel) -> DataFrame:
@@ -162,14 +177,16 @@ def kth_largest(df: DataFrame, col: str, k: int) -> float:
 def select(docs: DataFrame, labels: DataFrame, k: int | None = None, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row for each row of ``docs``: ``doc_id, n_grams, log_weight, gumbel_key, kept``.
 
-    ``log_weight`` is the sum over the text's n-grams of log target / raw less the fitted
-    cut, the log of its importance weight. Adding seeded Gumbel noise and keeping the ``k``
-    largest keys draws k rows without replacement by weight. By default k is the number of
-    rows of positive log weight, so the draw keeps what the model takes for target text.
+    ``log_weight`` is the log of a row's importance weight: the mean over its n-grams of log
+    target / raw, as the log odds that labelled rows give it. Adding seeded Gumbel noise and
+    keeping the ``k`` largest keys draws k rows without replacement by weight. By default k is
+    the number of rows whose odds are even or better, so that rows about the even odds are
+    drawn by chance and clear ones aren't.
 
     Ties of the k-th key, repeated rows among them, are kept with it. A null or empty text has
-    weight 0. Without labelled good rows (or without labels) nothing can be judged: all rows
-    are kept, with null weights. An empty table gives no rows. Other columns are ignored.
+    log weight 0. Long texts count by all their n-grams. Without labelled good rows (or without
+    labels) nothing can be judged: all rows are kept, with null weights. An empty table gives
+    no rows. Other columns are ignored.
     """
     model, scores = fit(docs, labels, id_col=id_col, text_col=text_col, **options)
     if model is None:
