@@ -79,3 +79,44 @@ BLENDS = {
 def blend(base: Column, layers: Column, mode: str) -> Column:
     """A channel after folding ``layers``, an array of struct<v, a> in order, over ``base``."""
     return F.aggregate(layers, base.cast("double"), lambda s, x: BLENDS[mode](s, x["v"], x["a"]))
+
+
+# Scales of value streams, stops of (place, (r, g, b, a)).
+STREAM_SCALES = {
+    "error": [(0.0, (0, 0, 0, 0)), (0.5, (0.8, 0.2, 0.1, 0.5)), (1.0, (1, 0.1, 0.05, 1))],
+    "warning": [(0.0, (0, 0, 0, 0)), (0.5, (0.9, 0.7, 0.1, 0.5)), (1.0, (1, 0.9, 0.2, 1))],
+    "success": [(0.0, (0, 0, 0, 0)), (0.5, (0.2, 0.7, 0.3, 0.5)), (1.0, (0.3, 0.9, 0.4, 1))],
+    "activity": [(0.0, (0, 0, 0, 0)), (0.5, (0.2, 0.5, 0.9, 0.5)), (1.0, (0.3, 0.7, 1, 1))],
+    "importance": [(0.0, (0, 0, 0, 0)), (0.5, (0.5, 0.3, 0.8, 0.5)), (1.0, (0.7, 0.4, 1, 1))],
+    "heat": [(0.0, (0.2, 0.4, 0.8, 0.3)), (0.33, (0.2, 0.8, 0.4, 0.5)), (0.66, (0.9, 0.8, 0.2, 0.7)), (1.0, (1, 0.2, 0.1, 1))],
+}
+
+# Scales of heat maps, stops of (place, (r, g, b)).
+HEAT_SCALES = {
+    "viridis": [(0.0, (0.267, 0.004, 0.329)), (0.25, (0.282, 0.140, 0.458)), (0.5, (0.127, 0.566, 0.551)), (0.75, (0.369, 0.789, 0.383)), (1.0, (0.993, 0.906, 0.144))],
+    "plasma": [(0.0, (0.050, 0.030, 0.528)), (0.25, (0.416, 0.090, 0.643)), (0.5, (0.718, 0.214, 0.475)), (0.75, (0.951, 0.506, 0.146)), (1.0, (0.940, 0.975, 0.131))],
+    "inferno": [(0.0, (0.001, 0.000, 0.014)), (0.25, (0.341, 0.062, 0.429)), (0.5, (0.735, 0.216, 0.330)), (0.75, (0.973, 0.558, 0.201)), (1.0, (0.988, 0.998, 0.645))],
+    "magma": [(0.0, (0.001, 0.000, 0.014)), (0.25, (0.316, 0.071, 0.485)), (0.5, (0.716, 0.215, 0.475)), (0.75, (0.973, 0.462, 0.498)), (1.0, (0.987, 0.991, 0.750))],
+    "cividis": [(0.0, (0.0, 0.135, 0.304)), (0.25, (0.255, 0.306, 0.420)), (0.5, (0.475, 0.478, 0.471)), (0.75, (0.757, 0.694, 0.424)), (1.0, (0.996, 0.910, 0.212))],
+    "turbo": [(0.0, (0.190, 0.072, 0.232)), (0.2, (0.085, 0.532, 0.829)), (0.4, (0.133, 0.846, 0.549)), (0.6, (0.631, 0.926, 0.248)), (0.8, (0.978, 0.636, 0.144)), (1.0, (0.712, 0.110, 0.092))],
+    "hot": [(0.0, (0.0, 0.0, 0.0)), (0.33, (1.0, 0.0, 0.0)), (0.66, (1.0, 1.0, 0.0)), (1.0, (1.0, 1.0, 1.0))],
+    "cool": [(0.0, (0.0, 1.0, 1.0)), (1.0, (1.0, 0.0, 1.0))],
+    "spectral": [(0.0, (0.620, 0.004, 0.259)), (0.2, (0.957, 0.427, 0.263)), (0.4, (0.996, 0.878, 0.545)), (0.5, (1.0, 1.0, 0.749)), (0.6, (0.902, 0.961, 0.596)), (0.8, (0.400, 0.761, 0.647)), (1.0, (0.369, 0.310, 0.635))],
+    "coolwarm": [(0.0, (0.230, 0.299, 0.754)), (0.25, (0.553, 0.627, 0.903)), (0.5, (0.866, 0.866, 0.866)), (0.75, (0.914, 0.596, 0.478)), (1.0, (0.706, 0.016, 0.150))],
+    "blues": [(0.0, (0.969, 0.984, 1.0)), (0.5, (0.392, 0.671, 0.847)), (1.0, (0.031, 0.188, 0.420))],
+    "greens": [(0.0, (0.969, 0.988, 0.961)), (0.5, (0.455, 0.769, 0.463)), (1.0, (0.0, 0.392, 0.0))],
+    "reds": [(0.0, (1.0, 0.961, 0.941)), (0.5, (0.984, 0.416, 0.290)), (1.0, (0.502, 0.0, 0.0))],
+    "grayscale": [(0.0, (0.0, 0.0, 0.0)), (1.0, (1.0, 1.0, 1.0))],
+}
+
+
+def gradient(low: tuple[float, float, float, float], high: tuple[float, float, float, float]) -> list[tuple[float, tuple[float, float, float, float]]]:
+    return [(0.0, low), (1.0, high)]
+
+
+def heat_scale(name: str) -> list[tuple[float, tuple[float, float, float, float]]]:
+    return [(at, (*rgb, 1.0)) for at, rgb in HEAT_SCALES[name]]
+
+
+def with_alpha(c: Column, alpha: float) -> Column:
+    return _struct(c["r"], c["g"], c["b"], F.lit(float(alpha)))

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.iterate import repeat, settle, stored
+from graphloom.operators.structure import running
 
 
 def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -26,8 +31,10 @@ def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node_id, component): the smallest id of a node's strongly connected component.
 
-    Colours spread forward until each node has the smallest id that reaches it; what reaches
-    a colour's own node backward within the colour is a component and leaves the graph.
+    Nodes without edges in or out are components of their own and go first, again and again,
+    so that chains take no round of colours. Then colours spread forward until each node has
+    the smallest id that reaches it; what reaches a colour's own node backward within the
+    colour is a component and leaves the graph.
     """
     left, rest, done = stored(nodes.select("node_id").distinct()), stored(edges.select("src", "dst").where("src != dst").distinct()), None
 
@@ -38,7 +45,17 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
         return settle(start, step, lambda s: s.agg(F.sum(F.col(col).cast("decimal(38,0)"))).first()[0])
 
+    def within(e: DataFrame, ids: DataFrame) -> DataFrame:
+        return stored(e.join(ids, e.src == ids.node_id, "left_semi").join(ids, F.col("dst") == ids.node_id, "left_semi"))
+
     while not left.isEmpty():
+        core = stored(rest.select(F.col("src").alias("node_id")).distinct().join(rest.select(F.col("dst").alias("node_id")), "node_id", "left_semi"))
+        lone = stored(left.join(core, "node_id", "left_anti"))
+        if not lone.isEmpty():
+            alone = lone.select("node_id", F.col("node_id").alias("component"))
+            done = alone if done is None else done.union(alone)
+            left, rest = core, within(rest, core)
+            continue
         color = spread(rest, left.select("node_id", F.col("node_id").alias("color")), "color")
         inside = rest.join(color.withColumnRenamed("node_id", "src").withColumnRenamed("color", "c1"), "src").join(color.withColumnRenamed("node_id", "dst").withColumnRenamed("color", "c2"), "dst").where("c1 = c2")
         back = stored(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
@@ -46,12 +63,15 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         found = stored(reached.where("away = 0").join(color, "node_id").select("node_id", F.col("color").alias("component")))
         done = found if done is None else done.union(found)
         left = stored(left.join(found, "node_id", "left_anti"))
-        rest = stored(rest.join(left, rest.src == left.node_id, "left_semi").join(left, F.col("dst") == left.node_id, "left_semi"))
+        rest = within(rest, left)
     return done if done is not None else nodes.select("node_id", F.col("node_id").alias("component"))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 20) -> DataFrame:
-    """(node_id, rank) after a number of power iterations; nodes without outgoing edges spread their rank over all."""
+def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 20, tolerance: float | None = None) -> DataFrame:
+    """(node_id, rank) after a number of power iterations; nodes without outgoing edges spread their rank over all.
+
+    With a ``tolerance`` (1e-6 is usual, with 100 iterations at most) it ends once the ranks' changes sum to less, looked at every five.
+    """
     n = nodes.count()
     links = stored(edges.select("src", "dst").join(edges.groupBy("src").agg(F.count("*").alias("out")), "src"))
     ids = stored(nodes.select("node_id").join(links.select(F.col("src").alias("node_id"), F.lit(True).alias("has_out")).distinct(), "node_id", "left"))
@@ -61,7 +81,17 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iteratio
         lost = state.where("has_out is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
         return ids.join(sums, "node_id", "left").crossJoin(F.broadcast(lost)).select("node_id", "has_out", ((1 - damping) / n + damping * (F.coalesce("s", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
 
-    return repeat(ids.withColumn("rank", F.lit(1.0 / max(n, 1))), step, iterations).select("node_id", "rank")
+    start = ids.withColumn("rank", F.lit(1.0 / max(n, 1)))
+    if tolerance is None:
+        return repeat(start, step, iterations).select("node_id", "rank")
+    state = stored(start)
+    for _ in range(0, iterations, 5):
+        before = stored(repeat(state, step, 4))
+        state = stored(step(before))
+        moved = state.join(before.select("node_id", F.col("rank").alias("was")), "node_id").agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0] or 0.0
+        if moved < tolerance:
+            break
+    return state.select("node_id", "rank")
 
 
 def eigenvector(nodes: DataFrame, edges: DataFrame, iterations: int = 20) -> DataFrame:
@@ -145,47 +175,88 @@ def coarsen(edges: DataFrame, assignment: DataFrame) -> DataFrame:
     return edges.join(assignment.select(F.col("node_id").alias("src"), F.col("community").alias("a")), "src").join(assignment.select(F.col("node_id").alias("dst"), F.col("community").alias("b")), "dst").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w"))
 
 
-def louvain(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, passes: int = 8, levels: int = 5, weighted: bool = False) -> DataFrame:
+def _moved(graph: DataFrame, state: DataFrame, degree: DataFrame, m2: float, resolution: float, half: int, turn: int, inside: DataFrame | None = None) -> DataFrame:
+    """``state`` (node_id, community) after the nodes of one hash half went where modularity gains most; with ``inside`` (node_id, bound), only to communities of their bound."""
+    totals = state.join(degree, "node_id").groupBy("community").agg(F.sum("k").alias("total"))
+    moving = state.where(F.pmod(F.xxhash64("node_id", F.lit(turn // 2)), F.lit(2)) == half).join(degree, "node_id").withColumnRenamed("community", "own")
+    ends = graph.where("src != dst")
+    if inside is not None:
+        b = inside.select(F.col("node_id").alias("src"), F.col("bound").alias("b1")), inside.select(F.col("node_id").alias("dst"), F.col("bound").alias("b2"))
+        ends = ends.join(b[0], "src").join(b[1], "dst").where("b1 = b2").select("src", "dst", "w")
+    links = ends.join(state.withColumnRenamed("node_id", "dst"), "dst").groupBy(F.col("src").alias("node_id"), "community").agg(F.sum("w").alias("w"))
+    own = moving.select("node_id", F.col("own").alias("community"), F.lit(0.0).alias("w"))
+    options = links.union(own).groupBy("node_id", "community").agg(F.sum("w").alias("w")).join(moving, "node_id").join(totals, "community")
+    rest = F.col("total") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0.0)
+    options = options.withColumn("gain", F.round(F.col("w") / m2 - resolution * rest * F.col("k") / (m2 * m2), 12))
+    choice = options.groupBy("node_id").agg(F.max(F.struct("gain", (F.col("community") == F.col("own")).cast("int").alias("stay"), (-F.col("community")).alias("c"))).alias("b")).select("node_id", (-F.col("b.c")).alias("to"))
+    return stored(state.join(choice, "node_id", "left").select("node_id", F.coalesce("to", "community").alias("community")))
+
+
+def _settled(graph: DataFrame, state: DataFrame, resolution: float, passes: int, min_gain: float, inside: DataFrame | None = None) -> DataFrame:
+    """Moves of both halves in turn until two in a row gain less than ``min_gain``."""
+    degree = stored(graph.groupBy(F.col("src").alias("node_id")).agg(F.sum("w").alias("k")))
+    m2 = degree.agg(F.sum("k")).first()[0] or 1.0
+    score, idle = modularity(graph, state, resolution).first()[0] or 0.0, 0
+    for turn in range(2 * passes):
+        trial = _moved(graph, state, degree, m2, resolution, turn % 2, turn, inside)
+        q = modularity(graph, trial, resolution).first()[0] or 0.0
+        idle = 0 if q > score + min_gain else idle + 1
+        if q > score:
+            state, score = trial, q
+        if idle == 2:
+            break
+    return state
+
+
+def _named(state: DataFrame) -> DataFrame:
+    names = state.groupBy("community").agg(F.min("node_id").alias("name"))
+    return stored(state.join(names, "community").select("node_id", F.col("name").alias("community")))
+
+
+def louvain(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, passes: int = 100, levels: int = 20, weighted: bool = False, min_gain: float = 1e-4, refined: bool = False, progress: Callable[[int, float], None] | None = None) -> DataFrame:
     """(node_id, community): greedy modularity with all nodes of one half moving at a time.
 
     In each pass the nodes of one hash half go to the neighbouring community of the largest
-    gain, halves in turn, so neighbours seldom swap. A level ends when nothing improves and
-    is coarsened; the best level by modularity is returned, communities named by their
-    smallest node.
+    gain, halves in turn, so neighbours seldom swap. A level ends when neither half gains
+    ``min_gain``, or after ``passes`` of both, and is coarsened; levels end when one gains nothing
+    more, the best by modularity is returned, communities named by their smallest node. With
+    ``refined`` (as in Leiden) each community is split again by moves within it before
+    coarsening, and the parts, placed together, go on. ``progress`` gets each level and its modularity.
     """
     base = stored(undirected_weights(edges, weighted))
     part, graph = nodes.select("node_id", F.col("node_id").alias("community")), base
+    start: DataFrame | None = None
     best, best_q = part, -1.0
-    for _ in range(levels):
-        state = stored(graph.select(F.col("src").alias("node_id")).union(graph.select("dst")).distinct().withColumn("community", F.col("node_id")))
-        degree = stored(graph.groupBy(F.col("src").alias("node_id")).agg(F.sum("w").alias("k")))
-        m2 = degree.agg(F.sum("k")).first()[0] or 1.0
-        score = modularity(graph, state, resolution).first()[0] or 0.0
-        for turn in range(passes):
-            totals = state.join(degree, "node_id").groupBy("community").agg(F.sum("k").alias("total"))
-            moving = state.where(F.pmod(F.xxhash64("node_id", F.lit(turn // 2)), F.lit(2)) == turn % 2).join(degree, "node_id").withColumnRenamed("community", "own")
-            links = graph.where("src != dst").join(state.withColumnRenamed("node_id", "dst"), "dst").groupBy(F.col("src").alias("node_id"), "community").agg(F.sum("w").alias("w"))
-            own = moving.select("node_id", F.col("own").alias("community"), F.lit(0.0).alias("w"))
-            options = links.union(own).groupBy("node_id", "community").agg(F.sum("w").alias("w")).join(moving, "node_id").join(totals, "community")
-            rest = F.col("total") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0.0)
-            options = options.withColumn("gain", F.round(F.col("w") / m2 - resolution * rest * F.col("k") / (m2 * m2), 12))
-            choice = options.groupBy("node_id").agg(F.max(F.struct("gain", (F.col("community") == F.col("own")).cast("int").alias("stay"), (-F.col("community")).alias("c"))).alias("b")).select("node_id", (-F.col("b.c")).alias("to"))
-            trial = stored(state.join(choice, "node_id", "left").select("node_id", F.coalesce("to", "community").alias("community")))
-            q = modularity(graph, trial, resolution).first()[0] or 0.0
-            if q <= score + 1e-9 and turn % 2:
-                break
-            if q > score:
-                state, score = trial, q
-        names = state.groupBy("community").agg(F.min("node_id").alias("name"))
-        state = state.join(names, "community").select("node_id", F.col("name").alias("community"))
-        part = stored(part.withColumnRenamed("community", "_c").join(state.select(F.col("node_id").alias("_c"), "community"), "_c", "left").select("node_id", F.coalesce("community", "_c").alias("community")))
-        q = modularity(base, part, resolution).first()[0] or 0.0
+    for level in range(levels):
+        alone = stored(graph.select(F.col("src").alias("node_id")).union(graph.select("dst")).distinct().withColumn("community", F.col("node_id")))
+        state = _named(_settled(graph, alone if start is None else start, resolution, passes, min_gain))
+        lift = lambda p, s: stored(p.withColumnRenamed("community", "_c").join(s.select(F.col("node_id").alias("_c"), "community"), "_c", "left").select("node_id", F.coalesce("community", "_c").alias("community")))
+        whole = lift(part, state)
+        q = modularity(base, whole, resolution).first()[0] or 0.0
+        if progress:
+            progress(level, q)
         if q <= best_q + 1e-9:
             break
-        best, best_q, graph = part, q, stored(coarsen(graph, state))
+        best, best_q = whole, q
+        parts = _named(_settled(graph, alone, resolution, passes, min_gain, state.withColumnRenamed("community", "bound"))) if refined else state
+        part = lift(part, parts)
+        if refined:
+            start = stored(parts.join(state.withColumnRenamed("community", "_s"), "node_id").groupBy(F.col("community").alias("node_id")).agg(F.min("_s").alias("community")))
+        graph = stored(coarsen(graph, parts))
     return best
 
 
+def community_sizes(assignment: DataFrame, most: int | None = None) -> DataFrame:
+    """(community, members), the largest first, only ``most`` if given."""
+    out = assignment.groupBy("community").agg(F.count("*").alias("members")).orderBy(F.desc("members"), "community")
+    return out if most is None else out.limit(most)
+
+
+def community_of(assignment: DataFrame, node: int, col: str = "community") -> DataFrame:
+    """The row of one node's community or component."""
+    return assignment.where(F.col("node_id") == node).select("node_id", col)
+
+
 def _hull(group: pd.DataFrame) -> pd.DataFrame:
     points = sorted(set(zip(group["x"], group["y"], strict=True)))
 
@@ -213,12 +284,114 @@ def convex_hulls(points: DataFrame) -> DataFrame:
     return small.select("community", "x", "y").groupBy("community").applyInPandas(_hull, schema)
 
 
-def community_circle(points: DataFrame, spacing: float = 50.0, spread: float = 1.5, order: str = "community") -> DataFrame:
-    """(community, members, cx, cy): communities on a circle, arcs by their members; one row a community is ordered."""
+def hull_shapes(hulls: DataFrame, points: DataFrame, fallback: float = 20.0) -> DataFrame:
+    """(community, cx, cy, corners, radius): the middle of each community's members; where its hull has no area, a circle of ``fallback`` around the middle and its members stands for it."""
+    middle = points.groupBy("community").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
+    corners = hulls.groupBy("community").agg(F.count("*").alias("corners"))
+    far = points.join(middle, "community").groupBy("community").agg(F.max(F.sqrt((F.col("x") - F.col("cx")) ** 2 + (F.col("y") - F.col("cy")) ** 2)).alias("far"))
+    return middle.join(corners, "community").join(far, "community").select("community", "cx", "cy", "corners", F.when(F.col("corners") < 3, F.col("far") + fallback).otherwise(F.col("far")).alias("radius"))
+
+
+def _dent(group: pd.DataFrame, longest: float) -> pd.DataFrame:
+    ring = group.loc[group["hull"], ["ord", "x", "y"]].sort_values("ord")[["x", "y"]].to_numpy()
+    inner = group.loc[~group["hull"], ["x", "y"]].drop_duplicates().to_numpy()
+    free, at = np.ones(len(inner), bool), 0
+    ring = ring.tolist()
+    while at < len(ring) and len(ring) > 2:
+        a, b = np.array(ring[at]), np.array(ring[(at + 1) % len(ring)])
+        edge = b - a
+        size = float(np.hypot(*edge))
+        if size > longest and free.any():
+            t = (inner - a) @ edge / (size * size)
+            off = np.abs((inner[:, 0] - a[0]) * edge[1] - (inner[:, 1] - a[1]) * edge[0]) / size
+            ends = np.hypot(*(inner - a).T) + np.hypot(*(inner - b).T)
+            good = np.flatnonzero(free & (t > 0.05) & (t < 0.95) & (off < size / 2) & (ends < 2 * size))
+            if len(good):
+                new = good[np.argmin(off[good])]
+                free[new] = False
+                ring.insert(at + 1, inner[new].tolist())
+                continue
+        at += 1
+    return pd.DataFrame({"community": group["community"].iloc[0], "ord": range(len(ring)), "x": [p[0] for p in ring], "y": [p[1] for p in ring]})
+
+
+def concave_hulls(points: DataFrame, longest: float = 50.0, cell: float | None = None) -> DataFrame:
+    """(community, ord, x, y): convex hulls whose sides over ``longest`` are dented inward to the nearest member that lies before them.
+
+    Members are thinned to one a cell (a tenth of ``longest`` wide) first, so a community takes
+    as much of a task's memory as its area, not as its members.
+    """
+    side = cell or longest / 10
+    hulls = convex_hulls(points).withColumn("hull", F.lit(True))
+    thin = points.groupBy(F.col("community").cast("long").alias("community"), F.floor(F.col("x") / side).alias("_a"), F.floor(F.col("y") / side).alias("_b")).agg(F.min(F.struct("x", "y")).alias("p"))
+    both = hulls.select("community", "ord", "x", "y", "hull").union(thin.select("community", F.lit(-1), "p.x", "p.y", F.lit(False)))
+    return both.groupBy("community").applyInPandas(lambda g: _dent(g, longest), "community long, ord int, x double, y double")
+
+
+def hulls_apart(shapes: DataFrame, strength: float = 0.5, most: float = 20.0, padding: float = 10.0) -> DataFrame:
+    """(community, dx, dy): how far overlapping communities (community, cx, cy, radius) are pushed apart along the line of their middles, ``most`` at most.
+
+    Shapes meet by grid cells as wide as the largest of them.
+    """
+    widest = 2 * (shapes.agg(F.max("radius")).first()[0] or 1.0) + padding
+    at = lambda c: F.floor(F.col(c) / widest).cast("long")
+    steps = F.sequence(F.lit(-1), F.lit(1))
+    own = shapes.select("community", "cx", "cy", "radius", F.explode(steps).alias("_a")).withColumn("_b", F.explode(steps)).withColumns({"gx": at("cx") + F.col("_a"), "gy": at("cy") + F.col("_b")})
+    other = shapes.select(F.col("community").alias("c2"), F.col("cx").alias("x2"), F.col("cy").alias("y2"), F.col("radius").alias("r2"), at("cx").alias("gx"), at("cy").alias("gy"))
+    dx, dy = F.col("cx") - F.col("x2"), F.col("cy") - F.col("y2")
+    d = F.greatest(F.sqrt(dx * dx + dy * dy), F.lit(1e-6))
+    over = F.col("radius") + F.col("r2") + padding - d
+    met = own.join(other, ["gx", "gy"]).where("community != c2").withColumns({"_o": over, "_ux": dx / d, "_uy": dy / d}).where("_o > 0")
+    sums = met.groupBy("community").agg(F.sum(0.5 * strength * F.col("_o") * F.col("_ux")).alias("dx"), F.sum(0.5 * strength * F.col("_o") * F.col("_uy")).alias("dy"))
+    size = F.sqrt(F.col("dx") ** 2 + F.col("dy") ** 2)
+    return sums.select("community", *[(F.col(c) * F.least(F.lit(1.0), most / F.greatest(size, F.lit(1e-9)))).alias(c) for c in ("dx", "dy")])
+
+
+def community_circle(points: DataFrame, spacing: float = 50.0, spread: float = 1.5, between: float = 10.0) -> DataFrame:
+    """(community, members, inner, cx, cy): communities on a circle, arcs by their members; ``inner`` is the radius that a community's members take. One row a community is ordered."""
     sizes = points.groupBy("community").agg(F.count("*").alias("members"))
-    inner = F.when(F.col("members") > 1, 10.0 * F.sqrt(F.col("members") / F.lit(3.141592653589793))).otherwise(0.0)
-    w = Window.orderBy(order)
-    every = Window.partitionBy(F.lit(1))
-    out = sizes.withColumn("inner", inner).withColumn("radius", F.sum(2 * F.col("inner") + spacing).over(every) / (2 * 3.141592653589793) * spread)
-    angle = 2 * 3.141592653589793 * (F.sum("members").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("members") / 2) / F.sum("members").over(every)
-    return out.withColumn("angle", angle).select("community", "members", (F.col("radius") * F.cos("angle")).alias("cx"), (F.col("radius") * F.sin("angle")).alias("cy"))
+    inner = F.when(F.col("members") > 1, between * F.sqrt(F.col("members") / F.lit(math.pi))).otherwise(0.0)
+    sizes = stored(sizes.withColumn("inner", inner))
+    all_, around = sizes.agg(F.sum("members"), F.sum(2 * F.col("inner") + spacing)).first()
+    placed = running(sizes, "community", F.col("members"))
+    angle = 2 * math.pi * (F.col("before") + F.col("members") / 2) / float(all_ or 1)
+    radius = (around or 0.0) / (2 * math.pi) * spread
+    return placed.select("community", "members", "inner", (radius * F.cos(angle)).alias("cx"), (radius * F.sin(angle)).alias("cy"))
+
+
+def sunflower(points: DataFrame, centers: DataFrame, spread: float = 1.5) -> DataFrame:
+    """(node_id, x, y): members of each community around its centre (community, members, inner, cx, cy), evenly over a disc, in the order of their ids.
+
+    A member's number is its place among all less its community's first, so no community is sorted in one task.
+    """
+    order = F.struct("community", "node_id")
+    ranked = stored(running(points.select("node_id", "community", order.alias("_at")), "_at", F.lit(1)))
+    first = ranked.groupBy("community").agg(F.min("before").alias("_first"))
+    rows = ranked.join(first, "community").join(centers, "community").withColumn("i", F.col("before") - F.col("_first"))
+    angle = F.col("i") * (2 * math.pi / (1 + math.sqrt(5)))
+    r = F.col("inner") * spread * F.sqrt((F.col("i") + 0.5) / F.col("members"))
+    return rows.select("node_id", (F.col("cx") + r * F.cos(angle)).alias("x"), (F.col("cy") + r * F.sin(angle)).alias("y"))
+
+
+def shrunk(points: DataFrame, spacing: float = 10.0, spread: float = 1.5) -> DataFrame:
+    """Points drawn in, never out, until the farthest from the origin is at ``spacing`` times the root of their number times ``spread``."""
+    d = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y"))
+    scale = points.agg(F.max(d).alias("_far"), F.count("*").alias("_n"))
+    k = F.when(F.col("_far") < 1, 1.0).otherwise(F.least(F.lit(1.0), spacing * F.sqrt(F.col("_n").cast("double")) * spread / F.col("_far")))
+    return points.crossJoin(F.broadcast(scale)).withColumns({"x": F.col("x") * k, "y": F.col("y") * k}).drop("_far", "_n")
+
+
+def community_layout(assignment: DataFrame, spacing: float = 50.0, between: float = 10.0, spread: float = 1.5) -> DataFrame:
+    """(node_id, x, y): circle of communities, sunflowers within, shrunk to a bounded size."""
+    return shrunk(sunflower(assignment, community_circle(assignment, spacing, spread, between), spread), between, spread)
+
+
+def detected_layout(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0) -> DataFrame:
+    """Communities found and laid out in one call: (node_id, x, y)."""
+    return community_layout(stored(louvain(nodes, edges, resolution)))
+
+
+def ranked_summary(values: DataFrame, cols: list[str]) -> DataFrame:
+    """(measure, least, most, mean) of each of several centralities."""
+    parts = F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("v")) for c in cols])).alias("p")
+    return values.select(parts).groupBy("p.measure").agg(F.min("p.v").alias("least"), F.max("p.v").alias("most"), F.avg("p.v").alias("mean"))

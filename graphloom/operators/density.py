@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.functions.color import normalise, scale
 from graphloom.operators.spatial import cell
 
 
@@ -40,14 +41,58 @@ def contour_bands(grid: DataFrame, thresholds: list[float], thickness: float = 1
     return rows.where(F.abs(F.col("density") / F.col("top") - F.col("threshold")) < 0.01 * thickness).select("cx", "cy", "threshold")
 
 
-def marching_squares(grid: DataFrame, thresholds: list[float]) -> DataFrame:
-    """(cx, cy, threshold, shape): the 4-bit case of each square of four cells that a contour passes; bits are the lower left, lower right, upper right and upper left cell."""
+#: For each 4-bit case of a square the sides that segments join: 0 below, 1 right, 2 above, 3 left. The two saddles have two.
+_SEGMENTS = {1: [(3, 0)], 2: [(0, 1)], 3: [(3, 1)], 4: [(1, 2)], 5: [(3, 2), (0, 1)], 6: [(0, 2)], 7: [(3, 2)], 8: [(2, 3)], 9: [(2, 0)], 10: [(3, 0), (1, 2)], 11: [(2, 1)], 12: [(1, 3)], 13: [(1, 0)], 14: [(0, 3)]}
+
+
+def marching_squares(grid: DataFrame, thresholds: list[float], size: float = 1.0) -> DataFrame:
+    """(threshold, cx, cy, x1, y1, x2, y2): the segments of the contours at shares of the largest density.
+
+    Squares lie between the centres of four cells, absent ones being 0; a segment's ends lie
+    where the density along a side passes the threshold.
+    """
     corners = [(0, 0), (1, 0), (1, 1), (0, 1)]
-    moved = F.explode(F.array(*[F.struct((F.col("cx") - dx).alias("sx"), (F.col("cy") - dy).alias("sy"), F.lit(1 << b).alias("bit")) for b, (dx, dy) in enumerate(corners)]))
+    moved = F.explode(F.array(*[F.struct((F.col("cx") - dx).alias("sx"), (F.col("cy") - dy).alias("sy"), F.lit(i).alias("corner")) for i, (dx, dy) in enumerate(corners)]))
     top = grid.agg(F.max("density").alias("top"))
-    rows = grid.crossJoin(F.broadcast(top)).withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds]))).where(F.col("density") >= F.col("threshold") * F.col("top"))
-    cases = rows.select("threshold", moved.alias("m")).groupBy(F.col("m.sx").alias("cx"), F.col("m.sy").alias("cy"), "threshold").agg(F.sum("m.bit").alias("shape"))
-    return cases.where("shape < 15")
+    part = lambda i: F.coalesce(F.sum(F.when(F.col("m.corner") == i, F.col("density"))), F.lit(0.0)).alias(f"d{i}")
+    squares = grid.select("density", moved.alias("m")).groupBy(F.col("m.sx").alias("cx"), F.col("m.sy").alias("cy")).agg(*[part(i) for i in range(4)])
+    rows = squares.crossJoin(F.broadcast(top)).withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds]))).withColumn("level", F.col("threshold") * F.col("top"))
+    case = sum((F.when(F.col(f"d{i}") >= F.col("level"), 1 << i).otherwise(0) for i in range(1, 4)), F.when(F.col("d0") >= F.col("level"), 1).otherwise(0))
+    rows = rows.withColumn("shape", case).where("shape > 0 and shape < 15")
+    t = lambda i, j: (F.col("level") - F.col(f"d{i}")) / (F.col(f"d{j}") - F.col(f"d{i}"))
+    half = F.lit(0.5)
+    sides = [(half + t(0, 1), half), (half + 1, half + t(1, 2)), (half + t(3, 2), half + 1), (half, half + t(0, 3))]
+    end = lambda s: (((F.col("cx") + sides[s][0]) * size), ((F.col("cy") + sides[s][1]) * size))
+    none = F.array().cast("array<struct<x1: double, y1: double, x2: double, y2: double>>")
+    found = none
+    for shape, pairs in _SEGMENTS.items():
+        parts = [F.struct(*[v.cast("double").alias(k) for k, v in zip(("x1", "y1", "x2", "y2"), (*end(a), *end(b)), strict=True)]) for a, b in pairs]
+        found = F.when(F.col("shape") == shape, F.array(*parts)).otherwise(found)
+    return rows.select("threshold", "cx", "cy", F.explode(found).alias("s")).select("threshold", "cx", "cy", "s.*")
+
+
+def colormap(grid: DataFrame, stops: list, low: float = 0.0, high: float = 1.0, opacity: float = 0.7) -> DataFrame:
+    """(cx, cy, r, g, b, a): the colour of every cell with a density of 1e-4 or more; alpha fades with the root of the normalised density."""
+    t = normalise(F.col("density"), low, high)
+    rows = grid.where("density >= 1e-4").withColumn("_t", t).withColumn("_c", scale(F.col("_t"), stops))
+    return rows.select("cx", "cy", "_c.r", "_c.g", "_c.b", (F.col("_c.a") * F.sqrt("_t") * opacity).alias("a"))
+
+
+def lookup_table(spark: SparkSession, stops: list, samples: int = 256) -> DataFrame:
+    """(i, r, g, b, a): a colour scale at evenly spaced places."""
+    c = scale(F.col("i") / F.lit(float(samples - 1)), stops)
+    return spark.range(samples).select(F.col("id").alias("i")).withColumn("_c", c).select("i", "_c.*")
+
+
+def classify(field: DataFrame, zoom: float = 1.0, edge: float = 5.0, outline: float | None = None) -> DataFrame:
+    """(cx, cy, kind, alpha): where a metaball field is drawn: inside, on its soft rim, or, if ``outline`` is a width, on the line around it."""
+    d = F.col("field")
+    if outline is not None:
+        half = outline * 0.5 / zoom
+        return field.where(F.abs(d) < half).select("cx", "cy", F.lit("outline").alias("kind"), (1 - F.abs(d) / half).alias("alpha"))
+    rim = 2.0 / zoom
+    alpha = F.when(d < 0, F.least(F.lit(1.0), -d / edge)).otherwise((1 - d / rim) * 0.3)
+    return field.where(d < rim).select("cx", "cy", F.when(d < 0, "inside").otherwise("rim").alias("kind"), alpha.alias("alpha"))
 
 
 def metaball(points: DataFrame, size: float, radius: float, blend: float) -> DataFrame:

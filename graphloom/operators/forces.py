@@ -6,17 +6,20 @@ Pair laws take effect within a cutoff, so pairs come from a grid join; a model r
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, fields, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators.density import density_gradient
 from graphloom.operators.iterate import stored
 from graphloom.operators.spatial import within_pairs
 
 
+# Defaults of the force models, and the ranges that their settings are clamped to.
 @dataclass(frozen=True)
 class Config:
     """Parameters of the models, with the usual defaults."""
@@ -33,12 +36,41 @@ class Config:
     depth_spread: float = 2.5
     theta: float = 0.8
     collision_strength: float = 0.7
+    collision_radius: float = 1.0
+    collision_rounds: int = 1
+    density_grid: int = 128
+    linlog_influence: float = 1.0
+    linlog_scaling: float = 0.1
+    linlog_gravity: float = 1.0
+    tfdp_gamma: float = 2.0
+    tfdp_scale: float = 1.0
+    tfdp_alpha: float = 0.1
+    tfdp_beta: float = 8.0
 
     def __post_init__(self):
         if not (self.min_distance > 0 and self.max_distance >= self.min_distance and 0 <= self.damping <= 1 and self.dt > 0):
             raise ValueError("force parameters out of range")
 
 
+RANGES = {
+    "theta": (0.1, 2.0), "min_distance": (0.1, math.inf), "max_distance": (0.0, math.inf), "spring": (0.0, math.inf), "length": (1.0, math.inf), "damping": (0.0, 1.0),
+    "max_velocity": (1.0, math.inf), "density_grid": (32, 512), "depth_spread": (0.0, 10.0), "collision_strength": (0.0, 1.0), "collision_radius": (0.1, math.inf), "collision_rounds": (1, math.inf),
+    "linlog_influence": (0.0, 2.0), "linlog_scaling": (0.001, 100.0), "linlog_gravity": (0.0, 10.0), "tfdp_gamma": (1.0, 5.0), "tfdp_scale": (0.1, 50.0), "tfdp_alpha": (0.01, 1.0), "tfdp_beta": (0.0, 20.0),
+}
+
+
+def clamped(settings: dict, base: Config = Config()) -> Config:
+    """``base`` with ``settings`` in their ranges; the density grid's side is a power of two, and t-FDP's attraction stays below the point where all would fall together."""
+    if unknown := set(settings) - {f.name for f in fields(Config)}:
+        raise ValueError(f"unknown settings: {sorted(unknown)}")
+    held = {k: min(max(v, RANGES[k][0]), RANGES[k][1]) if k in RANGES else v for k, v in settings.items()}
+    if "density_grid" in held:
+        held["density_grid"] = 2 ** round(math.log2(held["density_grid"]))
+    held["max_distance"] = max(held.get("max_distance", base.max_distance), held.get("min_distance", base.min_distance))
+    out = replace(base, **held)
+    return replace(out, tfdp_beta=1 / out.tfdp_alpha - 1.01) if out.tfdp_alpha * (1 + out.tfdp_beta) >= 1 else out
+
+
 def _sum(rows: DataFrame) -> DataFrame:
     return rows.groupBy("node_id").agg(F.sum("fx").alias("fx"), F.sum("fy").alias("fy"))
 
@@ -121,28 +153,87 @@ def target_spring(points: DataFrame, targets: DataFrame, stiffness: float = 0.3,
     return points.join(targets.where("tx is not null and ty is not null"), "node_id").select("node_id", (k * dx).alias("fx"), (k * dy).alias("fy"))
 
 
-def far_repulsion(points: DataFrame, c: Config = Config(), cell: float = 50.0) -> DataFrame:
-    """Repulsion with far cells taken as one mass at their centre: cells that touch are exact, others one term each."""
-    from graphloom.operators.spatial import gridded
+#: Points a finest cell holds at most where the tree can go deeper, and the deepest level.
+LEAF, DEEPEST = 64, 20
+
+
+def _tree(points: DataFrame, weight: Column) -> tuple[DataFrame, int]:
+    """Points with their weight ``w`` and finest cell (ix, iy), and the number of levels: as many as leave no crowded cell."""
+    box = points.agg(F.count("*"), F.min("x"), F.min("y"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.lit(1e-9))).first()
+    n, low_x, low_y, extent = box[0], box[1] or 0.0, box[2] or 0.0, box[3] or 1.0
+    at = lambda c, low: F.least(F.greatest(F.floor((F.col(c) - low) / extent * (1 << DEEPEST)), F.lit(0)), F.lit((1 << DEEPEST) - 1)).cast("long")
+    cells = stored(points.select("node_id", "x", "y", weight.cast("double").alias("w"), at("x", low_x).alias("ix"), at("y", low_y).alias("iy")))
+    first = min(DEEPEST, max(2, math.ceil(math.log(max(n, 1) / 4 + 1, 4))))
+    by_level = cells.select(F.explode(F.sequence(F.lit(first), F.lit(DEEPEST))).alias("level"), "ix", "iy")
+    up = lambda c: F.expr(f"shiftright({c}, {DEEPEST} - level)")
+    crowds = by_level.groupBy("level", up("ix").alias("cx"), up("iy").alias("cy")).agg(F.count("*").alias("n")).groupBy("level").agg(F.max("n").alias("n"))
+    levels = min((r[0] for r in crowds.where(F.col("n") <= LEAF).collect()), default=DEEPEST)
+    return cells.withColumns({c: F.shiftright(c, DEEPEST - levels) for c in ("ix", "iy")}), levels
+
+
+def tree_forces(points: DataFrame, law: Callable[[Column], Column], c: Config = Config(), weight: Column | None = None) -> DataFrame:
+    """Sums over pairs of ``law(d)`` times both weights, far points taken together as in Barnes and Hut's tree.
+
+    The tree's levels are grids of halved cells. A cell as wide as s at a distance d stands
+    for its points if s < theta * d holds wherever in their cells the two are: they are
+    ``ceil(1 / theta)`` cells or more apart. On each level a cell meets the cells that are so far
+    apart while their parents aren't, a bounded list found by an equi-join on the cell; on the
+    finest level the near cells' points meet each other. So work grows with points times
+    levels. Distances over ``c.max_distance`` don't count.
+    """
+    ring = max(1, math.ceil(1 / c.theta))
+    grid, levels = _tree(points, F.lit(1.0) if weight is None else weight)
+    shift = lambda col: F.expr(f"shiftright({col}, {levels} - level)")
+    every = grid.withColumn("level", F.explode(F.sequence(F.lit(1), F.lit(levels)))).withColumns({"cx": shift("ix"), "cy": shift("iy")})
+    w = F.sum("w")
+    cells = stored(every.groupBy("level", "cx", "cy").agg(w.alias("mass"), (F.sum(F.col("w") * F.col("x")) / w).alias("mx"), (F.sum(F.col("w") * F.col("y")) / w).alias("my")))
+    steps = F.sequence(F.lit(-2 * ring - 1), F.lit(2 * ring + 1))
+    looks = cells.select("level", F.col("cx").alias("tx"), F.col("cy").alias("ty"), F.explode(steps).alias("_a")).withColumn("_b", F.explode(steps)).where(F.greatest(F.abs("_a"), F.abs("_b")) > ring)
+    looks = looks.withColumns({"cx": F.col("tx") + F.col("_a"), "cy": F.col("ty") + F.col("_b")})
+    parents = F.greatest(*[F.abs(F.shiftright(a, 1) - F.shiftright(b, 1)) for a, b in (("cx", "tx"), ("cy", "ty"))]) <= ring
+    lists = looks.where(parents).join(cells, ["level", "cx", "cy"]).groupBy("level", F.col("tx").alias("cx"), F.col("ty").alias("cy")).agg(F.collect_list(F.struct("mass", "mx", "my")).alias("far"))  # (4 ring + 2)^2 at most
+
+    def pull(dx: Column, dy: Column, mass: Column) -> tuple[Column, Column]:
+        d = F.sqrt(dx * dx + dy * dy)
+        f = F.when((d > 1e-4) & (d <= c.max_distance), law(d) * mass / d).otherwise(0.0)
+        return f * dx, f * dy
+
+    def add(so_far: Column, cell: Column) -> Column:
+        fx, fy = pull(F.col("x") - cell["mx"], F.col("y") - cell["my"], cell["mass"])
+        return F.struct((so_far["fx"] + fx).alias("fx"), (so_far["fy"] + fy).alias("fy"))
+
+    zero = F.struct(F.lit(0.0).alias("fx"), F.lit(0.0).alias("fy"))
+    far = every.join(lists, ["level", "cx", "cy"]).select("node_id", "w", F.aggregate("far", zero, add).alias("f")).select("node_id", (F.col("w") * F.col("f.fx")).alias("fx"), (F.col("w") * F.col("f.fy")).alias("fy"))
+    near_steps = F.sequence(F.lit(-ring), F.lit(ring))
+    around = grid.withColumn("_a", F.explode(near_steps)).withColumn("_b", F.explode(near_steps)).withColumns({"ix": F.col("ix") + F.col("_a"), "iy": F.col("iy") + F.col("_b")})
+    other = grid.select("ix", "iy", F.col("node_id").alias("other"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("w").alias("w2"))
+    fx, fy = pull(F.col("x") - F.col("x2"), F.col("y") - F.col("y2"), F.col("w") * F.col("w2"))
+    near = around.join(other, ["ix", "iy"]).where("node_id != other").select("node_id", fx.alias("fx"), fy.alias("fy"))
+    return _sum(near.unionByName(far))
+
+
+def far_repulsion(points: DataFrame, c: Config = Config()) -> DataFrame:
+    """``repulsion`` by ``tree_forces``."""
+    low = F.lit(c.min_distance)
+    return tree_forces(points, lambda d: c.repulsion / F.pow(F.greatest(d, low), 2) * d / F.greatest(d, low), c)
 
-    grid = stored(gridded(points.select("node_id", "x", "y"), cell))
-    cells = stored(grid.groupBy("cx", "cy").agg(F.count("*").alias("mass"), F.avg("x").alias("mx"), F.avg("y").alias("my")))
-    near = _pairs_in(grid, c)
-    other = cells.select(F.col("cx").alias("ox"), F.col("cy").alias("oy"), "mass", "mx", "my")
-    apart = (F.greatest(F.abs(F.col("cx") - F.col("ox")), F.abs(F.col("cy") - F.col("oy"))) > 1)
-    dx, dy = F.col("x") - F.col("mx"), F.col("y") - F.col("my")
-    d = F.greatest(F.sqrt(dx * dx + dy * dy), F.lit(c.min_distance))
-    far = grid.join(other, apart).withColumn("f", F.col("mass") * c.repulsion / F.pow(d, 3))
-    return _sum(near.unionByName(far.select("node_id", (F.col("f") * dx).alias("fx"), (F.col("f") * dy).alias("fy"))))
 
+def density_repulsion(points: DataFrame, strength: float = 50.0, size: int = 128, splat: float = 3.0) -> DataFrame:
+    """Push down the slope of the points' density: each point is spread over the cells within ``splat`` as a Gaussian, and takes minus half the central difference at its cell.
 
-def _pairs_in(grid: DataFrame, c: Config) -> DataFrame:
-    steps = F.sequence(F.lit(-1), F.lit(1))
-    around = grid.withColumn("_a", F.explode(steps)).withColumn("_b", F.explode(steps)).withColumns({"cx": F.col("cx") + F.col("_a"), "cy": F.col("cy") + F.col("_b")})
-    other = grid.select("cx", "cy", F.col("node_id").alias("other"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    dx, dy = F.col("x") - F.col("x2"), F.col("y") - F.col("y2")
-    d = F.greatest(F.sqrt(dx * dx + dy * dy), F.lit(c.min_distance))
-    return around.join(other, ["cx", "cy"]).where("node_id != other").select("node_id", (c.repulsion * dx / F.pow(d, 3)).alias("fx"), (c.repulsion * dy / F.pow(d, 3)).alias("fy"))
+    The grid has ``size`` cells along the longer side of the points' box. Work is a fixed
+    number of cells a point, however dense they lie.
+    """
+    box = points.agg(F.min("x").alias("low_x"), F.min("y").alias("low_y"), (F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.lit(1.0)) / size).alias("side"))
+    at = lambda c: F.least(F.floor((F.col(c) - F.col(f"low_{c}")) / F.col("side")), F.lit(size - 1)).cast("long")
+    own = stored(points.crossJoin(F.broadcast(box)).select("node_id", at("x").alias("cx"), at("y").alias("cy")))
+    reach = math.ceil(splat)
+    steps = F.sequence(F.lit(-reach), F.lit(reach))
+    d2 = F.col("_a") * F.col("_a") + F.col("_b") * F.col("_b")
+    spread = own.withColumn("_a", F.explode(steps)).withColumn("_b", F.explode(steps)).where(d2 <= splat * splat)
+    grid = spread.groupBy((F.col("cx") + F.col("_a")).alias("cx"), (F.col("cy") + F.col("_b")).alias("cy")).agg(F.sum(F.exp(-2.0 * d2 / (splat * splat))).alias("density"))
+    inside = F.col("cx").between(0, size - 1) & F.col("cy").between(0, size - 1)
+    return own.join(density_gradient(grid.where(inside), strength), ["cx", "cy"]).select("node_id", "fx", "fy")
 
 
 def propagate_mass(nodes: DataFrame, edges: DataFrame, base: float = 1.0, child: float = 0.5, rounds: int = 20) -> DataFrame:
@@ -190,19 +281,44 @@ def collide(points: DataFrame, c: Config = Config(), largest: float | None = Non
     return points.join(moves, "node_id", "left").withColumns({"x": F.col("x") + F.coalesce("fx", F.lit(0.0)), "y": F.col("y") + F.coalesce("fy", F.lit(0.0))}).drop("fx", "fy")
 
 
-#: Models by name: functions of (points, edges, config) that return lists of forces.
+def _tfdp(p: DataFrame, e: DataFrame, c: Config) -> list[DataFrame]:
+    return [student_repulsion(p, replace(c, repulsion=c.repulsion * c.tfdp_scale), c.tfdp_gamma), student_attraction(p, e, c.tfdp_alpha, c.tfdp_beta)]
+
+
+#: Models by name: functions of (points, edges, config) that return lists of forces; points have what the model reads (degree, community, tx and ty).
 MODELS: dict[str, Callable[[DataFrame, DataFrame, Config], list[DataFrame]]] = {
     "n2": lambda p, e, c: [repulsion(p, c), springs(p, e, c)],
     "barnes-hut": lambda p, e, c: [far_repulsion(p, c), springs(p, e, c)],
+    "density": lambda p, e, c: [density_repulsion(p, c.repulsion, c.density_grid), springs(p, e, c)],
     "force-atlas2": lambda p, e, c: [degree_repulsion(p, c), gravity(p, 10 * c.center), springs(p, e, c)],
-    "linlog": lambda p, e, c: [degree_repulsion(p, c), gravity(p, 10 * c.center), linlog_attraction(p, e)],
-    "t-fdp": lambda p, e, c: [student_repulsion(p, c), student_attraction(p, e)],
+    "linlog": lambda p, e, c: [degree_repulsion(p, c, c.linlog_scaling), gravity(p, 10 * c.linlog_gravity * c.center), linlog_attraction(p, e, c.linlog_influence)],
+    "t-fdp": _tfdp,
     "community": lambda p, e, c: [community_repulsion(p, c), cluster_attraction(p), springs(p, e, c)],
+    "tidy-tree": lambda p, e, c: [target_spring(p, p.select("node_id", "tx", "ty"))],
+    "codebase": lambda p, e, c: [community_repulsion(p, c, 0.5, 1.5), target_spring(p, p.select("node_id", "tx", "ty"))],
 }
 
 
+def register(name: str, model: Callable[[DataFrame, DataFrame, Config], list[DataFrame]]) -> None:
+    if name in MODELS:
+        raise ValueError(f"model {name} exists")
+    MODELS[name] = model
+
+
 def recommended(n_nodes: int) -> str:
-    return "n2" if n_nodes < 5000 else "barnes-hut"
+    return "n2" if n_nodes < 5_000 else "barnes-hut" if n_nodes < 50_000 else "density"
+
+
+def progressive_damping(damping: float, alpha: float) -> float:
+    """What is kept of a velocity: less as the layout cools, a twentieth at least."""
+    return max(0.05, 1 - damping - 0.12 * (1 - alpha))
+
+
+def anchored(points: DataFrame, node: int, x: float = 0.0, y: float = 0.0) -> DataFrame:
+    """``points`` with one node held at the centre, at rest."""
+    own = F.col("node_id") == node
+    at = {"x": x, "y": y, "vx": 0.0, "vy": 0.0}
+    return points.withColumns({c: F.when(own, F.lit(v)).otherwise(F.col(c)) for c, v in at.items() if c in points.columns})
 
 
 def layout(points: DataFrame, edges: DataFrame, model: str = "n2", ticks: int = 50, c: Config = Config(), alpha: float = 1.0, decay: float = 0.0002, still: float = 0.75) -> DataFrame:

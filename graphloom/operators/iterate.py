@@ -2,36 +2,51 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+_WRITTEN: list[str] = []
+
+
+def forget(spark: SparkSession) -> None:
+    """Remove the steps stored so far; results that still read from them must have been written elsewhere."""
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame) -> DataFrame:
     """The rows written as Parquet under ``spark.checkpoint.dir`` and read back, which ends their lineage; a lost executor costs one step."""
     spark = df.sparkSession
     if not (folder := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="graphloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def settle(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], stamp: Callable[[DataFrame], Any], most: int = 1000) -> DataFrame:
-    """``step`` again and again until ``stamp``, one small aggregate, stays the same."""
+def settle(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], stamp: Callable[[DataFrame], Any], most: int | None = None) -> DataFrame:
+    """``step`` again and again until ``stamp``, one small aggregate, stays the same; ``most`` steps, if given, or an error."""
     state = stored(state)
     last = stamp(state)
-    for turn in range(most):
+    for turn in itertools.count():
+        if most is not None and turn >= most:
+            raise RuntimeError(f"not settled after {most} steps")
         state = stored(step(state, turn))
         now = stamp(state)
         if now == last:
             return state
         last = now
-    raise RuntimeError(f"not settled after {most} steps")
 
 
 def repeat(state: DataFrame, step: Callable[[DataFrame], DataFrame], times: int, every: int = 5) -> DataFrame:

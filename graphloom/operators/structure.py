@@ -147,3 +147,37 @@ def update(nodes: DataFrame, changes: DataFrame, columns: list[str], key: str =
     new = changes.select(key, *[F.col(c).alias(f"_{c}") for c in columns])
     out = nodes.join(new, key, "left")
     return out.withColumns({c: F.coalesce(f"_{c}", c) for c in columns}).drop(*[f"_{c}" for c in columns])
+
+
+def counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: nodes, edges, and one more than the largest node id (0 without nodes)."""
+    return nodes.agg(F.count("*").alias("nodes"), (F.coalesce(F.max("node_id"), F.lit(-1)) + 1).alias("bound")).crossJoin(edges.agg(F.count("*").alias("edges"))).select("nodes", "edges", "bound")
+
+
+def bounds_of(points: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The box of the nodes whose ids are in ``chosen``."""
+    return bounds(points.join(chosen.select("node_id"), "node_id", "left_semi"))
+
+
+def set_visible(nodes: DataFrame, chosen: DataFrame, visible: bool) -> DataFrame:
+    """Nodes with ``visible`` set for those in ``chosen``; without the column all are visible before."""
+    before = F.coalesce(F.col("visible"), F.lit(True)) if "visible" in nodes.columns else F.lit(True)
+    marked = chosen.select("node_id").distinct().withColumn("_m", F.lit(True))
+    return nodes.withColumn("visible", before).join(marked, "node_id", "left").withColumn("visible", F.when(F.col("_m"), F.lit(visible)).otherwise(F.col("visible"))).drop("_m")
+
+
+def visible_graph(graph: Graph) -> Graph:
+    """The visible nodes and the edges between them."""
+    shown = graph.nodes.where(F.coalesce(F.col("visible"), F.lit(True)))
+    return Graph(shown, closed_edges(shown, graph.edges))
+
+
+def placed_beside(graph: Graph, more: DataFrame, radius: float = 30.0) -> DataFrame:
+    """New nodes without a place put around the mean of their neighbours' places, at an angle by id; around the origin without any."""
+    ends = graph.edges.select("src", "dst").union(graph.edges.select("dst", "src"))
+    known = graph.nodes.where("x is not null and y is not null").select(F.col("node_id").alias("dst"), F.col("x").alias("nx"), F.col("y").alias("ny"))
+    middle = ends.join(known, "dst").groupBy(F.col("src").alias("node_id")).agg(F.avg("nx").alias("mx"), F.avg("ny").alias("my"))
+    angle = F.pmod(F.xxhash64("node_id"), F.lit(360)) * 0.017453292519943295
+    out = more.join(middle, "node_id", "left")
+    at = lambda own, m, f: F.coalesce(F.col(own), F.coalesce(m, F.lit(0.0)) + radius * f(angle))
+    return out.withColumns({"x": at("x", "mx", F.cos), "y": at("y", "my", F.sin)}).drop("mx", "my")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import color, geometry
-from graphloom.operators import analytics, density, forces, hierarchy, placement, spatial, structure, style
+from graphloom.operators import analytics, density, forces, hierarchy, placement, relativity, spatial, structure, style
 from graphloom.plans.testgraphs import KNN, PLACED, POINTS, TRADE, TRANSITIONS, TREE, containment, knn, placed_suppliers, points, suppliers, table, trade, transitions
 from graphloom.sources import graph as model
 from graphloom.streaming import values
@@ -126,9 +126,12 @@ def csr_inverse(spark, d):
     return structure.csr(suppliers(spark, d), knn(spark, d), inverse=True).select("node_id", "first", F.array_join("targets", ",").alias("targets"))
 
 
-@query("SELECT CAST(0 AS BIGINT) AS faults")
+@query(f"WITH {KNN}, c AS (SELECT s_suppkey AS node_id, count(src) AS n FROM supplier LEFT JOIN knn ON s_suppkey = src GROUP BY 1), f AS (SELECT node_id, n, coalesce(sum(n) OVER (ORDER BY node_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + CASE WHEN node_id % 10 = 0 THEN 1 ELSE 0 END AS first_ FROM c), g AS (SELECT *, coalesce(lag(first_ + n) OVER (ORDER BY node_id), 0) AS want FROM f) SELECT count(*) AS faults FROM g WHERE first_ <> want")
 def csr_validate(spark, d):
-    return structure.csr_faults(structure.csr(suppliers(spark, d), knn(spark, d))).agg(F.count("*").alias("faults"))
+    """Faults of an adjacency table in which every tenth node's list begins one too late."""
+    rows = structure.csr(suppliers(spark, d), knn(spark, d))
+    shifted = rows.withColumn("first", F.col("first") + F.when(F.col("node_id") % 10 == 0, 1).otherwise(0))
+    return structure.csr_faults(shifted).agg(F.count("*").alias("faults"))
 
 
 @query(f"WITH {KNN} SELECT dst AS node_id FROM knn WHERE src = 3")
@@ -289,14 +292,14 @@ def force_target(spark, d):
 
 
 def _mass_sql(rounds: int) -> str:
-    steps = [f"m{i} AS (SELECT node_id, 1.0 + 0.5 * coalesce(s, 0.0) AS mass FROM tnodes LEFT JOIN (SELECT src, sum(mass) AS s FROM tree JOIN m{i - 1} ON dst = node_id GROUP BY 1) q ON node_id = src)" for i in range(1, rounds + 1)]
+    steps = [f"m{i} AS MATERIALIZED (SELECT node_id, 1.0 + 0.5 * coalesce(s, 0.0) AS mass FROM tnodes LEFT JOIN (SELECT src, sum(mass) AS s FROM tree JOIN m{i - 1} ON dst = node_id GROUP BY 1) q ON node_id = src)" for i in range(1, rounds + 1)]
     start = "m0 AS (SELECT node_id, 1.0 + 0.1 * coalesce(c, 0) AS mass FROM tnodes LEFT JOIN (SELECT src, count(*) AS c FROM tree GROUP BY 1) q ON node_id = src)"
     return f"WITH {TREE}, {start}, {', '.join(steps)} SELECT node_id, round(CAST(mass AS DOUBLE), 4) AS mass FROM m{rounds}"
 
 
-@query(_mass_sql(6))
+@query(_mass_sql(20))
 def mass_propagate(spark, d):
-    return rounded(forces.propagate_mass(*containment(spark, d), rounds=6))
+    return rounded(forces.propagate_mass(*containment(spark, d)))
 
 
 _TICK = f"""{_PAIR}, f AS (SELECT node_id, sum(fx) AS fx, sum(fy) AS fy FROM (
@@ -471,57 +474,61 @@ def tidy_tree(spark, d):
 # Analytics
 
 
-@query("WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, o_custkey % 97 + 1000000 AS b FROM orders WHERE o_custkey % 3 = 0), s AS (SELECT a AS src, b AS dst FROM e UNION SELECT b, a FROM e), n AS (SELECT src AS node_id FROM s UNION SELECT c_custkey FROM customer), r AS (SELECT node_id, node_id AS c FROM n UNION SELECT s.dst, r.c FROM r JOIN s ON r.node_id = s.src) SELECT node_id, min(c) AS component FROM r GROUP BY 1")
-def weak_components(spark, d):
-    e = table(spark, d, "orders").where("o_custkey % 3 = 0").select(F.col("o_custkey").alias("src"), (F.col("o_custkey") % 97 + 1000000).alias("dst")).distinct()
-    n = e.select("src").union(e.select("dst")).union(table(spark, d, "customer").select("c_custkey")).distinct().withColumnRenamed("src", "node_id")
-    return analytics.weak_components(n, e)
+_WEAK = "WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, o_custkey % 97 + 1000000 AS b FROM orders), s AS (SELECT a AS src, b AS dst FROM e UNION SELECT b, a FROM e), n AS (SELECT src AS node_id FROM s UNION SELECT c_custkey FROM customer), r AS (SELECT node_id, node_id AS c FROM n UNION SELECT s.dst, r.c FROM r JOIN s ON r.node_id = s.src) SELECT node_id, min(c) AS component FROM r GROUP BY 1"
 
 
-@query()
-def weak_components_all(spark, d):
-    """``weak_components`` over all orders."""
+@query(_WEAK)
+def weak_components(spark, d):
+    """Customers tied by their number's rest by 97 where they have orders; customers without are alone."""
     e = table(spark, d, "orders").select(F.col("o_custkey").alias("src"), (F.col("o_custkey") % 97 + 1000000).alias("dst")).distinct()
     n = e.select("src").union(e.select("dst")).union(table(spark, d, "customer").select("c_custkey")).distinct().withColumnRenamed("src", "node_id")
     return analytics.weak_components(n, e)
 
 
+QUERIES["weak_components_all"], ORACLES["weak_components_all"] = weak_components, _WEAK
+
+
 @query()
 def strong_components(spark, d):
     return analytics.strong_components(suppliers(spark, d), knn(spark, d, 2))
 
 
 def _rank_sql(rounds: int) -> str:
-    steps = [f"r{i} AS (SELECT n.node_id, 0.15 / c.n + 0.85 * (coalesce(s, 0.0) + l.lost / c.n) AS rank FROM nodes n LEFT JOIN (SELECT k.dst, sum(r.rank / o.n) AS s FROM knn k JOIN o ON k.src = o.src JOIN r{i - 1} r ON k.src = r.node_id GROUP BY 1) q ON n.node_id = q.dst, c, (SELECT coalesce(sum(rank), 0.0) AS lost FROM r{i - 1} WHERE node_id NOT IN (SELECT src FROM o)) l)" for i in range(1, rounds + 1)]
-    return f"WITH {KNN}, nodes AS (SELECT s_suppkey AS node_id FROM supplier), c AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM nodes), o AS (SELECT src, CAST(count(*) AS DOUBLE) AS n FROM knn GROUP BY 1), r0 AS (SELECT node_id, 1.0 / c.n AS rank FROM nodes, c), {', '.join(steps)} SELECT node_id, round(rank, 6) AS rank FROM r{rounds}"
+    steps = [f"r{i} AS MATERIALIZED (SELECT n.node_id, 0.15 / c.n + 0.85 * (coalesce(s, 0.0) + l.lost / c.n) AS rank FROM nodes n LEFT JOIN (SELECT k.dst, sum(r.rank / o.n) AS s FROM knn k JOIN o ON k.src = o.src JOIN r{i - 1} r ON k.src = r.node_id GROUP BY 1) q ON n.node_id = q.dst, c, (SELECT coalesce(sum(rank), 0.0) AS lost FROM r{i - 1} WHERE node_id NOT IN (SELECT src FROM o)) l)" for i in range(1, rounds + 1)]
+    return f"WITH {KNN.replace('knn AS (', 'knn AS MATERIALIZED (')}, nodes AS (SELECT s_suppkey AS node_id FROM supplier), c AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM nodes), o AS (SELECT src, CAST(count(*) AS DOUBLE) AS n FROM knn GROUP BY 1), r0 AS (SELECT node_id, 1.0 / c.n AS rank FROM nodes, c), {', '.join(steps)} SELECT node_id, round(rank, 6) AS rank FROM r{rounds}"
 
 
-@query(_rank_sql(10))
+@query(_rank_sql(20))
 def pagerank(spark, d):
-    return rounded(analytics.pagerank(suppliers(spark, d), knn(spark, d), iterations=10), 6)
+    return rounded(analytics.pagerank(suppliers(spark, d), knn(spark, d)), 6)
 
 
-@query()
+@query(_rank_sql(20))
 def pagerank_20(spark, d):
     return rounded(analytics.pagerank(suppliers(spark, d), knn(spark, d)), 6)
 
 
 def _katz_sql(rounds: int) -> str:
-    steps = [f"r{i} AS (SELECT s_suppkey AS node_id, 1.0 + 0.05 * coalesce(s, 0.0) AS score FROM supplier LEFT JOIN (SELECT dst, sum(score) AS s FROM knn JOIN r{i - 1} ON src = node_id GROUP BY 1) q ON s_suppkey = dst)" for i in range(1, rounds + 1)]
-    return f"WITH {KNN}, r0 AS (SELECT s_suppkey AS node_id, CAST(1.0 AS DOUBLE) AS score FROM supplier), {', '.join(steps)} SELECT node_id, round(score, 6) AS score FROM r{rounds}"
+    steps = [f"r{i} AS MATERIALIZED (SELECT s_suppkey AS node_id, 1.0 + 0.05 * coalesce(s, 0.0) AS score FROM supplier LEFT JOIN (SELECT dst, sum(score) AS s FROM knn JOIN r{i - 1} ON src = node_id GROUP BY 1) q ON s_suppkey = dst)" for i in range(1, rounds + 1)]
+    return f"WITH {KNN.replace('knn AS (', 'knn AS MATERIALIZED (')}, r0 AS (SELECT s_suppkey AS node_id, CAST(1.0 AS DOUBLE) AS score FROM supplier), {', '.join(steps)} SELECT node_id, round(score, 6) AS score FROM r{rounds}"
 
 
-@query(_katz_sql(10))
+@query(_katz_sql(20))
 def katz(spark, d):
-    return rounded(analytics.katz(suppliers(spark, d), knn(spark, d), iterations=10), 6)
+    return rounded(analytics.katz(suppliers(spark, d), knn(spark, d)), 6)
 
 
-@query()
+@query(_katz_sql(20))
 def katz_20(spark, d):
     return rounded(analytics.katz(suppliers(spark, d), knn(spark, d)), 6)
 
 
-@query()
+def _eigen_sql(rounds: int) -> str:
+    steps = [f"w{i} AS MATERIALIZED (SELECT r.node_id, r.score + coalesce(s, 0.0) AS score FROM r{i - 1} r LEFT JOIN (SELECT dst, sum(score) AS s FROM knn JOIN r{i - 1} ON src = node_id GROUP BY 1) q ON r.node_id = dst), r{i} AS MATERIALIZED (SELECT node_id, score / (SELECT sqrt(sum(score * score)) FROM w{i}) AS score FROM w{i})" for i in range(1, rounds + 1)]
+    return f"WITH {KNN.replace('knn AS (', 'knn AS MATERIALIZED (')}, r0 AS (SELECT s_suppkey AS node_id, CAST(1.0 AS DOUBLE) AS score FROM supplier), {', '.join(steps)} SELECT node_id, round(score, 6) AS score FROM r{rounds}"
+
+
+@query(_eigen_sql(20))
 def eigenvector(spark, d):
     return rounded(analytics.eigenvector(suppliers(spark, d), knn(spark, d)), 6)
 
@@ -563,6 +570,212 @@ def transition_weights(spark, d):
     return transitions(spark, d)
 
 
+# Forces by density, family and mass
+
+_FIELD = f"""WITH {POINTS}, b AS (SELECT min(x) AS lx, min(y) AS ly, greatest(max(x) - min(x), max(y) - min(y), 1.0) / 128 AS side FROM points),
+o AS (SELECT node_id, CAST(least(floor((x - lx) / side), 127) AS BIGINT) AS cx, CAST(least(floor((y - ly) / side), 127) AS BIGINT) AS cy FROM points, b), st AS (SELECT CAST(range AS BIGINT) AS a FROM range(-3, 4)),
+g AS (SELECT cx + p.a AS cx, cy + q.a AS cy, sum(exp(-2.0 * (p.a * p.a + q.a * q.a) / 9.0)) AS density FROM o, st p, st q WHERE p.a * p.a + q.a * q.a <= 9 GROUP BY 1, 2),
+f AS (SELECT * FROM g WHERE cx BETWEEN 0 AND 127 AND cy BETWEEN 0 AND 127)
+SELECT node_id, round(-25.0 * (coalesce(e.density, 0) - coalesce(w.density, 0)), 4) + 0.0 AS fx, round(-25.0 * (coalesce(n.density, 0) - coalesce(s.density, 0)), 4) + 0.0 AS fy FROM o
+LEFT JOIN f e ON e.cx = o.cx + 1 AND e.cy = o.cy LEFT JOIN f w ON w.cx = o.cx - 1 AND w.cy = o.cy LEFT JOIN f n ON n.cx = o.cx AND n.cy = o.cy + 1 LEFT JOIN f s ON s.cx = o.cx AND s.cy = o.cy - 1"""
+
+
+@query(_FIELD)
+def force_density(spark, d):
+    return rounded(forces.density_repulsion(points(spark, d)))
+
+
+def _masses(spark, d) -> DataFrame:
+    return _bodies(spark, d).withColumn("mass", F.col("degree").cast("double"))
+
+
+@query(f"{_PAIR}, q AS (SELECT *, sqrt(x * x + y * y) AS d FROM p) SELECT node_id, round(-0.5 / sqrt(greatest(degree, 1.0)) * sqrt(d) * x / d, 4) + 0.0 AS fx, round(-0.5 / sqrt(greatest(degree, 1.0)) * sqrt(d) * y / d, 4) + 0.0 AS fy FROM q WHERE d > 1e-4")
+def force_gravity_mass(spark, d):
+    return rounded(relativity.mass_gravity(_masses(spark, d), 0.5))
+
+
+_KIN = f"{_PAIR}, k AS (SELECT DISTINCT src, dst FROM knn WHERE src <> dst)"
+
+
+@query(f"""{_KIN}, r AS (SELECT a.dst AS node_id, u.x - v.x AS dx, u.y - v.y AS dy, u.x - c.x AS rx, u.y - c.y AS ry, greatest(u.degree, 1.0) * greatest(v.degree, 1.0) AS m FROM k a JOIN k b ON a.src = b.src AND a.dst <> b.dst JOIN p u ON u.node_id = a.dst JOIN p v ON v.node_id = b.dst JOIN p c ON c.node_id = a.src),
+f AS (SELECT *, 50.0 * m / greatest(sqrt(dx * dx + dy * dy), 0.01) / greatest(sqrt(dx * dx + dy * dy), 0.01) AS q, rx * rx + ry * ry AS r2 FROM r), t AS (SELECT *, CASE WHEN r2 > 1e-8 THEN q * (dx * rx + dy * ry) / r2 ELSE 0 END AS al FROM f)
+SELECT node_id, round(sum(CASE WHEN r2 > 1e-8 THEN al * rx + 2.0 * (q * dx - al * rx) ELSE q * dx END), 2) + 0.0 AS fx, round(sum(CASE WHEN r2 > 1e-8 THEN al * ry + 2.0 * (q * dy - al * ry) ELSE q * dy END), 2) + 0.0 AS fy FROM t GROUP BY 1""")
+def force_sibling(spark, d):
+    return rounded(relativity.siblings(_masses(spark, d), knn(spark, d)), 2)
+
+
+@query(f"{_KIN}, n AS (SELECT src, count(*) AS n FROM k GROUP BY 1), r AS (SELECT k.dst AS node_id, c.x - u.x AS dx, c.y - u.y AS dy, n FROM k JOIN n ON k.src = n.src JOIN p u ON u.node_id = k.dst JOIN p c ON c.node_id = k.src), q AS (SELECT *, sqrt(dx * dx + dy * dy) AS d FROM r) SELECT node_id, round(sum((d - 25.0 * sqrt(n)) / d * dx), 4) + 0.0 AS fx, round(sum((d - 25.0 * sqrt(n)) / d * dy), 4) + 0.0 AS fy FROM q WHERE d > 1e-4 GROUP BY 1")
+def force_orbit(spark, d):
+    return rounded(relativity.orbit(_bodies(spark, d), knn(spark, d)))
+
+
+@query(f"{_KIN} SELECT a.src AS node_id, round(sum(7.5 * greatest(u.degree, 1.0) * greatest(v.degree, 1.0) * (u.x - v.x) / ((u.x - v.x) * (u.x - v.x) + (u.y - v.y) * (u.y - v.y))), 2) + 0.0 AS fx, round(sum(7.5 * greatest(u.degree, 1.0) * greatest(v.degree, 1.0) * (u.y - v.y) / ((u.x - v.x) * (u.x - v.x) + (u.y - v.y) * (u.y - v.y))), 2) + 0.0 AS fy FROM k a JOIN p u ON u.node_id = a.src JOIN p v ON v.node_id = a.dst GROUP BY 1")
+def force_children(spark, d):
+    return rounded(relativity.children(_masses(spark, d), knn(spark, d)), 2)
+
+
+@query()
+def force_cousins(spark, d):
+    return rounded(relativity.cousins(_masses(spark, d), knn(spark, d)), 2)
+
+
+@query()
+def force_barnes_hut(spark, d):
+    """Tree forces between all points."""
+    return rounded(forces.far_repulsion(points(spark, d)))
+
+
+# Visibility, boxes, labels
+
+
+@query(f"WITH {KNN} SELECT src, dst, weight FROM knn WHERE src % 4 <> 0 AND dst % 4 <> 0")
+def hide_nodes(spark, d):
+    g = model.Graph(suppliers(spark, d), knn(spark, d))
+    return structure.visible_graph(g.with_(nodes=structure.set_visible(g.nodes, g.nodes.where("node_id % 4 = 0"), False))).edges.select("src", "dst", "weight")
+
+
+@query(f"WITH {KNN} SELECT (SELECT count(*) FROM supplier) AS nodes, (SELECT count(*) FROM knn) AS edges, (SELECT max(s_suppkey) + 1 FROM supplier) AS bound")
+def graph_counts(spark, d):
+    return structure.counts(suppliers(spark, d), knn(spark, d))
+
+
+@query(f"WITH {POINTS} SELECT round(min(x), 4) AS min_x, round(min(y), 4) AS min_y, round(max(x), 4) AS max_x, round(max(y), 4) AS max_y FROM points WHERE community = 3")
+def bounds_subset(spark, d):
+    p = points(spark, d)
+    return rounded(structure.bounds_of(p, p.where("community = 3")))
+
+
+@query(f"WITH {POINTS}, b AS (SELECT min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM points) SELECT round((x0 + x1) / 2, 4) AS x, round((y0 + y1) / 2, 4) AS y, round(least(100.0, greatest(0.01, least(700.0 / (x1 - x0), 500.0 / (y1 - y0)))), 6) AS scale FROM b")
+def fit_view(spark, d):
+    box = structure.bounds(points(spark, d)).first()
+    view = geometry.Viewport().fit(*box)
+    return spark.createDataFrame([(round(view.x, 4), round(view.y, 4), round(view.scale, 6))], "x double, y double, scale double")
+
+
+def _advances() -> dict[str, float]:
+    return {c: 6.0 + i % 5 for i, c in enumerate("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789#")}
+
+
+_CHARACTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789#"
+
+
+@query(f"WITH c AS (SELECT c_custkey AS node_id, unnest(string_split(c_name, '')) AS ch FROM customer) SELECT node_id, sum(CASE WHEN strpos('{_CHARACTERS}', ch) > 0 THEN 6.0 + (strpos('{_CHARACTERS}', ch) - 1) % 5 ELSE 0.0 END)::DOUBLE AS width FROM c GROUP BY 1")
+def text_width(spark, d):
+    return style.text_width(table(spark, d, "customer").select(F.col("c_custkey").alias("node_id"), F.col("c_name").alias("text")), _advances(), {})
+
+
+@query()
+def label_exclusion(spark, d):
+    p = points(spark, d)
+    labels = p.select("node_id", F.concat(F.lit("Node"), F.col("node_id")).alias("text"), F.col("community").cast("double").alias("priority"), "x", "y", F.lit(None).cast("double").alias("min_zoom"), F.lit(None).cast("double").alias("max_zoom"))
+    return rounded(style.free_labels(labels, 2.0, (0.0, 0.0, 1600.0, 1200.0), style.text_width(labels, _advances(), {})))
+
+
+# Value streams, colour maps, statistics
+
+
+def _streams() -> values.Streams:
+    out, ramp = values.Streams(), color.gradient((0.0, 0.0, 0.0, 0.0), (1.0, 0.5, 0.0, 1.0))
+    for name, mode, opacity in (("click", "additive", 1.0), ("view", "multiply", 0.5), ("error", "replace", 0.8), ("purchase", "max", 1.0)):
+        out.define(values.Stream(name, 10.0, 100.0, tuple(ramp), mode, opacity))
+    return out
+
+
+def _stream_values(spark, d) -> DataFrame:
+    rows = table(spark, d, "events").select(F.col("user_id").alias("node_id"), F.col("event_type").alias("stream"), "ts", "event_id", "value")
+    return values.latest(rows, ["node_id", "stream"], ["ts", "event_id"]).select("stream", "node_id", "value")
+
+
+_LATEST = "l AS (SELECT user_id AS node_id, event_type, greatest(0.0, least(1.0, (value - 10) / 90)) AS t FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) q WHERE r = 1), t AS (SELECT node_id, max(CASE WHEN event_type = 'click' THEN t END) AS t1, max(CASE WHEN event_type = 'view' THEN t END) AS t2, max(CASE WHEN event_type = 'error' THEN t END) AS t3, max(CASE WHEN event_type = 'purchase' THEN t END) AS t4 FROM l WHERE event_type <> 'signup' GROUP BY 1)"
+
+
+def _fold(k: str) -> str:
+    one = f"coalesce(least(1.0, {k} * t1 * t1), 0.0)"
+    two = f"CASE WHEN t2 IS NULL THEN {one} ELSE {one} * (1 - 0.5 * t2 + {k} * t2 * 0.5 * t2) END"
+    three = f"CASE WHEN t3 IS NULL THEN {two} ELSE ({two}) * (1 - 0.8 * t3) + {k} * t3 * 0.8 * t3 END"
+    return f"CASE WHEN t4 IS NULL THEN {three} ELSE greatest({three}, {k} * t4 * t4) END"
+
+
+@query(f"WITH {_LATEST} SELECT node_id, round({_fold('1.0')}, 6) AS r, round({_fold('0.5')}, 6) AS g, round(greatest(0.0, coalesce(t1, 0), coalesce(0.5 * t2, 0), coalesce(0.8 * t3, 0), coalesce(t4, 0)), 6) AS a FROM t")
+def stream_blend_ordered(spark, d):
+    return rounded(_streams().blended(_stream_values(spark, d)).drop("b"), 6)
+
+
+@query("SELECT DISTINCT user_id AS node_id FROM events WHERE event_type IN ('click', 'error')")
+def stream_affected(spark, d):
+    s = _streams()
+    s.change("view", enabled=False)
+    s.toggle("purchase")
+    return s.affected(_stream_values(spark, d))
+
+
+@query(f"WITH {_LATEST} SELECT c_custkey AS node_id, round(coalesce(t2, 0.0), 6) AS intensity FROM customer LEFT JOIN t ON c_custkey = t.node_id")
+def stream_intensity(spark, d):
+    nodes = table(spark, d, "customer").select(F.col("c_custkey").alias("node_id"))
+    return rounded(_streams().intensity(nodes, _stream_values(spark, d), "view"), 6)
+
+
+@query("SELECT event_type, user_id % 10 AS part, round(avg(value), 6) AS value FROM events GROUP BY 1, 2")
+def channel_mean(spark, d):
+    return rounded(values.channel(table(spark, d, "events").withColumn("part", F.col("user_id") % 10), ["event_type", "part"], "avg"), 6)
+
+
+@query("SELECT count(*) AS frames, round(sum(value), 4) AS total, round(max(value), 4) AS most, round(list_sort(list(value))[CAST(floor(0.99 * count(*)) AS BIGINT) + 1], 4) AS slow, round(1000 / avg(value), 6) AS fps_avg FROM events")
+def frame_summary(spark, d):
+    return rounded(values.frame_summary(table(spark, d, "events"), "value").select("frames", F.round("total", 4).alias("total"), F.round("most", 4).alias("most"), F.round("slow", 4).alias("slow"), "fps_avg"), 6)
+
+
+_DENSE = _KDE.replace("round(sum(", "(sum(").replace("))), 4) AS density", ")))) AS density")
+
+
+@query(f"WITH g AS ({_DENSE}), t AS (SELECT cx, cy, greatest(0.0, least(1.0, density / 0.5)) AS t FROM g WHERE density >= 1e-4) SELECT cx, cy, round(t, 6) AS r, round(1 - t, 6) AS g, round(sqrt(t) * 0.7, 6) AS a FROM t")
+def colormap(spark, d):
+    return rounded(density.colormap(density.kde(points(spark, d), 20.0, 50.0), color.heat_scale("cool"), 0.0, 0.5).drop("b"), 6)
+
+
+@query("SELECT range AS i, round(CASE WHEN range / 255.0 <= 0.5 THEN 0.969 + (0.392 - 0.969) * range / 127.5 ELSE 0.392 + (0.031 - 0.392) * (range / 127.5 - 1) END, 6) AS r FROM range(256)")
+def heat_lut(spark, d):
+    return rounded(density.lookup_table(spark, color.heat_scale("blues")).select("i", "r"), 6)
+
+
+# Communities in place
+
+_CIRCLE = f"""WITH {POINTS}, s AS (SELECT community, count(*) AS members FROM points GROUP BY 1), i AS (SELECT *, CASE WHEN members > 1 THEN 10.0 * sqrt(members / pi()) ELSE 0.0 END AS inner_ FROM s),
+a AS (SELECT *, 2 * pi() * (coalesce(sum(members) OVER (ORDER BY community ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + members / 2.0) / sum(members) OVER () AS angle, sum(2 * inner_ + 50.0) OVER () / (2 * pi()) * 1.5 AS big FROM i),
+c AS (SELECT community, members, inner_, big * cos(angle) AS cx, big * sin(angle) AS cy FROM a)"""
+
+
+@query(f"{_CIRCLE} SELECT community, members, round(cx, 4) + 0.0 AS cx, round(cy, 4) + 0.0 AS cy FROM c")
+def community_centers(spark, d):
+    return rounded(analytics.community_circle(points(spark, d)).drop("inner"))
+
+
+@query(f"{_CIRCLE}, r AS (SELECT node_id, community, row_number() OVER (PARTITION BY community ORDER BY node_id) - 1 AS i FROM points) SELECT node_id, round(cx + inner_ * 1.5 * sqrt((i + 0.5) / members) * cos(i * (2 * pi() / (1 + sqrt(5)))), 4) + 0.0 AS x, round(cy + inner_ * 1.5 * sqrt((i + 0.5) / members) * sin(i * (2 * pi() / (1 + sqrt(5)))), 4) + 0.0 AS y FROM r JOIN c ON r.community = c.community")
+def sunflower(spark, d):
+    p = points(spark, d)
+    return rounded(analytics.sunflower(p, analytics.community_circle(p)))
+
+
+@query(f"WITH {POINTS} SELECT community, count(*) AS members FROM points GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5")
+def community_top5(spark, d):
+    return analytics.community_sizes(points(spark, d), 5)
+
+
+@query()
+def community_layout(spark, d):
+    return rounded(analytics.community_layout(points(spark, d)))
+
+
+@query()
+def leiden(spark, d):
+    return analytics.louvain(suppliers(spark, d), knn(spark, d), refined=True)
+
+
+@query()
+def concave_hulls(spark, d):
+    return rounded(analytics.concave_hulls(points(spark, d)))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass, field, replace
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from graphloom.functions import color
+
 
 def latest(values: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of each key by ``order``: a maximum of structs, combined before the shuffle."""
@@ -30,3 +35,113 @@ def rolling_mean(frames: DataFrame, key: str, order: str, value: str, rows: int
     """Each row with the mean of its key's last ``rows`` values."""
     w = Window.partitionBy(key).orderBy(order).rowsBetween(1 - rows, 0)
     return frames.withColumn("mean", F.avg(value).over(w))
+
+
+@dataclass(frozen=True)
+class Stream:
+    """How a value stream is drawn: its domain, colour stops, opacity and how it blends with the streams before it."""
+
+    name: str
+    low: float = 0.0
+    high: float = 1.0
+    stops: tuple = tuple(color.STREAM_SCALES["heat"])
+    mode: str = "additive"
+    opacity: float = 1.0
+    enabled: bool = True
+
+    def __post_init__(self):
+        if self.mode not in color.BLENDS:
+            raise ValueError(f"unknown blend mode {self.mode}")
+
+
+@dataclass
+class Streams:
+    """Defined streams in their order, at most ``most``; their values are rows (stream, node_id, value), one a key."""
+
+    defined: dict[str, Stream] = field(default_factory=dict)
+    most: int = 16
+
+    def define(self, stream: Stream) -> None:
+        if stream.name in self.defined:
+            raise ValueError(f"stream {stream.name} exists")
+        if len(self.defined) >= self.most:
+            raise ValueError(f"at most {self.most} streams")
+        self.defined[stream.name] = stream
+
+    def remove(self, name: str) -> None:
+        self.defined.pop(name, None)
+
+    def has(self, name: str) -> bool:
+        return name in self.defined
+
+    def change(self, name: str, **settings) -> None:
+        """Set a stream's opacity, mode, stops or domain, or switch it on or off."""
+        self.defined[name] = replace(self.defined[name], **settings)
+
+    def toggle(self, name: str) -> None:
+        self.change(name, enabled=not self.defined[name].enabled)
+
+    def info(self, values: DataFrame) -> DataFrame:
+        """(stream, enabled, mode, opacity, n): every stream with how many nodes have a value."""
+        spark = values.sparkSession
+        rows = [(s.name, s.enabled, s.mode, float(s.opacity)) for s in self.defined.values()]
+        counts = values.groupBy("stream").agg(F.count("*").alias("n"))
+        return spark.createDataFrame(rows, "stream string, enabled boolean, mode string, opacity double").join(counts, "stream", "left").na.fill(0, ["n"])
+
+    def enabled(self, values: DataFrame) -> DataFrame:
+        on = [s.name for s in self.defined.values() if s.enabled]
+        return values.where(F.col("stream").isin(on)) if on else values.limit(0)
+
+    def affected(self, values: DataFrame) -> DataFrame:
+        """Nodes with a value in a stream that is on."""
+        return self.enabled(values).select("node_id").distinct()
+
+    def blended(self, values: DataFrame, base: tuple[float, float, float, float] = (0.0, 0.0, 0.0, 0.0)) -> DataFrame:
+        """(node_id, r, g, b, a): each affected node's colours folded over ``base`` in the order of definition.
+
+        A node has at most one value a stream, so its row of layers is as short as the list of streams.
+        """
+        layers = []
+        for s in self.defined.values():
+            if s.enabled:
+                value = F.max(F.when(F.col("stream") == s.name, F.col("value")))
+                layers.append(value.alias(s.name))
+        if not layers:
+            return values.limit(0).select("node_id", *[F.lit(0.0).alias(c) for c in "rgba"])
+        wide = self.enabled(values).groupBy("node_id").agg(*layers)
+        out = wide.withColumns({c: F.lit(float(v)) for c, v in zip(("_r", "_g", "_b", "_a"), base, strict=True)})
+        for s in self.defined.values():
+            if s.enabled:
+                new = color.scale(color.normalise(F.col(f"`{s.name}`"), s.low, s.high), list(s.stops), s.opacity)
+                blend = color.BLENDS[s.mode]
+                out = out.withColumn("_new", F.when(F.col(f"`{s.name}`").isNotNull(), new))
+                parts = {f"_{c}": F.when(F.col("_new").isNull(), F.col(f"_{c}")).otherwise(blend(F.col(f"_{c}"), F.col("_new")[c], F.col("_new.a"))) for c in "rgb"}
+                out = out.withColumns(parts | {"_a": F.when(F.col("_new").isNull(), F.col("_a")).otherwise(F.greatest("_a", F.col("_new.a")))})
+        return out.select("node_id", *[F.col(f"_{c}").alias(c) for c in "rgba"])
+
+    def applied(self, nodes: DataFrame, values: DataFrame) -> DataFrame:
+        """Nodes (node_id, r, g, b, a) with their blended colours where these can be seen; without a stream they have their own again."""
+        new = self.blended(values).select("node_id", *[F.col(c).alias(f"_{c}") for c in "rgba"])
+        seen = F.coalesce(F.col("_a"), F.lit(0.0)) > 0
+        return nodes.join(new, "node_id", "left").withColumns({c: F.when(seen, F.col(f"_{c}")).otherwise(F.col(c)) for c in "rgba"}).drop("_r", "_g", "_b", "_a")
+
+    def intensity(self, nodes: DataFrame, values: DataFrame, name: str) -> DataFrame:
+        """(node_id, intensity): each node's normalised value in a stream, 0 without one."""
+        s = self.defined[name]
+        own = values.where(F.col("stream") == name).select("node_id", color.normalise(F.col("value"), s.low, s.high).alias("intensity"))
+        return nodes.select("node_id").join(own, "node_id", "left").na.fill(0.0, ["intensity"])
+
+
+def channel(values: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """(keys, value): several values of a channel as one, by sum, max, avg or min."""
+    return values.groupBy(*keys).agg({"sum": F.sum, "max": F.max, "avg": F.avg, "min": F.min}[how]("value").alias("value"))
+
+
+def frame_summary(frames: DataFrame, value: str, target_fps: float = 30.0) -> DataFrame:
+    """One row: frames, total, average, least and most time, and the rates they mean; ``slow`` is the value of rank floor(0.99 n), from counts of equal values."""
+    n = frames.where(F.col(value).isNotNull()).count()
+    rank = (math.floor(0.99 * n) + 1 - 1e-6) / n if n else 1.0
+    slow = F.expr(f"percentile_disc({rank!r}D) WITHIN GROUP (ORDER BY `{value}`)")
+    out = frames.agg(F.count(value).alias("frames"), F.sum(value).alias("total"), F.avg(value).alias("avg"), F.min(value).alias("least"), F.max(value).alias("most"), slow.alias("slow"))
+    rates = {"fps_avg": 1000 / F.col("avg"), "fps_least": 1000 / F.col("most"), "fps_most": 1000 / F.col("least"), "fps_slow": 1000 / F.col("slow")}
+    return out.withColumns(rates).withColumn("met", F.col("fps_avg") >= target_fps)
