@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -38,10 +39,22 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(name, str(rows))
 
 
+def give_back() -> None:
+    """Return what this worker has freed to the system: it lives on beside its executor's other tasks."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` over small batches."""
+    """``mapInArrow`` over small batches; a task gives its memory back when it ends."""
     small_batches(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(task, schema)
 
 
 _WRITTEN: list[str] = []
@@ -61,17 +74,18 @@ def written() -> int:
     return len(_WRITTEN)
 
 
-def forget(spark: SparkSession, since: int = 0) -> None:
-    """Remove the tables materialized after the mark ``since``; results that still read from them must have been written elsewhere."""
-    while len(_WRITTEN) > since:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+def forget(spark: SparkSession, since: int = 0, until: int | None = None) -> None:
+    """Remove the tables materialized between two marks; results that still read from them must have been written elsewhere."""
+    for name in _WRITTEN[since:until]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    del _WRITTEN[since:until]
 
 
 class WordHashes(dict):
     """64-bit hash of each word (bytes), kept for words seen before; starts over at ``most`` words so that memory stays bounded."""
 
-    def __init__(self, most: int = 100_000):
+    def __init__(self, most: int = 50_000):
         super().__init__()
         self.most = most
 

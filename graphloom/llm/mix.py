@@ -6,20 +6,18 @@ import math
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
-from graphloom.llm.common import materialize, small_batches, words_of
+from graphloom.llm.common import materialize
 
 #: Hash buckets in each size class of a source; what a source takes is settled by whole buckets.
 BUCKETS = 256
 
 
-@F.pandas_udf(LongType())
-def n_words(texts: pd.Series) -> pd.Series:
+def n_words(text: Column) -> Column:
     """Number of words ``[^\\x20\\x09-\\x0D]+``; 0 for null."""
-    return texts.map(lambda t: len(words_of(t))).astype("int64")
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
 def water_fill(sources: DataFrame, total: float, max_epochs: float) -> DataFrame:
@@ -45,8 +43,8 @@ def _cutoffs(pdf: pd.DataFrame) -> pd.DataFrame:
     """For one source, the number of buckets of each size class that get one more repetition.
 
     Classes go from long documents to short ones; what whole buckets leave of a class's
-    share is carried to the next, so the source misses its target by little more than
-    its shortest documents. At most 64 classes of ``BUCKETS`` buckets come here.
+    share is carried to the next, so a source misses its target by less than a bucket of its
+    shortest class that takes any: little beside a large source, more beside a small one. At most 64 classes of ``BUCKETS`` buckets come here.
     """
     out, carry = [], 0.0
     first = pdf.iloc[0]
@@ -81,7 +79,6 @@ def plan_mix(
     empty text has size 0 and repeats like its source's shortest class, at no cost. A null
     source is a source. An empty table gives no rows.
     """
-    small_batches(docs.sparkSession)
     key = F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit(""))  # "": the null source
     sized = docs.withColumn("_source_key", key).withColumn("size", n_words(F.col(text_col)))
     small = materialize(

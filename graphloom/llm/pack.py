@@ -9,6 +9,7 @@ import zlib
 from array import array
 from collections import deque
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -53,16 +54,26 @@ class WordIds:
     #: Signs that are white space to Python only, and texts of special tokens; such a text is encoded as a whole.
     ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|startoftext|>", "<|endoftext|>")
 
-    def __init__(self, path: str, most: int = 150_000):
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.marks = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
-        self.marks[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
-        made = json.loads(self.tokenizer.to_str())
+    def __init__(self, path: str, most: int = 100_000):
+        self.path, self.most = path, most
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
         self.by_words = self._splits(made)
         if self.by_words:  # parts are normal and apart already
             signs = [s for s in made["pre_tokenizer"]["pretokenizers"] if s["type"] == "ByteLevel"]
             made |= {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *signs]}, "post_processor": None, "added_tokens": []}
             self.of_parts = Tokenizer.from_str(json.dumps(made))
+            vocabulary = self.of_parts.get_vocab()
+            self.marks = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.marks[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.forget()
+
+    @cached_property
+    def tokenizer(self) -> Tokenizer:
+        """The vocabulary's own tokenizer, loaded for the first text that needs it."""
+        return Tokenizer.from_file(self.path)
+
+    def forget(self) -> None:
         self.parts, self.part_ids = {}, _Lists()
         self.words, self.word_ids, self.stops = {}, _Lists(), bytearray()
 
@@ -73,6 +84,8 @@ class WordIds:
         return kinds == ["NFC", "Replace", "Lowercase"] and patterns == [PARTS] and made["model"].get("end_of_word_suffix") == "</w>"
 
     def whole(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        if not text:
+            return np.array([], np.uint32), np.array([], np.int64)
         found = self.tokenizer.encode(text, add_special_tokens=False)
         stops = [m.end() for m in self.SENTENCE.finditer(text)]
         ends = np.array([e for _, e in found.offsets], np.int64)
@@ -114,10 +127,8 @@ class WordIds:
         texts = texts.fill_null("")
         if not self.by_words:
             return [self.whole(t.as_py()) for t in texts]
-        if len(self.words) > self.most:
-            self.words, self.word_ids, self.stops = {}, _Lists(), bytearray()
-        if len(self.parts) > 2 * self.most:
-            self.parts, self.part_ids = {}, _Lists()
+        if len(self.words) > self.most or len(self.parts) > 2 * self.most:
+            self.forget()
         odd = np.zeros(len(texts), bool)
         for sign in self.ODD:
             odd |= pc.match_substring(texts, sign).to_numpy(zero_copy_only=False)
@@ -172,7 +183,7 @@ def tokenize(docs: DataFrame, path: str | None = None, end_id: int = 2, id_col:
     path = path or vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _KNOWN.setdefault(path, None) or WordIds(path)  # one per Python worker, kept from task to task
+        known = _KNOWN.setdefault(path, None) or WordIds(path)  # one per Python worker; the words are forgotten with the task
         _KNOWN[path] = known
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
@@ -184,6 +195,7 @@ def tokenize(docs: DataFrame, path: str | None = None, end_id: int = 2, id_col:
                     cuts.append(np.append(stops[(stops > 0) & (stops < len(own))], len(own) + 1).astype("<u4").tobytes())
                 yield pa.record_batch([keys, pa.array(map(len, ids), pa.int64()), pa.array([i.tobytes() for i in ids], pa.binary()), pa.array(cuts, pa.binary()), pa.array(np.arange(row, row + len(ids)))], ["doc_id", "n_ids", "ids", "cuts", "row"])
                 row += len(ids)
+        known.forget()
 
     return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, TOKEN_SCHEMA)
 

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import U64, map_batches, materialize, mixed, small_batches
+from graphloom.llm.common import U64, give_back, map_batches, materialize, mixed, small_batches
 
 #: Buckets of the hashed n-grams: the model's size, whatever the corpus.
 BUCKETS = 1 << 14
@@ -29,7 +29,7 @@ class _Tokens(dict):
     TOKENS = regex.compile(r"\w+|[^\w\s]+")
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= 100_000:
+        if len(self) >= 50_000:
             self.clear()
         found = self[word] = tuple(xxhash.xxh3_64_intdigest(t) for t in self.TOKENS.findall(word))
         return found
@@ -215,6 +215,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, k: int | None = None, id_col:
                 grams = ngrams((text or "").split(), tokens, len(ratios.value))
                 found.append((len(grams), float(ratios.value[grams].sum())))
             yield pd.DataFrame(found, columns=["n_grams", "log_ratio"])
+        give_back()
 
     small_batches(docs.sparkSession)
     names = docs.columns
