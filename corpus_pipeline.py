@@ -1,7 +1,11 @@
 """The corpus pipeline: quality, exact dedup, near-dedup, mixing, packing.
 
 Every stage takes (spark, docs, sf_dir), works on all rows of its predecessor and returns
-the columns of ``documents``; the last one returns packed pieces.
+the columns of ``documents``, extra ones included; the last one returns packed pieces.
+
+In all stages a null text counts as empty, repeated rows are decided alike, an empty table
+gives no rows, and texts are taken whole however long they are. Rows with a null id are kept by
+near dedup and mixed and packed like others. What ties is stated with each operator.
 """
 
 from __future__ import annotations
@@ -9,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm import exact, minhash, mix, pack, quality
-from graphloom.llm.common import materialize, table
+from graphloom.llm.common import forget, materialize, table, written
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +55,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each one's rows written as Parquet and reread by the next."""
-    docs = table(spark, sf_dir, "documents")
+    docs, first = table(spark, sf_dir, "documents"), written()
     for _, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir))
+        forget(spark, first, written() - 1)  # all but this stage's rows
     return STAGES[-1][1](spark, docs, sf_dir)
