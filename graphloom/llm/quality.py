@@ -115,7 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, most_labels:
     return QualityModel(ratios, *_calibrated(np.array([m for q, m in means if q]), np.array([m for q, m in means if not q]))), scores
 
 
-def _calibrated(good: np.ndarray, bad: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
+def _calibrated(good: np.ndarray, bad: np.ndarray, ridge: float = 2e-4) -> tuple[float, float]:
     """Slope and offset of the log odds of being good by ridge logistic regression, found by Newton steps."""
     if not len(bad) or not len(good):
         scale = max(float(good.std()), 1e-6) if len(good) else 1.0
