@@ -45,6 +45,11 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.plan_mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"))
 
 
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of ``op9_mixing`` SQL can say as well: sizes and targets."""
+    return op9_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"))
+
+
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
@@ -56,10 +61,47 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_substring_dedup, op3_exact_dedup, op4_minhash, op5_licenses, op6_spherical_caps, op7_quality, op8_main_text, op9_mixing, op10_personal_data, pipeline)}
+    return {f.__name__: f for f in (op1_packing, op2_substring_dedup, op3_exact_dedup, op4_minhash, op5_licenses, op6_spherical_caps, op7_quality, op8_main_text, op9_mixing, mixing_targets, op10_personal_data, pipeline)}
 
 
+#: Words of each document, and the recursion that gives each linked id the smallest id it reaches.
+_WORDS = r"list_filter(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+_REACHED = "b AS (SELECT x AS u, y AS v FROM l UNION SELECT y, x FROM l), r AS (SELECT u AS id, u AS c FROM b UNION SELECT b.v, r.c FROM r JOIN b ON r.id = b.u), c AS (SELECT id, min(c) AS c FROM r GROUP BY 1)"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLE_SQL = {
+    "op2_substring_dedup": f"""
+        WITH d AS (SELECT doc_id, {_WORDS.format(text="coalesce(text, '')")} AS ws FROM documents),
+        w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM d),
+        s AS (SELECT doc_id, pos, word, string_agg(word, ' ') OVER o AS span, count(*) OVER o AS n FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+        f AS (SELECT span, min(doc_id) AS first_doc FROM s WHERE n = 50 GROUP BY 1),
+        m AS (SELECT s.doc_id, s.pos, s.word, f.first_doc < s.doc_id AS again FROM s LEFT JOIN f ON s.n = 50 AND s.span = f.span),
+        k AS (SELECT doc_id, pos, word, coalesce(bool_or(again) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), false) AS gone FROM m),
+        g AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone), '') AS kept FROM k GROUP BY 1)
+        SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN g ON d.doc_id = g.doc_id
+    """,
+    "op4_minhash": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format(text=_LOWER)} AS ws FROM documents),
+        s AS MATERIALIZED (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS sh FROM d),
+        e AS MATERIALIZED (SELECT doc_id, len(sh) AS n, unnest(sh) AS k FROM s),
+        p AS (SELECT a.doc_id AS x, b.doc_id AS y, a.n AS nx, b.n AS ny, count(*) AS both_ FROM e a JOIN e b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY 1, 2, 3, 4),
+        l AS MATERIALIZED (SELECT x, y FROM p WHERE 100 * both_ >= 75 * (nx + ny - both_)), {_REACHED}
+        SELECT doc_id, len(sh) AS n_shingles, coalesce(c, doc_id) AS component_id, coalesce(c, doc_id) = doc_id AS kept FROM s LEFT JOIN c ON doc_id = id
+    """,
+    "op6_spherical_caps": f"""
+        WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+        g AS MATERIALIZED (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS n FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+        l AS MATERIALIZED (SELECT a.vec_id AS x, b.vec_id AS y FROM g a JOIN g b ON a.label = b.label AND a.vec_id < b.vec_id AND len(a.e) = len(b.e) WHERE list_dot_product(a.e, b.e) / a.n / b.n >= 0.93), {_REACHED},
+        n AS (SELECT u, count(*) AS n FROM b GROUP BY 1)
+        SELECT vec_id, coalesce(n.n, 0) AS n_links, coalesce(c, vec_id) AS component_id, coalesce(c, vec_id) = vec_id AS kept FROM embeddings LEFT JOIN c ON vec_id = id LEFT JOIN n ON vec_id = u
+    """,
+    "mixing_targets": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, source, len({_WORDS.format(text="coalesce(text, '')")}) AS size FROM documents),
+        s AS MATERIALIZED (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w FROM d GROUP BY 1),
+        f AS (SELECT 0 AS i, CAST(0 AS DOUBLE) AS level UNION ALL
+              SELECT i + 1, (SELECT (1.5 * sum(source_size) - sum(CASE WHEN 2 * source_size <= f.level * w THEN 2 * source_size ELSE 0 END)) / sum(CASE WHEN 2 * source_size <= f.level * w THEN 0 ELSE w END) FROM s) FROM f WHERE i < 60)
+        SELECT doc_id, size, source_size, round(least(2.0 * source_size, (SELECT level FROM f WHERE level IS NOT NULL ORDER BY i DESC LIMIT 1) * w), 4) AS target FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source
+    """,
     "op3_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
         g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
