@@ -18,7 +18,7 @@ SPAN, SURGE = 3, 60
 #: How many times its length a line counts in an element marked as the article, and a heading elsewhere.
 MARKED = 4
 #: Marks count where they hold this part of a page's text, or more.
-SHARE = 1 / 3
+SHARE = 1 / 50
 
 # Possessive throughout: no text is scanned twice. A quoted value ends where white space, a slash or the tag's end follows.
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>"']++|"[^"]*+"(?=[\s/>])|'[^']*+'(?=[\s/>]))*+)>""")

@@ -56,18 +56,21 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def postings(reps: DataFrame) -> DataFrame:
-    """(key, id, n): each document under the coordinate values by which it can still reach ``MATCHES``.
+    """(key, id, n, common): each document under the coordinate values by which it can still reach ``MATCHES``.
 
     A key is a coordinate with its value. Keys of one document match nothing and go. The
     rest are ordered by document frequency, rarest first. Two documents that share
     ``MATCHES`` keys share one within the first ``len - MATCHES + 1`` of each (their rarest
     shared key has at least ``MATCHES - 1`` shared ones behind it in either list), so only
     these are posted: the most frequent lists are skipped where a document has rarer ones.
+    ``common`` sums the logarithms of the lengths of all a document's lists: in a group of near
+    copies it is largest for those that share most with the others.
     """
     exploded = reps.select("id", "n", F.posexplode("signature").alias("coordinate", "value")).select("id", "n", (F.shiftleft(F.col("coordinate").cast("long"), 32) + F.col("value").cast("long")).alias("key"))
     frequent = materialize(exploded.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"))
     kept = exploded.join(frequent, "key").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("keys"))  # COORDINATES at most
-    return kept.where(F.size("keys") >= MATCHES).select("id", "n", F.explode(F.slice("keys", F.lit(1), F.size("keys") - MATCHES + 1)).alias("k")).select(F.col("k.key").alias("key"), "id", "n")
+    common = F.aggregate("keys", F.lit(0.0), lambda s, k: s + F.log2(k["df"].cast("double")))
+    return kept.where(F.size("keys") >= MATCHES).select("id", "n", common.alias("common"), F.explode(F.slice("keys", F.lit(1), F.size("keys") - MATCHES + 1)).alias("k")).select(F.col("k.key").alias("key"), "id", "n", "common")
 
 
 def _matching(met: DataFrame, reps: DataFrame) -> DataFrame:
@@ -139,7 +142,7 @@ def near_groups(docs: DataFrame, numerator: int = 75, denominator: int = 100, ro
 
     Equal sets meet first and are stood for by their smallest id. The representatives'
     signature coordinates are posted (``postings``). In each of ``rounds`` one member of a
-    list, another one each time, is compared with the members in other components, which ties
+    list, at first the one most in common with the others, is compared with the members in other components, which ties
     groups of near copies together without all their pairs. At last the members of lists that
     still hold several components are posted by their rarest shingles (``shingle_postings``),
     and the pairs that can reach the similarity from where they first meet are compared across
@@ -166,13 +169,13 @@ def near_groups(docs: DataFrame, numerator: int = 75, denominator: int = 100, ro
     similar = (denominator * F.least("na", "n") >= numerator * F.greatest("na", "n")) & (F.col("ca") != F.col("component"))
     links, placed = None, posted.withColumn("component", F.col("id"))
     for turn in range(rounds):
-        order = F.xxhash64(F.lit(turn), "id") if turn else F.col("id")
+        order = F.xxhash64(F.lit(turn), "id").cast("double") if turn else -F.col("common")
         pivots = materialize(placed.groupBy("key").agg(F.min(F.struct(order.alias("o"), "id", "n", "component")).alias("p"), F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key", F.col("p.id").alias("a"), F.col("p.n").alias("na"), F.col("p.component").alias("ca")))
         met = materialize(placed.join(pivots, "key").where(similar).groupBy(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).agg(F.count("*").alias("met")))
         found = materialize(verified(_matching(met, known), texts, numerator, denominator))
         links = found if links is None else links.union(found)
         component = materialize(components(links))
-        placed = materialize(posted.join(component, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component")))
+        placed = materialize(posted.join(component, "id", "left").select("key", "id", "n", "common", F.coalesce("component", "id").alias("component")))
         if found.isEmpty():
             break
 

@@ -176,14 +176,14 @@ class Potentials:
             return np.clip(np.log(x) - np.log(x.sum(1))[:, None] - np.log(x.sum(0)), -most, most)
 
         prior = np.array([1.0, *[0.1] * (n - 1)])
-        return Potentials(np.log(rates(unary, prior / prior.sum())), ratios(chain, lambda s: np.outer(s, s), 3), ratios(skip, lambda s: 0.99 * np.diag(s) + 0.01 * np.outer(s, s), 8))
+        return Potentials(np.log(rates(unary, prior / prior.sum())), ratios(chain, lambda s: np.outer(s, s), 3), ratios(skip, lambda s: 0.999 * np.diag(s) + 0.001 * np.outer(s, s), 8))
 
 
 def _beliefs(graph: _Graph, model: Potentials, rounds: int = 200) -> np.ndarray:
     """Marginals by loopy sum-product until messages settle; nodes of base spans are observed."""
     own = model.unary[graph.shapes].copy()
     known = np.flatnonzero(graph.labels)
-    own[known] = -30.0
+    own[known] = -1e9  # however many links a hub has
     own[known, graph.labels[known]] = 0.0
     ends = np.array(graph.chain + graph.skips, int).reshape(-1, 2)
     a, b = np.concatenate([ends, ends[:, ::-1]]).T  # each link in both directions; the pairs' potentials are symmetric
