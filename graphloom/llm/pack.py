@@ -187,10 +187,10 @@ def tokenize(docs: DataFrame, path: str | None = None, end_id: int = 2, id_col:
         _KNOWN[path] = known
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                keys = batch.column(0)[at : at + 1000]
+            for at in range(0, batch.num_rows, 500):
+                keys = batch.column(0)[at : at + 500]
                 ids, cuts = [], []
-                for own, stops in known.encode(batch.column(1)[at : at + 1000]):
+                for own, stops in known.encode(batch.column(1)[at : at + 500]):
                     ids.append(np.append(own, np.uint32(end_id)).astype("<u4"))
                     cuts.append(np.append(stops[(stops > 0) & (stops < len(own))], len(own) + 1).astype("<u4").tobytes())
                 yield pa.record_batch([keys, pa.array(map(len, ids), pa.int64()), pa.array([i.tobytes() for i in ids], pa.binary()), pa.array(cuts, pa.binary()), pa.array(np.arange(row, row + len(ids)))], ["doc_id", "n_ids", "ids", "cuts", "row"])
