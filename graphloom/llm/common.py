@@ -62,11 +62,15 @@ _WRITTEN: list[str] = []
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: the lineage ends there, so a lost executor costs one stage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/graphloom-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
-    _WRITTEN.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A new folder's name in the shared folder, which ``forget`` removes."""
+    _WRITTEN.append(f"{shared_dir(spark)}/graphloom-{uuid.uuid4().hex}")
+    return _WRITTEN[-1]
 
 
 def written() -> int:
