@@ -133,8 +133,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, list[int]] = {}
         for k, i in enumerate(short):
             for j in short[k + 1 :] if kind == 0 else (j for j, (w, _) in enumerate(members) if len(w) > size):
-                w, v = rests[i], rests[j]
-                if w[: high - low + 1] != v[: high - low + 1] and near(w, v):  # else they share more than ``high``
+                apart = members[i][0][: high + 1] != members[j][0][: high + 1]  # else they share more than ``high``
+                if apart and near(rests[i], rests[j]):
                     found.setdefault(i, []).append(j)
                     found.setdefault(j, []).append(i)
         for i, others in found.items():
