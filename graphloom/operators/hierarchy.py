@@ -1,4 +1,4 @@
-"""Layouts of trees: bubble radii by levels, circle packing and tidy trees."""
+"""Layouts of trees: bubble radii by levels and circle packing."""
 
 from __future__ import annotations
 
@@ -90,38 +90,3 @@ def pack_layout(radii: DataFrame, spread: float = 1.5) -> DataFrame:
         new = steps.where(F.col("depth") == depth).join(up, "parent").select("node_id", "depth", (F.col("px") + spread * F.col("dx")).alias("x"), (F.col("py") + spread * F.col("dy")).alias("y"))
         state = stored(state.unionByName(new))
     return state.select("node_id", "x", "y")
-
-
-def tidy_tree(tree: DataFrame, level: float = 80.0, sibling: float = 1.0, radial: bool = False) -> DataFrame:
-    """(node_id, x, y): leaves in a row, parents over the middle of their first and last child.
-
-    Places of leaves follow from a sum over leaves before them in preorder: each node's
-    number of leaves below, by levels from below, then offsets, by levels from above. Every
-    step is a grouping or window over siblings, so trees of any width are dealt out.
-    """
-    from pyspark.sql import Window
-
-    deepest = tree.agg(F.max("depth")).first()[0] or 0
-    sized = None
-    for depth in range(deepest, -1, -1):
-        one = tree.where(F.col("depth") == depth)
-        if sized is not None:
-            sums = sized.where(F.col("depth") == depth + 1).groupBy(F.col("parent").alias("node_id")).agg(F.sum("leaves").alias("leaves"))
-            one = one.join(sums, "node_id", "left")
-        else:
-            one = one.withColumn("leaves", F.lit(None).cast("long"))
-        one = one.select("node_id", "parent", "depth", F.coalesce("leaves", F.lit(1)).cast("long").alias("leaves"))
-        sized = stored(one if sized is None else sized.unionByName(one))
-    w = Window.partitionBy("parent").orderBy("node_id").rowsBetween(Window.unboundedPreceding, -1)
-    steps = sized.withColumn("before", F.when(F.col("parent").isNull(), F.lit(0)).otherwise(F.coalesce(F.sum("leaves").over(w), F.lit(0))))
-    state = stored(steps.where("parent is null").select("node_id", "parent", "depth", "leaves", F.col("before").cast("long").alias("first")))
-    for depth in range(1, deepest + 1):
-        up = state.where(F.col("depth") == depth - 1).select(F.col("node_id").alias("parent"), F.col("first").alias("base"))
-        state = stored(state.unionByName(steps.where(F.col("depth") == depth).join(up, "parent").select("node_id", "parent", "depth", "leaves", (F.col("base") + F.col("before")).alias("first"))))
-    x = (F.col("first") + (F.col("leaves") - 1) / 2.0) * sibling
-    if not radial:
-        return state.select("node_id", x.alias("x"), (F.col("depth") * level).alias("y"))
-    width = state.agg(F.max("leaves")).first()[0] or 1
-    angle = 2 * math.pi * (F.col("first") + F.col("leaves") / 2.0) / width
-    r = F.when(F.col("depth") == 0, 0.0).otherwise((F.col("depth") + 1) * level)
-    return state.select("node_id", (r * F.cos(angle)).alias("x"), (r * F.sin(angle)).alias("y"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import color, geometry
-from graphloom.operators import analytics, density, forces, hierarchy, placement, relativity, spatial, structure, style
+from graphloom.operators import analytics, density, forces, hierarchy, placement, relativity, spatial, structure, style, trees
 from graphloom.plans.testgraphs import KNN, PLACED, POINTS, TRADE, TRANSITIONS, TREE, containment, knn, placed_suppliers, points, suppliers, table, trade, transitions
 from graphloom.sources import graph as model
 from graphloom.streaming import values
@@ -466,9 +466,33 @@ def pack_layout(spark, d):
     return hierarchy.pack_layout(hierarchy.bubble_radii(hierarchy.spanning(*containment(spark, d), 0)))
 
 
-@query()
+def _tidy_sql() -> str:
+    """The containment tree level by level: each family's outlines (lists of lowest and highest places by depth) merged in pairs, then pairs of pairs."""
+    parts = [TREE, "o3 AS (SELECT node_id, [0.0::DOUBLE] AS l, [0.0::DOUBLE] AS h FROM tnodes WHERE node_id >= 1000)"]
+    for depth, (low, high) in ((3, (100, 999)), (2, (10, 99)), (1, (0, 9))):
+        parts.append(f"b{depth}_0 AS MATERIALIZED (SELECT src AS parent, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS b, l, h, [{{'n': dst, 'a': 0.0::DOUBLE}}] AS m FROM tree JOIN o{depth} ON dst = node_id)")
+        for turn in range(rounds := 14 if depth == 3 else 5):
+            parts.append(f"p{depth}_{turn} AS (SELECT parent, b // 2 AS b, {', '.join(f'any_value({c}) FILTER (b % 2 = {k}) AS {c}{k}' for c in 'lhm' for k in (0, 1))} FROM b{depth}_{turn} GROUP BY 1, 2)")
+            parts.append(f"q{depth}_{turn} AS (SELECT *, list_max(list_transform(range(1, least(len(l0), len(l1)) + 1), lambda i: h0[i] + CASE WHEN i = 1 THEN 1.0 ELSE 2.0 END - l1[i])) AS s FROM p{depth}_{turn})")
+            parts.append(f"b{depth}_{turn + 1} AS MATERIALIZED (SELECT parent, b, list_concat(l0, list_transform(l1[len(l0) + 1:], lambda v: v + s)) AS l, list_concat(list_transform(h1, lambda v: v + s), h0[coalesce(len(h1), 0) + 1:]) AS h, list_concat(m0, list_transform(m1, lambda v: {{'n': v.n, 'a': v.a + s}})) AS m FROM q{depth}_{turn})")
+        parts.append(f"f{depth} AS MATERIALIZED (SELECT *, m[len(m)].a / 2 AS mid FROM b{depth}_{rounds})")
+        parts.append(f"r{depth} AS (SELECT parent, c.n AS node_id, c.a - mid AS step FROM (SELECT parent, mid, unnest(m) AS c FROM f{depth}) q)")
+        parts.append(f"o{depth - 1} AS (SELECT node_id, list_concat([0.0::DOUBLE], list_transform(l, lambda v: v - mid)) AS l, list_concat([0.0::DOUBLE], list_transform(h, lambda v: v - mid)) AS h FROM tnodes LEFT JOIN f{depth} ON node_id = parent WHERE node_id BETWEEN {low} AND {high})")
+    parts.append("x AS MATERIALIZED (SELECT 0 AS node_id, 0 AS depth, 0.0 AS a UNION ALL SELECT node_id, 1, step FROM r1 UNION ALL SELECT r2.node_id, 2, r1.step + r2.step FROM r2 JOIN r1 ON r2.parent = r1.node_id UNION ALL SELECT r3.node_id, 3, r1.step + r2.step + r3.step FROM r3 JOIN r2 ON r3.parent = r2.node_id JOIN r1 ON r2.parent = r1.node_id)")
+    return f"WITH {', '.join(parts)} SELECT CAST(node_id AS BIGINT) AS node_id, round((a - (SELECT (min(a) + max(a)) / 2 FROM x)) * 80, 4) + 0.0 AS x, CAST(depth * 80 AS DOUBLE) AS y FROM x"
+
+
+@query(_tidy_sql())
 def tidy_tree(spark, d):
-    return hierarchy.tidy_tree(hierarchy.spanning(*containment(spark, d), 0))
+    return rounded(trees.tidy(hierarchy.spanning(*containment(spark, d), 0), radial=False))
+
+
+@query(f"""WITH RECURSIVE {TREE}, w AS (SELECT CAST(0 AS BIGINT) AS node_id, 0 AS depth, '' AS path UNION ALL SELECT dst, depth + 1, path || lpad(CAST(dst AS VARCHAR), 12, '0') FROM w JOIN tree ON src = node_id),
+o AS (SELECT node_id, depth, path, row_number() OVER (ORDER BY path) - 1 AS pre, row_number() OVER (ORDER BY path || '~') - 1 AS post FROM w)
+SELECT a.node_id, a.pre, a.post, (SELECT count(*) FROM o b WHERE starts_with(b.path, a.path)) AS size, CAST(a.depth AS BIGINT) AS depth FROM o a""")
+def tree_tour(spark, d):
+    nodes, edges = containment(spark, d)
+    return trees.tour(nodes.join(edges.select(F.col("dst").alias("node_id"), F.col("src").alias("parent")), "node_id", "left")).select("node_id", "pre", "post", "size", "depth")
 
 
 # Analytics

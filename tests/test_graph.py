@@ -112,13 +112,6 @@ def test_large_families_are_pushed_apart(spark):
     assert np.allclose(at, [found[i] for _, i in discs], atol=1e-6) and len(found) == 2106
 
 
-def test_tidy_tree_levels_and_middles(spark):
-    tree = hierarchy.spanning(nodes_of(spark, 6), edges_of(spark, [(0, 1), (0, 2), (1, 3), (1, 4), (2, 5)]), 0)
-    place = {r.node_id: (r.x, r.y) for r in hierarchy.tidy_tree(tree, level=50.0).collect()}
-    assert [place[i][1] for i in range(6)] == [0, 50, 50, 100, 100, 100]
-    assert place[1][0] == pytest.approx((place[3][0] + place[4][0]) / 2) and len({place[i][0] for i in (3, 4, 5)}) == 3
-
-
 def test_csr_faults_cross_partitions(spark):
     """A fault is found wherever partitions part, and no window takes all rows or any list."""
     rows = spark.range(40).selectExpr("id AS node_id", "id * 2 + CASE WHEN id = 25 THEN 1 ELSE 0 END AS first", "array(id, id + 1) AS targets")
