@@ -28,45 +28,6 @@ def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return settle(start, step, lambda s: s.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0])
 
 
-def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node_id, component): the smallest id of a node's strongly connected component.
-
-    Nodes without edges in or out are components of their own and go first, again and again,
-    so that chains take no round of colours. Then colours spread forward until each node has
-    the smallest id that reaches it; what reaches a colour's own node backward within the
-    colour is a component and leaves the graph.
-    """
-    left, rest, done = stored(nodes.select("node_id").distinct()), stored(edges.select("src", "dst").where("src != dst").distinct()), None
-
-    def spread(e: DataFrame, start: DataFrame, col: str) -> DataFrame:
-        def step(state: DataFrame, turn: int) -> DataFrame:
-            near = e.join(state, e.src == state.node_id).groupBy(F.col("dst").alias("node_id")).agg(F.min(col).alias("m"))
-            return state.join(near, "node_id", "left").select("node_id", F.least(col, F.coalesce("m", col)).alias(col))
-
-        return settle(start, step, lambda s: s.agg(F.sum(F.col(col).cast("decimal(38,0)"))).first()[0])
-
-    def within(e: DataFrame, ids: DataFrame) -> DataFrame:
-        return stored(e.join(ids, e.src == ids.node_id, "left_semi").join(ids, F.col("dst") == ids.node_id, "left_semi"))
-
-    while not left.isEmpty():
-        core = stored(rest.select(F.col("src").alias("node_id")).distinct().join(rest.select(F.col("dst").alias("node_id")), "node_id", "left_semi"))
-        lone = stored(left.join(core, "node_id", "left_anti"))
-        if not lone.isEmpty():
-            alone = lone.select("node_id", F.col("node_id").alias("component"))
-            done = alone if done is None else done.union(alone)
-            left, rest = core, within(rest, core)
-            continue
-        color = spread(rest, left.select("node_id", F.col("node_id").alias("color")), "color")
-        inside = rest.join(color.withColumnRenamed("node_id", "src").withColumnRenamed("color", "c1"), "src").join(color.withColumnRenamed("node_id", "dst").withColumnRenamed("color", "c2"), "dst").where("c1 = c2")
-        back = stored(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        reached = spread(back, color.select("node_id", F.when(F.col("node_id") == F.col("color"), 0).otherwise(1).alias("away")), "away")
-        found = stored(reached.where("away = 0").join(color, "node_id").select("node_id", F.col("color").alias("component")))
-        done = found if done is None else done.union(found)
-        left = stored(left.join(found, "node_id", "left_anti"))
-        rest = within(rest, left)
-    return done if done is not None else nodes.select("node_id", F.col("node_id").alias("component"))
-
-
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 20, tolerance: float | None = None) -> DataFrame:
     """(node_id, rank) after a number of power iterations; nodes without outgoing edges spread their rank over all.
 
@@ -118,39 +79,6 @@ def katz(nodes: DataFrame, edges: DataFrame, alpha: float = 0.05, beta: float =
     return repeat(ids.withColumn("score", F.lit(beta)), step, iterations)
 
 
-def distances(edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """(source, node_id, distance, paths): least numbers of edges and how many shortest paths, from every source."""
-    state = stored(sources.select(F.col("node_id").alias("source"), "node_id", F.lit(0).alias("distance"), F.lit(1.0).alias("paths")))
-    front, turn = state, 0
-    while not front.isEmpty():
-        turn += 1
-        new = front.join(edges, front.node_id == edges.src).groupBy("source", F.col("dst").alias("node_id")).agg(F.sum("paths").alias("paths"))
-        front = stored(new.join(state, ["source", "node_id"], "left_anti").select("source", "node_id", F.lit(turn).alias("distance"), "paths"))
-        state = stored(state.unionByName(front))
-    return state
-
-
-def closeness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node_id, closeness): reached / sum of distances, scaled by the share of nodes reached; 0 if none."""
-    n = nodes.count()
-    sums = distances(edges, nodes).where("distance > 0").groupBy(F.col("source").alias("node_id")).agg(F.count("*").alias("r"), F.sum("distance").alias("t"))
-    return nodes.select("node_id").join(sums, "node_id", "left").select("node_id", F.coalesce(F.col("r") / F.col("t") * F.col("r") / max(n - 1, 1), F.lit(0.0)).alias("closeness"))
-
-
-def betweenness(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
-    """(node_id, betweenness): shares of shortest paths through a node, summed over pairs from ``sources`` (all nodes unless given)."""
-    found = stored(distances(edges, sources if sources is not None else nodes))
-    depth = found.agg(F.max("distance")).first()[0] or 0
-    share = stored(found.withColumn("share", F.lit(0.0)))
-    for d in range(depth, 0, -1):
-        low = share.where(F.col("distance") == d).select("source", F.col("node_id").alias("dst"), F.col("paths").alias("p2"), F.col("share").alias("s2"))
-        up = edges.join(low, "dst").join(share.where(F.col("distance") == d - 1).select("source", F.col("node_id").alias("src"), "paths"), ["source", "src"])
-        add = up.groupBy("source", F.col("src").alias("node_id")).agg(F.sum(F.col("paths") / F.col("p2") * (1 + F.col("s2"))).alias("add"))
-        share = stored(share.join(add, ["source", "node_id"], "left").select("source", "node_id", "distance", "paths", (F.col("share") + F.coalesce("add", F.lit(0.0))).alias("share")))
-    sums = share.where("distance > 0").groupBy("node_id").agg(F.sum("share").alias("betweenness"))
-    return nodes.select("node_id").join(sums, "node_id", "left").na.fill(0.0, ["betweenness"])
-
-
 def summary(values: DataFrame, col: str) -> DataFrame:
     return values.agg(F.min(col).alias("least"), F.max(col).alias("most"), F.avg(col).alias("mean"))
 

@@ -21,18 +21,39 @@ def forget(spark: SparkSession) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The rows written as Parquet under ``spark.checkpoint.dir`` and read back, which ends their lineage; a lost executor costs one step."""
-    spark = df.sparkSession
+def _folder(spark: SparkSession) -> str:
     if not (folder := spark.conf.get("spark.checkpoint.dir", None)):
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="graphloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/step-{uuid.uuid4().hex}"
+    _WRITTEN.append(f"{folder.rstrip('/')}/step-{uuid.uuid4().hex}")
+    return _WRITTEN[-1]
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows written as Parquet under ``spark.checkpoint.dir`` and read back, which ends their lineage; a lost executor costs one step."""
+    path = _folder(df.sparkSession)
     df.write.parquet(path)
-    _WRITTEN.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Pile:
+    """A stored table that grows by rounds: each adds its own rows, and none is written again."""
+
+    def __init__(self, first: DataFrame):
+        self.spark, self.schema, self.path, self.rounds = first.sparkSession, first.schema, _folder(first.sparkSession), 0
+        self.last = self.add(first)
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """Write the rows of one round and read them back."""
+        path, self.rounds = f"{self.path}/round={self.rounds}", self.rounds + 1
+        df.select(*self.schema.names).write.parquet(path)
+        self.last = self.spark.read.schema(self.schema).parquet(path)
+        return self.last
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).option("recursiveFileLookup", "true").parquet(self.path)
 
 
 def settle(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], stamp: Callable[[DataFrame], Any], most: int | None = None) -> DataFrame:

@@ -76,29 +76,6 @@ def depths(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None = None)
     return nodes.select("node_id").join(found, "node_id", "left").na.fill(0, ["depth"])
 
 
-def reach(edges: DataFrame) -> DataFrame:
-    """(node_id, below): all pairs of a node and another that it reaches."""
-    base = edges.select(F.col("src").alias("node_id"), F.col("dst").alias("below")).where("node_id != below").distinct()
-
-    def step(state: DataFrame, turn: int) -> DataFrame:
-        longer = state.alias("a").join(state.alias("b"), F.col("a.below") == F.col("b.node_id")).select("a.node_id", "b.below").where("node_id != below")
-        return state.union(longer).distinct()
-
-    return settle(base, step, lambda state: state.agg(F.count("*")).first()[0])
-
-
-def descendants(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node_id, descendants): how many other nodes a node reaches; safe on cycles."""
-    counts = reach(edges).groupBy("node_id").agg(F.count("*").alias("descendants"))
-    return nodes.select("node_id").join(counts, "node_id", "left").na.fill(0, ["descendants"])
-
-
-def root(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """The node without parents that reaches most, of these the smallest id; the smallest id of all where every node has parents."""
-    counted = descendants(nodes, edges).join(edges.select(F.col("dst").alias("node_id"), F.lit(True).alias("child")).distinct(), "node_id", "left")
-    return counted.orderBy(F.col("child").asc_nulls_first(), F.when(F.col("child").isNull(), F.col("descendants")).desc(), "node_id").limit(1).select("node_id", "descendants")
-
-
 def finite(col: str) -> Column:
     c = F.col(col)
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))

@@ -147,7 +147,7 @@ def tidy_graph(nodes: DataFrame, edges: DataFrame, root: int | None = None, **op
     doesn't reach have no row; without edges there are none.
     """
     from graphloom.operators.hierarchy import spanning
-    from graphloom.operators.structure import root as find_root
+    from graphloom.operators.reach import root as find_root
     from graphloom.sources.graph import closed_edges
 
     valid = stored(closed_edges(nodes, edges.where("src != dst")))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import color, geometry
-from graphloom.operators import analytics, density, forces, hierarchy, placement, relativity, spatial, structure, style, trees
+from graphloom.operators import analytics, density, forces, hierarchy, placement, reach, relativity, spatial, structure, style, trees
 from graphloom.plans.testgraphs import KNN, PLACED, POINTS, TRADE, TRANSITIONS, TREE, containment, knn, placed_suppliers, points, suppliers, table, trade, transitions
 from graphloom.sources import graph as model
 from graphloom.streaming import values
@@ -162,12 +162,12 @@ def bfs_depth(spark, d):
 
 @query(f"WITH RECURSIVE {TREE}, walk AS (SELECT src AS node_id, dst AS below FROM tree UNION ALL SELECT w.node_id, t.dst FROM walk w JOIN tree t ON w.below = t.src) SELECT n.node_id, count(w.below) AS descendants FROM tnodes n LEFT JOIN walk w ON n.node_id = w.node_id GROUP BY 1")
 def descendants(spark, d):
-    return structure.descendants(*containment(spark, d))
+    return reach.reached_counts(*containment(spark, d))
 
 
 @query(f"WITH {TREE} SELECT CAST(0 AS BIGINT) AS node_id, count(*) AS descendants FROM tree")
 def root_detect(spark, d):
-    return structure.root(*containment(spark, d))
+    return reach.root(*containment(spark, d))
 
 
 # Spatial
@@ -512,9 +512,9 @@ def weak_components(spark, d):
 QUERIES["weak_components_all"], ORACLES["weak_components_all"] = weak_components, _WEAK
 
 
-@query()
+@query(f"WITH RECURSIVE {KNN.replace('r <= 5', 'r <= 2')}, w AS (SELECT s_suppkey AS a, s_suppkey AS b FROM supplier UNION SELECT a, dst FROM w JOIN knn ON b = src) SELECT x.a AS node_id, min(x.b) AS component FROM w x JOIN w y ON x.a = y.b AND x.b = y.a GROUP BY 1")
 def strong_components(spark, d):
-    return analytics.strong_components(suppliers(spark, d), knn(spark, d, 2))
+    return reach.strong_components(suppliers(spark, d), knn(spark, d, 2))
 
 
 def _rank_sql(rounds: int) -> str:
@@ -557,14 +557,19 @@ def eigenvector(spark, d):
     return rounded(analytics.eigenvector(suppliers(spark, d), knn(spark, d)), 6)
 
 
-@query()
+#: Numbers of walks by length from every node; the shortest are the paths.
+_WALKS = f"""{KNN}, w AS (SELECT s_suppkey AS s, s_suppkey AS t, 0 AS d, CAST(1.0 AS DOUBLE) AS n FROM supplier UNION ALL SELECT s, dst, d + 1, sum(n) FROM w JOIN knn ON t = src WHERE d < 60 GROUP BY 1, 2, 3),
+p AS MATERIALIZED (SELECT s, t, min(d) AS d, arg_min(n, d) AS n FROM w GROUP BY 1, 2)"""
+
+
+@query(f"WITH RECURSIVE {_WALKS}, c AS (SELECT s, count(*) AS r, sum(d) AS t FROM p WHERE d > 0 GROUP BY 1), n AS (SELECT greatest(count(*) - 1, 1) AS n FROM supplier) SELECT s_suppkey AS node_id, round(coalesce(CAST(r AS DOUBLE) / t * r / n, 0.0), 6) AS closeness FROM supplier LEFT JOIN c ON s_suppkey = s, n")
 def closeness(spark, d):
-    return rounded(analytics.closeness(suppliers(spark, d), knn(spark, d)), 6)
+    return rounded(reach.closeness(suppliers(spark, d), knn(spark, d)), 6)
 
 
-@query()
+@query(f"WITH RECURSIVE {_WALKS}, b AS (SELECT a.t AS v, sum(a.n * b.n / c.n) AS x FROM p a JOIN p b ON a.t = b.s JOIN p c ON c.s = a.s AND c.t = b.t WHERE a.d > 0 AND b.d > 0 AND a.d + b.d = c.d GROUP BY 1) SELECT s_suppkey AS node_id, round(coalesce(x, 0.0), 4) AS betweenness FROM supplier LEFT JOIN b ON s_suppkey = v")
 def betweenness(spark, d):
-    return rounded(analytics.betweenness(suppliers(spark, d), knn(spark, d)), 4)
+    return rounded(reach.betweenness(suppliers(spark, d), knn(spark, d)), 4)
 
 
 @query(f"WITH {KNN}, e AS (SELECT src, dst, 1.0 AS w FROM knn UNION ALL SELECT dst, src, 1.0 FROM knn WHERE src <> dst), p AS (SELECT src % 4 AS c, sum(w) AS k, sum(CASE WHEN src % 4 = dst % 4 THEN w ELSE 0.0 END) AS i FROM e GROUP BY 1), t AS (SELECT sum(k) AS m2 FROM p) SELECT round(sum(CAST(i AS DOUBLE) / m2 - (CAST(k AS DOUBLE) / m2) * (CAST(k AS DOUBLE) / m2)), 6) AS modularity FROM p, t")

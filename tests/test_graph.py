@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from graphloom.functions.geometry import Affine, Viewport
-from graphloom.operators import analytics, forces, hierarchy, structure
+from graphloom.operators import analytics, forces, hierarchy, reach, structure
 from graphloom.plans import catalogue, testgraphs
 from graphloom.sources import graph as model
 from graphloom.streaming import values
@@ -46,7 +46,7 @@ def test_two_cliques(spark):
 def test_components(spark):
     edges = edges_of(spark, [(0, 1), (1, 2), (2, 0), (2, 3), (4, 5)])
     assert dict(analytics.weak_components(nodes_of(spark, 7), edges).collect()) == {0: 0, 1: 0, 2: 0, 3: 0, 4: 4, 5: 4, 6: 6}
-    assert dict(analytics.strong_components(nodes_of(spark, 7), edges).collect()) == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: 5, 6: 6}
+    assert dict(reach.strong_components(nodes_of(spark, 7), edges).collect()) == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: 5, 6: 6}
 
 
 def test_whole_jobs_against_brute_force(spark, sf):
@@ -84,7 +84,7 @@ def test_whole_jobs_against_brute_force(spark, sf):
 
 
 def test_betweenness_of_a_chain(spark):
-    found = dict(analytics.betweenness(nodes_of(spark, 4), edges_of(spark, [(0, 1), (1, 2), (2, 3)])).collect())
+    found = dict(reach.betweenness(nodes_of(spark, 4), edges_of(spark, [(0, 1), (1, 2), (2, 3)])).collect())
     assert found == {0: 0.0, 1: 2.0, 2: 2.0, 3: 0.0}
 
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions import color
-from graphloom.operators import analytics, control, density, forces, hierarchy, placement, relativity, structure, style
+from graphloom.operators import analytics, control, density, forces, hierarchy, placement, reach, relativity, structure, style
 from graphloom.sources import generators
 from graphloom.streaming import values
 
@@ -188,13 +188,13 @@ def test_strong_components(small):
     edges, nodes, e = small
     d = _reach(edges, 14)
     want = {i: min(j for j in range(14) if j in d[i] and i in d[j]) for i in range(14)}
-    assert {r.node_id: r.component for r in analytics.strong_components(nodes, e).collect()} == want
+    assert {r.node_id: r.component for r in reach.strong_components(nodes, e).collect()} == want
 
 
 def test_closeness_and_betweenness(small):
     edges, nodes, e = small
     d = _reach(edges, 14)
-    for r in analytics.closeness(nodes, e).collect():
+    for r in reach.closeness(nodes, e).collect():
         far = [v for k, v in d[r.node_id].items() if k != r.node_id]
         assert r.closeness == pytest.approx(len(far) / sum(far) * len(far) / 13 if far else 0.0)
     out = {i: [b for a, b in edges if a == i] for i in range(14)}
@@ -209,7 +209,7 @@ def test_closeness_and_betweenness(small):
             for p in found:
                 for v in p[1:-1]:
                     want[v] += 1 / len(found)
-    for r in analytics.betweenness(nodes, e).collect():
+    for r in reach.betweenness(nodes, e).collect():
         assert r.betweenness == pytest.approx(want[r.node_id])
 
 
