@@ -21,7 +21,8 @@ def forget(spark: SparkSession) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def _folder(spark: SparkSession) -> str:
+def new_folder(spark: SparkSession) -> str:
+    """A new folder's name under ``spark.checkpoint.dir``, which ``forget`` removes; a temporary one in local mode where that is unset."""
     if not (folder := spark.conf.get("spark.checkpoint.dir", None)):
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
@@ -33,7 +34,7 @@ def _folder(spark: SparkSession) -> str:
 
 def stored(df: DataFrame) -> DataFrame:
     """The rows written as Parquet under ``spark.checkpoint.dir`` and read back, which ends their lineage; a lost executor costs one step."""
-    path = _folder(df.sparkSession)
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -42,7 +43,7 @@ class Pile:
     """A stored table that grows by rounds: each adds its own rows, and none is written again."""
 
     def __init__(self, first: DataFrame):
-        self.spark, self.schema, self.path, self.rounds = first.sparkSession, first.schema, _folder(first.sparkSession), 0
+        self.spark, self.schema, self.path, self.rounds = first.sparkSession, first.schema, new_folder(first.sparkSession), 0
         self.last = self.add(first)
 
     def add(self, df: DataFrame) -> DataFrame:

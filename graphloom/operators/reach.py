@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators.iterate import Pile, stored
 from graphloom.operators.trees import tour
+from graphloom.sources.graph import closed_edges
 
 #: Sources whose rows are held at once.
 BATCH = 1000
@@ -74,8 +75,7 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     as its parts are wide once paths are contracted.
     """
     ids = stored(nodes.select("node_id").distinct())
-    known = ids.select(F.col("node_id").alias("k"))
-    rest = stored(edges.select("src", "dst").where("src != dst").distinct().join(known, F.col("src") == F.col("k"), "left_semi").join(known, F.col("dst") == F.col("k"), "left_semi"))
+    rest = stored(closed_edges(ids, edges.select("src", "dst").where("src != dst").distinct()))
     part, labels, paths = None, [], []
     for _ in itertools.count():
         rest, path, circles = _contracted(rest)
@@ -140,8 +140,7 @@ def reached_counts(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None
     it meets: pairs are held for one batch only. ``reached_estimates`` needs no pairs.
     """
     chosen = (sources if sources is not None else nodes).select("node_id").distinct()
-    known = nodes.select(F.col("node_id").alias("k"))
-    own = stored(edges.select("src", "dst").where("src != dst").distinct().join(known, F.col("src") == F.col("k"), "left_semi").join(known, F.col("dst") == F.col("k"), "left_semi"))
+    own = stored(closed_edges(nodes, edges.select("src", "dst").where("src != dst").distinct()))
     if own.groupBy("dst").count().where("count > 1").isEmpty():
         try:
             sizes = tour(nodes.select("node_id").distinct().join(own.select(F.col("dst").alias("node_id"), F.col("src").alias("parent")), "node_id", "left"))
@@ -213,7 +212,7 @@ def distances(edges: DataFrame, sources: DataFrame) -> DataFrame:
 
 def closeness(nodes: DataFrame, edges: DataFrame, batch: int = BATCH) -> DataFrame:
     """(node_id, closeness): reached / sum of distances, scaled by the share of nodes reached; 0 if none. Exact, a batch of sources at a time."""
-    n, sums = nodes.count(), None
+    n, sums, edges = nodes.count(), None, stored(closed_edges(nodes, edges.select("src", "dst")))
     for some in batches(nodes.select("node_id"), batch):
         one = distances(edges, some).where("distance > 0").groupBy(F.col("source").alias("node_id")).agg(F.count("*").alias("r"), F.sum("distance").alias("t"))
         if sums is None:
@@ -233,7 +232,7 @@ def closeness_estimates(nodes: DataFrame, edges: DataFrame, registers: int = REG
     Rounds are the longest distance; what a round adds is counted at its distance. Counts err as
     those of ``reached_estimates``, and no pairs are held.
     """
-    n, links = nodes.count(), stored(edges.select("src", "dst").where("src != dst").distinct())
+    n, links = nodes.count(), stored(closed_edges(nodes, edges.select("src", "dst").where("src != dst").distinct()))
     state = nodes.groupBy("node_id").agg(F.hll_sketch_agg("node_id", registers).alias("sketch"))
     state = stored(state.select("node_id", "sketch", F.lit(1).cast("long").alias("n"), F.lit(0).cast("long").alias("t"), F.lit(True).alias("grew")))
     for turn in itertools.count(1):
@@ -247,7 +246,7 @@ def closeness_estimates(nodes: DataFrame, edges: DataFrame, registers: int = REG
 
 def betweenness(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None = None, batch: int = BATCH) -> DataFrame:
     """(node_id, betweenness): shares of shortest paths through a node, summed over pairs from ``sources`` (all nodes unless given), a batch of them at a time."""
-    sums = None
+    sums, edges = None, stored(closed_edges(nodes, edges.select("src", "dst")))
     for some in batches((sources if sources is not None else nodes).select("node_id"), batch):
         found = stored(distances(edges, some))
         depth = found.agg(F.max("distance")).first()[0] or 0

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions.geometry import Viewport
+
 
 def cell(col: str, size: float) -> Column:
     return F.floor(F.col(col) / F.lit(float(size))).cast("long")
@@ -83,3 +85,74 @@ def pick_edge(edges: DataFrame, points: DataFrame, x: float, y: float, radius: f
     t = F.when(length > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.lit(x) - F.col("x")) * dx + (F.lit(y) - F.col("y")) * dy) / length))).otherwise(F.lit(0.0))
     px, py = F.col("x") + t * dx - x, F.col("y") + t * dy - y
     return placed(edges, points).withColumn("distance", F.sqrt(px * px + py * py)).where(F.col("distance") < radius).orderBy("distance", "src", "dst").limit(1).select("src", "dst", "distance")
+
+
+#: Cells that an edge's length is divided into, at most: longer edges lie in coarser cells.
+STEPS = 32
+
+
+def _segment_distance(x: Column, y: Column) -> Column:
+    """From a place to the segment x, y to x2, y2."""
+    dx, dy = F.col("x2") - F.col("x"), F.col("y2") - F.col("y")
+    length = dx * dx + dy * dy
+    t = F.when(length > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - F.col("x")) * dx + (y - F.col("y")) * dy) / length))).otherwise(F.lit(0.0))
+    px, py = F.col("x") + t * dx - x, F.col("y") + t * dy - y
+    return F.sqrt(px * px + py * py)
+
+
+def crossed_cells(lines: DataFrame, reach: float) -> DataFrame:
+    """Segments (x, y, x2, y2) with a row for each cell (level, cx, cy) that their places at most ``reach`` away touch.
+
+    A level's cells are 2 ** level wide: at least twice ``reach`` and a ``STEPS``-th of the
+    segment, so that a segment of any length lies in some dozens of cells along its way.
+    Segments with an end that isn't finite have none.
+    """
+    long = F.greatest(F.abs(F.col("x2") - F.col("x")), F.abs(F.col("y2") - F.col("y")))
+    level = F.ceil(F.log2(F.greatest(F.lit(2.0 * reach), long / STEPS, F.lit(1e-9)))).cast("int")
+    ends = ("x", "y", "x2", "y2")
+    sized = lines.where(" and ".join(f"{c} is not null and not isnan({c}) and abs({c}) < double('infinity')" for c in ends)).withColumn("level", level).withColumn("_w", F.pow(F.lit(2.0), "level"))
+    cell = lambda c: F.floor(c / F.col("_w")).cast("long")
+    low, high = F.least("x", "x2"), F.greatest("x", "x2")
+    columns = sized.withColumn("cx", F.explode(F.sequence(cell(low - reach), cell(high + reach))))
+    # the part of the segment over the column, widened by what reaches into it
+    at = lambda x: F.when(F.col("x2") == F.col("x"), None).otherwise(F.col("y") + (x - F.col("x")) / (F.col("x2") - F.col("x")) * (F.col("y2") - F.col("y")))
+    left, right = F.greatest(low, F.col("cx") * F.col("_w") - reach), F.least(high, (F.col("cx") + 1) * F.col("_w") + reach)
+    a, b = F.coalesce(at(left), F.col("y")), F.coalesce(at(right), F.col("y2"))
+    lowest, highest = F.greatest(F.least(a, b), F.least("y", "y2")), F.least(F.greatest(a, b), F.greatest("y", "y2"))
+    return columns.withColumn("cy", F.explode(F.sequence(cell(F.least(lowest, highest) - reach), cell(F.greatest(lowest, highest) + reach)))).drop("_w")
+
+
+def nearest_edges(queries: DataFrame, edges: DataFrame, points: DataFrame, radius: float = 5.0) -> DataFrame:
+    """For each query (query_id, x, y) the edge (src, dst, distance) whose segment is nearest and strictly nearer than ``radius``, ties by ends.
+
+    Places and segments meet in the cells that segments cross, by equi-join, never all with
+    all; a place looks into its cell of each level there is, a number bounded by the range of
+    doubles. Queries without an edge are left out, and those of a place that isn't finite.
+    """
+    lines = crossed_cells(placed(edges.select("src", "dst"), points.select("node_id", "x", "y")), radius)
+    levels = [r.level for r in lines.select("level").distinct().collect()]  # some dozens at most
+    looks = queries.where("abs(x) < double('infinity') and abs(y) < double('infinity')").select("query_id", F.col("x").alias("_x"), F.col("y").alias("_y"), F.explode(F.array(*map(F.lit, levels)).cast("array<int>")).alias("level"))
+    width = F.pow(F.lit(2.0), "level")
+    looks = looks.withColumns({"cx": F.floor(F.col("_x") / width).cast("long"), "cy": F.floor(F.col("_y") / width).cast("long")})
+    near = lines.join(looks, ["level", "cx", "cy"]).withColumn("distance", _segment_distance(F.col("_x"), F.col("_y"))).where(F.col("distance") < radius)
+    return near.groupBy("query_id").agg(F.min(F.struct("distance", "src", "dst")).alias("m")).select("query_id", "m.src", "m.dst", "m.distance")
+
+
+def hits(queries: DataFrame, edges: DataFrame, points: DataFrame, node_radius: float = 20.0, edge_radius: float = 5.0, nodes_first: bool = True) -> DataFrame:
+    """For each query (query_id, x, y) what lies there: ``kind`` (node or edge), node_id or src and dst, and the distance.
+
+    A node at most ``node_radius`` away and an edge nearer than ``edge_radius`` are looked up for
+    all queries at once; where both are found the node wins, or the nearer with ``nodes_first``
+    off (the edge at equal distances). Queries that hit nothing are left out.
+    """
+    none = F.lit(None).cast("long")
+    node = nearest_within(queries, points, node_radius).select("query_id", F.lit("node").alias("kind"), "node_id", none.alias("src"), none.alias("dst"), F.sqrt("d2").alias("distance"))
+    edge = nearest_edges(queries, edges, points, edge_radius).select("query_id", F.lit("edge").alias("kind"), none.alias("node_id"), "src", "dst", "distance")
+    order = F.struct((F.col("kind") != "node").alias("a"), "distance") if nodes_first else F.struct("distance", (F.col("kind") == "node").alias("a"))
+    return node.union(edge).groupBy("query_id").agg(F.min(F.struct(order.alias("o"), "kind", "node_id", "src", "dst", "distance")).alias("m")).select("query_id", *[f"m.{c}" for c in ("kind", "node_id", "src", "dst", "distance")])
+
+
+def screen_hits(screen: DataFrame, edges: DataFrame, points: DataFrame, view: Viewport, **options: bool) -> DataFrame:
+    """``hits`` at places (query_id, x, y) of the screen: 20 pixels around nodes and 5 around edges, whatever the scale."""
+    x, y = (F.col("x") - view.width / 2) / view.scale + view.x, (F.col("y") - view.height / 2) / view.scale + view.y
+    return hits(screen.select("query_id", x.alias("x"), y.alias("y")), edges, points, 20 / view.scale, 5 / view.scale, **options)

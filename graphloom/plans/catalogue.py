@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import color, geometry
 from graphloom.operators import analytics, density, forces, hierarchy, placement, reach, relativity, spatial, structure, style, trees
+from graphloom.operators.iterate import new_folder
 from graphloom.plans.testgraphs import KNN, PLACED, POINTS, TRADE, TRANSITIONS, TREE, containment, knn, placed_suppliers, points, suppliers, table, trade, transitions
 from graphloom.sources import graph as model
+from graphloom.sources import ids
 from graphloom.streaming import values
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,6 +77,19 @@ def id_dictionary(spark, d):
     return model.dictionary(table(spark, d, "customer"), "c_name")
 
 
+@query("""WITH a AS (SELECT c_custkey, c_name, row_number() OVER (ORDER BY c_name) - 1 AS node_id FROM customer WHERE c_custkey % 2 = 0),
+f AS (SELECT node_id, row_number() OVER (ORDER BY node_id DESC) AS r FROM a WHERE c_custkey % 10 = 0),
+n AS (SELECT c_name, row_number() OVER (ORDER BY c_name) AS r FROM customer WHERE c_custkey % 2 <> 0 OR c_custkey % 10 = 0)
+SELECT c_name AS ext_id, CAST(node_id AS BIGINT) AS node_id FROM a WHERE c_custkey % 10 <> 0 UNION ALL SELECT c_name, CAST(coalesce(node_id, (SELECT count(*) FROM a) + n.r - 1 - (SELECT count(*) FROM f)) AS BIGINT) FROM n LEFT JOIN f ON n.r = f.r""")
+def id_map_growth(spark, d):
+    names = table(spark, d, "customer").select("c_custkey", "c_name")
+    known = ids.IdMap(spark, new_folder(spark))
+    known.add(names.where("c_custkey % 2 = 0"), "c_name")
+    known.remove(names.where("c_custkey % 10 = 0"), "c_name")
+    known.add(names, "c_name")
+    return known.entries()
+
+
 @query(f"WITH {KNN}, n AS (SELECT count(*) AS n FROM supplier) SELECT src, dst, 0 AS part FROM knn UNION ALL SELECT src + n, dst + n, 1 FROM knn, n")
 def merge_graphs(spark, d):
     one = model.Graph(suppliers(spark, d), knn(spark, d))
@@ -210,6 +225,37 @@ def edge_pick(spark, d):
     return rounded(spatial.pick_edge(knn(spark, d), placed_suppliers(spark, d), 12.0, 7.0, 50.0))
 
 
+#: Places to pick at, one a customer, and every segment's distance from each.
+_PICKS = f"""WITH {KNN}, {PLACED}, picks AS (SELECT c_custkey AS query_id, CAST(c_custkey * 37 % 211 - 105 AS DOUBLE) AS qx, CAST(c_custkey * 53 % 197 - 98 AS DOUBLE) AS qy FROM customer),
+e AS (SELECT k.src, k.dst, a.x, a.y, b.x - a.x AS dx, b.y - a.y AS dy FROM knn k JOIN placed a ON k.src = a.node_id JOIN placed b ON k.dst = b.node_id),
+t AS (SELECT *, CASE WHEN dx * dx + dy * dy > 0 THEN greatest(0.0, least(1.0, ((qx - x) * dx + (qy - y) * dy) / (dx * dx + dy * dy))) ELSE 0.0 END AS t FROM e, picks),
+m AS (SELECT query_id, src, dst, sqrt((x + t * dx - qx) * (x + t * dx - qx) + (y + t * dy - qy) * (y + t * dy - qy)) AS distance FROM t),
+edge_hit AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, src, dst) AS r FROM m WHERE distance < 3) q WHERE r = 1),
+node_hit AS (SELECT * FROM (SELECT query_id, node_id, sqrt((x - qx) * (x - qx) + (y - qy) * (y - qy)) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY (x - qx) * (x - qx) + (y - qy) * (y - qy), node_id) AS r FROM picks, placed) q WHERE r = 1 AND distance <= 4)"""
+
+
+def _picks(spark, d):
+    c = table(spark, d, "customer")
+    return c.select(F.col("c_custkey").alias("query_id"), (F.col("c_custkey") * 37 % 211 - 105).cast("double").alias("x"), (F.col("c_custkey") * 53 % 197 - 98).cast("double").alias("y"))
+
+
+@query(f"{_PICKS} SELECT query_id, src, dst, round(distance, 4) AS distance FROM edge_hit")
+def edge_hits(spark, d):
+    return rounded(spatial.nearest_edges(_picks(spark, d), knn(spark, d), placed_suppliers(spark, d), 3.0))
+
+
+@query(f"{_PICKS} SELECT coalesce(n.query_id, e.query_id) AS query_id, CASE WHEN n.query_id IS NULL THEN 'edge' ELSE 'node' END AS kind, n.node_id, CASE WHEN n.query_id IS NULL THEN src END AS src, CASE WHEN n.query_id IS NULL THEN dst END AS dst, round(coalesce(n.distance, e.distance), 4) AS distance FROM node_hit n FULL JOIN edge_hit e ON n.query_id = e.query_id")
+def combined_hits(spark, d):
+    return rounded(spatial.hits(_picks(spark, d), knn(spark, d), placed_suppliers(spark, d), 4.0, 3.0))
+
+
+@query(f"{_PICKS} SELECT coalesce(n.query_id, e.query_id) AS query_id, CASE WHEN n.distance < e.distance OR e.query_id IS NULL THEN 'node' ELSE 'edge' END AS kind FROM (SELECT * FROM node_hit WHERE distance <= 20 / 8.0) n FULL JOIN (SELECT * FROM edge_hit WHERE distance < 5 / 8.0) e ON n.query_id = e.query_id")
+def screen_picks(spark, d):
+    view = geometry.Viewport(x=3.0, y=-2.0, scale=8.0, width=640.0, height=480.0)
+    screen = _picks(spark, d).select("query_id", ((F.col("x") - 3.0) * 8 + 320).alias("x"), ((F.col("y") + 2.0) * 8 + 240).alias("y"))
+    return spatial.screen_hits(screen, knn(spark, d), placed_suppliers(spark, d), view, nodes_first=False).select("query_id", "kind")
+
+
 # Placement
 
 _I = "SELECT s_suppkey AS node_id, CAST(row_number() OVER (ORDER BY s_suppkey) - 1 AS DOUBLE) AS i, CAST(count(*) OVER () AS DOUBLE) AS n FROM supplier"
@@ -379,6 +425,18 @@ def stream_latest(spark, d):
     return values.latest(rows, ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "value")
 
 
+@query("""WITH r AS (SELECT event_type AS stream, user_id AS node_id, CASE WHEN event_id % 5 <> 0 THEN value END AS value, ts AS at, event_id AS seq FROM events WHERE event_id % 997 <> 0),
+c AS (SELECT event_type AS stream, max({'at': ts, 'seq': event_id}) AS clear FROM events WHERE event_id % 997 = 0 GROUP BY 1)
+SELECT r.stream, node_id, round(value, 4) AS value, seq FROM (SELECT *, row_number() OVER (PARTITION BY stream, node_id ORDER BY at DESC, seq DESC) AS n FROM r) r LEFT JOIN c ON r.stream = c.stream WHERE n = 1 AND value IS NOT NULL AND (clear IS NULL OR {'at': at, 'seq': seq} > clear)""")
+def stream_keyed_state(spark, d):
+    """Events as changes of keyed values: every fifth clears its key, a few their whole stream."""
+    events = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/event[s].parquet")
+    changes = events.select(F.col("event_type").alias("stream"), F.when(F.col("event_id") % 997 != 0, F.col("user_id")).alias("node_id"), F.when((F.col("event_id") % 5 != 0) & (F.col("event_id") % 997 != 0), F.col("value")).alias("value"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"))
+    out = new_folder(spark)
+    values.keep_values(changes, f"{out}/values", f"{out}/checkpoint").awaitTermination()
+    return rounded(values.current_values(spark, f"{out}/values").select("stream", "node_id", "value", "seq"))
+
+
 @query("SELECT event_id, round(greatest(0.0, least(1.0, (value - 10) / 90)), 6) AS level FROM events")
 def stream_normalize(spark, d):
     return table(spark, d, "events").select("event_id", F.round(color.normalise(F.col("value"), 10.0, 100.0), 6).alias("level"))

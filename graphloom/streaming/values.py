@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState
 
 from graphloom.functions import color
 
@@ -31,6 +34,60 @@ def upsert(spark_stream: DataFrame, path: str, checkpoint: str, keys: list[str],
     return spark_stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+#: A change of a keyed value: a null value clears the node's, a null node the whole stream's.
+_CHANGE = "stream string, node_id long, value double, at timestamp, seq long"
+_STATE = "at long, seq long, value double, cleared boolean"
+
+
+def _last_change(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """One key: its last change by (at, seq) is its state; a later one is handed on, earlier ones and repeats change nothing."""
+    if state.hasTimedOut:  # a clear that no row can be older than any more
+        state.remove()
+        return
+    last = tuple(state.get[:2]) if state.exists else None
+    whole = key[1] is None or key[1] != key[1]  # a clear of the whole stream stays
+    best, watermark = None, state.getCurrentWatermarkMs() * 1000
+    for rows in batches:
+        at = rows["at"].astype("datetime64[us]").astype("int64")
+        for when, seq, value in zip(at, rows["seq"], rows["value"], strict=True):
+            if when >= watermark and (last is None or (when, seq) > last):
+                last, best = (int(when), int(seq)), value
+    if best is not None:
+        cleared = bool(best != best)
+        state.update((*last, None if cleared else float(best), cleared))
+        yield pd.DataFrame({"stream": [key[0]], "node_id": pd.array([None if whole else key[1]], "Int64"), "value": [None if cleared else float(best)], "at": [pd.Timestamp(last[0], unit="us")], "seq": [last[1]]})
+    if state.exists and state.get[3] and not whole:
+        state.setTimeoutTimestamp(max(last[0], watermark) // 1000 + 1)
+
+
+def keyed_changes(changes: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """The changes (stream, node_id, value, at, seq) of a stream that set a key's value anew: the last by (at, seq) wins, whenever it comes.
+
+    A state a key holds its last change. A cleared key keeps its clear until the watermark,
+    ``delay`` behind the newest row, has passed it, and then no state at all; rows behind the
+    watermark change nothing. Rows without ``at`` or ``seq`` are left out.
+    """
+    rows = changes.where("stream is not null and at is not null and seq is not null").select("stream", "node_id", F.when(~F.isnan("value"), F.col("value")).alias("value"), "at", "seq")
+    return rows.withWatermark("at", delay).groupBy("stream", "node_id").applyInPandasWithState(_last_change, _CHANGE, _STATE, "update", "EventTimeTimeout")
+
+
+def keep_values(changes: DataFrame, path: str, checkpoint: str, delay: str = "10 minutes") -> StreamingQuery:
+    """Write the changed keys of each batch under ``path``, a version a batch: a batch that runs again writes the same one, and no batch reads or writes the others' rows."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return keyed_changes(changes, delay).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current_values(spark: SparkSession, path: str) -> DataFrame:
+    """(stream, node_id, value, at, seq): the keys that have a value, from all versions under ``path``: the last change of each, unless it or a later one of its stream cleared it."""
+    rows = spark.read.schema(_CHANGE).option("recursiveFileLookup", "true").parquet(path)
+    last = latest(rows.where("node_id is not null"), ["stream", "node_id"], ["at", "seq"])
+    cleared = rows.where("node_id is null").groupBy("stream").agg(F.max(F.struct("at", "seq")).alias("clear"))
+    return last.join(cleared, "stream", "left").where("value is not null and (clear is null or struct(at, seq) > clear)").select("stream", "node_id", "value", "at", "seq")
+
+
 def rolling_mean(frames: DataFrame, key: str, order: str, value: str, rows: int = 60) -> DataFrame:
     """Each row with the mean of its key's last ``rows`` values."""
     w = Window.partitionBy(key).orderBy(order).rowsBetween(1 - rows, 0)
