@@ -155,7 +155,10 @@ class Simulation:
         """One step; whether anything moved."""
         if not self.running or self.alpha.cold:
             return False
-        hold = self.state.withColumn("_pinned", F.col("node_id").isin(list(self.pinned)) if self.pinned else F.lit(False))
+        hold = self.state.withColumn("_pinned", F.lit(False))
+        if self.pinned:
+            ids = self.state.sparkSession.createDataFrame([(i,) for i in self.pinned], "_id long")
+            hold = self.state.join(ids, F.col("node_id") == F.col("_id"), "left").withColumn("_pinned", F.col("_id").isNotNull()).drop("_id")
         moved = forces.integrate(hold, forces.MODELS[self.model](self.state, self.edges, self.config), self.config, self.alpha.value, "_pinned").drop("_pinned")
         self.state = stored(moved)
         self.alpha.tick()

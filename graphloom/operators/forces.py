@@ -157,41 +157,53 @@ def target_spring(points: DataFrame, targets: DataFrame, stiffness: float = 0.3,
 LEAF, DEEPEST = 64, 20
 
 
-def _tree(points: DataFrame, weight: Column) -> tuple[DataFrame, int]:
-    """Points with their weight ``w`` and finest cell (ix, iy), and the number of levels: as many as leave no crowded cell."""
+def _tree(points: DataFrame, weight: Column, group: Column) -> tuple[DataFrame, DataFrame, int]:
+    """Points (node_id, w, spot), spots (spot, g, x, y, w, ix, iy) that hold all points of one place and group, and the number of levels: as many as leave no crowded cell.
+
+    Where even the deepest level has crowded cells, narrower than a millionth of the layout,
+    each of its cells is one spot at its points' centre of mass.
+    """
     box = points.agg(F.count("*"), F.min("x"), F.min("y"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.lit(1e-9))).first()
     n, low_x, low_y, extent = box[0], box[1] or 0.0, box[2] or 0.0, box[3] or 1.0
     at = lambda c, low: F.least(F.greatest(F.floor((F.col(c) - low) / extent * (1 << DEEPEST)), F.lit(0)), F.lit((1 << DEEPEST) - 1)).cast("long")
-    cells = stored(points.select("node_id", "x", "y", weight.cast("double").alias("w"), at("x", low_x).alias("ix"), at("y", low_y).alias("iy")))
+    cells = stored(points.select("node_id", (F.col("x") + 0.0).alias("x"), (F.col("y") + 0.0).alias("y"), weight.cast("double").alias("w"), group.alias("g"), at("x", low_x).alias("ix"), at("y", low_y).alias("iy")))
+    spots = stored(cells.groupBy("g", "x", "y", "ix", "iy").agg(F.sum("w").alias("w")))
     first = min(DEEPEST, max(2, math.ceil(math.log(max(n, 1) / 4 + 1, 4))))
-    by_level = cells.select(F.explode(F.sequence(F.lit(first), F.lit(DEEPEST))).alias("level"), "ix", "iy")
+    by_level = spots.select("g", F.explode(F.sequence(F.lit(first), F.lit(DEEPEST))).alias("level"), "ix", "iy")
     up = lambda c: F.expr(f"shiftright({c}, {DEEPEST} - level)")
-    crowds = by_level.groupBy("level", up("ix").alias("cx"), up("iy").alias("cy")).agg(F.count("*").alias("n")).groupBy("level").agg(F.max("n").alias("n"))
-    levels = min((r[0] for r in crowds.where(F.col("n") <= LEAF).collect()), default=DEEPEST)
-    return cells.withColumns({c: F.shiftright(c, DEEPEST - levels) for c in ("ix", "iy")}), levels
-
-
-def tree_forces(points: DataFrame, law: Callable[[Column], Column], c: Config = Config(), weight: Column | None = None) -> DataFrame:
-    """Sums over pairs of ``law(d)`` times both weights, far points taken together as in Barnes and Hut's tree.
-
-    The tree's levels are grids of halved cells. A cell as wide as s at a distance d stands
-    for its points if s < theta * d holds wherever in their cells the two are: they are
-    ``ceil(1 / theta)`` cells or more apart. On each level a cell meets the cells that are so far
-    apart while their parents aren't, a bounded list found by an equi-join on the cell; on the
-    finest level the near cells' points meet each other. So work grows with points times
-    levels. Distances over ``c.max_distance`` don't count.
+    crowds = by_level.groupBy("g", "level", up("ix").alias("cx"), up("iy").alias("cy")).agg(F.count("*").alias("n")).groupBy("level").agg(F.max("n").alias("n"))
+    levels = min((r[0] for r in crowds.where(F.col("n") <= LEAF).collect()), default=0)
+    key = ["x", "y"] if levels else ["ix", "iy"]
+    if not levels:
+        levels, w = DEEPEST, F.sum("w")
+        spots = spots.groupBy("g", "ix", "iy").agg(w.alias("w"), (F.sum(F.col("w") * F.col("x")) / w).alias("x"), (F.sum(F.col("w") * F.col("y")) / w).alias("y"))
+    spot = F.struct("g", *[F.col(c).cast("double").alias(f"k{i}") for i, c in enumerate(key)]).alias("spot")
+    spots = stored(spots.select(spot, "g", "x", "y", "w", *[F.shiftright(c, DEEPEST - levels).alias(c) for c in ("ix", "iy")]))
+    return cells.select("node_id", "w", spot), spots, levels
+
+
+def tree_forces(points: DataFrame, law: Callable[[Column], Column], c: Config = Config(), weight: Column | None = None, group: Column | None = None) -> DataFrame:
+    """Sums over pairs of ``law(d)`` times both weights, far points taken together as in Barnes and Hut's tree; with a ``group`` over pairs within one group only.
+
+    Points at one place push each other by nothing and all others alike: they are one spot
+    with their weights summed. The tree's levels are grids of halved cells. A cell as wide as s
+    at a distance d stands for its spots if s < theta * d holds wherever in their cells the two
+    are: they are ``ceil(1 / theta)`` cells or more apart. On each level a cell meets the cells
+    that are so far apart while their parents aren't, a bounded list found by an equi-join on the
+    cell; on the finest level the near cells' spots meet each other. So work grows with
+    points times levels. Distances over ``c.max_distance`` don't count.
     """
     ring = max(1, math.ceil(1 / c.theta))
-    grid, levels = _tree(points, F.lit(1.0) if weight is None else weight)
+    nodes, grid, levels = _tree(points, F.lit(1.0) if weight is None else weight, F.lit(0) if group is None else group)
     shift = lambda col: F.expr(f"shiftright({col}, {levels} - level)")
     every = grid.withColumn("level", F.explode(F.sequence(F.lit(1), F.lit(levels)))).withColumns({"cx": shift("ix"), "cy": shift("iy")})
     w = F.sum("w")
-    cells = stored(every.groupBy("level", "cx", "cy").agg(w.alias("mass"), (F.sum(F.col("w") * F.col("x")) / w).alias("mx"), (F.sum(F.col("w") * F.col("y")) / w).alias("my")))
+    cells = stored(every.groupBy("g", "level", "cx", "cy").agg(w.alias("mass"), (F.sum(F.col("w") * F.col("x")) / w).alias("mx"), (F.sum(F.col("w") * F.col("y")) / w).alias("my")))
     steps = F.sequence(F.lit(-2 * ring - 1), F.lit(2 * ring + 1))
-    looks = cells.select("level", F.col("cx").alias("tx"), F.col("cy").alias("ty"), F.explode(steps).alias("_a")).withColumn("_b", F.explode(steps)).where(F.greatest(F.abs("_a"), F.abs("_b")) > ring)
+    looks = cells.select("g", "level", F.col("cx").alias("tx"), F.col("cy").alias("ty"), F.explode(steps).alias("_a")).withColumn("_b", F.explode(steps)).where(F.greatest(F.abs("_a"), F.abs("_b")) > ring)
     looks = looks.withColumns({"cx": F.col("tx") + F.col("_a"), "cy": F.col("ty") + F.col("_b")})
     parents = F.greatest(*[F.abs(F.shiftright(a, 1) - F.shiftright(b, 1)) for a, b in (("cx", "tx"), ("cy", "ty"))]) <= ring
-    lists = looks.where(parents).join(cells, ["level", "cx", "cy"]).groupBy("level", F.col("tx").alias("cx"), F.col("ty").alias("cy")).agg(F.collect_list(F.struct("mass", "mx", "my")).alias("far"))  # (4 ring + 2)^2 at most
+    lists = looks.where(parents).join(cells, ["g", "level", "cx", "cy"]).groupBy("g", "level", F.col("tx").alias("cx"), F.col("ty").alias("cy")).agg(F.collect_list(F.struct("mass", "mx", "my")).alias("far"))  # (4 ring + 2)^2 at most
 
     def pull(dx: Column, dy: Column, mass: Column) -> tuple[Column, Column]:
         d = F.sqrt(dx * dx + dy * dy)
@@ -203,13 +215,32 @@ def tree_forces(points: DataFrame, law: Callable[[Column], Column], c: Config =
         return F.struct((so_far["fx"] + fx).alias("fx"), (so_far["fy"] + fy).alias("fy"))
 
     zero = F.struct(F.lit(0.0).alias("fx"), F.lit(0.0).alias("fy"))
-    far = every.join(lists, ["level", "cx", "cy"]).select("node_id", "w", F.aggregate("far", zero, add).alias("f")).select("node_id", (F.col("w") * F.col("f.fx")).alias("fx"), (F.col("w") * F.col("f.fy")).alias("fy"))
+    far = every.join(lists, ["g", "level", "cx", "cy"]).select("spot", F.aggregate("far", zero, add).alias("f")).select("spot", "f.fx", "f.fy")
     near_steps = F.sequence(F.lit(-ring), F.lit(ring))
-    around = grid.withColumn("_a", F.explode(near_steps)).withColumn("_b", F.explode(near_steps)).withColumns({"ix": F.col("ix") + F.col("_a"), "iy": F.col("iy") + F.col("_b")})
-    other = grid.select("ix", "iy", F.col("node_id").alias("other"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("w").alias("w2"))
-    fx, fy = pull(F.col("x") - F.col("x2"), F.col("y") - F.col("y2"), F.col("w") * F.col("w2"))
-    near = around.join(other, ["ix", "iy"]).where("node_id != other").select("node_id", fx.alias("fx"), fy.alias("fy"))
-    return _sum(near.unionByName(far))
+    around = grid.withColumn("_a", F.explode(near_steps)).withColumn("_b", F.explode(near_steps)).withColumns({"ix": F.col("ix") + F.col("_a"), "iy": F.col("iy") + F.col("_b")}).drop("w")
+    other = grid.select("g", "ix", "iy", F.col("spot").alias("other"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("w").alias("w2"))
+    fx, fy = pull(F.col("x") - F.col("x2"), F.col("y") - F.col("y2"), F.col("w2"))
+    near = around.join(other, ["g", "ix", "iy"]).where("spot != other").select("spot", fx.alias("fx"), fy.alias("fy"))
+    pushed = near.unionByName(far).groupBy("spot").agg(F.sum("fx").alias("_fx"), F.sum("fy").alias("_fy"))
+    return nodes.join(pushed, "spot").select("node_id", (F.col("w") * F.col("_fx")).alias("fx"), (F.col("w") * F.col("_fy")).alias("fy"))
+
+
+def far_degree_repulsion(points: DataFrame, c: Config = Config(), scaling: float = 0.1) -> DataFrame:
+    """``degree_repulsion`` by ``tree_forces``."""
+    return tree_forces(points, lambda d: scaling * c.repulsion / F.greatest(d, F.lit(0.01)), c, F.col("degree") + 1)
+
+
+def far_student_repulsion(points: DataFrame, c: Config = Config(), gamma: float = 2.0) -> DataFrame:
+    """``student_repulsion`` by ``tree_forces``."""
+    return tree_forces(points, lambda d: F.greatest(c.repulsion * d / F.pow(1 + d * d, gamma), F.lit(0.3 * c.repulsion)), c)
+
+
+def far_community_repulsion(points: DataFrame, c: Config = Config(), inner: float = 0.5, outer: float = 1.5) -> DataFrame:
+    """``community_repulsion`` by two trees: ``outer`` times the push of all, less the difference for those of the own community. Points without a community belong to none."""
+    law = lambda k: lambda d: k * c.repulsion / F.pow(F.greatest(d, F.lit(c.min_distance)), 2)
+    mass = F.sqrt(F.col("degree") + 1.0)
+    own = tree_forces(points.where("community is not null"), law(inner - outer), c, mass, F.col("community"))
+    return _sum(tree_forces(points, law(outer), c, mass).unionByName(own))
 
 
 def far_repulsion(points: DataFrame, c: Config = Config()) -> DataFrame:
@@ -305,6 +336,15 @@ def register(name: str, model: Callable[[DataFrame, DataFrame, Config], list[Dat
     MODELS[name] = model
 
 
+#: Models whose pair laws go through the tree: those to take for more than a few thousand points.
+MODELS |= {
+    "force-atlas2-tree": lambda p, e, c: [far_degree_repulsion(p, c), gravity(p, 10 * c.center), linear_attraction(p, e)],
+    "linlog-tree": lambda p, e, c: [far_degree_repulsion(p, c, c.linlog_scaling), gravity(p, 10 * c.linlog_gravity * c.center), linlog_attraction(p, e, c.linlog_influence)],
+    "t-fdp-tree": lambda p, e, c: [far_student_repulsion(p, replace(c, repulsion=c.repulsion * c.tfdp_scale), c.tfdp_gamma), student_attraction(p, e, c.tfdp_alpha, c.tfdp_beta)],
+    "community-tree": lambda p, e, c: [far_community_repulsion(p, c), cluster_attraction(p), springs(p, e, c)],
+}
+
+
 def recommended(n_nodes: int) -> str:
     return "n2" if n_nodes < 5_000 else "barnes-hut" if n_nodes < 50_000 else "density"
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators import forces
 from graphloom.operators.forces import _sum
 
 
@@ -87,7 +88,21 @@ def mass_gravity(points: DataFrame, strength: float = 0.01, exponent: float = 0.
     return points.where(d > 1e-4).select("node_id", (-f * F.col("x") / d).alias("fx"), (-f * F.col("y") / d).alias("fy"))
 
 
-def relativity(points: DataFrame, edges: DataFrame, k: float = 50.0, with_cousins: bool = False) -> list[DataFrame]:
-    """All forces of the model over points with ``mass``; linear attraction along edges keeps families together."""
-    out = [orbit(points, edges), siblings(points, edges, k), children(points, edges, k), mass_gravity(points)]
-    return [*out, cousins(points, edges, k)] if with_cousins else out
+def relativity(points: DataFrame, edges: DataFrame, k: float = 50.0, with_cousins: bool = False, density: float = 0.0) -> list[DataFrame]:
+    """All forces of the model over points with ``mass``: orbits, siblings, parents, gravity and linear attraction along edges, which keeps families together; cousins and a push down the density of all points on request."""
+    if "weight" not in edges.columns:
+        edges = edges.withColumn("weight", F.lit(1.0))
+    out = [orbit(points, edges), siblings(points, edges, k), children(points, edges, k), mass_gravity(points), forces.linear_attraction(points, edges)]
+    if with_cousins:
+        out.append(cousins(points, edges, k))
+    return [*out, forces.density_repulsion(points, density)] if density else out
+
+
+def _model(points: DataFrame, edges: DataFrame, c: forces.Config) -> list[DataFrame]:
+    """The model for ``forces.MODELS``: masses come from the edges unless the points have them."""
+    if "mass" not in points.columns:
+        points = points.join(forces.propagate_mass(points, edges), "node_id")
+    return relativity(points, edges, c.repulsion)
+
+
+forces.register("relativity", _model)

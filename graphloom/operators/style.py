@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -90,10 +88,11 @@ def drop_styles(styles: DataFrame, kinds: list[str], kind: str = "type") -> Data
 
 
 def text_width(texts: DataFrame, advances: dict[str, float], kerning: dict[tuple[str, str], float], key: str = "node_id", text: str = "text") -> DataFrame:
-    """(key, width): advances and kernings of the text's characters; unknown ones add nothing."""
-
-    def measure(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield batch.map(lambda t: float(sum(advances.get(c, 0.0) for c in t or "") + sum(kerning.get(p, 0.0) for p in zip(t or "", (t or "")[1:], strict=False))))
-
-    return texts.select(key, F.pandas_udf(measure, "double")(text).alias("width"))
+    """(key, width): advances and kernings of the text's characters, summed in the JVM; unknown ones add nothing, a null or empty text has width 0."""
+    table = lambda rows: F.create_map(*[F.lit(v) for k, x in rows.items() for v in (k, float(x))]) if rows else None
+    alone, pairs = table(advances), table({a + b: x for (a, b), x in kerning.items()})
+    value = lambda known, k: F.lit(0.0) if known is None else F.coalesce(F.try_element_at(known, k), F.lit(0.0))
+    whole = F.coalesce(F.col(text), F.lit(""))
+    places = F.filter(F.sequence(F.lit(1), F.greatest(F.char_length(whole), F.lit(1))), lambda i: i <= F.char_length(whole))
+    width = F.aggregate(places, F.lit(0.0), lambda total, i: total + value(alone, F.substring(whole, i, F.lit(1))) + F.when(i < F.char_length(whole), value(pairs, F.substring(whole, i, F.lit(2)))).otherwise(0.0))
+    return texts.select(key, width.alias("width"))

@@ -425,9 +425,9 @@ def stream_latest(spark, d):
     return values.latest(rows, ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "value")
 
 
-@query("""WITH r AS (SELECT event_type AS stream, user_id AS node_id, CASE WHEN event_id % 5 <> 0 THEN value END AS value, ts AS at, event_id AS seq FROM events WHERE event_id % 997 <> 0),
-c AS (SELECT event_type AS stream, max({'at': ts, 'seq': event_id}) AS clear FROM events WHERE event_id % 997 = 0 GROUP BY 1)
-SELECT r.stream, node_id, round(value, 4) AS value, seq FROM (SELECT *, row_number() OVER (PARTITION BY stream, node_id ORDER BY at DESC, seq DESC) AS n FROM r) r LEFT JOIN c ON r.stream = c.stream WHERE n = 1 AND value IS NOT NULL AND (clear IS NULL OR {'at': at, 'seq': seq} > clear)""")
+@query("""WITH r AS (SELECT event_type AS stream, user_id AS node_id, CASE WHEN event_id % 5 <> 0 THEN value END AS value, ts AS moment, event_id AS seq FROM events WHERE event_id % 997 <> 0),
+c AS (SELECT event_type AS stream, max({'moment': ts, 'seq': event_id}) AS clear FROM events WHERE event_id % 997 = 0 GROUP BY 1)
+SELECT r.stream, node_id, round(value, 4) AS value, seq FROM (SELECT *, row_number() OVER (PARTITION BY stream, node_id ORDER BY moment DESC, seq DESC) AS n FROM r) r LEFT JOIN c ON r.stream = c.stream WHERE n = 1 AND value IS NOT NULL AND (clear IS NULL OR {'moment': moment, 'seq': seq} > clear)""")
 def stream_keyed_state(spark, d):
     """Events as changes of keyed values: every fifth clears its key, a few their whole stream."""
     events = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/event[s].parquet")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Defaults of node and edge attributes.
@@ -87,8 +87,56 @@ def validate(graph: Graph, on_duplicate: str = "error", strict: bool = True, ord
 
 
 def keep_first(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Of the rows of each key the first in ``order``."""
-    return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where("_r = 1").drop("_r")
+    """Of the rows of each key the first in ``order``, combined before the shuffle: no key is sorted. Null orders come first."""
+    kept = df.groupBy(*keys).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), F.struct(F.col(order).isNotNull().alias("a"), F.col(order).alias("b"))).alias("_r"))
+    return kept.select("_r.*")
+
+
+def faults(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(kind, id, n): what keeps two tables from being a graph, a row for each fault: columns that are missing, rows without an id or an end, ids that repeat, and ends that are no node."""
+    spark = nodes.sparkSession
+    absent = [(f"{name} has no {c}", None, None) for name, df, need in (("nodes", nodes, ["node_id"]), ("edges", edges, ["src", "dst"])) for c in need if c not in df.columns]
+    if absent:
+        return spark.createDataFrame(absent, "kind string, id string, n long")
+    no_id = nodes.where("node_id is null").agg(F.lit("node without id").alias("kind"), F.lit(None).cast("string").alias("id"), F.count("*").alias("n")).where("n > 0")
+    no_end = [edges.where(F.col(end).isNull()).agg(F.lit(f"edge without {end}").alias("kind"), F.lit(None).cast("string").alias("id"), F.count("*").alias("n")).where("n > 0") for end in ("src", "dst")]
+    twice = duplicate_ids(nodes.where("node_id is not null")).select(F.lit("id repeats").alias("kind"), F.col("node_id").cast("string").alias("id"), "n")
+    ids = nodes.select(F.col("node_id").alias("_id"))
+    lost = [edges.where(F.col(end).isNotNull()).join(ids, F.col(end) == F.col("_id"), "left_anti").groupBy(F.col(end).cast("string").alias("id")).agg(F.count("*").alias("n")).select(F.lit(f"{end} is no node").alias("kind"), "id", "n") for end in ("src", "dst")]
+    out = no_id
+    for more in (*no_end, twice, *lost):
+        out = out.unionByName(more)
+    return out
+
+
+def load(nodes: DataFrame, edges: DataFrame, on_duplicate: str = "error", strict: bool = True, strategy: str = "phyllotaxis") -> tuple[Graph, DataFrame]:
+    """A graph from tables with external ids (node_id; src, dst): checked, numbered, filled and placed; and the dictionary (ext_id, node_id).
+
+    Missing columns, null ids, repeated ids and ends that are no node are errors whose rows
+    tell them; ``on_duplicate='first'`` and ``strict=False`` keep the first of repeated ids and drop
+    edges without both ends. Nodes get numbers from 0 in the order of their ids, attributes their
+    defaults, and where no node lies off the origin all are placed by ``strategy`` with a radius of
+    10 sqrt(n). Empty tables make an empty graph.
+    """
+    from graphloom.operators.placement import place, unplaced
+
+    found = faults(nodes, edges)
+    forgiven = F.lit(False)
+    if on_duplicate == "first":
+        forgiven = forgiven | (F.col("kind") == "id repeats")
+    if not strict:
+        forgiven = forgiven | F.col("kind").startswith("src") | F.col("kind").startswith("dst") | F.col("kind").startswith("edge without")
+    if not (bad := found.where(~forgiven)).isEmpty():
+        kind = bad.agg(F.min("kind")).first()[0]
+        raise GraphError(1002 if kind == "id repeats" else 1003 if "is no node" in kind else 1001, kind, bad)
+    if on_duplicate == "first":
+        nodes = keep_first(nodes, ["node_id"], "node_id")
+    known = dictionary(nodes, "node_id")
+    own = nodes.withColumnRenamed("node_id", "_ext").join(known, F.col("_ext").cast("string") == F.col("ext_id")).drop("_ext")
+    graph = with_defaults(own, encode(edges.withColumns({end: F.col(end).cast("string") for end in ("src", "dst")}), known))
+    if unplaced(graph.nodes).first()[0]:
+        graph = graph.with_(nodes=place(graph.nodes, strategy, order="node_id"))
+    return graph, known
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -99,16 +147,13 @@ def undirected(edges: DataFrame) -> DataFrame:
 def dictionary(ids: DataFrame, col: str) -> DataFrame:
     """(ext_id, node_id): ids numbered from 0 in their order.
 
-    Range partitions are numbered by their own counts and an offset for each partition, so
-    no task sees all ids.
+    They are counted over range partitions (``structure.running``): no task sees all ids, and
+    the partitions are stored before they are counted, so that a retried task can't renumber.
     """
-    spark = ids.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = ids.select(F.col(col).cast("string").alias("ext_id")).where("ext_id is not null").distinct().repartitionByRange(n, "ext_id").withColumn("part", F.spark_partition_id())
-    local = ranged.withColumn("i", F.row_number().over(Window.partitionBy("part").orderBy("ext_id")) - 1)
-    sizes = local.groupBy("part").agg(F.count("*").alias("n"))  # one row a partition
-    offsets = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
-    return local.join(F.broadcast(offsets), "part").select("ext_id", (F.col("offset") + F.col("i")).alias("node_id"))
+    from graphloom.operators.structure import running
+
+    known = ids.select(F.col(col).cast("string").alias("ext_id")).where("ext_id is not null").distinct()
+    return running(known, "ext_id", F.lit(1)).select("ext_id", F.col("before").alias("node_id"))
 
 
 def encode(edges: DataFrame, ids: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
