@@ -553,6 +553,23 @@ def tree_tour(spark, d):
     return trees.tour(nodes.join(edges.select(F.col("dst").alias("node_id"), F.col("src").alias("parent")), "node_id", "left")).select("node_id", "pre", "post", "size", "depth")
 
 
+def _code(spark, d):
+    """The containment tree as a code base: the root its repository, regions directories, nations files, customers symbols."""
+    return hierarchy.spanning(*containment(spark, d), 0).withColumn("category", F.col("depth"))
+
+
+@query(f"""WITH {TREE}, n AS (SELECT t.dst AS node_id, t.src AS parent, CASE WHEN count(c.dst) = 0 THEN 12.0 ELSE greatest(sqrt(count(c.dst) * 25.0 / 0.82), 12.0) + 8 END AS r FROM tree t LEFT JOIN tree c ON c.src = t.dst WHERE t.dst BETWEEN 100 AND 999 GROUP BY 1, 2),
+g AS (SELECT t.dst AS node_id, CASE WHEN count(n.r) = 0 THEN 25.0 ELSE greatest(sqrt(sum(n.r * n.r) / 0.82), 25.0) + 15 END AS r FROM tree t LEFT JOIN n ON n.parent = t.dst WHERE t.dst BETWEEN 10 AND 99 GROUP BY 1)
+SELECT CAST(0 AS BIGINT) AS node_id, round(greatest(sqrt(sum(r * r) / 0.82), 50.0) + 15, 4) AS radius FROM g UNION ALL SELECT node_id, round(r, 4) FROM g UNION ALL SELECT node_id, round(r, 4) FROM n UNION ALL SELECT dst, 5.0 FROM tree WHERE dst >= 1000""")
+def codebase_radius(spark, d):
+    return rounded(hierarchy.codebase_radii(_code(spark, d)).select("node_id", "radius"))
+
+
+@query()
+def codebase_layout(spark, d):
+    return rounded(hierarchy.codebase_layout(_code(spark, d), rounds=6))
+
+
 # Analytics
 
 
