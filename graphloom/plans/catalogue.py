@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import color, geometry
-from graphloom.operators import analytics, density, forces, hierarchy, placement, reach, relativity, spatial, structure, style, trees
+from graphloom.operators import analytics, boundaries, density, forces, hierarchy, placement, reach, relativity, spatial, structure, style, trees
 from graphloom.operators.iterate import new_folder
 from graphloom.plans.testgraphs import KNN, PLACED, POINTS, TRADE, TRANSITIONS, TREE, containment, knn, placed_suppliers, points, suppliers, table, trade, transitions
 from graphloom.sources import graph as model
@@ -244,9 +244,9 @@ def edge_hits(spark, d):
     return rounded(spatial.nearest_edges(_picks(spark, d), knn(spark, d), placed_suppliers(spark, d), 3.0))
 
 
-@query(f"{_PICKS} SELECT coalesce(n.query_id, e.query_id) AS query_id, CASE WHEN n.query_id IS NULL THEN 'edge' ELSE 'node' END AS kind, n.node_id, CASE WHEN n.query_id IS NULL THEN src END AS src, CASE WHEN n.query_id IS NULL THEN dst END AS dst, round(coalesce(n.distance, e.distance), 4) AS distance FROM node_hit n FULL JOIN edge_hit e ON n.query_id = e.query_id")
+@query(f"{_PICKS} SELECT coalesce(n.query_id, e.query_id) AS query_id, CASE WHEN n.query_id IS NULL THEN 'edge' ELSE 'node' END AS kind, coalesce(n.node_id, -1) AS node_id, CASE WHEN n.query_id IS NULL THEN src ELSE -1 END AS src, CASE WHEN n.query_id IS NULL THEN dst ELSE -1 END AS dst, round(coalesce(n.distance, e.distance), 4) AS distance FROM node_hit n FULL JOIN edge_hit e ON n.query_id = e.query_id")
 def combined_hits(spark, d):
-    return rounded(spatial.hits(_picks(spark, d), knn(spark, d), placed_suppliers(spark, d), 4.0, 3.0))
+    return rounded(spatial.hits(_picks(spark, d), knn(spark, d), placed_suppliers(spark, d), 4.0, 3.0)).na.fill(-1, ["node_id", "src", "dst"])
 
 
 @query(f"{_PICKS} SELECT coalesce(n.query_id, e.query_id) AS query_id, CASE WHEN n.distance < e.distance OR e.query_id IS NULL THEN 'node' ELSE 'edge' END AS kind FROM (SELECT * FROM node_hit WHERE distance <= 20 / 8.0) n FULL JOIN (SELECT * FROM edge_hit WHERE distance < 5 / 8.0) e ON n.query_id = e.query_id")
@@ -659,6 +659,15 @@ def coarsen(spark, d):
     return analytics.coarsen(analytics.undirected_weights(knn(spark, d)), part)
 
 
+@query(f"WITH {POINTS}, b AS (SELECT community, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM points GROUP BY 1) SELECT a.community, b.community AS other, round(least(a.x1 - b.x0, b.x1 - a.x0, a.y1 - b.y0, b.y1 - a.y0), 4) AS depth FROM b a JOIN b ON a.community <> b.community WHERE least(a.x1 - b.x0, b.x1 - a.x0, a.y1 - b.y0, b.y1 - a.y0) > 1e-9")
+def boundary_overlaps(spark, d):
+    """How deep the boxes of communities lie in each other."""
+    box = points(spark, d).groupBy("community").agg(*[f(c).alias(n) for f, c, n in ((F.min, "x", "x0"), (F.max, "x", "x1"), (F.min, "y", "y0"), (F.max, "y", "y1"))])
+    corner = lambda k, x, y: F.struct(F.lit(k).alias("ord"), F.col(x).alias("x"), F.col(y).alias("y"))
+    hulls = box.select("community", F.explode(F.array(corner(0, "x0", "y0"), corner(1, "x1", "y0"), corner(2, "x1", "y1"), corner(3, "x0", "y1"))).alias("c")).select("community", "c.*")
+    return rounded(boundaries.overlapping(boundaries.rings(hulls)).select("community", "other", "depth"))
+
+
 @query()
 def louvain(spark, d):
     return analytics.louvain(suppliers(spark, d), knn(spark, d))
