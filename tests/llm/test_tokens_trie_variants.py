@@ -31,9 +31,9 @@ def counts():
 def test_whole_tokens_are_proved(counts):
     count, library = counts
     assert 49_000 < len(count.whole) <= 50_256
-    rng = random.Random(0)
-    for part in rng.sample(sorted(count.whole), 500):
-        assert len(tokens.merger(count.path).encode(part).ids) == 1
+    merges = tokens.merger(count.path)
+    for part in random.Random(0).sample(sorted(count.whole), 500):
+        assert len(merges.encode(part).ids) == 1
     assert " the" in count.whole and "zqx" not in count.whole
 
 
