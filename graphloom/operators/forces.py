@@ -167,7 +167,7 @@ def _tree(points: DataFrame, weight: Column, group: Column) -> tuple[DataFrame,
     n, low_x, low_y, extent = box[0], box[1] or 0.0, box[2] or 0.0, box[3] or 1.0
     at = lambda c, low: F.least(F.greatest(F.floor((F.col(c) - low) / extent * (1 << DEEPEST)), F.lit(0)), F.lit((1 << DEEPEST) - 1)).cast("long")
     cells = stored(points.select("node_id", (F.col("x") + 0.0).alias("x"), (F.col("y") + 0.0).alias("y"), weight.cast("double").alias("w"), group.alias("g"), at("x", low_x).alias("ix"), at("y", low_y).alias("iy")))
-    spots = stored(cells.groupBy("g", "x", "y", "ix", "iy").agg(F.sum("w").alias("w")))
+    spots = cells.groupBy("g", "x", "y", "ix", "iy").agg(F.sum("w").alias("w"))
     first = min(DEEPEST, max(2, math.ceil(math.log(max(n, 1) / 4 + 1, 4))))
     by_level = spots.select("g", F.explode(F.sequence(F.lit(first), F.lit(DEEPEST))).alias("level"), "ix", "iy")
     up = lambda c: F.expr(f"shiftright({c}, {DEEPEST} - level)")

@@ -47,8 +47,8 @@ def test_radii_by_category(spark):
 
 def test_children_stay_inside_and_come_apart(spark):
     rows = code()
-    c = Codebase(fill=0.6, spread=1.0)  # room enough for all
-    found = {r.node_id: r for r in hierarchy.codebase_layout(spark.createDataFrame(rows, SCHEMA), c, rounds=40).collect()}
+    c = Codebase(fill=0.5, spread=1.0)  # room enough for all
+    found = {r.node_id: r for r in hierarchy.codebase_layout(spark.createDataFrame(rows, SCHEMA), c, rounds=15).collect()}
     assert len(found) == len(rows)
     kids = {}
     for n, p, *_ in rows:
