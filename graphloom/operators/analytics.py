@@ -103,37 +103,80 @@ def coarsen(edges: DataFrame, assignment: DataFrame) -> DataFrame:
     return edges.join(assignment.select(F.col("node_id").alias("src"), F.col("community").alias("a")), "src").join(assignment.select(F.col("node_id").alias("dst"), F.col("community").alias("b")), "dst").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w"))
 
 
-def _moved(graph: DataFrame, state: DataFrame, degree: DataFrame, m2: float, resolution: float, half: int, turn: int, inside: DataFrame | None = None) -> DataFrame:
-    """``state`` (node_id, community) after the nodes of one hash half went where modularity gains most; with ``inside`` (node_id, bound), only to communities of their bound."""
-    totals = state.join(degree, "node_id").groupBy("community").agg(F.sum("k").alias("total"))
-    moving = state.where(F.pmod(F.xxhash64("node_id", F.lit(turn // 2)), F.lit(2)) == half).join(degree, "node_id").withColumnRenamed("community", "own")
-    ends = graph.where("src != dst")
-    if inside is not None:
-        b = inside.select(F.col("node_id").alias("src"), F.col("bound").alias("b1")), inside.select(F.col("node_id").alias("dst"), F.col("bound").alias("b2"))
-        ends = ends.join(b[0], "src").join(b[1], "dst").where("b1 = b2").select("src", "dst", "w")
-    links = ends.join(state.withColumnRenamed("node_id", "dst"), "dst").groupBy(F.col("src").alias("node_id"), "community").agg(F.sum("w").alias("w"))
-    own = moving.select("node_id", F.col("own").alias("community"), F.lit(0.0).alias("w"))
-    options = links.union(own).groupBy("node_id", "community").agg(F.sum("w").alias("w")).join(moving, "node_id").join(totals, "community")
-    rest = F.col("total") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0.0)
+def _spread(rows: DataFrame, key: str, table: DataFrame, weight: str, total: float) -> DataFrame:
+    """``rows`` with the columns of ``table``, which has one row a key and in ``weight`` the rows that it meets, ``total`` in all.
+
+    Keys that meet over a thousandth of all rows, of which there are fewer than 1,000, are broadcast; their rows keep a salt
+    in the join of the others, so that no task gets all rows of a hub.
+    """
+    values = F.struct(*[c for c in table.columns if c != key])
+    many = F.col(weight) * 1000 > total
+    hot = table.where(many).select(key, values.alias("_hot"))
+    cold = table.where(~many).select(F.col(key).alias("_key"), values.alias("_cold"), F.least(F.col(weight).cast("long"), F.lit(0)).alias("_zero"))
+    marked = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", F.when(F.col("_hot").isNotNull(), 1 + F.pmod(F.xxhash64(*rows.columns), F.lit(1_000_000))).otherwise(0).cast("long"))
+    met = marked.join(cold, (F.col(key) == F.col("_key")) & (F.col("_salt") == F.col("_zero")), "left").withColumn("_v", F.coalesce("_hot", "_cold"))
+    return met.where("_v is not null").select(*rows.columns, "_v.*")
+
+
+def _moved(graph: DataFrame, state: DataFrame, m2: float, met: int, resolution: float, turn: int) -> DataFrame:
+    """``state`` (node_id, community, k, links) after the nodes of one hash half went where modularity gains most, over ``graph`` (src, dst, w, k of src).
+
+    ``was``, ``inner`` and ``total`` tell each node's community before, its weight into that and
+    that one's weight: the modularity before the moves is a sum over these rows.
+    """
+    totals = state.groupBy("community").agg(F.sum("k").alias("total"), F.sum(F.col("links") + 1).alias("_met"))
+    ends = _spread(graph.withColumnRenamed("dst", "node_id"), "node_id", state.select("node_id", "community", "links"), "links", met)
+    loop, none = F.col("src") == F.col("node_id"), F.lit(0.0)
+    ends = ends.select(F.col("src").alias("node_id"), "community", F.when(loop, none).otherwise(F.col("w")).alias("w"), F.when(loop, F.col("w")).otherwise(none).alias("loop"), "k", F.lit(0).cast("long").alias("links"))
+    own = state.select("node_id", "community", none.alias("w"), none.alias("loop"), "k", "links")
+    options = ends.union(own).groupBy("node_id", "community").agg(F.sum("w").alias("w"), F.sum("loop").alias("loop"), F.max("k").alias("k"), F.max("links").alias("links"))
+    options = _spread(options, "community", totals, "_met", met)
+    stays = F.col("links") > 0
+    rest = F.col("total") - F.when(stays, F.col("k")).otherwise(0.0)
     options = options.withColumn("gain", F.round(F.col("w") / m2 - resolution * rest * F.col("k") / (m2 * m2), 12))
-    choice = options.groupBy("node_id").agg(F.max(F.struct("gain", (F.col("community") == F.col("own")).cast("int").alias("stay"), (-F.col("community")).alias("c"))).alias("b")).select("node_id", (-F.col("b.c")).alias("to"))
-    return stored(state.join(choice, "node_id", "left").select("node_id", F.coalesce("to", "community").alias("community")))
-
-
-def _settled(graph: DataFrame, state: DataFrame, resolution: float, passes: int, min_gain: float, inside: DataFrame | None = None) -> DataFrame:
-    """Moves of both halves in turn until two in a row gain less than ``min_gain``."""
-    degree = stored(graph.groupBy(F.col("src").alias("node_id")).agg(F.sum("w").alias("k")))
-    m2 = degree.agg(F.sum("k")).first()[0] or 1.0
-    score, idle = modularity(graph, state, resolution).first()[0] or 0.0, 0
-    for turn in range(2 * passes):
-        trial = _moved(graph, state, degree, m2, resolution, turn % 2, turn, inside)
-        q = modularity(graph, trial, resolution).first()[0] or 0.0
-        idle = 0 if q > score + min_gain else idle + 1
-        if q > score:
-            state, score = trial, q
-        if idle == 2:
+    best = options.groupBy("node_id").agg(
+        F.max(F.struct("gain", stays.cast("int").alias("stay"), (-F.col("community")).alias("c"))).alias("b"),
+        F.max("k").alias("k"),
+        F.max("links").alias("links"),
+        *[F.max(F.when(stays, v)).alias(n) for v, n in ((F.col("community"), "was"), (F.col("w") + F.col("loop"), "inner"), (F.col("total"), "total"))],
+    )
+    moves = F.pmod(F.xxhash64("node_id", F.lit(turn // 2)), F.lit(2)) == turn % 2
+    return best.select("node_id", F.when(moves, -F.col("b.c")).otherwise(F.col("was")).alias("community"), "k", "links", "was", "inner", "total")
+
+
+def _settled(graph: DataFrame, start: DataFrame, resolution: float, passes: int, min_gain: float, inside: DataFrame | None = None) -> tuple[DataFrame, float]:
+    """Moves of both halves in turn until two in a row gain less than ``min_gain``: (node_id, community) and its modularity.
+
+    Each turn is one stored plan that also measures the state it began with. With ``inside``
+    (node_id, bound) nodes only meet those of their bound.
+    """
+    sums = graph.groupBy(F.col("src").alias("node_id")).agg(F.sum("w").alias("k"), F.count("*").alias("links"))
+    start = stored(start.join(sums, "node_id"))
+    m2, met = start.agg(F.sum("k"), F.sum("links") + F.count("*")).first()
+    if inside is not None:
+        bounds = start.select("node_id", "links").join(inside, "node_id")
+        near = graph
+        for end in ("src", "dst"):
+            near = _spread(near, end, bounds.select(F.col("node_id").alias(end), F.col("bound").alias(f"b_{end}"), F.col("links").alias("_l")), "_l", met).drop("_l")
+        graph = near.where("b_src = b_dst").select("src", "dst", "w")
+    graph = stored(_spread(graph, "src", start.select(F.col("node_id").alias("src"), "k", "links"), "links", met).drop("links"))
+    state, trial, score, idle = start, start, None, 0
+    for turn in range(2 * passes + 1):
+        ahead = stored(_moved(graph, trial, m2, met, resolution, turn))
+        inner, square, moved = ahead.agg(F.sum("inner"), F.sum(F.col("k") * F.col("total")), F.sum((F.col("community") != F.col("was")).cast("long"))).first()
+        q = inner / m2 - resolution * square / (m2 * m2)
+        if score is None:
+            score = q
+        elif trial is not state:
+            idle = 0 if q > score + min_gain else idle + 1
+            if q > score:
+                state, score = trial, q
+        if trial is state and moved == 0:
+            idle += 1
+        if idle >= 2:
             break
-    return state
+        trial = ahead if trial is state and moved else state
+    return state.select("node_id", "community"), score
 
 
 def _named(state: DataFrame) -> DataFrame:
@@ -146,30 +189,33 @@ def louvain(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, passes:
 
     In each pass the nodes of one hash half go to the neighbouring community of the largest
     gain, halves in turn, so neighbours seldom swap. A level ends when neither half gains
-    ``min_gain``, or after ``passes`` of both, and is coarsened; levels end when one gains nothing
-    more, the best by modularity is returned, communities named by their smallest node. With
+    ``min_gain``, or after ``passes`` of both, and is coarsened, which keeps the modularity. Levels end when
+    one gains nothing more or puts all nodes into one community; the best is returned,
+    communities named by their smallest node. Without edges every node is alone. With
     ``refined`` (as in Leiden) each community is split again by moves within it before
     coarsening, and the parts, placed together, go on. ``progress`` gets each level and its modularity.
     """
-    base = stored(undirected_weights(edges, weighted))
-    part, graph = nodes.select("node_id", F.col("node_id").alias("community")), base
-    start: DataFrame | None = None
-    best, best_q = part, -1.0
+    graph = stored(undirected_weights(edges, weighted))
+    best, best_q = nodes.select("node_id", F.col("node_id").alias("community")), -1.0
+    if not (graph.agg(F.sum("w")).first()[0] or 0.0) > 0.0:
+        return best
+    part, start = best, None
+    lift = lambda p, s: stored(p.withColumnRenamed("community", "_c").join(s.select(F.col("node_id").alias("_c"), "community"), "_c", "left").select("node_id", F.coalesce("community", "_c").alias("community")))
     for level in range(levels):
-        alone = stored(graph.select(F.col("src").alias("node_id")).union(graph.select("dst")).distinct().withColumn("community", F.col("node_id")))
-        state = _named(_settled(graph, alone if start is None else start, resolution, passes, min_gain))
-        lift = lambda p, s: stored(p.withColumnRenamed("community", "_c").join(s.select(F.col("node_id").alias("_c"), "community"), "_c", "left").select("node_id", F.coalesce("community", "_c").alias("community")))
+        alone = stored(graph.select(F.col("src").alias("node_id")).distinct().withColumn("community", F.col("node_id")))
+        state, q = _settled(graph, alone if start is None else start, resolution, passes, min_gain)
+        state = _named(state)
         whole = lift(part, state)
-        q = modularity(base, whole, resolution).first()[0] or 0.0
         if progress:
             progress(level, q)
-        if q <= best_q + 1e-9:
+        if q <= best_q + 1e-9 or whole.select("community").distinct().limit(2).count() < 2:
             break
         best, best_q = whole, q
-        parts = _named(_settled(graph, alone, resolution, passes, min_gain, state.withColumnRenamed("community", "bound"))) if refined else state
-        part = lift(part, parts)
+        parts = state
         if refined:
+            parts = _named(_settled(graph, alone, resolution, passes, min_gain, state.withColumnRenamed("community", "bound"))[0])
             start = stored(parts.join(state.withColumnRenamed("community", "_s"), "node_id").groupBy(F.col("community").alias("node_id")).agg(F.min("_s").alias("community")))
+        part = lift(part, parts)
         graph = stored(coarsen(graph, parts))
     return best
 
