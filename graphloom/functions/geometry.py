@@ -48,6 +48,35 @@ class Affine:
         return Affine(math.cos(t), math.sin(t), -math.sin(t), math.cos(t))
 
 
+@dataclass(frozen=True)
+class Box:
+    """A box, its sides included."""
+
+    min_x: float
+    min_y: float
+    max_x: float
+    max_y: float
+
+    def contains(self, x: Column, y: Column) -> Column:
+        return x.between(self.min_x, self.max_x) & y.between(self.min_y, self.max_y)
+
+    def expand(self, margin: float) -> Box:
+        return Box(self.min_x - margin, self.min_y - margin, self.max_x + margin, self.max_y + margin)
+
+    def middle(self) -> tuple[float, float]:
+        return (self.min_x + self.max_x) / 2, (self.min_y + self.max_y) / 2
+
+    def distance(self, x: Column, y: Column) -> Column:
+        """How far a point is from the box, 0 within."""
+        dx, dy = (F.greatest(F.lit(low) - v, F.lit(0.0), v - F.lit(high)) for v, low, high in ((x, self.min_x, self.max_x), (y, self.min_y, self.max_y)))
+        return F.sqrt(dx * dx + dy * dy)
+
+    def scale(self, width: float, height: float, padding: float = 0.0) -> float:
+        """The scale at which the box fills a screen less its padding; 1 for a box without area."""
+        w, h = self.max_x - self.min_x, self.max_y - self.min_y
+        return 1.0 if w <= 0 or h <= 0 else min((width - 2 * padding) / w, (height - 2 * padding) / h)
+
+
 @dataclass(frozen=True)
 class Viewport:
     """A window of ``width`` by ``height`` pixels around (x, y) at a scale."""
@@ -67,9 +96,16 @@ class Viewport:
     def to_screen(self) -> Affine:
         return Affine.shift(-self.x, -self.y).then(Affine.scaling(self.scale)).then(Affine.shift(self.width / 2, self.height / 2))
 
-    def visible(self, x: Column, y: Column) -> Column:
+    def box(self) -> Box:
         w, h = self.width / 2 / self.scale, self.height / 2 / self.scale
-        return x.between(self.x - w, self.x + w) & y.between(self.y - h, self.y + h)
+        return Box(self.x - w, self.y - h, self.x + w, self.y + h)
+
+    def visible(self, x: Column, y: Column) -> Column:
+        return self.box().contains(x, y)
+
+    def level(self) -> float:
+        """The zoom level: how often the scale of 1 was doubled."""
+        return math.log2(self.scale)
 
     def fit(self, min_x: float, min_y: float, max_x: float, max_y: float, padding: float = 50.0) -> Viewport:
         w, h = max_x - min_x, max_y - min_y

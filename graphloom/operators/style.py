@@ -25,6 +25,27 @@ def deselect(selection: DataFrame, gone: DataFrame, key: str = "node_id") -> Dat
     return selection.select(key).join(gone.select(key), key, "left_anti")
 
 
+def add_labels(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """The label table (node_id, text, priority, round) with the rows of ``more`` (node_id, text, priority) as a next round; a node may have several labels. An empty table is what ``labels.limit(0)`` or ``set_labels`` of no rows gives."""
+    last = labels.agg(F.coalesce(F.max("round"), F.lit(-1)).alias("_last"))
+    return labels.unionByName(more.crossJoin(F.broadcast(last)).withColumn("round", (F.col("_last") + 1).cast("int")).drop("_last"))
+
+
+def set_labels(more: DataFrame) -> DataFrame:
+    """A label table (node_id, text, priority, round) that holds only the rows of ``more``."""
+    return more.withColumn("round", F.lit(0).cast("int"))
+
+
+def remove_labels(labels: DataFrame, gone: DataFrame) -> DataFrame:
+    """The label table without all labels of the nodes of ``gone``."""
+    return labels.join(gone.select("node_id").distinct(), "node_id", "left_anti").select(*labels.columns)
+
+
+def by_priority(labels: DataFrame) -> DataFrame:
+    """Labels in the order in which they are drawn: the highest priority first, earlier rounds before later ones, then by id."""
+    return labels.orderBy(F.desc_nulls_last("priority"), "round", "node_id", "text")
+
+
 def visible_labels(labels: DataFrame, zoom: float, box: tuple[float, float, float, float], cell: float = 50.0, most: int = 1000, least_zoom: float = 0.3) -> DataFrame:
     """Labels (node_id, text, priority, x, y, min_zoom, max_zoom) to draw: in view, one for each screen cell by priority, ``most`` in all.
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import color, geometry
-from graphloom.operators import analytics, boundaries, density, forces, hierarchy, placement, reach, relativity, spatial, structure, style, trees
+from graphloom.operators import analytics, boundaries, density, forces, hierarchy, layers, placement, reach, relativity, spatial, structure, style, trees
 from graphloom.operators.iterate import new_folder
 from graphloom.plans.testgraphs import KNN, PLACED, POINTS, TRADE, TRANSITIONS, TREE, containment, knn, placed_suppliers, points, suppliers, table, trade, transitions
 from graphloom.sources import graph as model
@@ -784,6 +784,42 @@ def label_exclusion(spark, d):
     return rounded(style.free_labels(labels, 2.0, (0.0, 0.0, 1600.0, 1200.0), style.text_width(labels, _advances(), {})))
 
 
+@query("WITH t AS (SELECT c_custkey AS node_id, c_name AS text, CAST(c_nationkey AS DOUBLE) AS priority, 0 AS round FROM customer WHERE c_nationkey <> 3 UNION ALL SELECT s_suppkey, s_name, CAST(s_nationkey AS DOUBLE), 1 FROM supplier) SELECT node_id, text, priority, CAST(round AS INTEGER) AS round FROM t WHERE node_id NOT IN (SELECT n_nationkey FROM nation)")
+def label_changes(spark, d):
+    """Customers as labels, suppliers added, labels of the nations' numbers removed."""
+    label = lambda t, k: table(spark, d, t).select(F.col(f"{k}_custkey" if k == "c" else f"{k}_suppkey").alias("node_id"), F.col(f"{k}_name").alias("text"), F.col(f"{k}_nationkey").cast("double").alias("priority"))
+    kept = style.set_labels(label("customer", "c").where("priority != 3"))
+    return style.by_priority(style.remove_labels(style.add_labels(kept, label("supplier", "s")), table(spark, d, "nation").select(F.col("n_nationkey").alias("node_id"))))
+
+
+_LAYERED = f"WITH {POINTS}, l AS (SELECT 'all' AS layer, node_id, x, y FROM points UNION ALL SELECT 'right', node_id, x, y FROM points WHERE x > 0 UNION ALL SELECT 'near', node_id, x, y FROM points WHERE x * x + y * y < 2500)"
+
+
+def _layered(spark, d) -> DataFrame:
+    near = F.col("x") * F.col("x") + F.col("y") * F.col("y") < 2500
+    return layers.layer_rows(points(spark, d), {"all": None, "right": F.col("x") > 0, "near": near})
+
+
+@query(f"{_LAYERED} SELECT layer, node_id FROM l")
+def layer_filters(spark, d):
+    return _layered(spark, d).select("layer", "node_id")
+
+
+@query(f"{_LAYERED}, e AS (SELECT node_id AS src, (node_id * 7 + 1) % (SELECT count(*) FROM points) AS dst FROM points) SELECT l.layer, e.src, e.dst FROM e JOIN l ON e.src = l.node_id JOIN l m ON e.dst = m.node_id AND l.layer = m.layer WHERE l.layer <> 'near' OR e.src % 2 = 0")
+def layer_edges(spark, d):
+    """Edges between points, each in the layers that hold both ends."""
+    n = points(spark, d).agg(F.count("*").alias("n"))
+    edges = points(spark, d).crossJoin(F.broadcast(n)).select(F.col("node_id").alias("src"), ((F.col("node_id") * 7 + 1) % F.col("n")).alias("dst"))
+    return layers.edge_layer_rows(edges, _layered(spark, d), {"all": None, "right": None, "near": F.col("src") % 2 == 0}).select("layer", "src", "dst")
+
+
+@query(f"WITH {POINTS} SELECT node_id, round(sqrt(greatest(-110 - x, 0.0, x - 110) ** 2 + greatest(-85 - y, 0.0, y - 85) ** 2), 4) + 0.0 AS distance, x BETWEEN -110 AND 110 AND y BETWEEN -85 AND 85 AS inside FROM points")
+def box_distance(spark, d):
+    """Points against what a screen shows, ten units wider."""
+    box, x, y = geometry.Viewport(0.0, 0.0, 4.0).box().expand(10.0), F.col("x"), F.col("y")
+    return rounded(points(spark, d).select("node_id", box.distance(x, y).alias("distance"), box.contains(x, y).alias("inside")))
+
+
 # Value streams, colour maps, statistics
 
 
