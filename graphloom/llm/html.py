@@ -15,10 +15,8 @@ from graphloom.llm.common import map_batches
 
 #: Lines that a window spans, and the least text within it at which the main text may surge up.
 SPAN, SURGE = 3, 60
-#: How many times its length a line counts in an element marked as the article, and a heading elsewhere.
+#: How many times its length a heading counts on a page without an article's marks.
 MARKED = 4
-#: Marks count where they hold this part of a page's text, or more.
-SHARE = 1 / 50
 
 # Possessive throughout: no text is scanned twice. A quoted value ends where white space, a slash or the tag's end follows.
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>"']++|"[^"]*+"(?=[\s/>])|'[^']*+'(?=[\s/>]))*+)>""")
@@ -27,13 +25,13 @@ _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 #: Elements whose contents are no text: everything up to their end tag goes.
-_RAW = frozenset("script style noscript template iframe object embed svg math canvas audio video head title textarea select option datalist noframes map".split())
+_RAW = frozenset("script style noscript template iframe object embed svg annotation canvas audio video head title textarea select option datalist noframes map".split())
 #: Of these, what holds no elements and so goes to the page's end if nothing ends it; where another has no end tag, only its tag goes.
 _UNENDED = frozenset("script style title textarea iframe noframes".split())
 #: Elements that lie around the main text.
 _AROUND = frozenset("nav header footer aside form dialog menu button fieldset label input".split())
 #: Elements that don't part a line.
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img input".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img input".split()) | frozenset("math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle mpadded mphantom merror mtable mtr mtd semantics".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that another of the same kind, or the end of what holds them, ends.
 _LOOSE = frozenset("p li dt dd tr td th option thead tbody tfoot colgroup".split())
@@ -159,7 +157,7 @@ def lines_of(page: str) -> list[_Line]:
         if tag[1]:
             close(name)
             continue
-        if name in _VOID or attributes.endswith("/") and (name not in _RAW or name in ("svg", "math")) and name not in _INLINE:
+        if name in _VOID or attributes.endswith("/") and (name not in _RAW or name == "svg") and name not in _INLINE:
             continue
         if name in _RAW:
             done = None if name in absent else re.compile(rf"</{re.escape(name)}\b[^<>]*+>", re.I).search(page, at)
@@ -234,15 +232,14 @@ def blocks(lengths: list[float], span: int = SPAN, surge: float = SURGE) -> list
 def weights(lines: list[_Line], marks: bool = True) -> list[int]:
     """How much text each line counts for.
 
-    A line counts its length, nothing if it is mostly links, and ``MARKED`` times as much if it
-    is a heading. Where an article's marks hold ``SHARE`` of a page's text, lines within count
-    ``MARKED`` times and the others nothing.
+    Where an article's marks hold any text, however little, lines within count ``SURGE`` beside
+    their length, links or not, so that each surges by itself and none is lost, and the others
+    nothing. Without marks a line counts its length, nothing if it is mostly links, and
+    ``MARKED`` times as much if it is a heading.
     """
-    lengths = [0 if 2 * x.linked > len(x.text) else len(x.text) for x in lines]
-    inside = sum(n for x, n in zip(lines, lengths, strict=True) if x.main)
-    if marks and inside and inside >= SHARE * sum(lengths):
-        return [MARKED * n * x.main for x, n in zip(lines, lengths, strict=True)]
-    return [n * (MARKED if x.heading else 1) for x, n in zip(lines, lengths, strict=True)]
+    if marks and any(x.main and x.text for x in lines):
+        return [(SURGE + len(x.text)) * (x.main and bool(x.text)) for x in lines]
+    return [0 if 2 * x.linked > len(x.text) else len(x.text) * (MARKED if x.heading else 1) for x in lines]
 
 
 def main_text(page: str | None, marks: bool = True) -> str:

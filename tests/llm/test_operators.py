@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -259,8 +260,58 @@ def test_main_text_judges_lines_of_an_article():
     links = "".join(f"<p><a href=x>more to read {i}</a>" for i in range(3))
     body = "<p>" + "long text " * 20
     page = f"<body><p>outside the mark<article><h1>Head</h1>{body}<p><a href=x>one link</a>{body}{links}<p>tail</article>"
-    assert html.main_text(page) == " ".join(["Head", *["long text"] * 40])
-    assert html.main_text(f"<article><p>short{links}<p>words</article><p>{'other ' * 40}") == "short words"
+    more = "more to read 0 more to read 1 more to read 2"
+    assert html.main_text(page) == " ".join(["Head", *["long text"] * 20, "one link", *["long text"] * 20, more, "tail"])
+    assert html.main_text(f"<article><p>short{links}<p>words</article><p>{'other ' * 40}") == f"short {more} words"
+    assert html.main_text(f"<article><p>short</article><p>{'other ' * 4000}") == "short"  # marks decide at every size
+    assert html.main_text("<article><p>energy is <math><mi>E</mi><mo>=</mo><msup><mi>c</mi><mn>2</mn></msup><annotation>E=c^2</annotation></math> here") == "energy is E=c2 here"
+    assert html.main_text("<article><p>a<nav><a href=x>b</a></nav><nav>c</nav><nav>d</nav><nav>e</nav><p>f</article>") == "a f"
+
+
+class Marked(HTMLParser):
+    """The blocks of a well-formed page's article, read by the standard library's parser."""
+
+    AROUND = {"nav", "header", "footer", "aside", "form", "dialog", "script", "style", "noscript", "template", "title"}
+    INLINE = {"a", "b", "em", "i", "span", "strong", "code", "sup", "sub"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.around, self.blocks, self.now = 0, 0, [], ""
+
+    def end_block(self):
+        if text := " ".join(self.now.split()):
+            self.blocks.append(text)
+        self.now = ""
+
+    def step(self, tag, by):
+        if tag not in self.INLINE:
+            self.end_block()
+        self.inside += by * (tag == "article")
+        self.around += by * (tag in self.AROUND)
+
+    def handle_starttag(self, tag, attrs):
+        self.step(tag, 1)
+
+    def handle_endtag(self, tag):
+        self.step(tag, -1)
+
+    def handle_data(self, data):
+        if self.inside and not self.around:
+            self.now += data
+
+
+def test_main_text_against_a_parser(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    found = {r.page_id: r for r in html.extract(pages).collect()}
+    rows = pages.collect()
+    assert len(found) == len(rows)
+    for row in rows:
+        parser = Marked()
+        parser.feed(row.html or "")
+        parser.close()
+        parser.end_block()
+        text = " ".join(parser.blocks)
+        assert (found[row.page_id].text, found[row.page_id].n_chars, found[row.page_id].url) == (text, len(text), row.url)
 
 
 REFERENCE = [
