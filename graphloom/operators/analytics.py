@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -266,42 +265,6 @@ def hull_shapes(hulls: DataFrame, points: DataFrame, fallback: float = 20.0) ->
     return middle.join(corners, "community").join(far, "community").select("community", "cx", "cy", "corners", F.when(F.col("corners") < 3, F.col("far") + fallback).otherwise(F.col("far")).alias("radius"))
 
 
-def _dent(group: pd.DataFrame, longest: float) -> pd.DataFrame:
-    ring = group.loc[group["hull"], ["ord", "x", "y"]].sort_values("ord")[["x", "y"]].to_numpy()
-    inner = group.loc[~group["hull"], ["x", "y"]].drop_duplicates().to_numpy()
-    free, at = np.ones(len(inner), bool), 0
-    ring = ring.tolist()
-    while at < len(ring) and len(ring) > 2:
-        a, b = np.array(ring[at]), np.array(ring[(at + 1) % len(ring)])
-        edge = b - a
-        size = float(np.hypot(*edge))
-        if size > longest and free.any():
-            t = (inner - a) @ edge / (size * size)
-            off = np.abs((inner[:, 0] - a[0]) * edge[1] - (inner[:, 1] - a[1]) * edge[0]) / size
-            ends = np.hypot(*(inner - a).T) + np.hypot(*(inner - b).T)
-            good = np.flatnonzero(free & (t > 0.05) & (t < 0.95) & (off < size / 2) & (ends < 2 * size))
-            if len(good):
-                new = good[np.argmin(off[good])]
-                free[new] = False
-                ring.insert(at + 1, inner[new].tolist())
-                continue
-        at += 1
-    return pd.DataFrame({"community": group["community"].iloc[0], "ord": range(len(ring)), "x": [p[0] for p in ring], "y": [p[1] for p in ring]})
-
-
-def concave_hulls(points: DataFrame, longest: float = 50.0, cell: float | None = None) -> DataFrame:
-    """(community, ord, x, y): convex hulls whose sides over ``longest`` are dented inward to the nearest member that lies before them.
-
-    Members are thinned to one a cell (a tenth of ``longest`` wide) first, so a community takes
-    as much of a task's memory as its area, not as its members.
-    """
-    side = cell or longest / 10
-    hulls = convex_hulls(points).withColumn("hull", F.lit(True))
-    thin = points.groupBy(F.col("community").cast("long").alias("community"), F.floor(F.col("x") / side).alias("_a"), F.floor(F.col("y") / side).alias("_b")).agg(F.min(F.struct("x", "y")).alias("p"))
-    both = hulls.select("community", "ord", "x", "y", "hull").union(thin.select("community", F.lit(-1), "p.x", "p.y", F.lit(False)))
-    return both.groupBy("community").applyInPandas(lambda g: _dent(g, longest), "community long, ord int, x double, y double")
-
-
 def hulls_apart(shapes: DataFrame, strength: float = 0.5, most: float = 20.0, padding: float = 10.0) -> DataFrame:
     """(community, dx, dy): how far overlapping communities (community, cx, cy, radius) are pushed apart along the line of their middles, ``most`` at most.
 

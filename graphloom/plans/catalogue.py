@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import color, geometry
-from graphloom.operators import analytics, boundaries, density, forces, hierarchy, layers, placement, reach, relativity, spatial, structure, style, trees
+from graphloom.operators import analytics, boundaries, density, forces, hierarchy, layers, outlines, placement, reach, relativity, spatial, structure, style, trees
 from graphloom.operators.iterate import new_folder
 from graphloom.plans.testgraphs import KNN, PLACED, POINTS, TRADE, TRANSITIONS, TREE, containment, knn, placed_suppliers, points, suppliers, table, trade, transitions
 from graphloom.sources import graph as model
@@ -922,7 +922,24 @@ def leiden(spark, d):
 
 @query()
 def concave_hulls(spark, d):
-    return rounded(analytics.concave_hulls(points(spark, d)))
+    return rounded(outlines.concave_hulls(points(spark, d)))
+
+
+@query(f"""WITH {POINTS}, held AS (SELECT DISTINCT community, CAST(floor(x / 12.5) AS BIGINT) AS a, CAST(floor(y / 12.5) AS BIGINT) AS b FROM points WHERE community IS NOT NULL AND isfinite(x) AND isfinite(y)),
+near AS (SELECT i.range AS i, j.range AS j FROM range(-2, 3) AS i, range(-2, 3) AS j),
+grown AS (SELECT DISTINCT community, a + i AS a, b + j AS b FROM held, near),
+cells AS (SELECT community, a + i AS a, b + j AS b FROM grown, near GROUP BY 1, 2, 3 HAVING count(*) = 25),
+flat AS (SELECT community, a AS x, b + k.range AS y FROM cells, range(2) AS k), tall AS (SELECT community, a + k.range AS x, b AS y FROM cells, range(2) AS k),
+sides AS (SELECT community, count(*) AS n FROM flat GROUP BY community, x, y UNION ALL SELECT community, count(*) FROM tall GROUP BY community, x, y),
+met AS (SELECT community, count(*) AS n, sum((i.range + j.range) % 2) AS odd FROM cells, range(2) AS i, range(2) AS j GROUP BY community, a + i.range, b + j.range),
+per_met AS (SELECT community, count(*) AS v, sum(CASE WHEN n IN (1, 3) THEN 1 WHEN n = 2 AND odd <> 1 THEN 2 ELSE 0 END) AS corners FROM met GROUP BY 1),
+per_side AS (SELECT community, count(*) AS e, count(*) FILTER (n = 1) AS rim FROM sides GROUP BY 1),
+per_cell AS (SELECT community, count(*) AS f FROM cells GROUP BY 1)
+SELECT community, v - e + f AS shapes, CAST(corners AS BIGINT) AS corners, f * 12.5 * 12.5 + 0.0::DOUBLE AS area, rim * 12.5 + 0.0::DOUBLE AS perimeter FROM per_met JOIN per_side USING (community) JOIN per_cell USING (community)""")
+def hull_measures(spark, d):
+    """Outlines traced with their holes, measured corner by corner: outer rings less holes, corners, area and perimeter. SQL counts the cells, sides and corners instead."""
+    found = outlines.measures(outlines.concave_hulls(points(spark, d), holes=True))
+    return rounded(found.select("community", (F.col("outer") - F.col("holes")).alias("shapes"), "corners", "area", "perimeter"))
 
 
 def queries() -> dict[str, Query]:

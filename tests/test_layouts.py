@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions import color
-from graphloom.operators import analytics, control, density, forces, hierarchy, placement, reach, relativity, structure, style
+from graphloom.operators import analytics, control, density, forces, hierarchy, outlines, placement, reach, relativity, structure, style
 from graphloom.sources import generators
 from graphloom.streaming import values
 
@@ -242,8 +242,9 @@ def test_hulls(spark):
     convex = analytics.convex_hulls(points).orderBy("ord").collect()
     for a, b in zip(convex, convex[1:] + convex[:1], strict=True):
         assert all((b.x - a.x) * (y - a.y) - (b.y - a.y) * (x - a.x) >= -1e-9 for x, y in at)
-    concave = analytics.concave_hulls(points, 25.0).orderBy("ord").collect()
+    concave = outlines.concave_hulls(points, 25.0).orderBy("ord").collect()
     assert len(concave) > len(convex) and area(concave) < 0.9 * area(convex)
+    assert len({(r.ring_x, r.ring_y) for r in concave}) == 1 and not any(r.hole for r in concave)
     pair = frame(spark, [(1, 7, 0.0, 0.0), (2, 7, 10.0, 0.0), (3, 8, 12.0, 0.0)], "node_id long, community long, x double, y double")
     shapes = analytics.hull_shapes(analytics.convex_hulls(pair), pair)
     moves = {r.community: (r.dx, r.dy) for r in analytics.hulls_apart(shapes).collect()}
