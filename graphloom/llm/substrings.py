@@ -30,13 +30,14 @@ def anchors(h: np.ndarray, window: int = WINDOW, k: int = KMER) -> np.ndarray:
     return np.unique(least + np.arange(len(least)))
 
 
-def _edges(h: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _edges(h: np.ndarray, at: np.ndarray, k: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the k-mers at ``at`` and of the words from each to the end of its neighbour before and after; 0 at a document's ends."""
     prefix = prefix_hashes(h, BASES[0])
     key = span_hashes(prefix, at, at + k)
     steps = span_hashes(prefix_hashes(h, BASES[1]), at[:-1], at[1:] + k) if len(at) else key
     zero = np.zeros(min(1, len(at)), U64)
-    return key, np.concatenate([zero, steps >> U64(32) | U64(1)]), np.concatenate([steps & U64(0xFFFFFFFF) | U64(1), zero])
+    mask = U64((1 << bits) - 1)
+    return key, np.concatenate([zero, steps >> U64(32) & mask | U64(1)]), np.concatenate([steps & mask | U64(1), zero])
 
 
 def _signed(a: np.ndarray) -> pa.Array:
@@ -53,7 +54,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("row", F.xxhash64("text"))
 
 
-def _graph(rows: DataFrame, window: int, k: int) -> DataFrame:
+def _graph(rows: DataFrame, window: int, k: int, bits: int) -> DataFrame:
     """One row per edge and place: key, doc_id, row, place, hashes of the steps before and after."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,15 +65,15 @@ def _graph(rows: DataFrame, window: int, k: int) -> DataFrame:
                 for doc_id, row, text in zip(ids, keys, batch.column(1)[at : at + 128], strict=True):
                     h = words.of(words_of(text.as_py()))
                     places = anchors(h, window, k)
-                    out.append((np.full(len(places), doc_id, np.int64), np.full(len(places), row, np.int64), places, *_edges(h, places, k)))
+                    out.append((np.full(len(places), doc_id, np.int64), np.full(len(places), row, np.int64), places, *_edges(h, places, k, bits)))
                 doc_id, row, places, key, before, after = map(np.concatenate, zip(*out, strict=True))
                 yield pa.record_batch([_signed(key), pa.array(doc_id), pa.array(row), pa.array(places.astype(np.int32)), _half(before), _half(after)], ["key", "doc_id", "row", "place", "before", "after"])
 
     return map_batches(rows.where("doc_id is not null and text is not null").select("doc_id", "text", "row"), run, "key long, doc_id long, row long, place int, before int, after int")
 
 
-def _paths(h: np.ndarray, edges: dict, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For a document's windows: the least document known to hold each (-1 none), and the starts of those still to be looked up.
+def _paths(h: np.ndarray, edges: dict, window: int, k: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """For a document's windows: the least document known to hold each (-1 none), the starts of those still to be looked up, and the paths that settle any (first and last edge).
 
     ``edges`` has arrays place, owner (least document), joined (the step to the next edge
     belongs to a nonbranching path), for the document's repeated edges in order.
@@ -83,21 +84,51 @@ def _paths(h: np.ndarray, edges: dict, window: int, k: int) -> tuple[np.ndarray,
     places, owners, joined = edges["place"], edges["owner"], edges["joined"]
     every = anchors(h, window, k)
     index = np.searchsorted(every, places)
-    linked = joined[:-1] & (np.diff(index) == 1)
+    linked = joined[:-1] & (np.diff(index) == 1) & (owners[:-1] == owners[1:])
     first = np.concatenate([[True], ~linked])
     starts, ends = np.flatnonzero(first), np.append(np.flatnonzero(first)[1:], len(places))
     # Windows that hold a repeated edge, each under the edge it is known by: the leftmost least one it holds.
     for i in range(len(places)):
         doubtful[max(places[i] + k - window, 0) : places[i] + 1] = True
+    paths = []
     for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
         low, high = places[s], places[e - 1] + k - window
         if high >= low:  # windows within one path occur wherever its edges do
             owner[low : high + 1] = owners[s]
             doubtful[low : high + 1] = False
-    return owner, np.flatnonzero(doubtful)
+            paths.append((s, e - 1))
+    return owner, np.flatnonzero(doubtful), paths
 
 
-def drop_repeats(docs: DataFrame, window: int = WINDOW, k: int = KMER, texts: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _span(tokens: list[bytes], start: int, length: int) -> bytes | None:
+    """A digest of all words of a span; none where the text ends before it."""
+    return hashlib.sha256(b" ".join(tokens[start : start + length])).digest() if start + length <= len(tokens) else None
+
+
+def _unlike(rows: DataFrame, graph: DataFrame, settled: DataFrame) -> DataFrame:
+    """(owner): documents whose words, at the coordinates of some path that they are said to hold, differ from those of a later document.
+
+    A span that many documents share is asked for once, as its words are the same; each owner's
+    text is cut into words once, for all its spans.
+    """
+    asked = materialize(settled.select(F.explode("spans").alias("s")).select("s.*").distinct())
+    spots = graph.groupBy("key", "doc_id", "row").agg(F.min("place").alias("place")).join(asked.select("key", F.col("owner").alias("doc_id"), "length", "digest"), ["key", "doc_id"])
+    by_doc = spots.groupBy("doc_id", "row").agg(F.collect_list(F.struct("key", "place", "length", "digest")).alias("spots"))  # one document's paths
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            alike = []
+            for doc_id, text, spots in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                tokens = words_of(text.as_py())
+                alike += [(s["key"], doc_id, s["length"], s["digest"]) for s in spots.as_py() if _span(tokens, s["place"], s["length"]) == s["digest"]]
+            columns = list(zip(*alike, strict=True)) or [()] * 4
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["key", "owner", "length", "digest"])
+
+    alike = map_batches(rows.join(by_doc, ["doc_id", "row"]).select("doc_id", "text", "spots"), compare, "key long, owner long, length int, digest binary")
+    return materialize(asked.join(alike, ["key", "owner", "length", "digest"], "left_anti").select("owner").distinct())
+
+
+def drop_repeats(docs: DataFrame, window: int = WINDOW, k: int = KMER, texts: bool = True, id_col: str = "doc_id", text_col: str = "text", bits: int = 32) -> DataFrame:
     """One row for each row of ``docs``: ``doc_id, n_words, n_removed, kept_sha256`` and, if ``texts``, ``kept_text``.
 
     A word is removed if a window of ``window`` consecutive words covers it whose word
@@ -108,7 +139,10 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, k: int = KMER, texts: bo
     least document that holds them and with whether their step to the next edge is the only
     one anywhere. Runs of such steps are nonbranching paths: all their windows occur in just
     the documents of any of their edges, so a path is settled as one span at its source
-    coordinates. Windows over a path's ends or a branch are looked up one by one, by
+    coordinates. The words of every span that would be removed are then compared, as SHA-256
+    digests, with those at its owner's coordinates; where any differ, because hashes of k-mers or
+    steps (``bits`` of each, twice) were equal by chance, no path stands and every window of a
+    repeated edge is looked up. Windows over a path's ends or a branch are looked up one by one, by
     128-bit hashes of all their words.
 
     A null text has no words. Rows with a null id keep all words and stand for nothing.
@@ -116,15 +150,15 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, k: int = KMER, texts: bo
     table gives no rows. Other columns are ignored.
     """
     rows = _rows(docs, id_col, text_col)
-    graph = materialize(_graph(rows, window, k))
+    graph = materialize(_graph(rows, window, k, bits))
     shared = materialize(
         graph.groupBy("key")
         .agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.min("before").alias("b1"), F.max("before").alias("b2"), F.min("after").alias("a1"), F.max("after").alias("a2"))
         .where("owner < last")
         .select("key", "owner", ((F.col("b1") == F.col("b2")) & (F.col("b1") != 0)).alias("one_before"), ((F.col("a1") == F.col("a2")) & (F.col("a1") != 0)).alias("one_after"))
     )
-    places = graph.select("key", "doc_id", "row", "place").join(shared, "key")
-    by_doc = places.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set(F.struct("place", "owner", "one_before", "one_after"))).alias("edges"))  # one document's
+
+    asked = pa.struct([("key", pa.int64()), ("owner", pa.int64()), ("length", pa.int32()), ("digest", pa.binary())])
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
@@ -134,29 +168,41 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, k: int = KMER, texts: bo
                 out = []
                 for doc_id, text, edges in zip(part.column(0).to_pylist(), part.column(1), part.column(3), strict=True):
                     tokens = words_of(text.as_py())
-                    n, known, open_, hashes = len(tokens), np.array([], np.int64), np.array([], np.int64), (np.array([], U64),) * 2
+                    n, known, open_, hashes, spans = len(tokens), np.array([], np.int64), np.array([], np.int64), (np.array([], U64),) * 2, []
                     if edges.is_valid and doc_id is not None:
                         e = edges.values.flatten()
-                        place, owner, before, after = (x.to_numpy(zero_copy_only=False) for x in e)
+                        place, owner, before, after, key = (x.to_numpy(zero_copy_only=False) for x in e)
                         h = words.of(tokens)
                         joined = after & np.append(before[1:], False)
-                        owners, open_ = _paths(h, {"place": place.astype(np.int64), "owner": owner, "joined": joined}, window, k)
+                        owners, open_, paths = _paths(h, {"place": place.astype(np.int64), "owner": owner, "joined": joined}, window, k)
                         known = np.flatnonzero((owners >= 0) & (owners < doc_id))
+                        for s, e in paths:
+                            if owner[s] < doc_id:
+                                length = int(place[e]) + k - int(place[s])
+                                spans.append({"key": int(key[s]), "owner": int(owner[s]), "length": length, "digest": _span(tokens, int(place[s]), length)})
                         hashes = tuple(span_hashes(prefix_hashes(h, b), open_, open_ + window) for b in BASES)
                     kept = None if len(open_) else _kept(tokens, known, window)
                     joined_kept = b" ".join(kept) if kept is not None else None
-                    out.append((doc_id, text.as_py() if len(open_) else None, n, n - len(kept) if kept is not None else None, joined_kept.decode("utf-8", "surrogatepass") if texts and kept is not None else None, _digest(joined_kept), known.astype(np.int32), open_.astype(np.int32), hashes[0].view(np.int64), hashes[1].view(np.int64)))
-                doc_id, text, n, gone, kept, digest, known, open_, one, two = zip(*out, strict=True)
-                lists = [pa.array(x, pa.list_(t)) for x, t in ((known, pa.int32()), (open_, pa.int32()), (one, pa.int64()), (two, pa.int64()))]
-                yield pa.record_batch([part.column(0), part.column(2), pa.array(text, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(digest, pa.string()), *lists], ["doc_id", "row", "text", "n_words", "n_removed", "kept_text", "kept_sha256", "known", "open", "one", "two"])
-
-    settled = materialize(
-        map_batches(
-            rows.join(by_doc, ["doc_id", "row"], "left").select("doc_id", "text", "row", "edges"),
-            settle,
-            "doc_id long, row long, text string, n_words long, n_removed long, kept_text string, kept_sha256 string, known array<int>, open array<int>, one array<long>, two array<long>",
+                    out.append((doc_id, text.as_py() if len(open_) else None, n, n - len(kept) if kept is not None else None, joined_kept.decode("utf-8", "surrogatepass") if texts and kept is not None else None, _digest(joined_kept), known.astype(np.int32), open_.astype(np.int32), hashes[0].view(np.int64), hashes[1].view(np.int64), spans))
+                doc_id, text, n, gone, kept, digest, known, open_, one, two, spans = zip(*out, strict=True)
+                lists = [pa.array(x, pa.list_(t)) for x, t in ((known, pa.int32()), (open_, pa.int32()), (one, pa.int64()), (two, pa.int64()), (spans, asked))]
+                yield pa.record_batch([part.column(0), part.column(2), pa.array(text, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(digest, pa.string()), *lists], ["doc_id", "row", "text", "n_words", "n_removed", "kept_text", "kept_sha256", "known", "open", "one", "two", "spans"])
+
+    def settled_by(shared: DataFrame) -> DataFrame:
+        places = graph.select("key", "doc_id", "row", "place").join(shared, "key")
+        by_doc = places.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set(F.struct("place", "owner", "one_before", "one_after", "key"))).alias("edges"))  # one document's
+        return materialize(
+            map_batches(
+                rows.join(by_doc, ["doc_id", "row"], "left").select("doc_id", "text", "row", "edges"),
+                settle,
+                "doc_id long, row long, text string, n_words long, n_removed long, kept_text string, kept_sha256 string, known array<int>, open array<int>, one array<long>, two array<long>, spans array<struct<key:long,owner:long,length:int,digest:binary>>",
+            )
         )
-    )
+
+    settled = settled_by(shared)
+    unlike = _unlike(rows, graph, settled)
+    if not unlike.isEmpty():
+        settled = settled_by(shared.select("key", "owner", *[F.lit(False).alias(c) for c in ("one_before", "one_after")]))
     columns = ["doc_id", "n_words", "n_removed", "kept_sha256", *["kept_text"] * texts]
     done = settled.where("n_removed is not null").select(columns)
     left = settled.where("n_removed is null")

@@ -103,8 +103,8 @@ def test_minhash_group_of_many_near_copies(spark):
     assert {r.doc_id: r.component_id for r in found} == dict(enumerate(root))
 
 
-def test_substrings(docs, rows, empty):
-    found = substrings.drop_repeats(docs).collect()
+def without_repeats(rows):
+    """Sorted rows of brute force over all windows of 50 words; ids of null as -1."""
     first = {}
     for i, t, *_ in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
         w = words(t)
@@ -119,10 +119,43 @@ def test_substrings(docs, rows, empty):
                 gone[k : k + 50] = [True] * 50
         kept = " ".join(x for x, g in zip(w, gone, strict=True) if not g)
         want.append((i if i is not None else -1, len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest(), kept))
-    assert sorted((r.doc_id if r.doc_id is not None else -1, r.n_words, r.n_removed, r.kept_sha256, r.kept_text) for r in found) == sorted(want)
+    return sorted(want)
+
+
+def sorted_repeats(found):
+    return sorted((r.doc_id if r.doc_id is not None else -1, r.n_words, r.n_removed, r.kept_sha256, r.kept_text) for r in found)
+
+
+def test_substrings(docs, rows, empty):
+    assert sorted_repeats(substrings.drop_repeats(docs).collect()) == without_repeats(rows)
     assert substrings.drop_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("bits", [1, 32])
+def test_spans_are_compared_at_their_coordinates(spark, monkeypatch, bits):
+    """With hashes of one bit, which make false paths, the words decide all the same."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(30):
+        text = [f"w{x}" for x in rng.integers(0, 10**6, 400)]
+        for version in range(3):
+            own = list(text)
+            for at in rng.integers(0, 400, 2 * version):
+                own[at] = f"own{at}-{version}"
+            rows.append((3 * i + version, " ".join(own)))
+    rows += [(200, rows[0][1] + " " + rows[4][1]), (201, rows[4][1] + "\n" + rows[0][1]), (5, rows[5][1]), (5, rows[8][1]), (300, None), (None, rows[0][1])]
+    caught, compare = [], substrings._unlike
+
+    def seen(*args):
+        caught.append(compare(*args))
+        return caught[-1]
+
+    monkeypatch.setattr(substrings, "_unlike", seen)
+    found = substrings.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string"), bits=bits).collect()
+    assert sorted_repeats(found) == without_repeats(rows)
+    assert [u.isEmpty() for u in caught] == [bits == 32]
+
+
 def test_packing(docs, rows, empty):
     from tokenizers import Tokenizer
 
