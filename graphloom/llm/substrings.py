@@ -100,32 +100,13 @@ def _paths(h: np.ndarray, edges: dict, window: int, k: int) -> tuple[np.ndarray,
     return owner, np.flatnonzero(doubtful), paths
 
 
-def _span(tokens: list[bytes], start: int, length: int) -> bytes | None:
-    """A digest of all words of a span; none where the text ends before it."""
-    return hashlib.sha256(b" ".join(tokens[start : start + length])).digest() if start + length <= len(tokens) else None
+def _unlike(settled: DataFrame) -> DataFrame:
+    """Paths (key of the first edge, owner, length, digest) whose words in a document differ from those at the coordinates of their owner, which settles the same paths.
 
-
-def _unlike(rows: DataFrame, graph: DataFrame, settled: DataFrame) -> DataFrame:
-    """(owner): documents whose words, at the coordinates of some path that they are said to hold, differ from those of a later document.
-
-    A span that many documents share is asked for once, as its words are the same; each owner's
-    text is cut into words once, for all its spans.
+    A path's rows in many documents are alike and combine before the shuffle.
     """
-    asked = materialize(settled.select(F.explode("spans").alias("s")).select("s.*").distinct())
-    spots = graph.groupBy("key", "doc_id", "row").agg(F.min("place").alias("place")).join(asked.select("key", F.col("owner").alias("doc_id"), "length", "digest"), ["key", "doc_id"])
-    by_doc = spots.groupBy("doc_id", "row").agg(F.collect_list(F.struct("key", "place", "length", "digest")).alias("spots"))  # one document's paths
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            alike = []
-            for doc_id, text, spots in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                tokens = words_of(text.as_py())
-                alike += [(s["key"], doc_id, s["length"], s["digest"]) for s in spots.as_py() if _span(tokens, s["place"], s["length"]) == s["digest"]]
-            columns = list(zip(*alike, strict=True)) or [()] * 4
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["key", "owner", "length", "digest"])
-
-    alike = map_batches(rows.join(by_doc, ["doc_id", "row"]).select("doc_id", "text", "spots"), compare, "key long, owner long, length int, digest binary")
-    return materialize(asked.join(alike, ["key", "owner", "length", "digest"], "left_anti").select("owner").distinct())
+    spans = settled.select("doc_id", F.explode("spans").alias("s")).select("s.*", (F.col("doc_id") == F.col("s.owner")).alias("own"))
+    return spans.groupBy("key", "owner", "length", "digest").agg(F.max("own").alias("own")).where("not own")
 
 
 def drop_repeats(docs: DataFrame, window: int = WINDOW, k: int = KMER, texts: bool = True, id_col: str = "doc_id", text_col: str = "text", bits: int = 32) -> DataFrame:
@@ -139,8 +120,8 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, k: int = KMER, texts: bo
     least document that holds them and with whether their step to the next edge is the only
     one anywhere. Runs of such steps are nonbranching paths: all their windows occur in just
     the documents of any of their edges, so a path is settled as one span at its source
-    coordinates. The words of every span that would be removed are then compared, as SHA-256
-    digests, with those at its owner's coordinates; where any differ, because hashes of k-mers or
+    coordinates. The words of every such span are then compared, as SHA-256 digests taken at
+    its coordinates in each document, with those of its owner; where any differ, because hashes of k-mers or
     steps (``bits`` of each, twice) were equal by chance, no path stands and every window of a
     repeated edge is looked up. Windows over a path's ends or a branch are looked up one by one, by
     128-bit hashes of all their words.
@@ -158,7 +139,7 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, k: int = KMER, texts: bo
         .select("key", "owner", ((F.col("b1") == F.col("b2")) & (F.col("b1") != 0)).alias("one_before"), ((F.col("a1") == F.col("a2")) & (F.col("a1") != 0)).alias("one_after"))
     )
 
-    asked = pa.struct([("key", pa.int64()), ("owner", pa.int64()), ("length", pa.int32()), ("digest", pa.binary())])
+    span = pa.struct([("key", pa.int64()), ("owner", pa.int64()), ("length", pa.int32()), ("digest", pa.binary())])
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
@@ -177,15 +158,14 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, k: int = KMER, texts: bo
                         owners, open_, paths = _paths(h, {"place": place.astype(np.int64), "owner": owner, "joined": joined}, window, k)
                         known = np.flatnonzero((owners >= 0) & (owners < doc_id))
                         for s, e in paths:
-                            if owner[s] < doc_id:
-                                length = int(place[e]) + k - int(place[s])
-                                spans.append({"key": int(key[s]), "owner": int(owner[s]), "length": length, "digest": _span(tokens, int(place[s]), length)})
+                            start, end = int(place[s]), int(place[e]) + k
+                            spans.append({"key": int(key[s]), "owner": int(owner[s]), "length": end - start, "digest": hashlib.sha256(b" ".join(tokens[start:end])).digest()})
                         hashes = tuple(span_hashes(prefix_hashes(h, b), open_, open_ + window) for b in BASES)
                     kept = None if len(open_) else _kept(tokens, known, window)
                     joined_kept = b" ".join(kept) if kept is not None else None
                     out.append((doc_id, text.as_py() if len(open_) else None, n, n - len(kept) if kept is not None else None, joined_kept.decode("utf-8", "surrogatepass") if texts and kept is not None else None, _digest(joined_kept), known.astype(np.int32), open_.astype(np.int32), hashes[0].view(np.int64), hashes[1].view(np.int64), spans))
                 doc_id, text, n, gone, kept, digest, known, open_, one, two, spans = zip(*out, strict=True)
-                lists = [pa.array(x, pa.list_(t)) for x, t in ((known, pa.int32()), (open_, pa.int32()), (one, pa.int64()), (two, pa.int64()), (spans, asked))]
+                lists = [pa.array(x, pa.list_(t)) for x, t in ((known, pa.int32()), (open_, pa.int32()), (one, pa.int64()), (two, pa.int64()), (spans, span))]
                 yield pa.record_batch([part.column(0), part.column(2), pa.array(text, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(digest, pa.string()), *lists], ["doc_id", "row", "text", "n_words", "n_removed", "kept_text", "kept_sha256", "known", "open", "one", "two", "spans"])
 
     def settled_by(shared: DataFrame) -> DataFrame:
@@ -200,8 +180,7 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, k: int = KMER, texts: bo
         )
 
     settled = settled_by(shared)
-    unlike = _unlike(rows, graph, settled)
-    if not unlike.isEmpty():
+    if not _unlike(settled).isEmpty():
         settled = settled_by(shared.select("key", "owner", *[F.lit(False).alias(c) for c in ("one_before", "one_after")]))
     columns = ["doc_id", "n_words", "n_removed", "kept_sha256", *["kept_text"] * texts]
     done = settled.where("n_removed is not null").select(columns)
