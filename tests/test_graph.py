@@ -166,3 +166,22 @@ def test_stream_upsert(spark, tmp_path):
         values.upsert(stream, str(tmp_path / "out"), str(tmp_path / "cp"), ["node_id"], ["seq"]).awaitTermination()
         found = {r.node_id: r.value for r in spark.read.parquet(str(tmp_path / f"out/v{number}")).collect()}
     assert found == {1: 9.0, 2: 6.0, 3: 1.0}
+
+
+def test_shared_parts_are_counted_once_a_query_and_in_pieces(spark, sf, monkeypatch):
+    """A query that takes the supplier graph twice reads the order lines for it once; parts whose suppliers fill several lists give the same pairs."""
+    from collections import Counter, defaultdict
+
+    plan = catalogue.QUERIES["add_edges_checked"](spark, sf)._jdf.queryExecution().toString()
+    assert "lineitem" not in plan and "l_partkey" not in plan
+    parts = defaultdict(set)
+    for r in testgraphs.table(spark, sf, "lineitem").select("l_partkey", "l_suppkey").collect():
+        parts[r[0]].add(r[1])
+    shared = Counter((a, b) for some in parts.values() for a in some for b in some if a != b)
+    want = set()
+    for src in {a for a, _ in shared}:
+        best = sorted((-n, b) for (a, b), n in shared.items() if a == src)[:5]
+        want |= {(src, b, float(-n)) for n, b in best}
+    for listed in (1000, 2):
+        monkeypatch.setattr(testgraphs, "LISTED", listed)
+        assert {(r.src, r.dst, r.weight) for r in testgraphs.knn(spark, sf).collect()} == want
