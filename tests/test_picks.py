@@ -69,3 +69,21 @@ def test_node_or_edge(spark):
     screen = spark.createDataFrame([(1, 400.0, 300.0), (2, 500.0, 301.0), (3, 10.0, 10.0)], "query_id long, x double, y double")
     found = {r.query_id: (r.kind, r.distance) for r in spatial.screen_hits(screen, edges, points, Viewport(scale=2.0)).collect()}
     assert found == {1: ("node", 0.0), 2: ("edge", 0.5)}
+
+
+def test_picks_at_few_places_meet_few_segments(spark):
+    """Long segments over a small box of queries: only their parts in the box lie in cells, and a place is looked up once for all its queries."""
+    rng = random.Random(8)
+    places = {i: (rng.uniform(-4000, 4000), rng.uniform(-4000, 4000)) for i in range(200)}
+    edges = sorted({(rng.randrange(200), rng.randrange(200)) for _ in range(300)})
+    points = spark.createDataFrame([(i, x, y) for i, (x, y) in places.items()], "node_id long, x double, y double")
+    lines = spatial.placed(spark.createDataFrame(edges, "src long, dst long"), points)
+    box = spark.createDataFrame([(-50.0, 50.0, -40.0, 60.0)], "low_x double, high_x double, low_y double, high_y double")
+    parts = spatial._clipped(lines, box, 3.0)
+    assert spatial.crossed_cells(parts, 3.0).count() * 20 < spatial.crossed_cells(lines, 3.0).count()
+    spots = [(rng.uniform(-50, 50), rng.uniform(-40, 60)) for _ in range(40)]
+    picks = [(i, *spots[i % 40]) for i in range(400)]
+    found = {r.query_id: (r.src, r.dst, r.distance) for r in spatial.nearest_edges(spark.createDataFrame(picks, "query_id long, x double, y double"), spark.createDataFrame(edges, "src long, dst long"), points, 30.0).collect()}
+    for i, x, y in picks:
+        near = min((distance(x, y, *places[a], *places[b]), a, b) for a, b in edges)
+        assert found.get(i, (None,))[:2] == near[1:] if near[0] < 30 else i not in found
