@@ -127,3 +127,16 @@ def test_reference_cases(spark):
     lopsided = laid(spark, 5, [(0, 1), (0, 2), (1, 3), (3, 4)], root=0, level=50.0, radial=False)
     assert lopsided[4][1] == 150 and lopsided[1][0] == lopsided[3][0] == lopsided[4][0] < lopsided[2][0]
     assert laid(spark, 1, [(0, 0)], root=0) == {}
+
+
+def test_tidy_sql_merges_families_of_any_size():
+    """The SQL of tidy_tree over one nation of 20,000 customers: no family is left in several blocks."""
+    duckdb = pytest.importorskip("duckdb")
+    from graphloom.plans import catalogue
+
+    c = duckdb.connect()
+    c.execute("CREATE TABLE region AS SELECT 0 AS r_regionkey")
+    c.execute("CREATE TABLE nation AS SELECT 0 AS n_nationkey, 0 AS n_regionkey")
+    c.execute("CREATE TABLE customer AS SELECT range AS c_custkey, 0 AS c_nationkey FROM range(20000)")
+    rows = c.execute(f"SELECT x FROM ({catalogue.ORACLES['tidy_tree']}) q WHERE node_id >= 1000 ORDER BY node_id").fetchall()
+    assert [x for (x,) in rows] == [80 * (i - 19999 / 2) for i in range(20000)]
