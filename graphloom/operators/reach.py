@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators.iterate import Pile, stored
+from graphloom.operators.structure import running
 from graphloom.operators.trees import tour
 from graphloom.sources.graph import closed_edges
 
@@ -210,11 +211,40 @@ def distances(edges: DataFrame, sources: DataFrame) -> DataFrame:
     return seen.all()
 
 
-def closeness(nodes: DataFrame, edges: DataFrame, batch: int = BATCH) -> DataFrame:
-    """(node_id, closeness): reached / sum of distances, scaled by the share of nodes reached; 0 if none. Exact, a batch of sources at a time."""
-    n, sums, edges = nodes.count(), None, stored(closed_edges(nodes, edges.select("src", "dst")))
-    for some in batches(nodes.select("node_id"), batch):
-        one = distances(edges, some).where("distance > 0").groupBy(F.col("source").alias("node_id")).agg(F.count("*").alias("r"), F.sum("distance").alias("t"))
+#: Sources that one long holds as bits.
+BITS = 64
+
+
+def _packed(nodes: DataFrame) -> DataFrame:
+    """(node_id, chunk, bit): nodes numbered in the order of their ids, ``BITS`` a chunk."""
+    return running(nodes.select("node_id").distinct(), "node_id", F.lit(1)).select("node_id", F.floor(F.col("before") / BITS).cast("long").alias("chunk"), (F.col("before") % BITS).cast("int").alias("bit"))
+
+
+def closeness(nodes: DataFrame, edges: DataFrame, batch: int = 1000 * BITS) -> DataFrame:
+    """(node_id, closeness): reached / sum of distances, scaled by the share of nodes reached; 0 if none. Exact.
+
+    Walks of ``BITS`` sources go together, as bits of one long: a row is a node and the sources
+    of a chunk that reach it first in this step. So a row stands for up to 64 pairs of source and
+    node, pairs are only counted where they are, and ``batch`` sources go at a time.
+    """
+    n, edges = nodes.count(), stored(closed_edges(nodes, edges.select("src", "dst").distinct()))
+    dealt, sums = stored(_packed(nodes)), None
+    last = (dealt.agg(F.max("chunk")).first()[0] or 0) + 1
+    each = max(1, batch // BITS)
+    for low in range(0, last, each):
+        some = dealt.where(F.col("chunk").between(low, low + each - 1))
+        own = F.expr("shiftleft(1L, bit)")
+        first = stored(some.select("node_id", "chunk", own.alias("new"), F.lit(0).alias("distance")))
+        seen, front, turn = first.select("node_id", "chunk", F.col("new").alias("seen")), first, 0
+        met = Pile(first)
+        while not front.isEmpty():
+            turn += 1
+            sent = front.select(F.col("node_id").alias("src"), "chunk", "new").join(edges, "src").groupBy(F.col("dst").alias("node_id"), "chunk").agg(F.bit_or("new").alias("sent"))
+            both = stored(seen.join(sent, ["node_id", "chunk"], "full").select("node_id", "chunk", F.coalesce("seen", F.lit(0).cast("long")).alias("_s"), F.coalesce("sent", F.lit(0).cast("long")).alias("_n")).select("node_id", "chunk", F.col("_s").bitwiseOR(F.col("_n")).alias("seen"), F.col("_n").bitwiseAND(F.bitwise_not("_s")).alias("new"), F.lit(turn).alias("distance")))
+            seen, front = both.select("node_id", "chunk", "seen"), met.add(both.where("new != 0"))
+        bits = F.expr(f"filter(sequence(0, {BITS - 1}), b -> shiftright(new, b) & 1 = 1)")
+        pairs = met.all().where("distance > 0").select("chunk", "distance", F.explode(bits).alias("bit"))
+        one = pairs.groupBy("chunk", "bit").agg(F.count("*").alias("r"), F.sum("distance").alias("t")).join(some, ["chunk", "bit"]).select("node_id", "r", "t")
         if sums is None:
             sums = Pile(one)
         else:

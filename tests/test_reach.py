@@ -96,3 +96,13 @@ def test_centralities_by_batches(spark):
     assert one == pytest.approx(many)
     rough = {r.node_id: r.betweenness for r in reach.betweenness_estimates(nodes, e, error=0.5, doubt=0.5).collect()}
     assert rough != one and all(abs(rough[i] - one[i]) <= 0.5 * n * (n - 2) for i in range(n))
+
+
+def test_closeness_packs_sources_into_bits(spark, monkeypatch):
+    """200 sources are four chunks of bits in one batch: no pairs of source and node are stored, and the values are exact."""
+    rng = random.Random(12)
+    edges = sorted({(rng.randrange(200), rng.randrange(200)) for _ in range(420)})
+    monkeypatch.setattr(reach, "distances", None)
+    nodes, e = graph(spark, 200, edges)
+    want = {i: (r := len(s) - 1) and r / sum(s.values()) * r / 199 for i, s in enumerate(walks(200, edges))}
+    assert {r.node_id: r.closeness for r in reach.closeness(nodes, e).collect()} == pytest.approx(want)
