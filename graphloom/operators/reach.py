@@ -274,11 +274,23 @@ def closeness_estimates(nodes: DataFrame, edges: DataFrame, registers: int = REG
     return _close(nodes, state.where("t > 0").select("node_id", (F.col("n") - 1).alias("r"), "t"), n)
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None = None, batch: int = BATCH) -> DataFrame:
-    """(node_id, betweenness): shares of shortest paths through a node, summed over pairs from ``sources`` (all nodes unless given), a batch of them at a time."""
+#: Pairs of source and node that a batch of betweenness holds, about.
+PAIRS = 20_000_000
+
+
+def betweenness(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None = None, batch: int = BATCH, pairs: int = PAIRS) -> DataFrame:
+    """(node_id, betweenness): shares of shortest paths through a node, summed over pairs from ``sources`` (all nodes unless given).
+
+    Sources come in the order of a hash: ``batch`` of them first, then as many at a time as hold
+    about ``pairs`` pairs by what the batch before met, at most eight times as many as that.
+    """
     sums, edges = None, stored(closed_edges(nodes, edges.select("src", "dst")))
-    for some in batches((sources if sources is not None else nodes).select("node_id"), batch):
-        found = stored(distances(edges, some))
+    order = F.struct(F.xxhash64("node_id", F.lit(17)).alias("h"), "node_id").alias("_at")
+    dealt = stored(running((sources if sources is not None else nodes).select("node_id", order), "_at", F.lit(1)).select("node_id", "before"))
+    total, begun = dealt.count(), 0
+    while begun < max(total, 1):
+        found = distances(edges, dealt.where(F.col("before").between(begun, begun + batch - 1)).select("node_id"))
+        begun, batch = begun + batch, max(1, min(8 * batch, int(pairs * batch / max(found.count(), 1))))
         depth = found.agg(F.max("distance")).first()[0] or 0
         level = found.where(F.col("distance") == depth).withColumn("share", F.lit(0.0))
         shares = Pile(level.select("node_id", "source", "paths", "share"))

@@ -106,3 +106,12 @@ def test_closeness_packs_sources_into_bits(spark, monkeypatch):
     nodes, e = graph(spark, 200, edges)
     want = {i: (r := len(s) - 1) and r / sum(s.values()) * r / 199 for i, s in enumerate(walks(200, edges))}
     assert {r.node_id: r.closeness for r in reach.closeness(nodes, e).collect()} == pytest.approx(want)
+
+
+def test_betweenness_takes_batches_by_their_pairs(spark, monkeypatch):
+    """Sources that reach little share batches: 40 sources from a first batch of 2 take three batches, each up to eight times the one before."""
+    calls, real = [], reach.distances
+    monkeypatch.setattr(reach, "distances", lambda edges, some: calls.append(some.count()) or real(edges, some))
+    nodes, e = graph(spark, 40, [(i, i + 1) for i in range(0, 39, 4)] + [(i + 1, i + 2) for i in range(0, 37, 4)])
+    found = {r.node_id: r.betweenness for r in reach.betweenness(nodes, e, batch=2).collect()}
+    assert calls == [2, 16, 22] and found == {i: float(i % 4 == 1) for i in range(40)}
