@@ -185,3 +185,17 @@ def test_shared_parts_are_counted_once_a_query_and_in_pieces(spark, sf, monkeypa
     for listed in (1000, 2):
         monkeypatch.setattr(testgraphs, "LISTED", listed)
         assert {(r.src, r.dst, r.weight) for r in testgraphs.knn(spark, sf).collect()} == want
+
+
+def test_partners_are_counted_in_pieces(monkeypatch):
+    """A supplier's lists that come over many pieces count as if they came at once; ties go to the smaller id."""
+    monkeypatch.setattr(testgraphs, "HELD", 3)
+    whole = [7, 1, 2, 7, 3, 2, 9, 1, 7, 2, 4]
+    one = testgraphs._Partners(7)
+    for at in range(0, len(whole), 2):
+        one.add(np.array(whole[at : at + 2], np.int64))
+    dst, n = one.best(3)
+    assert dst.tolist() == [2, 1, 3] and n.tolist() == [3, 2, 1]
+    alone = testgraphs._Partners(7)
+    alone.add(np.array([7, 7], np.int64))
+    assert alone.best(5)[0].tolist() == []
