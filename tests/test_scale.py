@@ -140,3 +140,19 @@ def test_text_width_in_the_jvm(spark):
     assert {r.node_id: r.width for r in found.collect()} == {1: 9.75, 2: 0.0, 3: 0.0, 4: 1.5, 5: 2.0}
     assert "Python" not in found._jdf.queryExecution().toString()
     assert {r.width for r in style.text_width(rows, {}, {}).collect()} == {0.0}
+
+
+def test_tree_forces_over_blocks(spark, monkeypatch):
+    """Blocks of any height give the same forces, and no row is made for a pair of spots."""
+    rng = random.Random(9)
+    rows = [(i, rng.gauss(0, 50) * rng.random() ** 2, rng.gauss(0, 80) * rng.random() ** 2) for i in range(900)]
+    points = spark.createDataFrame(rows, "node_id long, x double, y double").repartition(3).cache()
+    found = []
+    for below in (1, 3, 20):
+        monkeypatch.setattr(forces, "BELOW", below)
+        pushed = forces.far_repulsion(points)
+        found.append(np.array([(r.fx, r.fy) for r in pushed.orderBy("node_id").collect()]))
+        assert "FlatMapGroupsInArrow" in pushed._jdf.queryExecution().optimizedPlan().toString()
+    assert found[0].shape == (900, 2)
+    for other in found[1:]:
+        np.testing.assert_allclose(found[0], other, rtol=1e-9, atol=1e-12)
