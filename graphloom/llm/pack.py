@@ -10,6 +10,7 @@ from array import array
 from collections import deque
 from collections.abc import Iterator
 from functools import cached_property
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.models import BPE
 
 from graphloom.llm.common import map_batches, materialize
 
@@ -63,6 +65,7 @@ class WordIds:
             signs = [s for s in made["pre_tokenizer"]["pretokenizers"] if s["type"] == "ByteLevel"]
             made |= {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *signs]}, "post_processor": None, "added_tokens": []}
             self.of_parts = Tokenizer.from_str(json.dumps(made))
+            self.of_parts.model = self._uncached(made["model"])
             vocabulary = self.of_parts.get_vocab()
             self.marks = np.zeros(max(vocabulary.values()) + 1, bool)
             self.marks[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -83,6 +86,13 @@ class WordIds:
         patterns = [s["pattern"].get("Regex") for s in (made["pre_tokenizer"] or {}).get("pretokenizers", []) if s["type"] == "Split" and s["invert"]]
         return kinds == ["NFC", "Replace", "Lowercase"] and patterns == [PARTS] and made["model"].get("end_of_word_suffix") == "</w>"
 
+    @staticmethod
+    def _uncached(model: dict) -> BPE:
+        """The merges without the library's own cache of parts, as each part is encoded once."""
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        settings = {k: model[k] for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges") if model.get(k) is not None}
+        return BPE(vocab=model["vocab"], merges=merges, cache_capacity=0, **settings)
+
     def whole(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         if not text:
             return np.array([], np.uint32), np.array([], np.int64)
@@ -92,8 +102,8 @@ class WordIds:
         return np.array(found.ids, np.uint32), np.unique(np.searchsorted(ends, stops) + 1) if stops and len(ends) else np.array([], np.int64)
 
     def learn_parts(self, parts: list[str]) -> None:
-        for k in range(0, len(parts), 2000):
-            some = parts[k : k + 2000]
+        for k in range(0, len(parts), 8000):
+            some = parts[k : k + 8000]
             ids = np.array(self.of_parts.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.flatnonzero(self.marks[ids]) + 1
             if len(ends) != len(some) or ends[-1] != len(ids):  # no vocabulary seen here does this
@@ -136,9 +146,11 @@ class WordIds:
         bounds = split.offsets.to_numpy()
         words = split.flatten().dictionary_encode()
         each = words.dictionary.to_pylist()
-        if new := [w for w in each if w not in self.words]:
-            self.learn(new)
-        which = np.fromiter(map(self.words.__getitem__, each), np.int64, len(each))[words.indices.to_numpy()]
+        known = np.fromiter(map(self.words.get, each, repeat(-1)), np.int64, len(each))
+        if len(unseen := np.flatnonzero(known < 0)):
+            known[unseen] = np.arange(len(self.words), len(self.words) + len(unseen))  # as learnt: words of a dictionary differ
+            self.learn([each[i] for i in unseen.tolist()])
+        which = known[words.indices.to_numpy()]
         ids, ends = self.word_ids.gather(which)
         stop = np.frombuffer(self.stops or b"0", bool)[which]
         out, at = [], 0

@@ -249,3 +249,15 @@ def test_intermediates_are_removed(spark):
         one.count()
     common.forget(spark, mark)
 
+
+
+def test_words_learnt_twice_and_forgotten_keep_their_ids():
+    """Known and new words of one batch, before and after the words are forgotten, give the library's own ids."""
+    from tokenizers import Tokenizer
+
+    from graphloom.llm import pack
+
+    words, library = pack.WordIds(pack.vocabulary_path(), most=3), Tokenizer.from_file(pack.vocabulary_path())
+    for texts in (["one two three", "two four. Five"], ["six two one two", "", "four zzqxv!"], ["one zzqxv! two"]):
+        for text, (ids, _) in zip(texts, words.encode(pa.array(texts)), strict=True):
+            assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
