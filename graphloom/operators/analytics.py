@@ -6,7 +6,7 @@ import math
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.iterate import repeat, settle, stored
@@ -102,12 +102,18 @@ def coarsen(edges: DataFrame, assignment: DataFrame) -> DataFrame:
     return edges.join(assignment.select(F.col("node_id").alias("src"), F.col("community").alias("a")), "src").join(assignment.select(F.col("node_id").alias("dst"), F.col("community").alias("b")), "dst").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w"))
 
 
+#: Rows that one key may meet in a task: where all are fewer, no hub needs its rows spread.
+PLAIN = 10_000_000
+
+
 def _spread(rows: DataFrame, key: str, table: DataFrame, weight: str, total: float) -> DataFrame:
     """``rows`` with the columns of ``table``, which has one row a key and in ``weight`` the rows that it meets, ``total`` in all.
 
     Keys that meet over a thousandth of all rows, of which there are fewer than 1,000, are broadcast; their rows keep a salt
-    in the join of the others, so that no task gets all rows of a hub.
+    in the join of the others, so that no task gets all rows of a hub. Fewer rows than ``PLAIN`` in all are joined as they are.
     """
+    if total < PLAIN:
+        return rows.join(table, key).select(*rows.columns, *[c for c in table.columns if c != key])
     values = F.struct(*[c for c in table.columns if c != key])
     many = F.col(weight) * 1000 > total
     hot = table.where(many).select(key, values.alias("_hot"))
@@ -123,30 +129,24 @@ def _moved(graph: DataFrame, state: DataFrame, m2: float, met: int, resolution:
     ``was``, ``inner`` and ``total`` tell each node's community before, its weight into that and
     that one's weight: the modularity before the moves is a sum over these rows.
     """
-    totals = state.groupBy("community").agg(F.sum("k").alias("total"), F.sum(F.col("links") + 1).alias("_met"))
+    totals = state.groupBy("community").agg(F.expr("sum(k) AS total"), F.expr("sum(links + 1) AS _met"))
     ends = _spread(graph.withColumnRenamed("dst", "node_id"), "node_id", state.select("node_id", "community", "links"), "links", met)
-    loop, none = F.col("src") == F.col("node_id"), F.lit(0.0)
-    ends = ends.select(F.col("src").alias("node_id"), "community", F.when(loop, none).otherwise(F.col("w")).alias("w"), F.when(loop, F.col("w")).otherwise(none).alias("loop"), "k", F.lit(0).cast("long").alias("links"))
-    own = state.select("node_id", "community", none.alias("w"), none.alias("loop"), "k", "links")
-    options = ends.union(own).groupBy("node_id", "community").agg(F.sum("w").alias("w"), F.sum("loop").alias("loop"), F.max("k").alias("k"), F.max("links").alias("links"))
-    options = _spread(options, "community", totals, "_met", met)
-    stays = F.col("links") > 0
-    rest = F.col("total") - F.when(stays, F.col("k")).otherwise(0.0)
-    options = options.withColumn("gain", F.round(F.col("w") / m2 - resolution * rest * F.col("k") / (m2 * m2), 12))
-    best = options.groupBy("node_id").agg(
-        F.max(F.struct("gain", stays.cast("int").alias("stay"), (-F.col("community")).alias("c"))).alias("b"),
-        F.max("k").alias("k"),
-        F.max("links").alias("links"),
-        *[F.max(F.when(stays, v)).alias(n) for v, n in ((F.col("community"), "was"), (F.col("w") + F.col("loop"), "inner"), (F.col("total"), "total"))],
-    )
-    moves = F.pmod(F.xxhash64("node_id", F.lit(turn // 2)), F.lit(2)) == turn % 2
-    return best.select("node_id", F.when(moves, -F.col("b.c")).otherwise(F.col("was")).alias("community"), "k", "links", "was", "inner", "total")
+    ends = ends.selectExpr("src AS node_id", "community", "if(src = node_id, 0D, w) AS w", "if(src = node_id, w, 0D) AS loop", "k", "0L AS links")
+    every = ends.union(state.selectExpr("node_id", "community", "0D AS w", "0D AS loop", "k", "links"))
+    if met < PLAIN:  # one shuffle serves both groupings
+        every = every.repartition("node_id")
+    options = every.groupBy("node_id", "community").agg(*map(F.expr, ("sum(w) AS w", "sum(loop) AS loop", "max(k) AS k", "max(links) AS links")))
+    rest = f"{resolution!r}D * (total - if(links > 0, k, 0D)) * k"
+    options = _spread(options, "community", totals, "_met", met).selectExpr("*", "links > 0 AS stays", f"round(w / {m2!r}D - {rest} / ({m2!r}D * {m2!r}D), 12) AS gain")
+    best = "max(struct(gain, int(stays) AS stay, -community AS c)) AS b", "max(k) AS k", "max(links) AS links", "max(if(stays, community, null)) AS was", "max(if(stays, w + loop, null)) AS inner", "max(if(stays, total, null)) AS total"
+    moves = f"pmod(xxhash64(node_id, {turn // 2}), 2) = {turn % 2}"
+    return options.groupBy("node_id").agg(*map(F.expr, best)).selectExpr("node_id", f"if({moves}, -b.c, was) AS community", "k", "links", "was", "inner", "total")
 
 
 def _settled(graph: DataFrame, start: DataFrame, resolution: float, passes: int, min_gain: float, inside: DataFrame | None = None) -> tuple[DataFrame, float]:
     """Moves of both halves in turn until two in a row gain less than ``min_gain``: (node_id, community) and its modularity.
 
-    Each turn is one stored plan that also measures the state it began with. With ``inside``
+    Each turn is one stored plan whose write also measures the state it began with. With ``inside``
     (node_id, bound) nodes only meet those of their bound.
     """
     sums = graph.groupBy(F.col("src").alias("node_id")).agg(F.sum("w").alias("k"), F.count("*").alias("links"))
@@ -161,9 +161,10 @@ def _settled(graph: DataFrame, start: DataFrame, resolution: float, passes: int,
     graph = stored(_spread(graph, "src", start.select(F.col("node_id").alias("src"), "k", "links"), "links", met).drop("links"))
     state, trial, score, idle = start, start, None, 0
     for turn in range(2 * passes + 1):
-        ahead = stored(_moved(graph, trial, m2, met, resolution, turn))
-        inner, square, moved = ahead.agg(F.sum("inner"), F.sum(F.col("k") * F.col("total")), F.sum((F.col("community") != F.col("was")).cast("long"))).first()
-        q = inner / m2 - resolution * square / (m2 * m2)
+        seen = Observation()
+        ahead = stored(_moved(graph, trial, m2, met, resolution, turn).observe(seen, F.sum("inner").alias("inner"), F.sum(F.col("k") * F.col("total")).alias("square"), F.sum((F.col("community") != F.col("was")).cast("long")).alias("moved")))
+        moved = seen.get["moved"]
+        q = seen.get["inner"] / m2 - resolution * seen.get["square"] / (m2 * m2)
         if score is None:
             score = q
         elif trial is not state:

@@ -37,3 +37,29 @@ def test_loops_and_a_hub(spark):
     nodes = spark.createDataFrame([(i,) for i in [*range(9), 20, 21, 22, 30]], "node_id long")
     found = dict(analytics.louvain(nodes, spark.createDataFrame(edges, "src long, dst long")).collect())
     assert found[20] == found[21] == found[22] == 20 and found[30] == 30 and len(found) == 13
+
+
+def test_a_half_pass_shuffles_once_for_its_nodes_and_measures_as_it_writes(spark, monkeypatch):
+    edges = spark.range(40).selectExpr("id AS src", "(id * 7 + 3) % 40 AS dst").union(spark.range(40).selectExpr("id AS src", "id - id % 8 AS dst"))
+    nodes, plans = spark.range(40).withColumnRenamed("id", "node_id"), []
+    moved, stored = analytics._moved, analytics.stored
+
+    def watched(*args):
+        plans.append(moved(*args))
+        return plans[-1]
+
+    def write(df):
+        spark.sparkContext.setJobGroup("written", "")
+        out = stored(df)
+        spark.sparkContext.setJobGroup("read", "")
+        return out
+
+    monkeypatch.setattr(analytics, "_moved", watched)
+    monkeypatch.setattr(analytics, "stored", write)
+    graph = stored(analytics.undirected_weights(edges))
+    found, q = analytics._settled(graph, nodes.selectExpr("node_id", "node_id AS community"), 1.0, 100, 1e-4)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("read")) <= 2  # the sums of the start, none a half pass
+    assert plans[0]._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(") == 2
+    monkeypatch.setattr(analytics, "PLAIN", 0)
+    again, q2 = analytics._settled(graph, nodes.selectExpr("node_id", "node_id AS community"), 1.0, 100, 1e-4)
+    assert q == pytest.approx(q2) and sorted(found.collect()) == sorted(again.collect())
