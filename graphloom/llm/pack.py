@@ -10,7 +10,6 @@ from array import array
 from collections import deque
 from collections.abc import Iterator
 from functools import cached_property
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -47,8 +46,8 @@ class WordIds:
     A vocabulary that composes and lower-cases a text, drops white space and splits the rest
     by ``PARTS``, every part ending with a token marked ``</w>``, gives a text its words' ids
     in a row and a word its parts'; many new parts can be encoded as one text and told apart
-    by the marks. About ``most`` words and twice as many parts are remembered. With any other
-    vocabulary texts are encoded as wholes, which is slower.
+    by the marks. About ``most`` words and twice as many parts are remembered; beyond that those
+    that several batches met stay, the most frequent half at most. With any other vocabulary texts are encoded as wholes, which is slower.
     """
 
     SPLIT = regex.compile("\n|" + PARTS)
@@ -77,8 +76,16 @@ class WordIds:
         return Tokenizer.from_file(self.path)
 
     def forget(self) -> None:
-        self.parts, self.part_ids = {}, _Lists()
-        self.words, self.word_ids, self.stops = {}, _Lists(), bytearray()
+        self.parts, self.part_ids, self.part_met = {}, _Lists(), np.array([], np.int64)
+        self.words, self.word_ids, self.word_met, self.stops = pa.array([], pa.string()), _Lists(), np.array([], np.int64), bytearray()
+
+    def trim(self) -> None:
+        """Forget all but the words and parts that several batches met."""
+        kept, self.word_ids, self.word_met = _often(self.word_ids, self.word_met, self.most // 2)
+        self.words, self.stops = self.words.take(pa.array(kept)), bytearray(np.frombuffer(self.stops, np.uint8)[kept].tobytes())
+        kept, self.part_ids, self.part_met = _often(self.part_ids, self.part_met, self.most)
+        parts = list(self.parts)
+        self.parts = {parts[i]: at for at, i in enumerate(kept.tolist())}
 
     @staticmethod
     def _splits(made: dict) -> bool:
@@ -111,9 +118,11 @@ class WordIds:
                 ids, ends = np.concatenate(each), np.cumsum([len(e) for e in each])
             self.parts.update(zip(some, range(len(self.parts), len(self.parts) + len(some)), strict=True))
             self.part_ids.add(ids, ends)
+            self.part_met = np.append(self.part_met, np.zeros(len(some), np.int64))
 
-    def learn(self, words: list[str]) -> None:
+    def learn(self, new: pa.Array) -> None:
         """Encode words not seen before."""
+        words = new.to_pylist()
         joined = "\n".join(words)
         if "\u03a3" in joined:  # Python lowers a last sigma its own way
             plain = "\n".join(self.tokenizer.normalizer.normalize_str(w) if "\u03a3" in w else unicodedata.normalize("NFC", w).lower() for w in words)
@@ -126,10 +135,12 @@ class WordIds:
         del self.parts["\n"]
         breaks = which < 0
         word = np.cumsum(breaks)[~breaks]
+        self.part_met += np.bincount(which[~breaks], minlength=len(self.part_met)) > 0
         ids, ends = self.part_ids.gather(which[~breaks])
         lengths = np.bincount(word, np.diff(ends, prepend=0), len(words)).astype(np.int64)
-        self.words.update(zip(words, range(len(self.words), len(self.words) + len(words)), strict=True))
+        self.words = pa.concat_arrays([self.words, new])
         self.word_ids.add(ids, np.cumsum(lengths))
+        self.word_met = np.append(self.word_met, np.zeros(len(words), np.int64))
         self.stops += bytes(map(_STOP, words))
 
     def encode(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -138,18 +149,19 @@ class WordIds:
         if not self.by_words:
             return [self.whole(t.as_py()) for t in texts]
         if len(self.words) > self.most or len(self.parts) > 2 * self.most:
-            self.forget()
+            self.trim()
         odd = np.zeros(len(texts), bool)
         for sign in self.ODD:
             odd |= pc.match_substring(texts, sign).to_numpy(zero_copy_only=False)
         split = pc.utf8_split_whitespace(texts)
         bounds = split.offsets.to_numpy()
         words = split.flatten().dictionary_encode()
-        each = words.dictionary.to_pylist()
-        known = np.fromiter(map(self.words.get, each, repeat(-1)), np.int64, len(each))
+        each = words.dictionary.cast(pa.string())
+        known = pc.fill_null(pc.index_in(each, self.words), -1).to_numpy().astype(np.int64)
         if len(unseen := np.flatnonzero(known < 0)):
             known[unseen] = np.arange(len(self.words), len(self.words) + len(unseen))  # as learnt: words of a dictionary differ
-            self.learn([each[i] for i in unseen.tolist()])
+            self.learn(each.take(pa.array(unseen)))
+        self.word_met[known] += 1  # words of a dictionary differ
         which = known[words.indices.to_numpy()]
         ids, ends = self.word_ids.gather(which)
         stop = np.frombuffer(self.stops or b"0", bool)[which]
@@ -182,6 +194,14 @@ class _Lists:
         return np.frombuffer(self.ids, np.uint32)[np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1])], ends
 
 
+def _often(lists: _Lists, met: np.ndarray, most: int) -> tuple[np.ndarray, _Lists, np.ndarray]:
+    """The numbers of those that more than one batch met, at most ``most`` of those met most, with their lists and half their counts."""
+    kept, fewer = np.flatnonzero(met > 1), _Lists()
+    kept = np.sort(kept[np.argsort(-met[kept], kind="stable")[:most]])
+    fewer.add(*lists.gather(kept))
+    return kept, fewer, met[kept] // 2
+
+
 _KNOWN: dict[str, WordIds] = {}
 
 
@@ -195,7 +215,7 @@ def tokenize(docs: DataFrame, path: str | None = None, end_id: int = 2, id_col:
     path = path or vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _KNOWN.setdefault(path, None) or WordIds(path)  # one per Python worker; the words are forgotten with the task
+        known = _KNOWN.setdefault(path, None) or WordIds(path)  # one per Python worker; between tasks it keeps the frequent words
         _KNOWN[path] = known
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
@@ -207,7 +227,7 @@ def tokenize(docs: DataFrame, path: str | None = None, end_id: int = 2, id_col:
                     cuts.append(np.append(stops[(stops > 0) & (stops < len(own))], len(own) + 1).astype("<u4").tobytes())
                 yield pa.record_batch([keys, pa.array(map(len, ids), pa.int64()), pa.array([i.tobytes() for i in ids], pa.binary()), pa.array(cuts, pa.binary()), pa.array(np.arange(row, row + len(ids)))], ["doc_id", "n_ids", "ids", "cuts", "row"])
                 row += len(ids)
-        known.forget()
+        known.trim()
 
     return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, TOKEN_SCHEMA)
 

@@ -261,3 +261,19 @@ def test_words_learnt_twice_and_forgotten_keep_their_ids():
     for texts in (["one two three", "two four. Five"], ["six two one two", "", "four zzqxv!"], ["one zzqxv! two"]):
         for text, (ids, _) in zip(texts, words.encode(pa.array(texts)), strict=True):
             assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_frequent_words_outlast_a_full_memory():
+    """Words that several batches met aren't learnt again, rare ones are forgotten; ids and sentence ends stay the library's."""
+    from graphloom.llm import pack
+
+    words, learnt = pack.WordIds(pack.vocabulary_path(), most=20), []
+    learn = words.learn
+    words.learn = lambda new: (learnt.extend(map(str, new)), learn(new))[1]
+    for i in range(20):
+        text = f"Often met. a{i}b c{i} d{i}! often"
+        (ids, stops), (none, _) = words.encode(pa.array([text, None]))
+        whole, ends = words.whole(text)
+        assert ids.tolist() == whole.tolist() and not len(none) and set(ends.tolist()) <= set(stops.tolist())
+        assert len(words.words) <= 20 + 7 and len(words.stops) == len(words.words) == len(words.word_met)
+    assert [learnt.count(w) for w in ("Often", "met.", "often")] == [1, 1, 1]
