@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
-import operator
+import sys
 import unicodedata
 import zlib
 from array import array
 from collections import deque
 from collections.abc import Iterator
-from functools import cached_property
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +37,69 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 #: The parts into which the default vocabulary splits a text, as its file has it.
 PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_STOP = operator.methodcaller("endswith", (".", "!", "?", "\u2026"))
+#: Kinds of signs: white space, letters, numbers, others, and those that the library's tables may know otherwise.
+SPACE, LETTER, NUMBER, OTHER, UNSURE = range(5)
+
+
+#: Marks whose order among others the library's tables have otherwise than Python's.
+REORDERED = "\u1df6\U0001e4ec\U0001e4ed"
+
+
+@lru_cache(1)
+def kinds() -> np.ndarray:
+    """The kind of every code point, as ``PARTS`` tells them apart; those that Python's Unicode tables don't have are unsure."""
+    kind, every = np.full(sys.maxunicode + 1, OTHER, np.uint8), np.arange(sys.maxunicode + 1, dtype="<u4")
+    signs = _text(every[(every < 0xD800) | (every > 0xDFFF)])
+    for pattern, one in ((r"\s+", SPACE), (r"\p{L}+", LETTER), (r"\p{N}+", NUMBER)):
+        kind[_signs("".join(regex.findall(pattern, signs)))] = one
+    kind[_signs("".join(c for c in signs if unicodedata.category(c) == "Cn"))] = UNSURE
+    kind[list(map(ord, REORDERED))] = UNSURE
+    return kind
+
+
+def _signs(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), "<u4")
+
+
+def _text(signs: np.ndarray) -> str:
+    return signs.tobytes().decode("utf-32-le")
+
+
+def _contracted(signs: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The lengths of the contractions, as in ``PARTS``, that begin with the apostrophes at these places; 0 where none does."""
+    one, two = (signs[np.minimum(at + k, len(signs) - 1)] for k in (1, 2))
+    pairs = [(one == ord(a)) & (two == ord(b)) for a, b in ("re", "ve", "ll")]
+    return np.where(np.isin(one, [ord(c) for c in "stmd"]), 2, np.where(np.logical_or.reduce(pairs), 3, 0))
+
+
+def split_parts(plain: str) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The parts of normal words, one word a line, by ``PARTS``, the number of the line of each, and the lines that hold unsure signs."""
+    signs = _signs(plain)
+    kind = kinds()[signs]
+    begins = kind == NUMBER
+    begins[:1] = True
+    begins[1:] |= kind[1:] != kind[:-1]
+    at = np.flatnonzero(begins & (signs == ord("'")))
+    if len(length := _contracted(signs, at)):
+        at, length = at[length > 0], length[length > 0]
+        begins[at + 1] = False
+        after = at + length
+        begins[after[after < len(signs)]] = True
+    kept = kind != SPACE
+    starts = np.flatnonzero(begins[kept])
+    line = np.cumsum(signs == ord("\n"))
+    unsure, line = line[kind == UNSURE], line[kept][starts]
+    signs = signs[kept]
+    data = _text(signs).encode()
+    if len(data) > len(signs):  # places of signs become places of bytes
+        sizes = 1 + (signs > 0x7F).astype(np.uint8) + (signs > 0x7FF) + (signs > 0xFFFF)
+        starts = (np.cumsum(sizes, dtype=np.int64) - sizes)[starts]
+    offsets = np.append(starts, len(data)).astype(np.int32)
+    return pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data)), line, unsure
+
+
+def _joined(texts: pa.Array, sign: str) -> str:
+    return pc.binary_join(pa.ListArray.from_arrays([0, len(texts)], texts), sign)[0].as_py()
 
 
 class WordIds:
@@ -46,16 +108,16 @@ class WordIds:
     A vocabulary that composes and lower-cases a text, drops white space and splits the rest
     by ``PARTS``, every part ending with a token marked ``</w>``, gives a text its words' ids
     in a row and a word its parts'; many new parts can be encoded as one text and told apart
-    by the marks. About ``most`` words and twice as many parts are remembered; beyond that those
+    by the marks. Words and parts are told apart as arrays of many texts at once. About
+    ``most`` words and as many parts are remembered; beyond that those
     that several batches met stay, the most frequent half at most. With any other vocabulary texts are encoded as wholes, which is slower.
     """
 
-    SPLIT = regex.compile("\n|" + PARTS)
     SENTENCE = regex.compile(r"[.!?\u2026](?=\s)")
     #: Signs that are white space to Python only, and texts of special tokens; such a text is encoded as a whole.
     ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|startoftext|>", "<|endoftext|>")
 
-    def __init__(self, path: str, most: int = 100_000):
+    def __init__(self, path: str, most: int = 400_000):
         self.path, self.most = path, most
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
@@ -76,16 +138,17 @@ class WordIds:
         return Tokenizer.from_file(self.path)
 
     def forget(self) -> None:
-        self.parts, self.part_ids, self.part_met = {}, _Lists(), np.array([], np.int64)
-        self.words, self.word_ids, self.word_met, self.stops = pa.array([], pa.string()), _Lists(), np.array([], np.int64), bytearray()
+        self.parts, self.part_ids, self.part_met = pa.array([], pa.string()), _Lists(), np.array([], np.int64)
+        self.words, self.word_ids, self.word_met = pa.array([], pa.string()), _Lists(), np.array([], np.int64)
+        self.stops, self.unsure = bytearray(), bytearray()
 
     def trim(self) -> None:
         """Forget all but the words and parts that several batches met."""
         kept, self.word_ids, self.word_met = _often(self.word_ids, self.word_met, self.most // 2)
-        self.words, self.stops = self.words.take(pa.array(kept)), bytearray(np.frombuffer(self.stops, np.uint8)[kept].tobytes())
-        kept, self.part_ids, self.part_met = _often(self.part_ids, self.part_met, self.most)
-        parts = list(self.parts)
-        self.parts = {parts[i]: at for at, i in enumerate(kept.tolist())}
+        self.words = self.words.take(pa.array(kept))
+        self.stops, self.unsure = (bytearray(np.frombuffer(flags, np.uint8)[kept].tobytes()) for flags in (self.stops, self.unsure))
+        kept, self.part_ids, self.part_met = _often(self.part_ids, self.part_met, self.most // 2)
+        self.parts = self.parts.take(pa.array(kept))
 
     @staticmethod
     def _splits(made: dict) -> bool:
@@ -108,47 +171,46 @@ class WordIds:
         ends = np.array([e for _, e in found.offsets], np.int64)
         return np.array(found.ids, np.uint32), np.unique(np.searchsorted(ends, stops) + 1) if stops and len(ends) else np.array([], np.int64)
 
-    def learn_parts(self, parts: list[str]) -> None:
+    def learn_parts(self, parts: pa.Array) -> None:
         for k in range(0, len(parts), 8000):
             some = parts[k : k + 8000]
-            ids = np.array(self.of_parts.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            ids = np.array(self.of_parts.encode_batch_fast([_joined(some, " ")], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.flatnonzero(self.marks[ids]) + 1
             if len(ends) != len(some) or ends[-1] != len(ids):  # no vocabulary seen here does this
-                each = [np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, np.uint32) for p in some]
+                each = [np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, np.uint32) for p in some.to_pylist()]
                 ids, ends = np.concatenate(each), np.cumsum([len(e) for e in each])
-            self.parts.update(zip(some, range(len(self.parts), len(self.parts) + len(some)), strict=True))
             self.part_ids.add(ids, ends)
-            self.part_met = np.append(self.part_met, np.zeros(len(some), np.int64))
+        self.parts = pa.concat_arrays([self.parts, parts])
+        self.part_met = np.append(self.part_met, np.zeros(len(parts), np.int64))
 
     def learn(self, new: pa.Array) -> None:
         """Encode words not seen before."""
-        words = new.to_pylist()
-        joined = "\n".join(words)
+        joined = _joined(new, "\n")
         if "\u03a3" in joined:  # Python lowers a last sigma its own way
-            plain = "\n".join(self.tokenizer.normalizer.normalize_str(w) if "\u03a3" in w else unicodedata.normalize("NFC", w).lower() for w in words)
+            plain = "\n".join(self.tokenizer.normalizer.normalize_str(w) if "\u03a3" in w else unicodedata.normalize("NFC", w).lower() for w in joined.split("\n"))
         else:
             plain = (joined if joined.isascii() else unicodedata.normalize("NFC", joined)).lower()
-        parts = self.SPLIT.findall(plain)
-        self.learn_parts([p for p in set(parts).difference(self.parts) if p != "\n"])
-        self.parts["\n"] = -1
-        which = np.fromiter(map(self.parts.__getitem__, parts), np.int64, len(parts))
-        del self.parts["\n"]
-        breaks = which < 0
-        word = np.cumsum(breaks)[~breaks]
-        self.part_met += np.bincount(which[~breaks], minlength=len(self.part_met)) > 0
-        ids, ends = self.part_ids.gather(which[~breaks])
-        lengths = np.bincount(word, np.diff(ends, prepend=0), len(words)).astype(np.int64)
+        parts, word, unsure = split_parts(plain)
+        parts = parts.dictionary_encode()
+        which, unseen = _found(parts.dictionary, self.parts)
+        if len(unseen):
+            self.learn_parts(unseen)
+        self.part_met[which] += 1  # parts of a dictionary differ
+        ids, ends = self.part_ids.gather(which[parts.indices.to_numpy()])
+        lengths = np.bincount(word, np.diff(ends, prepend=0), len(new)).astype(np.int64)
         self.words = pa.concat_arrays([self.words, new])
         self.word_ids.add(ids, np.cumsum(lengths))
-        self.word_met = np.append(self.word_met, np.zeros(len(words), np.int64))
-        self.stops += bytes(map(_STOP, words))
+        self.word_met = np.append(self.word_met, np.zeros(len(new), np.int64))
+        stops = [pc.ends_with(new, sign).to_numpy(zero_copy_only=False) for sign in ".!?\u2026"]
+        self.stops += np.logical_or.reduce(stops).tobytes()
+        self.unsure += np.isin(np.arange(len(new)), unsure).tobytes()
 
     def encode(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each text its ids and the offsets in them at which sentences end; null counts as empty."""
         texts = texts.fill_null("")
         if not self.by_words:
             return [self.whole(t.as_py()) for t in texts]
-        if len(self.words) > self.most or len(self.parts) > 2 * self.most:
+        if max(len(self.words), len(self.parts)) > self.most:
             self.trim()
         odd = np.zeros(len(texts), bool)
         for sign in self.ODD:
@@ -156,23 +218,38 @@ class WordIds:
         split = pc.utf8_split_whitespace(texts)
         bounds = split.offsets.to_numpy()
         words = split.flatten().dictionary_encode()
-        each = words.dictionary.cast(pa.string())
-        known = pc.fill_null(pc.index_in(each, self.words), -1).to_numpy().astype(np.int64)
-        if len(unseen := np.flatnonzero(known < 0)):
-            known[unseen] = np.arange(len(self.words), len(self.words) + len(unseen))  # as learnt: words of a dictionary differ
-            self.learn(each.take(pa.array(unseen)))
+        known, unseen = _found(words.dictionary.cast(pa.string()), self.words)
+        if len(unseen):
+            self.learn(unseen)
         self.word_met[known] += 1  # words of a dictionary differ
-        which = known[words.indices.to_numpy()]
-        ids, ends = self.word_ids.gather(which)
-        stop = np.frombuffer(self.stops or b"0", bool)[which]
-        out, at = [], 0
-        for number, (first, last) in enumerate(zip((bounds[:-1] - bounds[0]).tolist(), (bounds[1:] - bounds[0]).tolist(), strict=True)):
-            end = ends[last - 1] if last else 0
-            out.append(self.whole(texts[number].as_py()) if odd[number] else (ids[at:end], ends[first:last][stop[first:last]] - at))
-            at = end
+        words = words.indices.to_numpy()
+        stop, unsure = (np.frombuffer(flags or b"\0", bool) for flags in (self.stops, self.unsure))
+        bounds = (bounds - bounds[0]).tolist()
+        out = []
+        for number in range(0, len(texts), 500):  # so many at a time, which bounds the places held
+            some = bounds[number : number + 501]
+            which = known[words[some[0] : some[-1]]]
+            ids, ends = self.word_ids.gather(which)
+            cuts = np.flatnonzero(stop[which])
+            cuts, upto = ends[cuts], np.searchsorted(cuts, np.array(some) - some[0]).tolist()
+            if len(found := np.flatnonzero(unsure[which])):
+                odd[number + np.searchsorted(some, found + some[0], "right") - 1] = True
+            ends, at = np.append(ends, 0), 0
+            for k, (first, last) in enumerate(zip(some[:-1], some[1:], strict=True)):
+                end = int(ends[last - some[0] - 1]) if last > some[0] else 0
+                out.append(self.whole(texts[number + k].as_py()) if odd[number + k] else (ids[at:end], cuts[upto[k] : upto[k + 1]] - at))
+                at = end
         return out
 
 
+def _found(each: pa.Array, known: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Where different strings lie among the known ones, and those that don't, which are to be added behind them."""
+    at = pc.fill_null(pc.index_in(each, known), -1).to_numpy().astype(np.int64)
+    unseen = np.flatnonzero(at < 0)
+    at[unseen] = np.arange(len(known), len(known) + len(unseen))
+    return at, each.take(pa.array(unseen))
+
+
 class _Lists:
     """Many short lists of ids in one growing array."""
 
@@ -203,11 +280,27 @@ def _often(lists: _Lists, met: np.ndarray, most: int) -> tuple[np.ndarray, _List
 
 
 _KNOWN: dict[str, WordIds] = {}
+#: Bytes of texts that are encoded together, so that a word new to all of them is encoded once.
+TOGETHER = 8_000_000
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of up to ``most`` bytes; a larger batch stays as it is."""
+    held, size = [], 0
+    for batch in batches:
+        if held and size + batch.nbytes > most:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(batch)
+        size += batch.nbytes
+    if held:
+        yield pa.concat_batches(held)
 
 
 def tokenize(docs: DataFrame, path: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of ``docs`` its ids (little-endian unsigned 32-bit) followed by ``end_id``, and where sentences end.
+    """Per row of ``docs`` its ids followed by ``end_id``, and where sentences end.
 
+    ``ids`` are little-endian and unsigned, of 16 bits where all of the row's are below 65,536, else of 32.
     ``cuts`` holds 32-bit offsets into the ids, rising, the last one being ``n_ids``. A null
     text counts as empty: its only id is ``end_id``. ``row`` numbers the rows, so that equal
     ones can be told apart. Other columns are ignored.
@@ -218,13 +311,15 @@ def tokenize(docs: DataFrame, path: str | None = None, end_id: int = 2, id_col:
         known = _KNOWN.setdefault(path, None) or WordIds(path)  # one per Python worker; between tasks it keeps the frequent words
         _KNOWN[path] = known
         row = TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in _gathered(batches, TOGETHER):
+            found = known.encode(batch.column(1))
             for at in range(0, batch.num_rows, 500):
                 keys = batch.column(0)[at : at + 500]
                 ids, cuts = [], []
-                for own, stops in known.encode(batch.column(1)[at : at + 500]):
-                    ids.append(np.append(own, np.uint32(end_id)).astype("<u4"))
-                    cuts.append(np.append(stops[(stops > 0) & (stops < len(own))], len(own) + 1).astype("<u4").tobytes())
+                for own, stops in found[at : at + 500]:
+                    own = np.append(own, np.uint32(end_id))
+                    ids.append(own.astype("<u2" if own.max() < 1 << 16 else "<u4"))
+                    cuts.append(np.append(stops[(stops > 0) & (stops < len(own) - 1)], len(own)).astype("<u4").tobytes())
                 yield pa.record_batch([keys, pa.array(map(len, ids), pa.int64()), pa.array([i.tobytes() for i in ids], pa.binary()), pa.array(cuts, pa.binary()), pa.array(np.arange(row, row + len(ids)))], ["doc_id", "n_ids", "ids", "cuts", "row"])
                 row += len(ids)
         known.trim()
@@ -360,8 +455,9 @@ def pack(
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*pieces[at : at + 4096], strict=True), kinds, strict=True)], names)
 
         for batch in batches:
-            for doc_id, ids, cuts in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                shard.add(doc_id, np.frombuffer(ids.as_buffer(), "<u4"), np.frombuffer(cuts.as_buffer(), "<u4").astype(np.int64))
+            for doc_id, n, ids, cuts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                held = ids.as_buffer()
+                shard.add(doc_id, np.frombuffer(held, "<u2" if held.size == 2 * n else "<u4").astype("<u4"), np.frombuffer(cuts.as_buffer(), "<u4").astype(np.int64))
                 if shard.held >= shard.block:
                     yield from rows(shard.pack(False))
         yield from rows(shard.pack(True))

@@ -277,3 +277,51 @@ def test_frequent_words_outlast_a_full_memory():
         assert ids.tolist() == whole.tolist() and not len(none) and set(ends.tolist()) <= set(stops.tolist())
         assert len(words.words) <= 20 + 7 and len(words.stops) == len(words.words) == len(words.word_met)
     assert [learnt.count(w) for w in ("Often", "met.", "often")] == [1, 1, 1]
+
+
+def test_parts_are_the_pattern_s():
+    """Splitting whole arrays of words gives the parts that the pattern finds in each."""
+    rng = np.random.default_rng(11)
+    signs = list("aé'''stmdrevl12٣.!ß日🙂") + ["'ll", "'re", "İ".lower()]
+    words = ["".join(rng.choice(signs, rng.integers(1, 12))) for _ in range(5000)]
+    parts, line, unsure = pack.split_parts("\n".join(words))
+    found = [[] for _ in words]
+    for part, at in zip(parts.to_pylist(), line.tolist(), strict=True):
+        found[at].append(part)
+    assert found == [pack.regex.findall(pack.PARTS, w) for w in words] and not len(unsure)
+    assert pack.split_parts("Ᲊ\nb\nc᷶")[2].tolist() == [0, 2]
+
+
+def test_signs_newer_than_python_s_tables_have_the_library_s_ids():
+    texts = ["plain. text", "", "aᲉb", "x ՘ 1₝", None, "é᷶ z. y", "꟎\U00010940", "end"]
+    library = Tokenizer.from_file(pack.vocabulary_path())
+    for text, (ids, stops) in zip(texts, pack.WordIds(pack.vocabulary_path()).encode(pa.array(texts)), strict=True):
+        assert ids.tolist() == library.encode(text or "", add_special_tokens=False).ids
+        assert all(0 < s <= len(ids) for s in stops)
+
+
+def test_many_rare_words_are_learnt_once():
+    """150,000 words that one batch each met are still known afterwards, and a task's small batches are encoded together."""
+    words, learnt = pack.WordIds(pack.vocabulary_path()), []
+    learn = words.learn
+    words.learn = lambda new: (learnt.append(len(new)), learn(new))[1]
+    texts = [" ".join("".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(at, at + 5000)) for at in range(0, 150_000, 5000)]
+    first = [words.encode(pa.array([t]))[0][0].tolist() for t in texts]
+    assert sum(learnt) == 150_000
+    assert [words.encode(pa.array([t]))[0][0].tolist() for t in texts] == first and sum(learnt) == 150_000
+    batches = [pa.record_batch([pa.array([i, i]), pa.array(["x" * n, None])], ["doc_id", "text"]) for i, n in enumerate((10, 20, 5000, 30, 0, 40))]
+    together = list(pack._gathered(iter(batches), 1000))
+    assert [len(b) for b in together] == [4, 2, 6] and pa.Table.from_batches(together).equals(pa.Table.from_batches(batches).combine_chunks())
+    assert not list(pack._gathered(iter([]), 1000))
+
+
+def test_ids_take_16_bits_where_they_fit(spark):
+    """Stored ids take half the space, pieces hold 32-bit ones, also with an end id that needs them."""
+    docs = spark.createDataFrame([(1, "One two."), (2, None)], "doc_id long, text string")
+    library = Tokenizer.from_file(pack.vocabulary_path())
+    for end_id, width in ((2, 2), (65535, 2), (65536, 4)):
+        assert {len(r.ids) // r.n_ids for r in pack.tokenize(docs, end_id=end_id).collect()} == {width}
+        found = defaultdict(list)
+        for piece in sorted(pack.pack(docs, end_id=end_id).collect(), key=lambda r: (r.doc_id, r.start)):
+            found[piece.doc_id] += np.frombuffer(piece.input_ids, "<u4").tolist()
+        assert found == {1: library.encode("One two.").ids + [end_id], 2: [end_id]}
