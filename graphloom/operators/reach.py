@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators import walks
 from graphloom.operators.iterate import Pile, stored
 from graphloom.operators.structure import running
 from graphloom.operators.trees import tour
@@ -278,15 +279,35 @@ def closeness_estimates(nodes: DataFrame, edges: DataFrame, registers: int = REG
 PAIRS = 20_000_000
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None = None, batch: int = BATCH, pairs: int = PAIRS) -> DataFrame:
-    """(node_id, betweenness): shares of shortest paths through a node, summed over pairs from ``sources`` (all nodes unless given).
+def betweenness(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None = None, batch: int | None = None, pairs: int = PAIRS) -> DataFrame:
+    """(node_id, betweenness): shares of shortest paths through a node, summed over pairs from ``sources`` (all nodes unless given). Exact.
+
+    Components that fit a task are walked there (``walks.path_shares``), so that no pair of source
+    and node is a row; larger ones, and all if ``batch`` is given, go by joins.
+    """
+    edges = stored(closed_edges(nodes, edges.select("src", "dst")))
+    chosen = (sources if sources is not None else nodes).select("node_id")
+    if batch is not None:
+        sums = _joined_shares(edges, chosen, batch, pairs)
+    else:
+        at = walks.placed(edges)
+        sums = stored(walks.path_shares(at, edges, chosen.distinct()))
+        large = at.where("not fits").select("node_id")
+        if not large.isEmpty():
+            some = stored(edges.join(large, F.col("src") == F.col("node_id"), "left_semi"))
+            sums = sums.union(_joined_shares(some, stored(chosen.join(large, "node_id", "left_semi")), BATCH, pairs))
+    return nodes.select("node_id").join(sums.groupBy("node_id").agg(F.sum("betweenness").alias("betweenness")), "node_id", "left").na.fill(0.0, ["betweenness"])
+
+
+def _joined_shares(edges: DataFrame, sources: DataFrame, batch: int, pairs: int) -> DataFrame:
+    """(node_id, betweenness), a row for each node that a batch of sources meets; all pairs of a batch are rows.
 
     Sources come in the order of a hash: ``batch`` of them first, then as many at a time as hold
     about ``pairs`` pairs by what the batch before met, at most eight times as many as that.
     """
-    sums, edges = None, stored(closed_edges(nodes, edges.select("src", "dst")))
+    sums = None
     order = F.struct(F.xxhash64("node_id", F.lit(17)).alias("h"), "node_id").alias("_at")
-    dealt = stored(running((sources if sources is not None else nodes).select("node_id", order), "_at", F.lit(1)).select("node_id", "before"))
+    dealt = stored(running(sources.select("node_id", order), "_at", F.lit(1)).select("node_id", "before"))
     total, begun = dealt.count(), 0
     while begun < max(total, 1):
         found = distances(edges, dealt.where(F.col("before").between(begun, begun + batch - 1)).select("node_id"))
@@ -304,10 +325,10 @@ def betweenness(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None =
             sums = Pile(one)
         else:
             sums.add(one)
-    return nodes.select("node_id").join(sums.all().groupBy("node_id").agg(F.sum("betweenness").alias("betweenness")), "node_id", "left").na.fill(0.0, ["betweenness"])
+    return sums.all()
 
 
-def betweenness_estimates(nodes: DataFrame, edges: DataFrame, error: float = 0.02, doubt: float = 0.1, seed: int = 42, batch: int = BATCH) -> DataFrame:
+def betweenness_estimates(nodes: DataFrame, edges: DataFrame, error: float = 0.02, doubt: float = 0.1, seed: int = 42, batch: int | None = None) -> DataFrame:
     """(node_id, betweenness) from a sample of sources, scaled up.
 
     By Hoeffding's bound ln(2 n / doubt) / (2 error ** 2) sources, taken by a seeded hash, are

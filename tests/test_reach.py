@@ -2,9 +2,12 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from graphloom.operators import iterate, reach
+from graphloom.operators import walks as inside
 
 
 def graph(spark, n, edges):
@@ -115,3 +118,60 @@ def test_betweenness_takes_batches_by_their_pairs(spark, monkeypatch):
     nodes, e = graph(spark, 40, [(i, i + 1) for i in range(0, 39, 4)] + [(i + 1, i + 2) for i in range(0, 37, 4)])
     found = {r.node_id: r.betweenness for r in reach.betweenness(nodes, e, batch=2).collect()}
     assert calls == [2, 16, 22] and found == {i: float(i % 4 == 1) for i in range(40)}
+
+
+def shares(n, edges):
+    """Betweenness by all pairs; an edge that repeats is a path of its own."""
+    seen, own = walks(n, edges), [(a, b) for a, b in edges if a < n and b < n]
+    paths = []
+    for s, d in enumerate(seen):
+        found = dict.fromkeys(d, 0) | {s: 1}
+        for v in sorted(d, key=d.get):
+            for a, b in own:
+                if a == v and d[b] == d[v] + 1:
+                    found[b] += found[v]
+        paths.append(found)
+    total = dict.fromkeys(range(n), 0.0)
+    for s in range(n):
+        for v in seen[s]:
+            for t in seen[v]:
+                if v != s and t not in (s, v) and seen[s][v] + seen[v][t] == seen[s][t]:
+                    total[v] += paths[s][v] * paths[v][t] / paths[s][t]
+    return total
+
+
+@pytest.mark.parametrize(("shared", "walked"), [(5_000, 10**9), (20, 10**9), (1, 300)], ids=["together", "alone", "dealt"])
+def test_betweenness_walks_components_in_tasks(spark, monkeypatch, shared, walked):
+    """No pair of source and node is a row, however components are bundled and their sources dealt."""
+    monkeypatch.setattr(reach, "distances", None)
+    monkeypatch.setattr(inside, "SHARED", shared)
+    monkeypatch.setattr(inside, "WALKED", walked)
+    n, edges = tangled(30, 45, 5)
+    nodes, e = graph(spark, n, edges)
+    assert {r.node_id: r.betweenness for r in reach.betweenness(nodes, e).collect()} == pytest.approx(shares(n, edges))
+    assert (inside.placed(e).agg({"parts": "max"}).first()[0] > 1) == (walked == 300)
+
+
+def test_betweenness_joins_what_no_task_holds(spark, monkeypatch):
+    """The large component goes by joins, the circle in a task; both count."""
+    calls, real = [], reach.distances
+    monkeypatch.setattr(reach, "distances", lambda edges, some: calls.append(some.count()) or real(edges, some))
+    monkeypatch.setattr(inside, "HELD", 12)
+    n, edges = 12, [(0, 1), (0, 2), (1, 3), (2, 3), (3, 4), (4, 0), (3, 5), (3, 5), (8, 9), (9, 10), (10, 8)]
+    nodes, e = graph(spark, n, edges)
+    assert dict(reach.betweenness(nodes, e).collect()) == pytest.approx(shares(n, edges)) and calls == [6]
+    some = nodes.where("node_id % 4 = 0")
+    joined = dict(reach.betweenness(nodes, e, some).collect())
+    monkeypatch.setattr(inside, "HELD", 100)
+    assert dict(reach.betweenness(nodes, e, some).collect()) == pytest.approx(joined) and calls == [6, 2]
+
+
+def test_walks_hold_a_few_sources_at_a_time(monkeypatch):
+    rng, n = np.random.default_rng(3), 50
+    src, dst, own = rng.integers(0, n, 120), rng.integers(0, n, 120), np.arange(n)
+    group = inside._Group(pa.table({"src": np.concatenate([src, own]), "dst": np.concatenate([dst, own]), "source": np.arange(120 + n) >= 120}))
+    want = list(shares(n, list(zip(src.tolist(), dst.tolist(), strict=True))).values())
+    for step, parts in ((10, n), (10**6, 1)):
+        monkeypatch.setattr(inside, "STEP", step)
+        some = group.walks(1)
+        assert len(some) == parts and sum(inside._shares(group, s) for s in some) == pytest.approx(want)
