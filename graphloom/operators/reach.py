@@ -13,6 +13,7 @@ from graphloom.operators import walks
 from graphloom.operators.iterate import Pile, stored
 from graphloom.operators.structure import running
 from graphloom.operators.trees import tour
+from graphloom.operators.walks import BITS
 from graphloom.sources.graph import closed_edges
 
 #: Sources whose rows are held at once.
@@ -212,23 +213,36 @@ def distances(edges: DataFrame, sources: DataFrame) -> DataFrame:
     return seen.all()
 
 
-#: Sources that one long holds as bits.
-BITS = 64
-
-
 def _packed(nodes: DataFrame) -> DataFrame:
     """(node_id, chunk, bit): nodes numbered in the order of their ids, ``BITS`` a chunk."""
     return running(nodes.select("node_id").distinct(), "node_id", F.lit(1)).select("node_id", F.floor(F.col("before") / BITS).cast("long").alias("chunk"), (F.col("before") % BITS).cast("int").alias("bit"))
 
 
-def closeness(nodes: DataFrame, edges: DataFrame, batch: int = 1000 * BITS) -> DataFrame:
+def closeness(nodes: DataFrame, edges: DataFrame, batch: int | None = None) -> DataFrame:
     """(node_id, closeness): reached / sum of distances, scaled by the share of nodes reached; 0 if none. Exact.
 
+    Components that fit a task are walked there (``walks.distance_sums``), so that neither pairs
+    of source and node nor rounds of them are stored; larger ones, and all if ``batch`` is given,
+    go by joins.
+    """
+    n, edges = nodes.count(), stored(closed_edges(nodes, edges.select("src", "dst").distinct()))
+    if batch is not None:
+        return _close(nodes, _joined_sums(nodes, edges, batch), n)
+    at = walks.placed(edges, BITS // 4)
+    sums = stored(walks.distance_sums(at, edges).where("r > 0").groupBy("node_id").agg(F.sum("r").alias("r"), F.sum("t").alias("t")))
+    large = at.where("not fits").select("node_id")
+    if not large.isEmpty():
+        sums = sums.union(_joined_sums(large, stored(edges.join(large, F.col("src") == F.col("node_id"), "left_semi")), 1000 * BITS))
+    return _close(nodes, sums, n)
+
+
+def _joined_sums(nodes: DataFrame, edges: DataFrame, batch: int) -> DataFrame:
+    """(node_id, r, t): how many nodes each reaches and the sum of its distances, where it reaches any.
+
     Walks of ``BITS`` sources go together, as bits of one long: a row is a node and the sources
     of a chunk that reach it first in this step. So a row stands for up to 64 pairs of source and
     node, pairs are only counted where they are, and ``batch`` sources go at a time.
     """
-    n, edges = nodes.count(), stored(closed_edges(nodes, edges.select("src", "dst").distinct()))
     dealt, sums = stored(_packed(nodes)), None
     last = (dealt.agg(F.max("chunk")).first()[0] or 0) + 1
     each = max(1, batch // BITS)
@@ -250,7 +264,7 @@ def closeness(nodes: DataFrame, edges: DataFrame, batch: int = 1000 * BITS) -> D
             sums = Pile(one)
         else:
             sums.add(one)
-    return _close(nodes, sums.all(), n)
+    return sums.all()
 
 
 def _close(nodes: DataFrame, sums: DataFrame, n: int) -> DataFrame:

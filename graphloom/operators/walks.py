@@ -27,19 +27,19 @@ BITS = 64
 TASKS = 1000
 
 
-def placed(edges: DataFrame) -> DataFrame:
+def placed(edges: DataFrame, each: int = 1) -> DataFrame:
     """(node_id, fits, shared, bundle, parts), stored: where the ends of edges go.
 
     A component of up to ``HELD`` nodes and edges ``fits`` a task. Small ones go together, in
     bundles by hash; others are bundles of their own, whose sources are dealt to ``parts``
-    groups by the steps that their walks take.
+    groups by the steps that their walks take, where ``each`` sources cost as much as one walk.
     """
     ends = edges.select(F.col("src").alias("node_id"), F.lit(1).alias("m")).union(edges.select("dst", F.lit(0))).groupBy("node_id").agg(F.sum("m").alias("m"))
     of = stored(ends.join(weak_components(ends.select("node_id"), edges), "node_id"))
     sizes = stored(of.groupBy("component").agg(F.count("*").alias("n"), (F.count("*") + F.sum("m")).alias("size")))
     shared = F.col("size") < SHARED
     bundles = math.ceil((sizes.where(shared).agg(F.sum("size")).first()[0] or 0) / SHARED) or 1
-    parts = F.least(F.lit(MOST), F.ceil(F.col("n").cast("double") * F.col("size") / WALKED), "n").cast("int")
+    parts = F.least(F.lit(MOST), F.ceil(F.col("n").cast("double") * F.col("size") / (each * WALKED)), "n").cast("int")
     plan = sizes.select("component", (F.col("size") <= HELD).alias("fits"), shared.alias("shared"), F.when(shared, F.pmod(F.xxhash64("component"), F.lit(bundles))).otherwise(F.col("component")).alias("bundle"), F.when(shared, F.lit(1)).otherwise(parts).alias("parts"))
     return stored(of.join(plan, "component").select("node_id", "fits", "shared", "bundle", "parts"))
 
@@ -124,3 +124,44 @@ def path_shares(at: DataFrame, edges: DataFrame, sources: DataFrame) -> DataFram
         return pa.table({"node_id": group.ids, "betweenness": total})
 
     return _grouped(at, edges, sources, run, "node_id long, betweenness double")
+
+
+def _sums(group: _Group, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many of ``some`` each node is reached from, and the sum of their distances; ``BITS`` walks go together as bits of one long."""
+    chunks = -(-len(some) // BITS)
+    room = chunks * group.n
+    seen, sent, number, total = np.zeros(room, np.uint64), np.zeros(room, np.uint64), np.zeros(group.n, np.int64), np.zeros(group.n, np.int64)
+    turn = np.arange(len(some))
+    level = turn // BITS * group.n + some
+    bits, depth = np.left_shift(np.uint64(1), (turn % BITS).astype(np.uint64)), 0
+    seen[level] = bits
+    while len(level):
+        depth += 1
+        ends, place = group.ahead(level)
+        np.bitwise_or.at(sent, ends, bits[place])
+        level, _ = group.different(ends, room)
+        bits = sent[level] & ~seen[level]
+        sent[level] = 0
+        level, bits = level[bits != 0], bits[bits != 0]
+        seen[level] |= bits
+        met = np.bincount(level % group.n, np.bitwise_count(bits), group.n).astype(np.int64)
+        number += met
+        total += depth * met
+    return number, total
+
+
+def distance_sums(at: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node_id, r, t): a row for each node of a group, how many of the group's nodes it reaches and the sum of its distances to them.
+
+    The walks go back over the edges, from the nodes reached, so that counts of bits are each node's own.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        group = _Group(table, back=True)
+        number, total = np.zeros(group.n, np.int64), np.zeros(group.n, np.int64)
+        for some in group.walks(BITS):
+            more = _sums(group, some)
+            number, total = number + more[0], total + more[1]
+        return pa.table({"node_id": group.ids, "r": number, "t": total})
+
+    return _grouped(at, edges, at.select("node_id"), run, "node_id long, r long, t long")

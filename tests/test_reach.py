@@ -166,6 +166,29 @@ def test_betweenness_joins_what_no_task_holds(spark, monkeypatch):
     assert dict(reach.betweenness(nodes, e, some).collect()) == pytest.approx(joined) and calls == [6, 2]
 
 
+def close(n, edges):
+    return {i: (r := len(s) - 1) and r / sum(s.values()) * r / (n - 1) for i, s in enumerate(walks(n, edges))}
+
+
+@pytest.mark.parametrize(("shared", "walked"), [(5_000, 10**9), (20, 10**9), (1, 20)], ids=["together", "alone", "dealt"])
+def test_closeness_walks_components_in_tasks(spark, monkeypatch, shared, walked):
+    """No rounds of walks are stored, however components are bundled and their sources dealt; more sources than one long has bits."""
+    monkeypatch.setattr(reach, "_packed", None)
+    monkeypatch.setattr(inside, "SHARED", shared)
+    monkeypatch.setattr(inside, "WALKED", walked)
+    n, edges = tangled(90, 130, 6)
+    nodes, e = graph(spark, n, edges)
+    assert {r.node_id: r.closeness for r in reach.closeness(nodes, e).collect()} == pytest.approx(close(n, edges))
+
+
+def test_closeness_joins_what_no_task_holds(spark, monkeypatch):
+    calls, real = [], reach._packed
+    monkeypatch.setattr(reach, "_packed", lambda nodes: calls.append(nodes.count()) or real(nodes))
+    monkeypatch.setattr(inside, "HELD", 12)
+    n, edges = 12, [(0, 1), (0, 2), (1, 3), (2, 3), (3, 4), (4, 0), (3, 5), (3, 5), (8, 9), (9, 10), (10, 8)]
+    assert dict(reach.closeness(*graph(spark, n, edges)).collect()) == pytest.approx(close(n, edges)) and calls == [6]
+
+
 def test_walks_hold_a_few_sources_at_a_time(monkeypatch):
     rng, n = np.random.default_rng(3), 50
     src, dst, own = rng.integers(0, n, 120), rng.integers(0, n, 120), np.arange(n)
@@ -175,3 +198,7 @@ def test_walks_hold_a_few_sources_at_a_time(monkeypatch):
         monkeypatch.setattr(inside, "STEP", step)
         some = group.walks(1)
         assert len(some) == parts and sum(inside._shares(group, s) for s in some) == pytest.approx(want)
+    back, seen = inside._Group(pa.table({"src": np.concatenate([src, own]), "dst": np.concatenate([dst, own]), "source": np.arange(120 + n) >= 120}), back=True), walks(n, list(zip(src.tolist(), dst.tolist(), strict=True)))
+    for each in (1, 7, n):
+        number, total = (sum(c) for c in zip(*(inside._sums(back, back.sources[i : i + each]) for i in range(0, n, each)), strict=True))
+        assert number.tolist() == [len(s) - 1 for s in seen] and total.tolist() == [sum(s.values()) for s in seen]
