@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from graphloom.plans import testgraphs
@@ -46,3 +47,11 @@ def test_a_run_of_suppliers_gets_a_list_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(frame, "mapInArrow", lambda df, *rest: sent.append(df.count()) or real(df, *rest))
     assert sorted(map(tuple, testgraphs.knn(spark, str(tmp_path)).collect())) == brute(lines)
     assert sent == [60]
+
+
+def test_partners_counted_with_their_last_list(monkeypatch):
+    """A supplier whose last list fills its room has nothing left to count."""
+    monkeypatch.setattr(testgraphs, "HELD", 3)
+    one = testgraphs._Partners(7)
+    one.add(np.array([1, 2, 2, 7], np.int64))
+    assert [c.tolist() for c in one.best(5)] == [[2, 1], [2, 1]]
